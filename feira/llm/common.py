@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Rows per Arrow batch asked of Spark for document texts: keeps a Python worker's batch to a few MB.
 BATCH_ROWS = 1000
@@ -104,7 +105,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def count_words(text):
     """Words of the class [^\\x20\\x09-\\x0D]+ in a whole text; null: 0."""
     import pyarrow as pa
