@@ -8,7 +8,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and, where SQL can express the operator, ORACLE_SQL.
-MODULES: tuple[str, ...] = ("sharding", "token_store", "mixing")
+MODULES: tuple[str, ...] = ("sharding", "toxicity", "token_store", "decontaminate", "mixing")
 
 
 def queries() -> dict:
