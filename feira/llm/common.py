@@ -61,7 +61,7 @@ def texts(batch, column: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX = 0x9E3779B97F4A7C15
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.zeros(m, np.uint64)
     for k in range(n):
-        h = mix64(h + words[k : k + m] + _MIX * np.uint64(k + 1))
+        h = mix64(h + words[k : k + m] + np.uint64(_MIX * (k + 1) % (1 << 64)))
     return h
 
 
