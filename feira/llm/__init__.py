@@ -8,7 +8,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and, where SQL can express the operator, ORACLE_SQL.
-MODULES: tuple[str, ...] = ("quality", "sharding", "license_scan", "pii", "toxicity", "token_store", "decontaminate", "mixing")
+MODULES: tuple[str, ...] = ("quality", "sharding", "ngram_join", "license_scan", "pii", "toxicity", "token_store", "decontaminate", "mixing")
 
 
 def queries() -> dict:
