@@ -33,7 +33,9 @@ BLOCK_IDS = 65_536
 STORE = "file_no int, block_no int, start_in_file long, n_docs int, n_ids long, payload binary"
 
 #: Remembered pieces of text in a Python worker; beyond, it begins anew.
-CACHE = 600_000
+CACHE = 1_200_000
+#: Marks that are parted from the word before them (no apostrophes: those begin contractions).
+MARKS = ",.;:!?*#%&$"
 
 
 def tokenizer_path() -> str:
@@ -89,7 +91,7 @@ class Encoder:
     """Ids of whole texts. Between a non-space and a single space or line feed the tokenizer's own pattern always parts
     a text, so the pieces there are encoded once and remembered; texts with other white space are encoded whole."""
 
-    ODD = re.compile(r"\s\s|[^\S \n]")
+    OTHER_SPACE = re.compile(r"[^\S \n]")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -99,30 +101,57 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.line_feed = self.encode(["\n"])[0]
+        self.line_feed_id = int.from_bytes(self.line_feed, "little")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, lines: list[list[str]]) -> None:
+        """Encode the pieces of ``lines`` that aren't known: all in one text, parted by line feeds, which no piece holds."""
         if len(self.first) + len(self.later) > CACHE:
             self.first.clear()
             self.later.clear()
         for known, prefix, pieces in ((self.first, "", {x[0] for x in lines}), (self.later, " ", {p for x in lines for p in x[1:]})):
             new = list(pieces.difference(known))
-            for k in range(0, len(new), 4096):
-                known.update(zip(new[k : k + 4096], self.encode([prefix + p for p in new[k : k + 4096]]), strict=True))
+            if "" in new:
+                new.remove("")
+                known[""] = self.encode([prefix])[0]
+            # a letter and the marks after it are always parted, so a known word needs no new merge for another mark
+            cut = [(p, stem) if (stem := p.rstrip(MARKS)) and stem[-1].isalpha() else (p, p) for p in new]
+            stems = list({stem for _, stem in cut}.difference(known))
+            for k in range(0, len(stems), 8192):
+                part = stems[k : k + 8192]
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([prefix + p for p in part])], add_special_tokens=False)[0].ids, "<u4")
+                raw, ends = ids.tobytes(), [*np.flatnonzero(ids == self.line_feed_id).tolist(), len(ids)]
+                at = 0
+                for piece, end in zip(part, ends, strict=True):
+                    known[piece] = raw[4 * at : 4 * end]
+                    at = end + 1
+            for piece, stem in cut:
+                if len(stem) < len(piece):
+                    mark = piece[len(stem) :]
+                    if mark not in self.marks:
+                        self.marks[mark] = self.encode([mark])[0]
+                    known[piece] = known[stem] + self.marks[mark]
+
+    def joined(self, lines: list[list[str]]) -> bytes:
+        first, later = self.first, self.later
+        return self.line_feed.join([first[x[0]] + b"".join([later[p] for p in x[1:]]) for x in lines])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
-            if self.ODD.search(text):
+            if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.OTHER_SPACE.search(text):
                 out += self.encode([text])
                 continue
             lines = [line.split(" ") for line in text.split("\n")]
-            self.learn(lines)
-            first, later = self.first, self.later
-            out.append(self.line_feed.join([first[x[0]] + b"".join([later[p] for p in x[1:]]) for x in lines]))
+            try:
+                out.append(self.joined(lines))
+            except KeyError:
+                self.learn(lines)
+                out.append(self.joined(lines))
         return out
 
 
