@@ -112,7 +112,7 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, m
     small_batches(spark)
     blocks: list[list[tuple[int, list[bytes]]]] = [[]]
     held = 0
-    for r in items.select("item_id", "text").toLocalIterator():
+    for r in items.select("item_id", "text").toLocalIterator(prefetchPartitions=True):
         words = folded((r.text or "").encode())
         if r.item_id is None or len(words) < min_words:
             continue
