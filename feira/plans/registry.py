@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = (
+    "feira.functions.text",
+)
 
 
 def queries() -> dict:
