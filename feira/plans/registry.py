@@ -7,6 +7,9 @@ from importlib import import_module
 #: Modules that hold QUERIES and ORACLE_SQL.
 MODULES: tuple[str, ...] = (
     "feira.functions.text",
+    "feira.functions.values",
+    "feira.operators.listing",
+    "feira.plans.public",
 )
 
 
