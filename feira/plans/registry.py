@@ -10,6 +10,8 @@ MODULES: tuple[str, ...] = (
     "feira.functions.values",
     "feira.operators.listing",
     "feira.plans.public",
+    "feira.operators.offers",
+    "feira.operators.state",
 )
 
 
