@@ -159,7 +159,8 @@ def dated(offers: DataFrame) -> DataFrame:
     )
 
 
-_NOW = F.lit(NOW).cast("timestamp")
+def _now() -> Column:
+    return F.lit(NOW).cast("timestamp")
 
 
 def _offers(s, d):
@@ -169,11 +170,11 @@ def _offers(s, d):
 
 def _ranked(s, d):
     offers, shown = _offers(s, d)
-    return rank_offers(offers, _NOW), shown
+    return rank_offers(offers, _now()), shown
 
 
 def _q_state(s, d):
-    return _offers(s, d)[0].select("id", offer_state(_NOW).alias("state"))
+    return _offers(s, d)[0].select("id", offer_state(_now()).alias("state"))
 
 
 def _q_rank(s, d):
@@ -181,7 +182,7 @@ def _q_rank(s, d):
 
 
 def _q_last_known(s, d):
-    own = rank_offers(_offers(s, d)[0], _NOW, state="stale").filter("availability <> 'unavailable'")
+    own = rank_offers(_offers(s, d)[0], _now(), state="stale").filter("availability <> 'unavailable'")
     return own.select("id", "product_id", "price_cents").orderBy("price_cents", "id")
 
 
@@ -201,7 +202,7 @@ def _q_payload_filters(s, d):
 
 def _q_filters(s, d):
     offers, shown = _offers(s, d)
-    return filter_products(shown, offers, _NOW, [0, 1, 2], 5, 500, 3000)
+    return filter_products(shown, offers, _now(), [0, 1, 2], 5, 500, 3000)
 
 
 def _near(s, d):
@@ -260,13 +261,13 @@ def _q_relevance(s, d):
 
 def _q_sorts(s, d):
     offers, shown = _offers(s, d)
-    best = shown.select("id", "name").join(rank_offers(offers, _NOW).groupBy(F.col("product_id").alias("id")).agg(F.min("price_cents").alias("price")), "id", "left")
+    best = shown.select("id", "name").join(rank_offers(offers, _now()).groupBy(F.col("product_id").alias("id")).agg(F.min("price_cents").alias("price")), "id", "left")
     up, down = Window.orderBy(F.col("price").asc_nulls_last(), "id"), Window.orderBy(F.col("price").desc_nulls_last(), "id")
     return best.select("id", F.row_number().over(up).alias("by_price"), F.row_number().over(down).alias("by_price_down"))
 
 
 def _q_out(s, d):
-    state = offer_state(_NOW)
+    state = offer_state(_now())
     return _offers(s, d)[0].select("id", F.when(F.col("price_cents").isNull(), "no price").when(state != "current", state).alias("reason"))
 
 
