@@ -12,6 +12,7 @@ MODULES: tuple[str, ...] = (
     "feira.plans.public",
     "feira.operators.offers",
     "feira.operators.state",
+    "feira.operators.warehouse",
 )
 
 
