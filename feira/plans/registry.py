@@ -13,6 +13,7 @@ MODULES: tuple[str, ...] = (
     "feira.operators.offers",
     "feira.operators.state",
     "feira.operators.warehouse",
+    "feira.operators.receipts",
 )
 
 
