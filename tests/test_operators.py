@@ -54,3 +54,13 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert "ord_daily_deals" in e.queries()
+
+
+def test_content_tag_ignores_order_and_volatile_columns(spark):
+    from feira.operators.lookup import content_tag
+
+    a = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "id long, v string, seen long")
+    b = spark.createDataFrame([(2, "y", 9), (1, "x", 9)], "id long, v string, seen long")
+    c = spark.createDataFrame([(2, "y", 9), (1, "z", 9)], "id long, v string, seen long")
+    tags = [content_tag(x, ("seen",)).first().etag for x in (a, b, c)]
+    assert tags[0] == tags[1] != tags[2]
