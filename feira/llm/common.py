@@ -79,7 +79,7 @@ class WordHasher:
     The hash of a word never depends on what was seen before, so every task and retry agrees.
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         self.seen: dict[bytes, int] = {}
         self.limit = limit
 
