@@ -65,7 +65,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5)
     regular = F.floor(cents / (1 - F.col("l_discount")) + 0.5)
     return li.select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("id"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 512 + F.col("l_suppkey") % 512).alias("id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("store_id"),
         (cents / 100.0).alias("price"),
@@ -173,7 +173,7 @@ CTES = {
     FROM (SELECT *, trim({_KINDS_SQL}[(p_partkey * 7919) % {len(KINDS)} + 1] || ' ' || p_name || ' ' || {_SIZES_SQL}[(p_partkey * 31) % {len(SIZES)} + 1]) AS nm FROM part)""",
     "stores": """SELECT s_suppkey AS id, 'Chain ' || (s_suppkey % 5) AS name,
     CASE WHEN s_suppkey % 2 = 0 THEN 'City ' || s_nationkey END AS city, 'https://chain' || (s_suppkey % 5) || '.com.br' AS website FROM supplier""",
-    "prices": """SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS id, l_partkey AS product_id, l_suppkey AS store_id,
+    "prices": """SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 512 + l_suppkey % 512 AS id, l_partkey AS product_id, l_suppkey AS store_id,
     floor(l_extendedprice / l_quantity + 0.5) / 100.0::DOUBLE AS price,
     CASE WHEN l_discount > 0.04 THEN floor(floor(l_extendedprice / l_quantity + 0.5) / (1 - l_discount) + 0.5) / 100.0::DOUBLE END AS regular_price,
     CASE WHEN l_returnflag = 'R' THEN 'PinClube' WHEN l_discount > 0.06 THEN '10% OFF' END AS offer,
