@@ -42,24 +42,21 @@ ALPHABETS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "а-я": "абвгдежзик
 
 _LOCAL = r"\p{L}\p{N}._%+-"
 _JUNK = "[!#*$%&]{0,3}"  # marks that some texts put after every word
-_TITLES = "|".join(rf"(?<![\p{{L}}]){t}" for t in (*MALE, *FEMALE))
+_TITLES = "|".join((*MALE, *FEMALE))
 _NAME = r"\p{Lu}(?:\p{Ll}+|\p{Lu}+)(?: \p{Lu}(?:\p{Ll}+|\p{Lu}+))?"
 
 #: Kind and pattern, in order of preference at one place.
 PATTERNS = (
     ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)*\.\p{{L}}{{2,}}"),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    ("secret", r"(?=[a-fA-F]*[0-9])(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
     ("phone", rf"(?<![0-9+])(?:\+[0-9]{{1,3}}{_JUNK}[ .-]?)?\([0-9]{{2,4}}\){_JUNK}[ .-]?[0-9]{{3,4}}[ .-][0-9]{{3,4}}(?![0-9])"),
     ("phone", r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])"),
     ("card", r"(?<![0-9.])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("ip", r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}(?!\.?[0-9])"),
-    ("name", rf"(?<=(?:{_TITLES})\.? ){_NAME}"),
+    ("name", rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}])(?:{_TITLES})\.? ){_NAME}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: What every text with an entity has.
-HINT = rf"[0-9@]|[0-9a-fA-F]{{32}}|(?:{_TITLES})\.? \p{{Lu}}"
-
 MAX_ATTEMPTS = 64
 
 
@@ -125,17 +122,32 @@ def _mention() -> Column:
     return F.expr(f"case when kind in ('phone', 'card', 'ssn') then {digits} when kind = 'name' then {name} else {cased} end")
 
 
+def _hint(text: Column) -> Column:
+    """What every text with an entity has: a digit, an at sign or a form of address. No pattern is tried elsewhere."""
+    out = text.rlike("[0-9@]")
+    for t in (*MALE, *FEMALE):
+        out = out | text.contains(t)
+    return out
+
+
+def _hit(line: Column) -> Column:
+    return _hint(line) & (F.regexp_count(line, F.lit(ANY)) > 0)
+
+
+def _lines() -> Column:
+    """Lines of ``text``; no entity goes over the end of one."""
+    return F.split("text", "\n", -1)
+
+
 def find_entities(docs: DataFrame) -> DataFrame:
-    """A row for each mention: doc_id, text_hash, place (from 0), kind, entity, canonical."""
-    hinted = docs.filter(F.col("text").rlike(HINT)).select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        F.split("text", ANY, -1).alias("between"),
-        F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("entities"),
-    )
-    each = hinted.select("doc_id", "text_hash", "between", F.posexplode("entities").alias("place", "entity"))
+    """A row for each mention: doc_id, text_hash, line_no, place in the line (from 0), kind, entity, canonical; and
+    ``between``, what stands before it."""
+    lines = docs.filter(_hint(F.col("text"))).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines()).alias("line_no", "line"))
+    lines = lines.filter(_hint(F.col("line"))).select("doc_id", "text_hash", "line_no", F.split("line", ANY, -1).alias("between"), F.regexp_extract_all("line", F.lit(ANY), F.lit(0)).alias("entities"))
+    each = lines.select("doc_id", "text_hash", "line_no", "between", F.posexplode("entities").alias("place", "entity"))
     each = each.withColumn("kind", _kind(F.col("entity")))
-    return each.select("doc_id", "text_hash", "place", "kind", "entity", _canonical(F.col("kind"), F.col("entity"), F.col("between")[F.col("place")]).alias("canonical"))
+    before = F.col("between")[F.col("place")]
+    return each.select("doc_id", "text_hash", "line_no", "place", "kind", "entity", _canonical(F.col("kind"), F.col("entity"), before).alias("canonical"))
 
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -168,15 +180,21 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     entities = written(mentions.select("kind", "canonical").distinct(), "pii-entities")
     surrogates = assign_surrogates(entities, key)
     swaps = mentions.distinct().join(surrogates, ["kind", "canonical"]).withColumn("swap", _mention())
-    by_text = swaps.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("place", "swap"))).alias("swaps"))
-    hit = F.col("text").rlike(HINT) & (F.regexp_count("text", F.lit(ANY)) > 0)
-    none = docs.filter(~F.coalesce(hit, F.lit(False))).withColumn("n_entities", F.lit(0))
-    some = docs.filter(hit).withColumn("text_hash", F.xxhash64("text")).alias("d").join(
+    by_text = swaps.groupBy("doc_id", "text_hash").agg(
+        F.count("*").cast("int").alias("n_entities"), F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "line_no", "place"), "swap"))).alias("swaps")
+    )
+    has = F.coalesce(_hint(F.col("text")) & F.exists(_lines(), _hit), F.lit(False))
+    none = docs.filter(~has).withColumn("n_entities", F.lit(0))
+    some = docs.filter(has).withColumn("text_hash", F.xxhash64("text")).alias("d").join(
         by_text.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_hash = s.text_hash")
     )
-    pieces = F.split("text", ANY, -1)
-    swapped = F.array_join(F.flatten(F.transform(pieces, lambda p, i: F.array(p, F.coalesce(F.get("swaps", i)["swap"], F.lit(""))))), "")
-    some = some.select(*[(swapped.alias(c) if c == "text" else F.col(f"d.{c}")) for c in docs.columns], F.size("swaps").alias("n_entities"))
+
+    def swapped(line: Column, number: Column) -> Column:
+        piece = lambda p, i: F.concat(p, F.coalesce(F.element_at("swaps", F.concat_ws(":", number, i)), F.lit("")))
+        return F.when(_hint(line), F.array_join(F.transform(F.split(line, ANY, -1), piece), "")).otherwise(line)
+
+    text = F.array_join(F.transform(_lines(), swapped), "\n")
+    some = some.select(*[(text.alias(c) if c == "text" else F.col(f"d.{c}")) for c in docs.columns], "s.n_entities")
     return none.unionByName(some)
 
 
