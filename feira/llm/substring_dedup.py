@@ -176,6 +176,24 @@ def repeated_anchors(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, D
     return rows.filter("anchor is null").select("doc_id", "text_hash", "n_words", "sha256"), written(repeated, "dedup-repeated")
 
 
+def _packed(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted anchors and which are hot. They reach the driver as one packed row for each partition."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"a": [b.column("anchor").to_numpy().tobytes()], "h": [b.column("hot").to_numpy(zero_copy_only=False).tobytes()]})
+
+    repeated.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    rows = repeated.mapInArrow(pack, "a binary, h binary").collect()
+    small_batches(repeated.sparkSession)
+    anchors = np.frombuffer(b"".join(r.a for r in rows), np.int64)
+    hot = np.frombuffer(b"".join(r.h for r in rows), bool)
+    order = np.argsort(anchors)
+    return anchors[order], hot[order]
+
+
 STRETCH = "stretch long, doc_id long, text_hash long, first int, route long, words binary"
 
 
@@ -184,8 +202,7 @@ def stretches(docs: DataFrame, repeated: DataFrame, window: int, k: int) -> Data
     task met, with the smallest doc_id there (words is set)."""
     from_all = None
     if repeated.count() <= MAX_BROADCAST:
-        few = repeated.toPandas().sort_values("anchor")
-        from_all = docs.sparkSession.sparkContext.broadcast((few["anchor"].to_numpy(np.int64), few["hot"].to_numpy(bool)))
+        from_all = docs.sparkSession.sparkContext.broadcast(_packed(repeated))
     else:
         mine = docs.select("doc_id", "text_hash", F.explode(_anchors_of(window, k)("text")).alias("anchor")).join(repeated, "anchor")
         mine = mine.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("anchor", "hot"))).alias("own"))
