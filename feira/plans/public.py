@@ -10,7 +10,9 @@ from feira.functions.values import canonical_key, cents, product_key
 from feira.operators.listing import CANON, LATEST, LISTED, ON_LIST, latest_prices, listed_runs
 from feira.sources.domain import prices, products, runs, stores, with_tables
 
-#: Offers a chain may have in the list.
+#: Offers a chain may have in the list: all of them.
+ALL = 0
+#: The cap in the oracles' SQL, which the queries don't have: they agree only while no chain has more offers.
 CAP = 400
 #: Hours for which a price stays current: of chains that read their whole catalogue weekly, and of the others.
 WEEKLY = ("Chain 0", "Chain 1")
@@ -114,7 +116,7 @@ def offer_variants(merged: DataFrame, product: DataFrame) -> DataFrame:
     )
 
 
-def build_public(product: DataFrame, store: DataFrame, price: DataFrame, run: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+def build_public(product: DataFrame, store: DataFrame, price: DataFrame, run: DataFrame, cap: int = ALL) -> tuple[DataFrame, DataFrame]:
     """(offers, products) of the published list."""
     latest = latest_prices(price, store, listed_runs(run)).filter("price > 0")
     usable = product.join(latest.select(F.col("product_id").alias("id")), "id", "left_semi")
@@ -132,7 +134,7 @@ def coverage(offers: DataFrame, shown: DataFrame) -> DataFrame:
     return both.crossJoin(shown.agg(F.count("*").alias("products"))).crossJoin(pairs)  # three tables of one row
 
 
-def public_tables(spark, d, cap: int = CAP):
+def public_tables(spark, d, cap: int = ALL):
     return build_public(products(spark, d), stores(spark, d), prices(spark, d), runs(spark, d), cap)
 
 

@@ -64,3 +64,13 @@ def test_content_tag_ignores_order_and_volatile_columns(spark):
     c = spark.createDataFrame([(2, "y", 9), (1, "z", 9)], "id long, v string, seen long")
     tags = [content_tag(x, ("seen",)).first().etag for x in (a, b, c)]
     assert tags[0] == tags[1] != tags[2]
+
+
+def test_published_list_keeps_every_offer(spark):
+    t, n = dt.datetime(2001, 1, 1), 450
+    product = spark.createDataFrame([(i, f"Produto a{i} b{i} 1kg", None, None, None) for i in range(n)], "id long, name string, brand string, gtin string, image_url string")
+    store = spark.createDataFrame([(1, "Chain 0", None, "https://chain0.com.br")], "id long, name string, city string, website string")
+    price = spark.createDataFrame([(i, i, 1, 2.0, None, None, "r1", t, None, None) for i in range(n)], "id long, product_id long, store_id long, price double, regular_price double, offer string, run_id string, scraped_at timestamp, stock int, url string")
+    run = spark.createDataFrame([(1, "Chain 0", True, n, "r1")], "id long, site_key string, success boolean, items_found int, run_id string")
+    sold, shown = public.build_public(product, store, price, run)
+    assert {r.product_id for r in sold.select("product_id").collect()} == {r.id for r in shown.select("id").collect()} == set(range(n))
