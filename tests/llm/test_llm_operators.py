@@ -308,3 +308,34 @@ def test_components_over_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+def test_near_duplicates_of_drifting_copies_equal_brute_force(spark):
+    from feira.llm.ngram_join import near_duplicates
+
+    def family(seed):
+        rng = random.Random(seed)
+        vocabulary = [f"{seed}w{i}" for i in range(60)]
+        out = [[rng.choice(vocabulary) for _ in range(24)]]
+        for _ in range(rng.randint(2, 5)):
+            w = list(rng.choice(out))
+            for _ in range(rng.randint(1, 2)):
+                op, k = rng.random(), rng.choice([0, 1, 2, len(w) - 1, len(w) - 2, rng.randrange(len(w))])
+                w[k : k + 1] = [rng.choice(vocabulary)] if op < 0.5 else [rng.choice(vocabulary), w[k]] if op < 0.75 else []
+            out.append(w)
+        return out
+
+    rows, want = [], {}
+    for f in (572, 1051, 2042, 4269, 4819, 5786, 6068, 6391, 7720, *range(150)):  # the first nine hold pairs that are minor on either side
+        texts = family(f)
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+        low = list(range(len(sets)))
+        for _ in sets:
+            for a in range(len(sets)):
+                for b in range(len(sets)):
+                    if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                        low[a] = low[b] = min(low[a], low[b])
+        rows += [(f * 10 + i, " ".join(w)) for i, w in enumerate(texts)]
+        want |= {f * 10 + i: f * 10 + x for i, x in enumerate(low)}
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
