@@ -1,8 +1,8 @@
 """Operator 4: licence scan by a positional index of rare words.
 
 First, the documents that hold each licence word are counted over all documents, which gives the words' IDF. Each
-template is indexed by its highest-IDF words with their positions. A file's highest-IDF licence words are then looked
-up; a template is a candidate where postings of several words agree on one relative position (within ``SLACK``), and it
+template is indexed by its highest-IDF words with their positions. All of these that a file holds are then looked up
+(bounded by the templates); a template is a candidate where postings of several words agree on one relative position (within ``SLACK``), and it
 counts when its mandatory key phrases stand there and enough of its IDF-weighted words do.
 
 Base: exact places of the phrases in BASE_PHRASES; their labels always stay.
@@ -48,11 +48,9 @@ TEMPLATES = (
 SLACK = 2
 #: Words of a template that are indexed, those of highest IDF.
 ANCHORS = 6
-#: Highest-IDF licence words of a file that are looked up.
-FILE_WORDS = 16
 #: IDF-weighted share of a template's words that must stand around the place.
 LEAST_COVER = 0.5
-#: A file's words looked up at once for a template must agree on a place this often, or as often as it has anchors.
+#: A file's words looked up for a template must agree on a place this often, or as often as it has anchors.
 VOTES = 2
 
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -120,9 +118,8 @@ class Scanner:
             places += starts
             base |= {label} if starts else set()
         labels, score = set(base), 1.0 if base else 0.0
-        rare = sorted(found & self.postings.keys(), key=lambda w: (-self.idf[w], w))[:FILE_WORDS]
         votes: dict[int, list[tuple[int, bytes]]] = {}
-        for w in rare:
+        for w in found & self.postings.keys():
             for t, q in self.postings[w]:
                 votes.setdefault(t, []).extend((j - q, w) for j in at[w])
         for t, cast in votes.items():

@@ -339,3 +339,13 @@ def test_near_duplicates_of_drifting_copies_equal_brute_force(spark):
         want |= {f * 10 + i: f * 10 + x for i, x in enumerate(low)}
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_a_file_of_all_notices_has_all_labels(spark):
+    from feira.llm.license_scan import TEMPLATES, scan
+
+    notices = [notice for _, notice, _ in TEMPLATES]
+    texts = [" filler ".join(notices), " filler ".join(n for label, n, _ in TEMPLATES if label in ("mit", "bsd", "all-rights-reserved")), *["all rights reserved"] * 20, *notices]
+    got = {r.doc_id: r.labels for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == ",".join(sorted({label for label, *_ in TEMPLATES}))
+    assert got[1] == "all-rights-reserved,bsd,mit"
