@@ -10,12 +10,15 @@ little-endian throughout. ``width`` is the least number of bits that holds every
 place k stands at bit k * width: any range unpacks with one vectorised read. Documents lie whole in a block, in
 ascending doc_id (null first), blocks in order in a file, files in order in the store.
 
+Texts are encoded as the tokenizer file says, its added tokens in a text included.
+
 Edge cases: null and empty texts hold only the end id; rows with the same doc_id lie side by side, ordered by a hash
 of the text; an empty table gives an empty store; other columns are not stored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -32,8 +35,10 @@ MAGIC = b"FTK1"
 BLOCK_IDS = 65_536
 STORE = "file_no int, block_no int, start_in_file long, n_docs int, n_ids long, payload binary"
 
-#: Remembered pieces of text in a Python worker; beyond, it begins anew.
-CACHE = 1_200_000
+#: Remembered pieces of text of a kind in a Python worker; beyond, it begins anew.
+CACHE = 900_000
+#: Bytes of text whose words are numbered together.
+TEXT_BYTES = 8 << 20
 #: Marks that are parted from the word before them (no apostrophes: those begin contractions).
 MARKS = ",.;:!?*#%&$"
 
@@ -88,70 +93,117 @@ def open_block(payload: bytes) -> tuple[list[int | None], np.ndarray, memoryview
 
 
 class Encoder:
-    """Ids of whole texts. Between a non-space and a single space or line feed the tokenizer's own pattern always parts
-    a text, so the pieces there are encoded once and remembered; texts with other white space are encoded whole."""
+    """Ids of whole texts, an Arrow column at a time.
+
+    The tokenizer's own pattern (byte level) always parts a text between a non-space and a single space or line feed, so
+    the pieces there are encoded once and remembered. Texts with other white space or with an added token's string, and
+    all texts of a tokenizer of another kind, are encoded whole.
+    """
 
-    OTHER_SPACE = re.compile(r"[^\S \n]")
+    #: White space other than single spaces and line feeds between words.
+    OTHER_SPACE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  |\n\n| \n|\n "
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.in_pieces = made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        added = [re.escape(t["content"]) for t in made.get("added_tokens", ()) if t["content"]]
+        self.whole_if = "|".join([self.OTHER_SPACE, *added])
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # pieces without and with a space before them
         self.marks: dict[str, bytes] = {}
-        self.line_feed = self.encode(["\n"])[0]
-        self.line_feed_id = int.from_bytes(self.line_feed, "little")
+        self.line_feed = self.encode(["\n"])[0] if self.in_pieces else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, lines: list[list[str]]) -> None:
-        """Encode the pieces of ``lines`` that aren't known: all in one text, parted by line feeds, which no piece holds."""
-        if len(self.first) + len(self.later) > CACHE:
-            self.first.clear()
-            self.later.clear()
-        for known, prefix, pieces in ((self.first, "", {x[0] for x in lines}), (self.later, " ", {p for x in lines for p in x[1:]})):
-            new = list(pieces.difference(known))
-            if "" in new:
-                new.remove("")
-                known[""] = self.encode([prefix])[0]
-            # a letter and the marks after it are always parted, so a known word needs no new merge for another mark
-            cut = [(p, stem) if (stem := p.rstrip(MARKS)) and stem[-1].isalpha() else (p, p) for p in new]
-            stems = list({stem for _, stem in cut}.difference(known))
-            for k in range(0, len(stems), 8192):
-                part = stems[k : k + 8192]
-                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([prefix + p for p in part])], add_special_tokens=False)[0].ids, "<u4")
-                raw, ends = ids.tobytes(), [*np.flatnonzero(ids == self.line_feed_id).tolist(), len(ids)]
-                at = 0
-                for piece, end in zip(part, ends, strict=True):
-                    known[piece] = raw[4 * at : 4 * end]
-                    at = end + 1
-            for piece, stem in cut:
-                if len(stem) < len(piece):
-                    mark = piece[len(stem) :]
-                    if mark not in self.marks:
-                        self.marks[mark] = self.encode([mark])[0]
-                    known[piece] = known[stem] + self.marks[mark]
-
-    def joined(self, lines: list[list[str]]) -> bytes:
-        first, later = self.first, self.later
-        return self.line_feed.join([first[x[0]] + b"".join([later[p] for p in x[1:]]) for x in lines])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.OTHER_SPACE.search(text):
-                out += self.encode([text])
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            try:
-                out.append(self.joined(lines))
-            except KeyError:
-                self.learn(lines)
-                out.append(self.joined(lines))
+    def learn(self, pieces: list[str], spaced: int) -> None:
+        """Encode ``pieces`` that aren't known: many in one text, parted by line feeds, which no piece holds."""
+        known, prefix = self.known[spaced], " " * spaced
+        feed = int.from_bytes(self.line_feed, "little")
+        for k in range(0, len(pieces), 8192):
+            part = pieces[k : k + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([prefix + p for p in part])], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), [*np.flatnonzero(ids == feed).tolist(), len(ids)]
+            at = 0
+            for piece, end in zip(part, ends, strict=True):
+                known[piece] = raw[4 * at : 4 * end]
+                at = end + 1
+
+    def piece_ids(self, pieces: list[str], spaced: int) -> list[bytes]:
+        """Ids of distinct pieces. A letter and the marks after it are always parted, so a known word needs no new merge
+        for another mark."""
+        known = self.known[spaced]
+        if len(known) > CACHE:
+            known.clear()
+        if "" not in known:
+            known[""] = self.encode([" " * spaced])[0]
+        stems = [stem if (stem := p.rstrip(MARKS)) and stem[-1].isalpha() else p for p in pieces]
+        new = set(stems).difference(known)
+        if new:
+            self.learn(list(new), spaced)
+        out = []
+        for piece, stem in zip(pieces, stems, strict=True):
+            if len(stem) == len(piece):
+                out.append(known[stem])
+            else:
+                mark = piece[len(stem) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self.encode([mark])[0]
+                out.append(known[stem] + self.marks[mark])
+        return out
+
+    def joined(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow column without nulls, one after another, and where each text ends."""
+        import pyarrow.compute as pc
+
+        lines = pc.split_pattern(column, "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        text_at, line_at = np.asarray(lines.offsets), np.asarray(words.offsets)
+        coded = words.flatten().dictionary_encode()
+        n = len(coded.dictionary)
+        kind = np.zeros(len(coded), np.int64)  # 0 after a space, 1 first of a text, 2 first of a later line
+        kind[line_at[:-1]] = 2
+        kind[line_at[text_at[:-1]]] = 1
+        code = coded.indices.to_numpy().astype(np.int64) + kind * n
+        used = np.flatnonzero(np.bincount(code, minlength=3 * n))
+        parts: list[bytes] = []
+        for k in range(3):
+            mine = used[(used >= k * n) & (used < (k + 1) * n)] - k * n
+            ids = self.piece_ids(coded.dictionary.take(mine).to_pylist(), int(k == 0))
+            parts += [self.line_feed + x for x in ids] if k == 2 else ids
+        place = np.zeros(3 * n, np.int64)
+        place[used] = np.arange(len(used))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(size) - size
+        code = place[code]
+        many = size[code]
+        ends = np.cumsum(many)
+        flat = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[code] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return flat, np.append(0, ends)[line_at[text_at[1:]]]
+
+    def __call__(self, column) -> list[bytes]:
+        """Little-endian u4 ids of each text of an Arrow string column; null is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = column.cast(pa.large_string()).fill_null("")
+        out: list[bytes] = [b""] * len(column)
+        odd = pc.match_substring_regex(column, self.whole_if).to_numpy(zero_copy_only=False) if self.in_pieces else np.ones(len(column), bool)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.encode([column[k].as_py()])[0]
+        rest = np.flatnonzero(~odd)
+        sizes = pc.binary_length(column).to_numpy()[rest]
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // TEXT_BYTES)) + 1 if len(rest) else []
+        for mine in np.split(rest, cut) if len(rest) else ():
+            flat, ends = self.joined(column.take(pa.array(mine)))
+            raw, begin = flat.tobytes(), 0
+            for k, end in zip(mine.tolist(), ends.tolist(), strict=True):
+                out[k] = raw[4 * begin : 4 * end]
+                begin = end
         return out
 
 
@@ -193,9 +245,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
             return row
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for name, own in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text")), strict=True):
                 names.append(name)
-                ids.append(encoder([text or ""])[0] + end)
+                ids.append(own + end)
                 held += len(ids[-1]) // 4
                 if held >= block_ids:
                     yield flush()
@@ -236,7 +288,6 @@ def read_store(spark: SparkSession, folder: str, digest: bool = False) -> DataFr
                 yield pa.RecordBatch.from_pydict(columns | dict([last]))
 
     kind = "ids_crc32 long" if digest else "ids array<int>"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     rows = blocks.select("file_no", "start_in_file", "payload").mapInArrow(read, f"doc_id long, file_no int, start long, n_tokens long, {kind}")
     rows = rows.join(_file_starts(blocks), "file_no").withColumn("start", F.col("start") + F.col("base"))
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids")

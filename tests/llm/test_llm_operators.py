@@ -215,7 +215,9 @@ def test_store_round_trip_and_random_access(spark, docs, rows, tmp_path):
     from feira.llm.token_store import read_store, token_digest, token_range, tokenizer_path, write_store
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
+    odd = ["x<|endoftext|>y z", "<|endoftext|>", " a b ", "\n", "a\n\nb", "tab\there", "it's,, we'll!\nÄrger% 12,5 naïve...", "non\u00a0breaking", "a \n b", "word " * 30_000]
+    rows = [*rows, *((1000 + i, x, "en", "src0", len(x)) for i, x in enumerate(odd))]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     want, all_ids, start = collections.Counter(), [], 0
     for d, text, *_ in sorted(rows, key=lambda r: r[0]):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
