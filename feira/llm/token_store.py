@@ -38,7 +38,7 @@ STORE = "file_no int, block_no int, start_in_file long, n_docs int, n_ids long,
 #: Remembered pieces of text of a kind in a Python worker; beyond, it begins anew.
 CACHE = 900_000
 #: Bytes of text whose words are numbered together.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 12 << 20
 #: Marks that are parted from the word before them (no apostrophes: those begin contractions).
 MARKS = ",.;:!?*#%&$"
 
@@ -92,6 +92,19 @@ def open_block(payload: bytes) -> tuple[list[int | None], np.ndarray, memoryview
     return [None if z else d for d, z in zip(ids, null, strict=True)], offsets, memoryview(payload)[at + 8 * n + 8 :], width
 
 
+def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all parts, and the size and start of each."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return np.frombuffer(b"".join(parts), "<u4"), size, np.cumsum(size) - size
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts ``which`` of a table one after another, and where each ends."""
+    many = size[which]
+    ends = np.cumsum(many)
+    return flat[np.repeat(start[which] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+
 class Encoder:
     """Ids of whole texts, an Arrow column at a time.
 
@@ -133,56 +146,79 @@ class Encoder:
                 known[piece] = raw[4 * at : 4 * end]
                 at = end + 1
 
-    def piece_ids(self, pieces: list[str], spaced: int) -> list[bytes]:
-        """Ids of distinct pieces. A letter and the marks after it are always parted, so a known word needs no new merge
-        for another mark."""
+    def ids_of(self, stems: list[str], spaced: int) -> list[bytes]:
         known = self.known[spaced]
         if len(known) > CACHE:
             known.clear()
         if "" not in known:
             known[""] = self.encode([" " * spaced])[0]
-        stems = [stem if (stem := p.rstrip(MARKS)) and stem[-1].isalpha() else p for p in pieces]
-        new = set(stems).difference(known)
-        if new:
-            self.learn(list(new), spaced)
-        out = []
-        for piece, stem in zip(pieces, stems, strict=True):
-            if len(stem) == len(piece):
-                out.append(known[stem])
-            else:
-                mark = piece[len(stem) :]
-                if mark not in self.marks:
-                    self.marks[mark] = self.encode([mark])[0]
-                out.append(known[stem] + self.marks[mark])
-        return out
+        try:
+            return [known[x] for x in stems]
+        except KeyError:
+            self.learn([x for x in stems if x not in known], spaced)
+            return [known[x] for x in stems]
 
     def joined(self, column) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of an Arrow column without nulls, one after another, and where each text ends."""
+        """Ids of all texts of an Arrow column without nulls, one after another, and where each text ends.
+
+        A letter and the marks after it are always parted, so a known word needs no new merge for another mark.
+        """
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         lines = pc.split_pattern(column, "\n")
         words = pc.split_pattern(lines.flatten(), " ")
         text_at, line_at = np.asarray(lines.offsets), np.asarray(words.offsets)
         coded = words.flatten().dictionary_encode()
-        n = len(coded.dictionary)
-        kind = np.zeros(len(coded), np.int64)  # 0 after a space, 1 first of a text, 2 first of a later line
-        kind[line_at[:-1]] = 2
-        kind[line_at[text_at[:-1]]] = 1
-        code = coded.indices.to_numpy().astype(np.int64) + kind * n
-        used = np.flatnonzero(np.bincount(code, minlength=3 * n))
-        parts: list[bytes] = []
-        for k in range(3):
-            mine = used[(used >= k * n) & (used < (k + 1) * n)] - k * n
-            ids = self.piece_ids(coded.dictionary.take(mine).to_pylist(), int(k == 0))
-            parts += [self.line_feed + x for x in ids] if k == 2 else ids
-        place = np.zeros(3 * n, np.int64)
-        place[used] = np.arange(len(used))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        start = np.cumsum(size) - size
-        code = place[code]
-        many = size[code]
-        ends = np.cumsum(many)
-        flat = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[code] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        pieces, code = coded.dictionary, coded.indices.to_numpy()
+        n = len(pieces)
+        firsts = line_at[:-1]
+        begins = np.zeros(len(firsts), bool)  # of a text; other lines begin after a line feed
+        begins[text_at[:-1]] = True
+
+        stripped = pc.utf8_rtrim(pieces, MARKS)
+        longer = np.flatnonzero((pc.binary_length(pieces).to_numpy() > pc.binary_length(stripped).to_numpy()))
+        lettered = pc.match_substring_regex(stripped.take(pa.array(longer)), r"\p{L}$").to_numpy(zero_copy_only=False)
+        longer = longer[lettered]
+        marked = np.zeros(n, bool)
+        marked[longer] = True
+        stems = pc.if_else(pa.array(marked), stripped, pieces).dictionary_encode()
+        tails = pc.replace_substring_regex(pieces.take(pa.array(longer)), rf"^.*[^{MARKS}]", "").dictionary_encode()
+        for mark in tails.dictionary.to_pylist():
+            if mark not in self.marks:
+                self.marks[mark] = self.encode([mark])[0]
+        stem, tail = stems.indices.to_numpy(), np.full(n, len(tails.dictionary))
+        tail[longer] = tails.indices.to_numpy()
+
+        leads = code[firsts]  # pieces at the start of a line are encoded without a space
+        lead_pieces, lead = np.unique(leads, return_inverse=True)
+        lead_stems, lead_stem = np.unique(stem[lead_pieces], return_inverse=True)
+        inner = np.ones(len(code), bool)
+        inner[firsts] = False
+        used = np.zeros(n, bool)
+        used[code[inner]] = True
+        spaced = np.flatnonzero(used)
+        spaced_stems, spaced_stem = np.unique(stem[spaced], return_inverse=True)
+        parts = self.ids_of(stems.dictionary.take(spaced_stems).to_pylist(), 1) + self.ids_of(stems.dictionary.take(lead_stems).to_pylist(), 0)
+        ends_with = [*(self.marks[m] for m in tails.dictionary.to_pylist()), b""]
+        flat, size, start = _table([*parts, *ends_with, self.line_feed])
+        at_marks, at_feed = len(parts), len(parts) + len(ends_with)
+        # each piece: a stem and its marks; leads twice, without and with a line feed before them
+        rows = np.full((len(spaced) + 2 * len(lead_pieces), 3), at_feed - 1)
+        a, b = len(spaced), len(spaced) + len(lead_pieces)
+        rows[:a, 1], rows[:a, 2] = spaced_stem, at_marks + tail[spaced]
+        for x, y in ((a, b), (b, len(rows))):
+            rows[x:y, 1], rows[x:y, 2] = len(spaced_stems) + lead_stem, at_marks + tail[lead_pieces]
+        rows[b:, 0] = at_feed
+        flat, ends = _gathered(flat, size, start, rows.ravel())
+        ends = ends[2::3]
+        size = np.diff(ends, prepend=0)
+
+        place = np.zeros(n, np.int64)
+        place[spaced] = np.arange(len(spaced))
+        which = place[code]
+        which[firsts] = np.where(begins, a, b) + lead
+        flat, ends = _gathered(flat, size, ends - size, which)
         return flat, np.append(0, ends)[line_at[text_at[1:]]]
 
     def __call__(self, column) -> list[bytes]:
@@ -207,6 +243,21 @@ class Encoder:
         return out
 
 
+def _larger(batches):
+    """Batches joined to about TEXT_BYTES, so that fewer of their words repeat from one to the next."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= TEXT_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -244,7 +295,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
             names.clear()
             return row
 
-        for batch in batches:
+        for batch in _larger(batches):
             for name, own in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text")), strict=True):
                 names.append(name)
                 ids.append(own + end)
