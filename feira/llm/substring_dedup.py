@@ -1,20 +1,25 @@
 """Operator 6: substring dedup with a compressed FM-index per shard.
 
 A word goes when it lies in a run of ``window`` words that also starts in a document of smaller doc_id. Shards are made
-by content: each run of words has an anchor, the smallest hash of its ``k``-grams, so equal runs meet in one shard and
-every run is looked up once. Anchors that only one document has can't belong to a repeated run; only the stretches of
-text around the others are carried on, each distinct stretch once with its smallest doc_id.
+by content: each run of words has an anchor, the smallest hash of its ``k``-grams, so equal runs meet in one shard.
 
-In a shard the stretches are one sequence of word numbers. Its suffixes are ordered to 16 words, and the last column
-goes into a wavelet matrix: packed bit planes with counts per 64 bits. All stretches are then streamed through it: the
-backward search extends every run word by word and drops it once it matches a single place; runs that reach the
-threshold have an interval of suffixes, and the smallest doc_id in the interval decides.
+1. ``homes``: texts are packed to chunks of a few MB, compressed. From here on a row is a chunk or a packet of one.
+2. ``repeated``: the anchors of each chunk, sorted, go to buckets of the hash range, which answer with a bit for each: is
+   it met in a second document? Anchors that only one document has can't belong to a repeated run.
+3. ``packets``: the pieces of text around repeated anchors, each distinct one of a chunk once, and their places.
+4. ``ranges``: a shard puts its distinct pieces into one FM-index (wavelet matrix over the last column, sampled
+   suffixes) and streams them through it. The backward search extends every run word by word for as long as it occurs
+   twice: the matching statistics, up to the threshold. Runs that reach it report their interval of suffixes, and the
+   smallest doc_id in the interval decides which places lose which words.
+5. ``cut``: each chunk drops its ranges.
 
-An anchor that very many documents share is split: its runs go to shards by their own hash, so no shard grows with it.
+Only packed rows are shuffled, by chunk, bucket or shard; nothing is collected or broadcast. An anchor that very many
+chunks share is split: its runs go to shards by their own hash, so no shard grows with it.
 
 Edge cases: null and empty texts and texts shorter than the window keep all words; equal doc_ids aren't smaller than one
 another; rows without doc_id keep all words and count for no other; repeated rows get equal results; an empty table
-gives no rows; clashing extra columns are not read. Words part at ASCII white space, unchanged otherwise.
+gives no rows; clashing extra columns are not read; a text of any length lies whole in one chunk. Words part at ASCII
+white space, unchanged otherwise. Hashes only route: words are compared themselves.
 """
 
 from __future__ import annotations
@@ -25,387 +30,479 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm.common import WordHasher, gram_hashes, small_batches, table, texts, written
+from feira.llm.common import _MIX, mix64, plain_words, small_batches, table, word_hashes, written
 
 WINDOW = 13
 K = 6
-#: Words' bytes that one FM-index holds.
-SHARD_BYTES = 12 << 20
-#: Documents from which an anchor's runs are dealt out by their own hash.
-HOT = 400
-#: Anchors or doc_ids (8 bytes each) that may be broadcast; with more they are joined.
-MAX_BROADCAST = 4_000_000
-#: Words whose anchors a task gathers before it folds them.
-CHUNK = 4_000_000
-
-_HASHERS: list[WordHasher] = []
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    _HASHERS[:] = _HASHERS or [WordHasher()]
-    return _HASHERS[0](words)
-
-
-def window_anchors(hashes: np.ndarray, window: int, k: int) -> np.ndarray:
-    """For every run of ``window`` words the smallest hash of its ``k``-grams."""
-    grams = gram_hashes(hashes, k)
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = grams[:n]
-    for shift in range(1, window - k + 1):
-        out = np.minimum(out, grams[shift : shift + n])
-    return out
+#: Bytes of words in a chunk; a longer text has a chunk of its own.
+CHUNK_BYTES = 6 << 20
+#: Anchors that one task compares.
+BUCKET_ANCHORS = 2_000_000
+#: Pieces (about 17 words each) that one FM-index is planned for.
+SHARD_PIECES = 120_000
+#: Chunks that share an anchor, from which its runs are dealt out by their own hash.
+HOT = 64
+#: Every so many words the FM-index knows the place of a suffix.
+SAMPLE = 8
 
+HOME = "chunk long, n_words long, ids binary, counts binary, body binary, doc_id long, n_own long, sha256 string"
+DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
-def sha256(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
 
+def packed(array: np.ndarray) -> bytes:
+    import pyarrow as pa
 
-class WaveletMatrix:
-    """Bit planes of a sequence, packed, with counts before every 64 bits."""
+    raw = np.ascontiguousarray(array)
+    return len(raw.tobytes()).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
 
-    def __init__(self, symbols: np.ndarray, bits: int):
-        self.planes, self.counts, self.zeros, self.bits = [], [], [], bits
-        for level in range(bits - 1, -1, -1):
-            bit = (symbols >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            plane = np.zeros(len(symbols) // 64 + 1, np.uint64)
-            plane.view(np.uint8)[: len(packed)] = packed
-            counts = np.zeros(len(plane) + 1, np.uint32)
-            np.cumsum(np.bitwise_count(plane), out=counts[1:])
-            self.planes.append(plane)
-            self.counts.append(counts)
-            self.zeros.append(len(symbols) - int(counts[-1]))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        word = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.counts[level][word].astype(np.int64) + np.bitwise_count(self.planes[level][word] & mask)
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
 
-    def narrow(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One backward step: occurrences of each symbol before ``low`` and ``high``, from its ``start`` on."""
-        first = np.zeros_like(low)
-        for level in range(self.bits):
-            bit = ((symbols >> (self.bits - 1 - level)) & 1).astype(bool)
-            zeros = self.zeros[level]
-            low, high, first = (np.where(bit, zeros + ones, at - ones) for at in (low, high, first) for ones in (self._ones(level, at),))
-        return start + low - first, start + high - first
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
-class FMIndex:
-    """FM-index of word numbers (1 and up; 0 parts stretches), for patterns of up to 16 words."""
+def sha256(raw: bytes | np.ndarray) -> str:
+    return hashlib.sha256(raw).hexdigest()
 
-    def __init__(self, sequence: np.ndarray):
-        n = len(sequence)
-        rank = sequence.astype(np.int64)
-        for step in (1, 2, 4, 8):
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - step] = rank[step:] + 1
-            _, rank = np.unique(rank * (int(rank.max()) + 2) + ahead, return_inverse=True)
-        self.suffixes = np.argsort(rank, kind="stable").astype(np.int64)
-        last = sequence[self.suffixes - 1]
-        bits = max(1, int(sequence.max(initial=0)).bit_length())
-        self.matrix = WaveletMatrix(last.astype(np.int64), bits)
-        counts = np.bincount(sequence, minlength=(1 << bits))
-        self.starts = np.cumsum(counts) - counts
-        self.counts = counts
-        self.sequence = sequence
-
-    def matches(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of ``length`` words starting ``at`` (places of the sequence itself) that occur twice or more: which of
-        ``at``, and their suffix intervals."""
-        last = self.sequence[at + length - 1]
-        low, high = self.starts[last], self.starts[last] + self.counts[last]
-        alive = np.flatnonzero(high - low > 1)
-        low, high = low[alive], high[alive]
-        for back in range(length - 2, -1, -1):
-            word = self.sequence[at[alive] + back]
-            low, high = self.matrix.narrow(word, low, high, self.starts[word])
-            many = high - low > 1  # its own place only: the run is not repeated
-            alive, low, high = alive[many], low[many], high[many]
-        return alive, low, high
-
-
-def repeated_anchors(docs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_words, sha256) of every document, and (anchor, hot) of anchors in two documents or more."""
+
+def homes(docs: DataFrame, window: int, chunk_bytes: int) -> DataFrame:
+    """HOME: a row for each chunk, and a row (doc_id, n_own, sha256) for each document that can't lose a word."""
 
     def run(batches):
         import pyarrow as pa
-
-        anchors: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        held = 0
-
-        def folded():
-            a, d = np.concatenate(anchors), np.concatenate(owners)
-            order = np.lexsort((d, a))
-            a, d = a[order], d[order]
-            starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            ends = np.append(starts[1:], len(a))
-            columns = (a[starts].view(np.int64), d[starts], d[ends - 1], (ends - starts).astype(np.int32))
-            none = pa.nulls(len(starts))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), *map(pa.array, columns)], names=names)
-
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId() << 32, 0
+        names = [c.split()[0] for c in HOME.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        held: list[tuple[int, int, np.ndarray]] = []
+
+        def chunk():
+            nonlocal number, held
+            ids, counts, bodies = zip(*held, strict=True)
+            row = (part + number, sum(counts), packed(np.array(ids, "<i8")), packed(np.array(counts, "<u4")), packed(np.concatenate(bodies)), None, None, None)
+            number, held = number + 1, []
+            return batch([row])
+
+        size = 0
         for b in batches:
-            n, sums = [], []
-            for name, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                words = t.split()
-                n.append(len(words))
-                sums.append(sha256(words))
-                if name is not None and len(words) >= window:
-                    own = np.unique(window_anchors(_hashes(words), window, k))
-                    anchors.append(own)
-                    owners.append(np.full(len(own), name, np.int64))
-                    held += len(words)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(sums, pa.string()), none, none, none, none.cast(pa.int32())], names=names)
-            if held > CHUNK:
-                yield folded()
-                anchors, owners, held = [], [], 0
-        if anchors:
-            yield folded()
-
-    names = ["doc_id", "text_hash", "n_words", "sha256", "anchor", "low", "high", "n"]
-    kinds = "doc_id long, text_hash long, n_words long, sha256 string, anchor long, low long, high long, n int"
-    rows = written(docs.mapInArrow(run, kinds), "dedup-anchors")
-    # a task has one row for an anchor, so no anchor weighs on the exchange
-    by = rows.filter("anchor is not null").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    repeated = by.filter("low < high").select("anchor", (F.col("n") >= HOT).alias("hot"))
-    return rows.filter("anchor is null").select("doc_id", "text_hash", "n_words", "sha256"), written(repeated, "dedup-repeated")
-
-
-def _packed(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted anchors and which are hot. They reach the driver as one packed row for each partition."""
-
-    def pack(batches):
+            body, after, before = plain_words(b.column("text"))
+            at = np.append(0, after + 1)[before]
+            out = []
+            for i, d in enumerate(b.column("doc_id").to_pylist()):
+                n, own = int(before[i + 1] - before[i]), body[at[i] : at[i + 1]]
+                if d is None or n < window:
+                    out.append((None, None, None, None, None, d, n, sha256(own[:-1])))
+                    continue
+                if held and size + len(own) > chunk_bytes:
+                    yield chunk()
+                    size = 0
+                held.append((d, n, own))
+                size += len(own)
+            if out:
+                yield batch(out)
+            held = [(d, n, own.copy()) for d, n, own in held]  # not the whole batch they lie in
+        if held:
+            yield chunk()
+
+    return written(docs.mapInArrow(run, HOME), "dedup-homes")
+
+
+class Chunk:
+    """The documents of a chunk, and its runs of windows with one anchor."""
+
+    def __init__(self, ids: bytes, counts: bytes, body: bytes):
+        self.ids, self.counts = unpacked(ids, "<i8"), unpacked(counts, "<u4").astype(np.int64)
+        self.body = unpacked(body, np.uint8)
+        self.after = np.flatnonzero(self.body == 32)
+
+    def bytes_of(self, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of ``words`` words begin and end in the body (the last word's space excluded)."""
+        return np.append(0, self.after + 1)[first], self.after[first + words - 1]
+
+    def runs(self, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, windows, anchor and document (place in ``ids``) of each run."""
+        h = word_hashes(self.body, self.after)
+        m = len(h) - k + 1
+        grams = np.zeros(m, np.uint64)
+        for j in range(k):
+            grams += h[j : j + m] * np.uint64((_MIX * (2 * j + 1) | 1) % (1 << 64))
+        grams = mix64(grams)
+        n = len(h) - window + 1
+        least = grams[:n].copy()
+        for j in range(1, window - k + 1):
+            np.minimum(least, grams[j : j + n], out=least)
+        doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        at = np.flatnonzero(doc[:n] == doc[window - 1 :])
+        least = least[at]
+        new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(at) > 1)]))
+        return at[new], np.diff(np.append(new, len(at))), least[new], doc[at[new]]
+
+    def anchors(self, window: int, k: int):
+        """The runs; their distinct anchors in order; each run's anchor among them; and which of them two doc_ids share."""
+        first, windows, anchor, doc = self.runs(window, k)
+        own, which = np.unique(anchor, return_inverse=True)
+        least, most = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+        np.minimum.at(least, which, self.ids[doc])
+        np.maximum.at(most, which, self.ids[doc])
+        return (first, windows, anchor, doc), own, which, least < most
+
+
+def _slot(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` equal parts of the hash range."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def repeated(home: DataFrame, buckets: int, window: int, k: int) -> DataFrame:
+    """(chunk, bucket, n_repeated, flags): of each chunk's anchors in a bucket, in order, which two documents share, and
+    which HOT chunks or more do (two rows of packed bits)."""
+
+    def send(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"a": [b.column("anchor").to_numpy().tobytes()], "h": [b.column("hot").to_numpy(zero_copy_only=False).tobytes()]})
-
-    repeated.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    rows = repeated.mapInArrow(pack, "a binary, h binary").collect()
-    small_batches(repeated.sparkSession)
-    anchors = np.frombuffer(b"".join(r.a for r in rows), np.int64)
-    hot = np.frombuffer(b"".join(r.h for r in rows), bool)
-    order = np.argsort(anchors)
-    return anchors[order], hot[order]
-
-
-STRETCH = "stretch long, doc_id long, text_hash long, first int, route long, words binary"
-
+            for c, *parts in zip(*(b.column(x).to_pylist() for x in ("chunk", "ids", "counts", "body")), strict=True):
+                _, own, _, shared = Chunk(*parts).anchors(window, k)
+                cuts = np.searchsorted(_slot(own, buckets), np.arange(buckets + 1))
+                filled = np.flatnonzero(np.diff(cuts)).tolist()
+                six = own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]  # the upper 48 bits: a chance match only adds a candidate
+                payload = [np.packbits(shared[cuts[x] : cuts[x + 1]]).tobytes() + six[cuts[x] : cuts[x + 1]].tobytes() for x in filled]
+                sizes = np.diff(cuts)[filled]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(filled, pa.int32()), "chunk": pa.array([c] * len(filled), pa.int64()), "n": pa.array(sizes, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    def compare(batches):
+        import pyarrow as pa
 
-def stretches(docs: DataFrame, repeated: DataFrame, window: int, k: int) -> DataFrame:
-    """Stretches of repeated anchors (STRETCH): a row for each place (first is set), and a row for each content that a
-    task met, with the smallest doc_id there (words is set)."""
-    from_all = None
-    if repeated.count() <= MAX_BROADCAST:
-        from_all = docs.sparkSession.sparkContext.broadcast(_packed(repeated))
-    else:
-        mine = docs.select("doc_id", "text_hash", F.explode(_anchors_of(window, k)("text")).alias("anchor")).join(repeated, "anchor")
-        mine = mine.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("anchor", "hot"))).alias("own"))
-        docs = docs.join(mine, ["doc_id", "text_hash"])
+        chunks, bucket, sizes, flags, keys = [], [], [], [], []
+        for b in batches:
+            chunks += b.column("chunk").to_pylist()
+            bucket += b.column("bucket").to_pylist()
+            for n, raw in zip(b.column("n").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                skip = -(-n // 8)
+                eight = np.zeros((n, 8), np.uint8)
+                eight[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, skip).reshape(n, 6)
+                sizes.append(n)
+                keys.append(eight.view("<u8").ravel())
+                flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, skip), count=n).astype(bool))
+        if not sizes:
+            return
+        keys, flags = np.concatenate(keys), np.concatenate(flags)
+        order = np.argsort(keys)
+        starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        many = np.diff(np.append(starts, len(keys)))
+        shared = np.zeros(len(keys), bool)
+        shared[order] = np.repeat((many > 1) | np.logical_or.reduceat(flags[order], starts), many)
+        hot = np.zeros(len(keys), bool)
+        hot[order] = np.repeat(many >= HOT, many)
+        ends = np.cumsum(sizes).tolist()
+        rows = [(c, x, int(shared[e - n : e].sum()), np.packbits(np.stack([shared[e - n : e], hot[e - n : e]]), axis=1).tobytes()) for c, x, n, e in zip(chunks, bucket, sizes, ends, strict=True)]
+        rows = [r for r in rows if r[2]]
+        if rows:
+            c, x, n, f = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(c, pa.int64()), "bucket": pa.array(x, pa.int32()), "n_repeated": pa.array(n, pa.int32()), "flags": pa.array(f, pa.binary())})
+
+    sent = home.select("chunk", "ids", "counts", "body").mapInArrow(send, "bucket int, chunk long, n int, payload binary")
+    return written(sent.repartitionById(buckets, "bucket").mapInArrow(compare, "chunk long, bucket int, n_repeated int, flags binary"), "dedup-repeated")
+
+
+def packets(home: DataFrame, found: DataFrame, buckets: int, shards: int, window: int, k: int) -> DataFrame:
+    """(shard, chunk, sizes, owners, words, piece, first, docs): the distinct pieces of a chunk for a shard (words each,
+    smallest doc_id, bytes), and the places of pieces (which one, first word, doc_id)."""
+    answers = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
 
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        known, hot = from_all.value if from_all else (None, None)
-        contents: dict[bytes, tuple[int, int, int]] = {}
-        held = 0
+        names = ("shard", "chunk", "sizes", "owners", "words", "piece", "first", "docs")
+        kinds = (pa.int32(), pa.int64(), *(pa.binary(),) * 6)
+        for b in batches:
+            for c, answers, *parts in zip(*(b.column(x).to_pylist() for x in ("chunk", "answers", "ids", "counts", "body")), strict=True):
+                chunk = Chunk(*parts)
+                (first, windows, anchor, doc), own, which, _ = chunk.anchors(window, k)
+                cuts = np.searchsorted(_slot(own, buckets), np.arange(buckets + 1))
+                flags = np.zeros((2, len(own)), bool)
+                for a in answers:
+                    low, high = cuts[a["bucket"]], cuts[a["bucket"] + 1]
+                    flags[:, low:high] = np.unpackbits(np.frombuffer(a["flags"], np.uint8).reshape(2, -1), axis=1, count=high - low).astype(bool)
+                mine = np.flatnonzero(flags[0, which])
+                hot = flags[1, which[mine]]
+                times = np.where(hot, windows[mine], 1)  # runs of hot anchors go one by one
+                step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                words = np.repeat(np.where(hot, window, windows[mine] + window - 1), times)
+                at, docs = np.repeat(first[mine], times) + step, chunk.ids[np.repeat(doc[mine], times)]
+                low, high = chunk.bytes_of(at, words)
+                raw = chunk.body.tobytes()
+                pieces = [raw[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                known: dict[bytes, int] = {}
+                piece = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int64, len(pieces))
+                owner = np.full(len(known), np.iinfo(np.int64).max)
+                np.minimum.at(owner, piece, docs)
+                one = np.zeros(len(known), np.int64)
+                one[piece] = np.arange(len(piece))
+                distinct, hot, route = list(known), np.repeat(hot, times)[one], np.repeat(anchor[mine], times)[one]
+                alone = np.flatnonzero(hot)
+                route[alone] = np.fromiter((xxh3_64_intdigest(distinct[i]) for i in alone.tolist()), np.uint64, len(alone))
+                shard = _slot(route, shards)
+                order = np.argsort(shard, kind="stable")
+                place_shard = shard[piece]
+                by_place = np.argsort(place_shard, kind="stable")
+                local = np.zeros(len(known), np.int64)
+                piece_cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                place_cuts = np.searchsorted(place_shard[by_place], np.arange(shards + 1))
+                local[order] = np.arange(len(order)) - piece_cuts[shard[order]]
+                rows = []
+                for s in np.flatnonzero(np.diff(piece_cuts)).tolist():
+                    ps, ls = order[piece_cuts[s] : piece_cuts[s + 1]], by_place[place_cuts[s] : place_cuts[s + 1]]
+                    body = np.frombuffer(b" ".join([distinct[i] for i in ps.tolist()]) + b" ", np.uint8)
+                    rows.append((s, c, packed(words[one[ps]].astype("<u4")), packed(owner[ps]), packed(body), packed(local[piece[ls]].astype("<u4")), packed(at[ls].astype("<u4")), packed(docs[ls])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+    near = home.select("chunk", "ids", "counts", "body").join(answers, "chunk").select("chunk", "answers", "ids", "counts", "body")
+    return near.mapInArrow(run, "shard int, chunk long, sizes binary, owners binary, words binary, piece binary, first binary, docs binary")
 
-        def content():
-            rows = [(s, d, r, w) for w, (s, d, r) in contents.items()]
-            s, d, r, w = zip(*rows, strict=True)
-            return batch(s, d, [None] * len(s), [None] * len(s), r, w)
 
-        def batch(s, d, h, f, r, w):
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((s, d, h, f, r, w), kinds, strict=True)], names=["stretch", "doc_id", "text_hash", "first", "route", "words"])
+class WaveletMatrix:
+    """Bit planes of a sequence, packed, with counts before every 64 bits."""
 
-        for b in batches:
-            own = b.column("own").to_pylist() if from_all is None else None
-            places = []
-            for i, (name, h, t) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), texts(b), strict=True)):
-                words = t.split()
-                if name is None or len(words) < window:
-                    continue
-                anchors = window_anchors(_hashes(words), window, k).view(np.int64)
-                if own is not None:
-                    known, hot = np.array([x["anchor"] for x in own[i]], np.int64), np.array([x["hot"] for x in own[i]], bool)
-                if not len(known):
-                    continue
-                at = np.minimum(np.searchsorted(known, anchors), len(known) - 1)
-                found = known[at] == anchors
-                if not found.any():
-                    continue
-                alone = found & hot[at]  # runs of hot anchors go one by one
-                new = np.append(True, (anchors[1:] != anchors[:-1]) | alone[1:] | alone[:-1])
-                starts = np.flatnonzero(new)
-                ends = np.append(starts[1:], len(anchors))
-                for a, e in zip(starts[found[starts]].tolist(), ends[found[starts]].tolist(), strict=True):
-                    piece = b" ".join(words[a : e - 1 + window])
-                    got = contents.get(piece)
-                    if got is None:
-                        s = signed(xxh3_64_intdigest(piece))
-                        held += len(piece)
-                        contents[piece] = (s, name, s if alone[a] else int(anchors[a]))
-                    else:
-                        s = got[0]
-                        if name < got[1]:
-                            contents[piece] = (s, name, got[2])
-                    places.append((s, name, h, a))
-            if places:
-                s, d, h, f = zip(*places, strict=True)
-                yield batch(s, d, h, f, [None] * len(s), [None] * len(s))
-            if held > 2 * SHARD_BYTES:
-                yield content()
-                contents, held = {}, 0
-        if contents:
-            yield content()
-
-    return written(docs.mapInArrow(run, STRETCH), "dedup-stretches")
-
-
-def _anchors_of(window: int, k: int):
-    @F.arrow_udf("array<long>")
-    def anchors(text):
-        import pyarrow as pa
+    def __init__(self, symbols: np.ndarray, bits: int):
+        self.planes, self.counts, self.zeros, self.bits = [], [], [], bits
+        for level in range(bits - 1, -1, -1):
+            bit = (symbols >> level) & 1
+            plane, counts = bit_counts(bit.astype(bool))
+            self.planes.append(plane)
+            self.counts.append(counts)
+            self.zeros.append(len(symbols) - int(counts[-1]))
+            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+        self.begins = self._walk(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
+
+    def _walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for level in range(self.bits):
+            ones = ones_before(self.planes[level], self.counts[level], at)
+            bit = ((symbols >> (self.bits - 1 - level)) & 1).astype(bool)
+            at = np.where(bit, self.zeros[level] + ones, at - ones)
+        return at
 
-        out = []
-        for t in text.cast(pa.binary()).to_pylist():
-            words = (t or b"").split()
-            out.append(np.unique(window_anchors(_hashes(words), window, k)).view(np.int64).tolist() if len(words) >= window else [])
-        return pa.array(out, pa.list_(pa.int64()))
+    def before(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of each symbol before its place."""
+        return self._walk(symbols, at) - self.begins[symbols]
 
-    return anchors
+    def symbols(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at places, and how often each occurs before."""
+        out = np.zeros(len(at), np.int64)
+        for level in range(self.bits):
+            plane, counts = self.planes[level], self.counts[level]
+            bit = (plane[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            ones = ones_before(plane, counts, at)
+            out = out << 1 | bit.astype(np.int64)
+            at = np.where(bit.astype(bool), self.zeros[level] + ones, at - ones)
+        return out, at - self.begins[out]
+
+
+def bit_counts(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.packbits(bit, bitorder="little")
+    plane = np.zeros(len(bit) // 64 + 1, np.uint64)
+    plane.view(np.uint8)[: len(raw)] = raw
+    counts = np.zeros(len(plane) + 1, np.uint32)
+    np.cumsum(np.bitwise_count(plane), out=counts[1:])
+    return plane, counts
+
+
+def ones_before(plane: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    word = at >> 6
+    mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+    return counts[word].astype(np.int64) + np.bitwise_count(plane[word] & mask)
+
+
+def suffix_order(sequence: np.ndarray) -> np.ndarray:
+    """Where the suffixes begin, in order, by doubling: each round sorts only those that tie so far."""
+    n = len(sequence)
+    counts = np.bincount(sequence)
+    rank = (np.cumsum(counts) - counts)[sequence].astype(np.int64)  # suffixes before those that tie with this one
+    open_, step = np.flatnonzero(counts[sequence] > 1), 1
+    while len(open_):
+        ahead = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
+        key = rank[open_] * (n + 1) + ahead
+        by = np.argsort(key)
+        open_, key = open_[by], key[by]
+        new = np.append(True, key[1:] != key[:-1])
+        group = np.append(True, rank[open_[1:]] != rank[open_[:-1]])
+        at = np.arange(len(open_))
+        inside = at - np.maximum.accumulate(np.where(group, at, 0))  # place in the old group
+        rank[open_] = rank[open_] + np.maximum.accumulate(np.where(new, at, 0)) - at + inside
+        open_ = open_[~(new & np.append(new[1:], True))]
+        step *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
-def smallest_owners(contents: DataFrame, window: int) -> DataFrame:
-    """(stretch, owners): for every run of a stretch the smallest doc_id that has it, as packed little-endian i8.
+class FMIndex:
+    """Compressed index of word numbers (1 and up; 0 parts pieces and ends the sequence), for patterns of up to 16 words:
+    a wavelet matrix of the last column, and the places of every SAMPLE-th word's suffix."""
 
-    One FM-index for each partition, which holds all stretches of its anchors.
-    """
-    total = contents.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
+    def __init__(self, sequence: np.ndarray):
+        order = suffix_order(sequence)
+        last = sequence[order - 1]
+        bits = max(1, int(sequence.max(initial=0)).bit_length())
+        self.matrix = WaveletMatrix(last.astype(np.int64), bits)
+        self.counts = np.bincount(sequence, minlength=1 << bits)
+        self.starts = np.cumsum(self.counts) - self.counts
+        sampled = (order % SAMPLE == 0) | (last == 0)  # a walk never passes the start of a piece
+        self.marks, self.mark_counts = bit_counts(sampled)
+        self.samples = order[sampled].astype(np.int32)
+
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of ``ends`` in a stream of word numbers, the longest run ending there (of up to ``most`` words)
+        that the index holds twice or more, and its interval of suffixes."""
+        word = stream[ends]
+        low, high = self.starts[word], self.starts[word] + self.counts[word]
+        length = (high - low > 1).astype(np.int64)
+        alive = np.flatnonzero(length)
+        for back in range(1, most):
+            word = stream[ends[alive] - back]
+            a = self.starts[word] + self.matrix.before(word, low[alive])
+            b = self.starts[word] + self.matrix.before(word, high[alive])
+            many = (b - a > 1) & (word > 0)
+            alive = alive[many]
+            low[alive], high[alive] = a[many], b[many]
+            length[alive] += 1
+        return length, low, high
+
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """Where the suffixes of ``rows`` begin: back word by word to a sampled one."""
+        out, steps, left, at = np.zeros(len(rows), np.int64), 0, np.arange(len(rows)), rows
+        while len(left):
+            marked = ((self.marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            out[left[marked]] = self.samples[ones_before(self.marks, self.mark_counts, at[marked])] + steps
+            left, at = left[~marked], at[~marked]
+            word, before = self.matrix.symbols(at)
+            at, steps = self.starts[word] + before, steps + 1
+        return out
+
+
+def smallest_owners(pieces: list[bytes], owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest doc_id of every run of the pieces, one piece after another, and each piece's runs."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = pa.array([b" ".join(pieces)], pa.large_binary())
+    numbers = pc.split_pattern(text.cast(pa.large_string()), " ").flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    sizes = np.fromiter((p.count(b" ") + 1 for p in pieces), np.int64, len(pieces))
+    firsts = np.cumsum(sizes + 1) - sizes - 1
+    sequence = np.zeros(len(numbers) + len(pieces), np.int64)
+    inside = np.ones(len(sequence), bool)
+    inside[firsts + sizes] = False
+    sequence[inside] = numbers
+    runs = sizes - window + 1
+    at = np.repeat(firsts - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
+    least = np.repeat(owners, runs)
+    index = FMIndex(sequence)
+    length, low, high = index.matching_statistics(sequence, at + window - 1, window)
+    hit = np.flatnonzero(length == window)
+    if len(hit):
+        bounds, one, which = np.unique(low[hit], return_index=True, return_inverse=True)  # equal runs have one interval, others are disjoint
+        size = (high - low)[hit][one]
+        rows = np.repeat(bounds - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        held = owners[np.searchsorted(firsts, index.places(rows), "right") - 1]
+        least[hit] = np.minimum.reduceat(held, np.cumsum(size) - size)[which]
+    return least, runs
+
+
+def ranges(sent: DataFrame, shards: int, window: int) -> DataFrame:
+    """(chunk, low, high): word ranges of a chunk that go, from one FM-index for each shard."""
 
     def search(batches):
         import pyarrow as pa
 
-        owner: dict[bytes, int] = {}
-        name: dict[bytes, int] = {}
+        known: dict[bytes, int] = {}
+        least: list[np.ndarray] = []
+        held = []
         for b in batches:
-            for s, d, w in zip(b.column("stretch").to_pylist(), b.column("doc_id").to_pylist(), b.column("words").to_pylist(), strict=True):
-                owner[w] = min(d, owner.get(w, d))
-                name[w] = s
-        if not owner:
+            for c, sizes, owners, words, *places in zip(*(b.column(x).to_pylist() for x in ("chunk", "sizes", "owners", "words", "piece", "first", "docs")), strict=True):
+                body = unpacked(words, np.uint8)
+                after = np.flatnonzero(body == 32)[np.cumsum(unpacked(sizes, "<u4"), dtype=np.int64) - 1].tolist()
+                raw, at, mine = body.tobytes(), 0, []
+                for end in after:
+                    mine.append(known.setdefault(raw[at:end], len(known)))
+                    at = end + 1
+                held.append((c, np.array(mine), places))
+                least.append(unpacked(owners, "<i8"))
+        if not known:
             return
-        pieces = [w.split(b" ") for w in owner]
-        numbers: dict[bytes, int] = {}
-        for piece in pieces:
-            for w in piece:
-                numbers.setdefault(w, len(numbers) + 1)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        firsts = np.cumsum(sizes + 1) - sizes - 1
-        sequence = np.zeros(int((sizes + 1).sum()), np.int64)
-        inside = np.arange(len(sequence)) - np.repeat(firsts, sizes + 1) < np.repeat(sizes, sizes + 1)
-        sequence[inside] = np.fromiter((numbers[w] for p in pieces for w in p), np.int64, int(sizes.sum()))
-        runs = sizes - window + 1
-        at = np.repeat(firsts - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
-        docs = np.fromiter(owner.values(), np.int64, len(owner))
-        least = np.repeat(docs, runs)
-        index = FMIndex(sequence)
-        alive, low, high = index.matches(at, window)
-        if len(alive):
-            held = np.append(np.repeat(docs, sizes + 1)[index.suffixes], 0)
-            bounds, which = np.unique(low, return_inverse=True)  # equal runs have one interval, others are disjoint
-            tops = np.zeros(len(bounds), np.int64)
-            tops[which] = high
-            least[alive] = np.minimum.reduceat(held, np.column_stack([bounds, tops]).ravel())[::2][which]
-        raw, ends = least.astype("<i8").tobytes(), np.cumsum(runs).tolist()
-        starts = [0, *ends[:-1]]
-        labels = [name[w] for w in owner]
-        for k in range(0, len(labels), 2000):
-            yield pa.RecordBatch.from_pydict(
-                {"stretch": pa.array(labels[k : k + 2000], pa.int64()), "owners": pa.array([raw[8 * a : 8 * e] for a, e in zip(starts[k : k + 2000], ends[k : k + 2000], strict=True)], pa.binary())}
-            )
-
-    dealt = contents.select("stretch", "doc_id", "route", "words").repartition(max(1, -(-total // SHARD_BYTES)), "route")
-    return dealt.mapInArrow(search, "stretch long, owners binary")
-
-
-def repeated_ranges(docs: DataFrame, repeated: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc_id, text_hash, ranges): word ranges (first, end) of a document that go."""
-    found = stretches(docs, repeated, window, k)
-    owners = smallest_owners(found.filter("words is not null"), window)
-    places = found.filter("first is not null").select("stretch", "doc_id", "text_hash", "first")
-
-    @F.arrow_udf("array<struct<a:int,e:int>>")
-    def ranges(doc_id, first, owners):
-        import pyarrow as pa
-
-        out = []
-        for d, f, raw in zip(doc_id.to_pylist(), first.to_pylist(), owners.to_pylist(), strict=True):
-            mine = np.frombuffer(raw, "<i8") < d
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-            out.append([{"a": f + a, "e": f + e - 1 + window} for a, e in edge.reshape(-1, 2).tolist()])
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("e", pa.int32())])))
+        owner = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(owner, np.concatenate([m for _, m, _ in held]), np.concatenate(least))
+        run_owner, runs = smallest_owners(list(known), owner, window)
+        run_at = np.cumsum(runs) - runs
+        for c, mine, (piece, first, docs) in held:
+            piece, first, docs = mine[unpacked(piece, "<u4")], unpacked(first, "<u4").astype(np.int64), unpacked(docs, "<i8")
+            n = runs[piece]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            gone = run_owner[np.repeat(run_at[piece], n) + step] < np.repeat(docs, n)
+            at = np.unique((np.repeat(first, n) + step)[gone])
+            if len(at):
+                new = np.flatnonzero(np.append(True, np.diff(at) > 1))
+                low, high = at[new], at[np.append(new[1:] - 1, len(at) - 1)] + window
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "low": pa.array([packed(low.astype("<u4"))], pa.binary()), "high": pa.array([packed(high.astype("<u4"))], pa.binary())})
+
+    return sent.repartitionById(shards, "shard").mapInArrow(search, "chunk long, low binary, high binary")
+
+
+def cut(home: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
+    """DIGEST of every document of ``home``; with_text: also kept_text."""
+    gone = found.groupBy("chunk").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
 
-    hit = places.join(owners, "stretch").select("doc_id", "text_hash", F.explode(ranges("doc_id", "first", "owners")).alias("r"))
-    return written(hit.groupBy("doc_id", "text_hash").agg(F.collect_set("r").alias("ranges")), "dedup-ranges")
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words, n_removed, kept_sha256) of every document, and (doc_id, kept_text, n_removed, kept_sha256, ranges)
-    of those that lose words."""
-    if not k < window <= 16:
-        raise ValueError("the window must be longer than k and at most 16 words")
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    whole, repeated = repeated_anchors(docs, window, k)
-    gone = repeated_ranges(docs, repeated, window, k)
-
-    near = docs
-    if gone.count() <= MAX_BROADCAST:  # texts that lose nothing need not move
-        ids = spark.sparkContext.broadcast(np.sort(gone.select("doc_id").toPandas()["doc_id"].to_numpy(np.int64)))
-
-        @F.arrow_udf("boolean")
-        def among(doc_id):
-            import pyarrow as pa
-
-            return pa.array(np.isin(doc_id.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), ids.value))
-
-        near = docs.filter(among("doc_id"))
-
-    def cut(batches):
+    def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            kept_texts, removed, sums = [], [], []
-            for t, rs in zip(texts(b), b.column("ranges").to_pylist(), strict=True):
-                words = t.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                for r in rs:
-                    edge[r["a"]] += 1
-                    edge[r["e"]] -= 1
-                kept = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
-                kept_texts.append(b" ".join(kept).decode())
-                removed.append(len(words) - len(kept))
-                sums.append(sha256(kept))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "kept_text": kept_texts, "n_removed": pa.array(removed, pa.int64()), "kept_sha256": sums, "ranges": b.column("ranges")})
-
-    cuts = near.join(gone, ["doc_id", "text_hash"]).mapInArrow(cut, "doc_id long, text_hash long, kept_text string, n_removed long, kept_sha256 string, ranges array<struct<a:int,e:int>>")
-    digest = written(cuts.select("doc_id", "text_hash", "n_removed", "kept_sha256").dropDuplicates(["doc_id", "text_hash"]), "dedup-cut")
-    out = whole.join(digest, ["doc_id", "text_hash"], "left")
-    out = out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
-    return out, cuts.drop("text_hash")
+            for gone, *parts in zip(*(b.column(x).to_pylist() for x in ("gone", "ids", "counts", "body")), strict=True):
+                chunk = Chunk(*parts)
+                n = len(chunk.after)
+                edge = np.zeros(n + 1, np.int64)
+                for g in gone or ():
+                    edge += np.bincount(unpacked(g["low"], "<u4"), minlength=n + 1) - np.bincount(unpacked(g["high"], "<u4"), minlength=n + 1)
+                keep = np.cumsum(edge[:-1]) == 0
+                size = np.diff(np.append(-1, chunk.after))
+                body = chunk.body[np.repeat(keep, size)] if not keep.all() else chunk.body
+                ends = np.cumsum(chunk.counts)
+                kept = np.add.reduceat(keep.astype(np.int64), ends - chunk.counts)
+                high = np.append(0, np.cumsum(size * keep))[ends].tolist()
+                low = [0, *high[:-1]]
+                raw = memoryview(body.tobytes())
+                texts = [raw[x : max(x, y - 1)] for x, y in zip(low, high, strict=True)]
+                columns = {"doc_id": pa.array(chunk.ids), "n_words": pa.array(chunk.counts), "n_removed": pa.array(chunk.counts - kept), "kept_sha256": pa.array([sha256(t) for t in texts], pa.string())}
+                if with_text:
+                    columns["kept_text"] = pa.array([str(t, "utf-8") for t in texts], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    near = home.select("chunk", "ids", "counts", "body").join(gone, "chunk", "left").select("gone", "ids", "counts", "body")
+    return near.mapInArrow(run, DIGEST + (", kept_text string" if with_text else ""))
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document; with_text: also kept_text, the kept words joined by one
+    space (null where no word could go: the text stays as it is)."""
+    if not k < window <= 16:
+        raise ValueError("the window must be longer than k and at most 16 words")
+    small_batches(docs.sparkSession)
+    home = homes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, chunk_bytes)
+    short = home.filter("chunk is null").select("doc_id", F.col("n_own").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"))
+    home = home.filter("chunk is not null").drop("doc_id", "n_own", "sha256")
+    words = home.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    buckets = max(1, -(-words // (4 * BUCKET_ANCHORS)))  # a new anchor every four to five words
+    found = repeated(home, buckets, window, k)
+    pieces = found.agg(F.coalesce(F.sum("n_repeated"), F.lit(0))).first()[0]
+    shards = max(1, -(-pieces // SHARD_PIECES))
+    out = cut(home, ranges(packets(home, found, buckets, shards, window, k), shards, window), with_text)
+    return out.unionByName(short, allowMissingColumns=True)
 
 
 def op6_substring_dedup(spark, sf_dir):
-    return dedup(table(spark, sf_dir, "documents"))[0]
+    return dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}

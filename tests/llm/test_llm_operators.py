@@ -173,23 +173,60 @@ def test_substring_dedup_equals_brute_force(docs, rows):
     for d in sorted(words):
         for i in range(len(words[d]) - 12):
             first.setdefault(tuple(words[d][i : i + 13]), d)
-    for r in dedup(docs)[0].collect():
+    got = dedup(docs, chunk_bytes=900).collect()
+    assert len(got) == len(rows)
+    for r in got:
         w = words[r.doc_id]
         gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < r.doc_id for j in range(i, i + 13)}
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+        assert r.kept_text == (kept.decode() if len(w) >= 13 else None)
+
+
+def test_hot_anchors_and_many_shards_change_nothing(docs, rows, monkeypatch):
+    from feira.llm import substring_dedup
+
+    want = sorted(map(tuple, substring_dedup.dedup(docs, with_text=False).collect()))
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    monkeypatch.setattr(substring_dedup, "SHARD_PIECES", 20)
+    monkeypatch.setattr(substring_dedup, "BUCKET_ANCHORS", 50)
+    assert sorted(map(tuple, substring_dedup.dedup(docs, with_text=False, chunk_bytes=600).collect())) == want
+
+
+def test_plain_words_and_hashes(rows):
+    import pyarrow as pa
+
+    from feira.llm.common import plain_words, word_hashes
+
+    texts = [r[1] for r in rows] + ["a" * 200 + " " + "a" * 201, "abcdefgh abcdefghi abcdefg abcdefghi", "\x0b\x0c\r\n", "é ü\u00a0x"]
+    body, after, before = plain_words(pa.array(texts))
+    words = [w for t in texts for w in (t or "").encode().split()]
+    assert body.tobytes() == b"".join(w + b" " for w in words) and before[-1] == len(words) == len(after)
+    assert np.diff(before).tolist() == [len((t or "").encode().split()) for t in texts]
+    of = {}
+    for w, h in zip(words, word_hashes(body, after).tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
 
 
 def test_fm_index_counts():
-    from feira.llm.substring_dedup import FMIndex
+    from feira.llm.substring_dedup import FMIndex, suffix_order
 
     rng = np.random.default_rng(3)
     s = np.append(rng.integers(1, 4, 400), 0)
+    s[[100, 101, 250]] = 0
+    assert suffix_order(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
     index = FMIndex(s)
-    at = np.arange(0, 397)  # every run of four before the separator
-    alive, low, high = index.matches(at, 4)
-    seen = collections.Counter(tuple(s[i : i + 4]) for i in at)
-    assert dict(zip(alive.tolist(), (high - low).tolist(), strict=True)) == {i: seen[tuple(s[i : i + 4])] for i in at if seen[tuple(s[i : i + 4])] > 1}
+    ends = np.flatnonzero(s)
+    ends = ends[ends >= 5]
+    length, low, high = index.matching_statistics(s, ends, 6)
+    runs = lambda n: collections.Counter(tuple(s[i : i + n].tolist()) for i in range(len(s) - n + 1))
+    counts = {n: runs(n) for n in range(1, 7)}
+    for e, n, a, b in zip(ends.tolist(), length.tolist(), low.tolist(), high.tolist(), strict=True):
+        most = max(m for m in range(1, 7) if m == 1 or (0 not in s[e - m + 1 : e + 1] and counts[m][tuple(s[e - m + 1 : e + 1].tolist())] > 1))
+        run = tuple(s[e - n + 1 : e + 1].tolist())
+        assert n == most and b - a == counts[n][run]
+        assert sorted(index.places(np.arange(a, b)).tolist()) == [i for i in range(len(s)) if tuple(s[i : i + n].tolist()) == run]
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -293,7 +330,7 @@ def test_empty_tables_and_nulls(spark, none, nulls, labels):
         "join": ngram_join.near_duplicates,
         "licence": license_scan.scan,
         "pii": lambda d: pii.replace_entities(d, "k"),
-        "substring": lambda d: substring_dedup.dedup(d)[0],
+        "substring": substring_dedup.dedup,
         "toxicity": lambda d: toxicity.toxicity(d, no_labels),
         "tokens": token_store.token_digest,
         "mixing": lambda d: mixing.mix(d, total_tokens=1000),
