@@ -35,11 +35,11 @@ from feira.llm.common import _MIX, mix64, plain_words, small_batches, table, wor
 WINDOW = 13
 K = 6
 #: Bytes of words in a chunk; a longer text has a chunk of its own.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Anchors that one task compares.
 BUCKET_ANCHORS = 2_000_000
 #: Pieces (about 17 words each) that one FM-index is planned for.
-SHARD_PIECES = 120_000
+SHARD_PIECES = 30_000
 #: Chunks that share an anchor, from which its runs are dealt out by their own hash.
 HOT = 64
 #: Every so many words the FM-index knows the place of a suffix.
