@@ -17,7 +17,7 @@ BATCH_ROWS = 1000
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
-#: The folder of sessions without spark.checkpoint.dir (tests).
+#: The folder of local sessions without spark.checkpoint.dir (tests).
 _OWN: list[str] = []
 
 
@@ -26,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. A temporary one only in a local session,
+    whose executors are the driver; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         folder = _OWN[0]
@@ -44,8 +47,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size so that batches of whole texts stay small in Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lower the session's Arrow batch size so that batches of whole texts stay small in Python workers; a size already
+    at most that stays. It must hold when a lazily returned result runs, so it isn't set back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def aside(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that an operator needs for itself, changed where ``df`` has them (compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:

@@ -8,9 +8,10 @@ distance over the words around a hit then gives the least edit distance and wher
 Items go out in blocks of at most ``block_words`` words, the bound of what is broadcast at once; more items take more
 blocks, each over all documents.
 
-Edge cases: null and empty texts match nothing; items with fewer than ``min_words`` words, empty or null ones are not
-searched for (they'd hit common phrases); equal items are searched once each under their own ids; repeated documents
-give repeated rows; empty tables give no rows; clashing extra columns are not read.
+Edge cases: null and empty texts match nothing; items too short for an edit (up to six words at the default rate) are
+found where they stand exactly; items without a word, or without an id, can't be found; equal items are searched once each under their
+own ids; of several equally good places the first counts; repeated documents give repeated rows; empty tables give no
+rows; clashing extra columns are not read; texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from feira.llm.common import small_batches, table, texts
 from feira.llm.toxicity import FOLD
 
 ERROR_RATE = 0.15
+#: Words from which an item that a document holds makes it contaminated.
 MIN_WORDS = 6
 BLOCK_WORDS = 1_000_000
 FOUND = "doc_id long, item_id long, edits int, n_item_words int, first_word long, last_word long"
@@ -106,20 +108,11 @@ class Index:
         return out
 
 
-def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document and test item it holds: doc_id, item_id, edits, n_item_words, first_word, last_word."""
     spark = docs.sparkSession
     small_batches(spark)
-    blocks: list[list[tuple[int, list[bytes]]]] = [[]]
-    held = 0
-    for r in items.select("item_id", "text").toLocalIterator(prefetchPartitions=True):
-        words = folded((r.text or "").encode())
-        if r.item_id is None or len(words) < min_words:
-            continue
-        if held and held + len(words) > block_words:
-            blocks, held = [*blocks, []], 0
-        blocks[-1].append((r.item_id, words))
-        held += len(words)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def search(part: list[tuple[int, list[bytes]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(part)
@@ -135,14 +128,27 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, m
                 names = [c.split()[0] for c in FOUND.split(", ")]
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, FOUND)
+        return docs.mapInArrow(find, FOUND)
 
-    return reduce(DataFrame.unionAll, [search(b) for b in blocks])
+    found: list[DataFrame] = []
+    block: list[tuple[int, list[bytes]]] = []
+    held = 0
+    for r in items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator(prefetchPartitions=True):
+        words = folded((r.text or "").encode())
+        if not words:
+            continue
+        if held and held + len(words) > block_words:  # the driver holds one block of items at a time
+            found.append(search(block))
+            block, held = [], 0
+        block.append((r.item_id, words))
+        held += len(words)
+    return reduce(DataFrame.unionAll, [*found, search(block)])
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a test item. Rows without a doc_id can't be told apart and stay."""
-    hit = matches(docs, items, **options).filter("doc_id is not null").select("doc_id").distinct()
+def clean(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, **options) -> DataFrame:
+    """``docs`` without those that hold a test item of ``min_words`` words or more: shorter ones are found, but any text may
+    hold them by chance. Rows without a doc_id can't be told apart and stay."""
+    hit = matches(docs, items, **options).filter("doc_id is not null").filter(F.col("n_item_words") >= min_words).select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 

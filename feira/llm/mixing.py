@@ -6,8 +6,10 @@ first; only what all of them can't take reaches the parent's siblings. Each leaf
 whole epochs first, then the start of one more, each epoch in its own seeded order.
 
 Edge cases: null language, source or text count as empty strings; a document without words has 0 tokens and comes
-along when the prefix reaches it; rows with the same doc_id share one place in the order and are taken together; an
-empty table gives an empty result; columns named like the added ones are replaced.
+along when the prefix reaches it (never in a leaf without any word); rows with the same doc_id share one place in the order and are taken together; an
+empty table gives an empty result; columns named like the added ones are replaced, all others stay; a branch of weight 0
+gets nothing, and its parent counts as that much smaller; equal order keys (only rows of one doc_id) go together; texts
+of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feira.llm.common import count_words, fresh, small_batches, table, written
+from feira.llm.common import aside, count_words, fresh, small_batches, table, written
 
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
 
@@ -43,6 +45,8 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], total:
     At a node with budget B, children get least(capacity, x * weight) with one x such that the parts sum to B: in order
     of capacity / weight, x is the largest of (B - capacities before) / weights from here on.
     """
+    for level in LEVELS:  # what a branch of weight 0 holds is no capacity of the nodes above it
+        leaves = leaves.filter(_weight(weights.get(level.removeprefix("mix_"), {}), level) > 0)
     nodes = leaves.withColumn("cap", F.col("size").cast("double") * max_epochs).withColumn("part", total.cast("double"))
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
@@ -75,7 +79,9 @@ def mix(
     spark = docs.sparkSession
     small_batches(spark)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    docs = fresh(docs, *LEVELS, "mix_epoch").withColumns(
+    docs = fresh(docs, *LEVELS, "mix_epoch")
+    whole, cut, more = aside(docs, "whole", "cut", "more")
+    docs = docs.withColumns(
         {"mix_domain": F.coalesce(F.lit("all") if domain is None else domain, F.lit("")), "mix_lang": empty("lang"), "mix_source": empty("source")}
     )
     sizes = written(docs.select("doc_id", *LEVELS, count_words("text").alias("tokens")), "mix-sizes")
@@ -98,11 +104,11 @@ def mix(
         sums = sums.withColumn("before", before).filter("before < rest")
         last = sums.groupBy(*leaf, "whole").agg(F.max_by(F.struct("piece", (F.col("rest") - F.col("before")).alias("left")), "piece").alias("last"))
         open_ = written(last.select(*leaf, "whole", F.col("last.left").alias("rest"), F.col("last.piece").alias("prefix")), "mix-cut")
-    cuts = leaves.join(open_.select(*leaf, F.col("prefix").alias("cut")), leaf, "left").select(*leaf, "whole", "cut")
-    chosen = docs.join(cuts, leaf).withColumn("more", F.col("cut").isNotNull() & (_key(seed, F.col("whole")) <= F.col("cut")))
-    times = F.col("whole") + F.col("more").cast("int")
+    cuts = leaves.join(open_.select(*leaf, F.col("prefix").alias(cut)), leaf, "left").select(*leaf, F.col("whole").alias(whole), cut)
+    chosen = docs.join(cuts, leaf).withColumn(more, F.col(cut).isNotNull() & (_key(seed, F.col(whole)) <= F.col(cut)))
+    times = F.col(whole) + F.col(more).cast("int")
     chosen = chosen.filter(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    return chosen.drop("whole", "cut", "more", "mix_lang", "mix_source")
+    return chosen.drop(whole, cut, more, "mix_lang", "mix_source")
 
 
 #: The mix of the query: weights by domain, language and source.

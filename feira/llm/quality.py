@@ -190,7 +190,8 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
     """Trees for quality 1, from a bounded sample of labelled rows; None without both classes."""
     one = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = stats.join(one, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", *RATIOS).collect()
+    known = stats.join(F.broadcast(one), "doc_id")  # at most max_labelled rows go out; of several texts the least counts
+    rows = known.groupBy("doc_id", "quality").agg(F.min(F.struct(*RATIOS)).alias("r")).select("doc_id", "quality", "r.*").collect()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([float(r.quality == 1) for r in rows])
     if not len(y) or y.min() == y.max():

@@ -10,16 +10,19 @@ shard; a row's slot is the rows of its shard's earlier ranges plus its place in
 
 Edge cases: null text has 0 bytes, null doc_id orders first; rows equal in text and doc_id share a key, stay in one
 shard and get different slots; with fewer keys than shards some shards stay empty; an empty table gives no rows;
-columns named like the added ones are replaced.
+columns named like the added ones are replaced, all others stay; a text of any length counts with all its bytes. Copies
+of a text are parted where a splitter falls among them: near equal sizes come before keeping groups together.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feira.llm.common import fresh, table, utf8_size, written
+from feira.llm.common import aside, fresh, table, utf8_size, written
 
 #: Bytes of a range that one task orders, when a shard is larger than ``LEAST_PARTS`` of them.
 PART_BYTES = 256 << 20
@@ -99,7 +102,7 @@ def splitters(sizes: DataFrame, n: int, tolerance: float) -> np.ndarray:
     known = np.array([[least, least], [most, most]], np.int64)
     below, rows = np.array([0, whole.size]), np.array([0, whole.rows])
     closed = np.zeros(n - 1, bool)
-    for turn in range(200):  # ends far earlier: each turn cuts the open intervals about PROBES-fold
+    for turn in count():  # each turn cuts the open intervals about PROBES-fold, until none is left
         right = np.searchsorted(below, goals, "left")  # the first known key with at least the goal below it
         left = np.maximum(right - 1, 0)
         gap = np.minimum(below[right] - goals, goals - below[left])
@@ -110,11 +113,13 @@ def splitters(sizes: DataFrame, n: int, tolerance: float) -> np.ndarray:
         if not len(open_):
             break
         inside = int((rows[open_ + 1] - rows[open_]).sum())
-        found = _sample(sizes, known[open_], known[open_ + 1], PROBES * len(open_) / inside, turn)
-        if not len(found):  # hardly a key is left inside: take them all
-            found = _sample(sizes, known[open_], known[open_ + 1], 1.0, turn)
-            if not len(found):
-                break  # the intervals hold repeated rows of one key
+        share = PROBES * len(open_) / inside
+        found = _sample(sizes, known[open_], known[open_ + 1], share, turn)
+        while not len(found) and share < 1:  # few keys, often repeated: a larger share, by steps that stay a few keys each
+            share *= 8
+            found = _sample(sizes, known[open_], known[open_ + 1], share, turn)
+        if not len(found):
+            break  # the intervals hold repeated rows of one key
         fresh_keys = _ordered(found)
         if len(fresh_keys):
             new_below, new_rows = _count_below(sizes, fresh_keys)
@@ -133,6 +138,7 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.02, part_bytes
     tolerance: of a range's share of bytes, for each splitter.
     """
     docs = fresh(docs, "size", "shard", "slot", "law", "range_no", "key_h", "key_id")
+    own, earlier_rows = aside(docs, "place", "earlier")
     keyed = docs.withColumns(
         {"size": utf8_size() + 16, "key_h": F.xxhash64("text"), "key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))}
     )
@@ -152,11 +158,11 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.02, part_bytes
     rows = rows.select("range_no", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier"))
     placed = keyed.withColumn("range_no", range_of("key_h", "key_id")).repartition("range_no")
     place = Window.partitionBy("range_no").orderBy("key_h", "key_id")
-    placed = placed.withColumn("place", F.row_number().over(place)).join(rows, "range_no")
+    placed = placed.withColumn(own, F.row_number().over(place)).join(rows.withColumnRenamed("earlier", earlier_rows), "range_no")
     placed = placed.withColumns(
-        {"shard": F.floor(F.col("range_no") / parts).cast("int"), "slot": (F.col("earlier") + F.col("place") - 1).cast("long"), "law": F.lit("bytes")}
+        {"shard": F.floor(F.col("range_no") / parts).cast("int"), "slot": (F.col(earlier_rows) + F.col(own) - 1).cast("long"), "law": F.lit("bytes")}
     )
-    return placed.drop("key_h", "key_id", "range_no", "place", "earlier")
+    return placed.drop("key_h", "key_id", "range_no", own, earlier_rows)
 
 
 def op2_sharding(spark, sf_dir):

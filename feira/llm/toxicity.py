@@ -9,10 +9,12 @@ and on those of the ``max_words`` words that part the sample's classes beyond ch
 whole texts; only word presence by document reaches the driver. Scoring reads every whole text.
 
 Categories that the labels lack are derived for the sample: ``direct`` (toxic, with a word that is strongly tied to
-toxic documents), ``repeated`` (toxic, with two of them).
+toxic documents), ``repeated`` (toxic, with two of them). For a document in a fold, these words and the words that its
+out-of-fold prediction may use are those of the other folds.
 
 Edge cases: null and empty texts have no words and get the base probability; without labels, or with one class only,
-every probability is 0; repeated rows are scored alike; label columns that clash with document columns don't meet
+every probability is 0; repeated rows are scored alike; of different texts with one labelled doc_id the one of smallest
+hash is learned from; texts of any length are read whole; label columns that clash with document columns don't meet
 them; columns named like the added ones are replaced.
 """
 
@@ -67,7 +69,12 @@ def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_words: int,
     at = np.concatenate(rows).astype(np.int64) if n else np.empty(0, np.int64)
     of = np.repeat(np.arange(n), [len(r) for r in rows])
     w, v = np.zeros(n_words + e + 1), np.zeros(n_words + e + 1)
-    rate = 4.0 / (1 + 0.25 * (np.bincount(of, minlength=n).max(initial=0) + e + 1)) * 4
+    u = np.ones(len(w))
+    for _ in range(12):  # the curvature's bound, by power iteration
+        u /= max(np.linalg.norm(u), 1e-12)
+        z = np.bincount(of, u[at], n) + extra @ u[n_words : n_words + e] + u[-1]
+        u = np.concatenate([np.bincount(at, z[of], n_words), extra.T @ z, [z.sum()]]) / max(n, 1)
+    rate = 1.0 / (0.25 * 1.1 * max(np.linalg.norm(u), 1e-6) + penalty)
     for step in range(steps):
         look = w + (step / (step + 3)) * v
         z = np.bincount(of, look[at], n) + extra @ look[n_words : n_words + e] + look[-1]
@@ -78,8 +85,16 @@ def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_words: int,
     return w[:n_words], w[n_words : n_words + e], float(w[-1])
 
 
-def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, biases, links and the last category's out-of-fold predictions of a chain over ``labels`` (documents x categories); ``folds`` numbers each document."""
+def _gains(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of word and class, as in ``fit``, from numpy arrays of counts."""
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    has = (a + b) / np.maximum(n1 + n0, 1)
+    return 2 * (part(a, has * n1) + part(b, has * n0) + part(n1 - a, (1 - has) * n1) + part(n0 - b, (1 - has) * n0))
+
+
+def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, n_words: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, biases, links and the last category's out-of-fold predictions of a chain over ``labels`` (documents x categories); ``folds`` numbers each document. ``known`` (words x folds): the
+    words that predictions for a fold may use, chosen without its documents."""
     n, m = labels.shape
     weights, bias, links = np.zeros((n_words, m)), np.zeros(m), np.zeros((m, m))
     earlier = np.zeros((n, 0))
@@ -93,8 +108,9 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, n
         ahead = np.zeros(n)
         for f in np.unique(folds):
             out, rest = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
-            w, e, b = _fit([rows[i] for i in rest], earlier[rest], y[rest], n_words)
-            ahead[out] = [_sigmoid(w[rows[i]].sum() + earlier[i] @ e + b) for i in out]
+            mine = (lambda x: x) if known is None else (lambda x, ok=known[:, f]: x[ok[x]])
+            w, e, b = _fit([mine(rows[i]) for i in rest], earlier[rest], y[rest], n_words)
+            ahead[out] = [_sigmoid(w[mine(rows[i])].sum() + earlier[i] @ e + b) for i in out]
         earlier = np.column_stack([earlier, ahead])
     return weights, bias, links, earlier[:, -1]
 
@@ -113,7 +129,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> Chain:
     """A chain for CATEGORIES from ``labels`` (doc_id, toxic) of ``docs``."""
-    one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     small_batches(docs.sparkSession)
 
@@ -124,41 +140,53 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             sets = [list(set(t.translate(FOLD).split())) for t in texts(b)]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "words": pa.array(sets, pa.list_(pa.binary()))})
 
-    known = docs.select("doc_id", "text").join(one, "doc_id").dropDuplicates(["doc_id"])
+    # at most max_labelled rows of two numbers go out, so the texts stay where they are; of texts with one doc_id the
+    # one of smallest hash counts
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(one), "doc_id")
+    known = known.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "t.text")
     sample = written(known.mapInArrow(distinct_words, "doc_id long, toxic int, words array<binary>"), "tox-sample")
     size = sample.groupBy("toxic").count().collect()
     n = {r.toxic: r["count"] for r in size}
     if not (n.get(0) and n.get(1)):
         return Chain({}, np.zeros((0, len(CATEGORIES))), np.full(len(CATEGORIES), -30.0), np.zeros((len(CATEGORIES),) * 2))
-    word = sample.select("toxic", F.explode("words").alias("word")).groupBy("word")
-    counts = word.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter("a + b >= 3")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    word = sample.select("toxic", fold.alias("fold"), F.explode("words").alias("word")).groupBy("word")
+    by_fold = lambda f, c: F.sum(F.when(F.col("fold") == f, c).otherwise(0))
+    folded = F.array(*[F.struct(by_fold(f, F.col("toxic")).alias("a"), by_fold(f, 1 - F.col("toxic")).alias("b")) for f in range(FOLDS)])
+    counts = word.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"), folded.alias("folds")).filter("a + b >= 3")
     # the log-likelihood ratio of word and class; by chance alone it passes 2 ln(words) for about one word
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     whole, a, b = n[0] + n[1], F.col("a"), F.col("b")
     has = (a + b) / whole
     gain = 2 * (part(a, has * n[1]) + part(b, has * n[0]) + part(n[1] - a, (1 - has) * n[1]) + part(n[0] - b, (1 - has) * n[0]))
-    rate_a, rate_b = (a + 0.5) / (n[1] + 1.0), (b + 0.5) / (n[0] + 1.0)
-    strong = rate_a / (rate_a + rate_b) >= STRONG
-    counts = written(counts.withColumns({"gain": gain, "strong": strong}), "tox-words")
+    counts = written(counts.withColumn("gain", gain), "tox-words")
     floor = 2 * math.log(max(counts.count(), 2))
     best = counts.filter(F.col("gain") >= floor).orderBy(F.desc("gain"), "word").limit(max_words).collect()
     words = {bytes(r.word): k for k, r in enumerate(best)}
-    loud = np.array([r.strong for r in best], bool)
+    # what each fold may know of words: counts without its own documents
+    in_fold = np.array([[(x.a, x.b) for x in r.folds] for r in best], float).reshape(len(best), FOLDS, 2)
+    rest = in_fold.sum(axis=1, keepdims=True) - in_fold
+    of_fold = {(r.fold, r.toxic): r["count"] for r in sample.groupBy(fold.alias("fold"), "toxic").count().collect()}
+    held = np.array([[n[k] - of_fold.get((f, k), 0) for k in (1, 0)] for f in range(FOLDS)], float)
+    share = (rest + 0.5) / (held + 1.0)
+    loud = share[:, :, 0] / share.sum(axis=2) >= STRONG
+    known_words = _gains(rest[:, :, 0], rest[:, :, 1], held[:, 0], held[:, 1]) >= floor
 
     def places(batches):
         import pyarrow as pa
 
         for b in batches:
             found = [sorted(words[w] for w in x if w in words) for x in b.column("words").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "at": pa.array(found, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "fold": b.column("fold"), "at": pa.array(found, pa.list_(pa.int32()))})
 
-    rows = sorted(sample.mapInArrow(places, "doc_id long, toxic int, at array<int>").collect(), key=lambda r: r.doc_id)
+    rows = sample.withColumn("fold", fold).select("doc_id", "toxic", "fold", "words").mapInArrow(places, "doc_id long, toxic int, fold int, at array<int>")
+    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     at = [np.array(r.at, np.int64) for r in rows]
     toxic = np.array([r.toxic for r in rows])
-    hits = np.array([loud[x].sum() for x in at])
+    folds = np.array([r.fold for r in rows])
+    hits = np.array([loud[x, f].sum() for x, f in zip(at, folds, strict=True)])
     y = np.column_stack([toxic & (hits >= 1), toxic & (hits >= 2), toxic])
-    folds = np.array([(r.doc_id * 2654435761 >> 7) % FOLDS for r in rows])
-    *model, ahead = train_chain(at, y, folds, len(words))
+    *model, ahead = train_chain(at, y, folds, len(words), known_words)
     return Chain(words, *model, best_threshold(ahead, toxic))
 
 
