@@ -335,6 +335,25 @@ def test_keep_first_leaves_one_row_of_a_component(spark):
     assert got[9, rows[5][1]] == 1 and got[None, rows[6][1]] == 1 and got[7, None] == 1 and got[8, ""] == 1
 
 
+def test_joined_sets_and_crowded_keys_change_nothing(spark, monkeypatch):
+    from feira.llm import ngram_join
+
+    rng = random.Random(12)
+    base = [[f"{f}w{rng.randrange(50)}" for _ in range(40)] for f in range(6)]
+    texts = []
+    for i in range(240):
+        w = list(base[i % 6])
+        if i % 4:
+            w[rng.randrange(40)] = f"new{i % 40}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, ngram_join.near_duplicates(df).collect()))
+    monkeypatch.setattr(ngram_join, "MAX_CHOSEN", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "crowded", lambda rows, key: rows.filter(f"{key} is not null").groupBy(key).count().filter("count > 2"))
+    assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == want
+
+
 # ---- the pipeline
 
 
