@@ -39,6 +39,7 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(clean(c), F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
+# How sizes, packs and weighed goods are written.
 SIZE = r"(\d+(?:[.,]\d+)?)\s*(kg|g|ml|l)\b"
 PACK = r"(\d+)\s*(?:unidades?|unid\.?|un\.?)\b"
 WEIGHED = r"\bkg\b|\bquilo\b"
@@ -69,10 +70,11 @@ def variable_weight(c: Column | str) -> Column:
 
 
 # Words of a name that say nothing about which product it is.
-NOT_IDENTITY = """
-de da do das dos em e com sem para o a ao por tipo lata caixa pacote pct frasco garrafa pote sache tp unidade unidades
-un embalagem pack bandeja saco refil tubo vidro long neck cada gratis barra envoltorio glicerinado glicerina
-""".split()
+NOT_IDENTITY = (
+    "de", "da", "do", "das", "dos", "em", "e", "com", "sem", "para", "o", "a", "ao", "por", "tipo", "lata", "caixa", "pacote", "pct", "frasco",
+    "garrafa", "pote", "sache", "tp", "unidade", "unidades", "un", "embalagem", "pack", "bandeja", "saco", "refil", "tubo", "vidro", "long", "neck",
+    "cada", "gratis", "barra", "envoltorio", "glicerinado", "glicerina",
+)
 
 
 def match_tokens(c: Column | str) -> Column:
@@ -82,64 +84,102 @@ def match_tokens(c: Column | str) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in NOT_IDENTITY])))
 
 
-# Category and its keywords; within one word of a name the first category wins. ``categorize`` takes any
-# other table of the same form; this one holds the keywords that decide most names.
+# Category and its keywords, in order: within one word of a name the first keyword wins.
 CATEGORIES = (
-    ("Limpeza", "sabao detergente lava desinfetante amaciante agua_sanitaria limpador esponja lixo multiuso alvejante inseticida desodorizador"),
-    ("Higiene e beleza", "shampoo condicionador sabonete creme_dental escova_dental papel_higienico desodorante absorvente fralda hidratante"),
-    ("Bebidas", "cerveja refrigerante suco agua vinho espumante whisky vodka energetico guarana cha isotonico nectar bebida"),
-    ("Carnes e peixes", "carne frango peito file bife linguica bacon salmao tilapia camarao hamburguer costela picanha coxa suino bovino peixe"),
-    ("Laticínios e frios", "leite queijo iogurte requeijao manteiga margarina creme_de_leite presunto mussarela nata bebida_lactea ovo ovos"),
-    ("Hortifruti", "banana laranja batata tomate cebola alface cenoura melancia manga abacaxi uva maca limao abobora alho mamao melao"),
-    ("Padaria e biscoitos", "pao biscoito bolo torrada bolacha bisnaguinha brioche bolinho croissant rosca cookie"),
-    ("Mercearia", "arroz feijao cafe acucar oleo azeite macarrao molho farinha sal achocolatado cereal granola aveia maionese ketchup chocolate"),
+    ("Limpeza", (
+        "sabao", "detergente", "lava", "desinfetante", "amaciante", "agua sanitaria", "limpador", "esponja", "lixo", "multiuso",
+        "alvejante", "inseticida", "desodorizador", "tira manchas", "manchas", "limpa", "guardanapo", "saco", "vassoura", "rodo", "pano",
+    )),
+    ("Higiene e beleza", (
+        "shampoo", "condicionador", "sabonete", "creme dental", "escova dental", "papel higienico", "desodorante", "absorvente",
+        "fralda", "hidratante", "creme de tratamento", "espuma de barbear", "lenco umedecido", "enxaguante", "listerine", "hastes",
+        "algodao", "fio dental", "mascara", "escova", "gel de banho", "barbeador", "cotonete", "protetor solar", "perfume",
+    )),
+    ("Bebidas", (
+        "cerveja", "refrigerante", "suco", "agua", "vinho", "espumante", "whisky", "vodka", "energetico", "guarana", "cha",
+        "isotonico", "licor", "gin", "cachaca", "tequila", "vermute", "rum", "champagne", "nectar", "bebida",
+    )),
+    ("Carnes e peixes", (
+        "carne", "frango", "peito", "file", "bife", "linguica", "bacon", "salmao", "tilapia", "camarao", "hamburguer", "costela",
+        "picanha", "coxa", "suino", "bovino", "empanado", "salsicha", "mortadela", "filezinho", "almondega", "bisteca", "lombo",
+        "pernil", "alcatra", "patinho", "acem", "maminha", "fraldinha", "cupim", "peixe", "bacalhau", "sobrecoxa", "calabresa",
+    )),
+    ("Laticínios e frios", (
+        "leite", "queijo", "iogurte", "requeijao", "manteiga", "margarina", "creme de leite", "presunto", "mussarela", "nata",
+        "bebida lactea", "composto lacteo", "ovo", "ovos", "sorvete", "coalhada", "ricota", "peito de peru",
+    )),
+    ("Hortifruti", (
+        "banana", "laranja", "batata", "tomate", "cebola", "alface", "cenoura", "melancia", "manga", "abacaxi", "uva", "maca",
+        "limao", "abobora", "abobrinha", "alho", "mamao", "melao", "pera", "beterraba", "pimentao", "abacate", "ameixa", "chuchu",
+        "goiaba", "kiwi", "maracuja", "morango", "frutas", "mexerica", "tangerina", "repolho", "brocolis", "couve", "pepino",
+    )),
+    ("Padaria e biscoitos", (
+        "pao", "biscoito", "bolo", "torrada", "bolacha", "bisnaguinha", "brioche", "bolinho", "croissant", "rosca", "cookie",
+    )),
+    ("Mercearia", (
+        "arroz", "feijao", "cafe", "acucar", "oleo", "azeite", "macarrao", "molho", "farinha", "sal", "achocolatado", "cereal",
+        "granola", "aveia", "maionese", "ketchup", "chocolate", "bombom", "salgadinho", "tempero", "lasanha", "espaguete",
+        "spaghetti", "massa", "penne", "talharim", "nhoque", "lamen", "miojo", "pizza", "mel", "geleia", "tapioca", "amendoim",
+        "doce", "gelatina", "bala", "balas", "tortilha", "cappuccino", "atum", "sardinha", "milho", "ervilha", "marshmallow",
+        "pasta de amendoim", "ghee", "vinagre", "mostarda", "sopa", "fermento", "leite condensado", "castanha",
+    )),
 )
-#: Keywords too general to name a kind within their category.
+# Keywords too general to name a kind within their category.
 GENERAL = ("carne", "bovino", "suino", "peixe", "bebida")
 
 
 def _keywords(categories) -> list[tuple[str, str, int]]:
-    return [(c, k.replace("_", " "), i) for i, (c, k) in enumerate((c, k) for c, ks in categories for k in ks.split())]
-
+    return [(c, k, i) for i, (c, k) in enumerate((c, k) for c, ks in categories for k in ks)]
 
-def _decides(categories, usable=lambda k: True) -> Column:
-    """The first keyword by stage, place and rank: struct(stage, place, rank, category, keyword); null if none fits.
 
-    Stages: a phrase at the start; one of the first three words; any word or phrase anywhere.
-    """
-    table_ = [k for k in _keywords(categories) if usable(k[1])]
-    as_rows = lambda rows: F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("keyword"), F.lit(i).alias("rank")) for c, k, i in rows])
-    phrases, single = as_rows([k for k in table_ if " " in k[1]]), as_rows([k for k in table_ if " " not in k[1]])
-    found = lambda stage, place, k: F.struct(F.lit(stage).alias("stage"), place.cast("int").alias("place"), k["rank"].alias("rank"), k["category"].alias("category"), k["keyword"].alias("keyword"))
-    is_word = lambda w, k: (w == k["keyword"]) | ((F.length(k["keyword"]) >= 5) & w.startswith(k["keyword"]))
-    text, own = F.col("_text"), F.col("_words")
-    start = F.transform(F.filter(phrases, lambda k: text.startswith(k["keyword"])), lambda k: found(1, F.lit(0), k))
-    early = F.flatten(F.transform(F.slice(own, 1, 3), lambda w, i: F.transform(F.filter(single, lambda k: is_word(w, k)), lambda k: found(2, i, k))))
-    late = F.transform(F.filter(single, lambda k: F.exists(own, lambda w: is_word(w, k))), lambda k: found(3, F.lit(0), k))
-    late = F.concat(late, F.transform(F.filter(phrases, lambda k: text.contains(k["keyword"])), lambda k: found(3, F.lit(0), k)))
-    return F.array_min(F.concat(start, early, late))
+def _word_pattern(keywords: list[str]) -> str:
+    """At a word: the first keyword that it is, or from five letters that it begins with."""
+    return "^(" + "|".join(k if len(k) >= 5 else k + r"(?![a-z0-9])" for k in keywords) + ")"
 
 
 def with_category(df: DataFrame, name: str = "name", categories=CATEGORIES, general: tuple[str, ...] = GENERAL) -> DataFrame:
     """``df`` with category ("Outros" if no keyword fits) and subcategory ("" if only a general keyword does).
 
-    A flavour ("sabor uva") doesn't count. A general keyword gives way to the next specific one of its category.
+    A phrase at the start decides; else the first of three words that is a keyword; else the first keyword anywhere. A
+    flavour ("sabor uva") doesn't count. A general keyword gives way to the next specific one of its category. A word is
+    met with all keywords in one pattern, in their order, so a row costs a few matches rather than a loop over the table.
     """
+    rows = _keywords(categories)
+    every = F.array(*[F.lit(k) for _, k, _ in rows])
+    single, phrases = [k for _, k, _ in rows if " " not in k], [k for _, k, _ in rows if " " in k]
     text = F.trim(F.regexp_replace(clean(name), r"\bsabor\s+\w+", " "))
     out = df.withColumn("_text", text).withColumn("_words", F.regexp_extract_all("_text", F.lit("[a-z0-9]+"), F.lit(0)))
-    out = out.withColumn("_hit", _decides(categories))
-    specific = [(c, k, i) for c, k, i in _keywords(categories) if k not in general]
-    rows = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("category"), F.lit(k).alias("keyword")) for c, k, i in specific])
-    there = lambda k: (k["category"] == F.col("_hit.category")) & F.when(k["keyword"].contains(" "), F.col("_text").contains(k["keyword"])).otherwise(F.exists("_words", lambda w: (w == k["keyword"]) | ((F.length(k["keyword"]) >= 5) & w.startswith(k["keyword"]))))
-    other = F.array_min(F.filter(rows, there))["keyword"]
-    keyword = F.when(F.col("_hit.keyword").isin(*general), other).otherwise(F.col("_hit.keyword"))
-    out = out.withColumns({"category": F.coalesce("_hit.category", F.lit("Outros")), "subcategory": F.coalesce(label(keyword), F.lit(""))})
+    none = lambda c: F.nullif(c, F.lit(""))
+
+    def anywhere(words: list[str], whole: list[str]) -> Column:
+        """The first of these keywords that stands anywhere."""
+        found = F.transform("_words", lambda w: F.regexp_extract(w, _word_pattern(words), 1)) if words else F.array().cast("array<string>")
+        there = F.array(*[F.when(F.col("_text").contains(k), k) for k in whole]) if whole else F.array().cast("array<string>")
+        known = F.filter(F.concat(found, there), lambda k: k.isNotNull() & (k != ""))
+        return F.get(every, (F.array_min(F.transform(known, lambda k: F.array_position(every, k))) - 1).cast("int"))
+
+    at_start = none(F.regexp_extract("_text", "^(" + "|".join(phrases) + ")", 1)) if phrases else F.lit(None)
+    early = [none(F.regexp_extract(F.coalesce(F.get("_words", F.lit(i)), F.lit("")), _word_pattern(single), 1)) for i in range(3)]
+    out = out.withColumn("_hit", F.coalesce(at_start, *early, anywhere(single, phrases)))
+    category = F.lit("Outros")
+    specific = F.lit(None).cast("string")
+    for c, ks in categories:
+        category = F.when(F.col("_hit").isin(*ks), c).otherwise(category)
+        if set(ks) & set(general):
+            named = [k for k in ks if k not in general]
+            specific = F.when(F.col("_hit").isin(*ks), anywhere([k for k in named if " " not in k], [k for k in named if " " in k])).otherwise(specific)
+    keyword = F.when(F.col("_hit").isin(*general), specific).otherwise(F.col("_hit"))
+    out = out.withColumns({"category": category, "subcategory": F.coalesce(label(keyword), F.lit(""))})
     return out.drop("_text", "_words", "_hit")
 
 
 # Words that stay in lower case, and acronyms that stay in capitals, in a title.
-SMALL = "de da do das dos e com sem para em ao aos a o no na por ou".split()
-ACRONYMS = "uht pet pvc led uv ph tv spf".split()
+SMALL = (
+    "de", "da", "do", "das", "dos", "e", "com", "sem", "para", "em", "ao", "aos", "a", "o", "no", "na", "por", "ou",
+)
+ACRONYMS = (
+    "uht", "pet", "pvc", "led", "uv", "ph", "tv", "spf",
+)
 
 
 def label(keyword: Column | str) -> Column:
@@ -165,7 +205,9 @@ def display_name(c: Column | str) -> Column:
 
 
 # Portuguese words without content.
-STOP = "com sem para por dos das nos nas que uma uns umas aos pelo pela seu sua mais tipo".split()
+STOP = (
+    "com", "sem", "para", "por", "dos", "das", "nos", "nas", "que", "uma", "uns", "umas", "aos", "pelo", "pela", "seu", "sua", "mais", "tipo",
+)
 
 
 def html_text(c: Column | str) -> Column:
@@ -191,30 +233,35 @@ ABBREVIATIONS = {
 }
 
 
+# Words of a receipt line that say nothing, and how packs and sizes without a unit are printed.
+FILLERS = ("de", "da", "do", "das", "dos", "e", "com", "sem", "para", "tipo", "un", "und", "unid", "kg", "pct", "cx")
+MULTI = r"\b(\d+)\s*x\s*(\d+(?:[.,]\d+)?)\s*(kg|g|ml|l)\b"
+BARE_SIZE = r"[a-z](\d{3,4})(?!\d)"
+
+
 def name_tokens(c: Column | str) -> Column:
-    """Words of a receipt line: glued sizes split off, short forms spelled out, packaging and bare numbers dropped."""
-    text = F.regexp_replace(clean(c), r"([a-z])(\d)", "$1 $2")
-    found = F.regexp_extract_all(F.regexp_replace(text, SIZE, " "), F.lit("[a-z0-9]+"), F.lit(0))
+    """Words of a receipt line that identify a product, as printed: the first pack and size off, numbers of three digits
+    or more parted from letters, short forms spelled out, fillers, single letters and bare numbers dropped."""
+    text = F.regexp_replace(clean(c), "(?s)^(.*?)" + MULTI, "$1 ")
+    text = F.regexp_replace(text, "(?s)^(.*?)" + SIZE, "$1 ")
+    text = F.regexp_replace(F.regexp_replace(text, r"([a-z])(\d{3,})", "$1 $2"), r"(\d{3,})([a-z])", "$1 $2")
     forms = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    spelled = F.transform(found, lambda w: F.coalesce(forms[w], w))
-    useful = F.filter(spelled, lambda w: ~w.rlike(r"^\d+$") & ~w.isin(*NOT_IDENTITY))
-    return F.array_distinct(useful)
+    spelled = F.transform(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.coalesce(forms[w], w))
+    return F.filter(spelled, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\d+$") & ~w.isin(*FILLERS))
 
 
 def receipt_size(c: Column | str) -> Column:
     """struct(amount, unit, packs) of a receipt line; unit null for a bare number glued to a word, all null if none."""
     text = clean(c)
     number = lambda x: F.regexp_replace(x, ",", ".").try_cast("double")
-    multi = r"(\d+)\s*x\s*(\d+(?:[.,]\d+)?)\s*(kg|g|ml|l)\b"
-    glued = r"[a-z](\d{2,4})\b"
     base = lambda n, u: F.bround(n * F.when(u.isin("kg", "l"), 1000).otherwise(1), 0).cast("int")
     unit = lambda u: F.when(u.isin("kg", "g"), "g").otherwise("ml")
-    many, one = text.rlike(multi), text.rlike(SIZE)
-    m, s = (lambda i: F.regexp_extract(text, multi, i)), (lambda i: F.regexp_extract(text, SIZE, i))
+    many, one = text.rlike(MULTI), text.rlike(SIZE)
+    m, s = (lambda i: F.regexp_extract(text, MULTI, i)), (lambda i: F.regexp_extract(text, SIZE, i))
     return F.struct(
-        F.when(many, base(number(m(2)), m(3))).when(one, base(number(s(1)), s(2))).otherwise(F.regexp_extract(text, glued, 1).try_cast("int")).alias("amount"),
+        F.when(many, base(number(m(2)), m(3))).when(one, base(number(s(1)), s(2))).otherwise(F.regexp_extract(text, BARE_SIZE, 1).try_cast("int")).alias("amount"),
         F.when(many, unit(m(3))).when(one, unit(s(2))).alias("unit"),
-        F.when(many, m(1).try_cast("int")).when(one | text.rlike(glued), 1).alias("packs"),
+        F.when(many, m(1).try_cast("int")).when(one | text.rlike(BARE_SIZE), 1).alias("packs"),
     )
 
 
@@ -227,25 +274,53 @@ def sizeless_name(c: Column | str) -> Column:
     return F.coalesce(F.nullif(rest, F.lit("")), F.trim(_col(c)))
 
 
+# How readers of images mistake an O for a zero and one kilo for a word.
+ZERO_AS_O = r"(?<=\d)O(?=\d|\s?(?:g|kg|ml|L)\b)"
+ONE_KILO = r"(?U)(?<![\w.,])[1IlJj|]\s?k[gqo0](?![\w])"
+
+
 def fix_units(c: Column | str) -> Column:
-    """Characters that readers of images mistake inside sizes: an O between digits and unit, "Jkg" for 1kg."""
-    text = F.regexp_replace(_col(c), r"(?i)(?<=\d)O(?=\d*\s*(?:g|kg|ml|l)\b)", "0")
-    return F.regexp_replace(text, r"\b[JIl](?=\s?k[go]\b)", "1").alias("fixed")
+    """Sizes that readers of images mistake, put right; real sizes and words stay."""
+    return F.regexp_replace(F.regexp_replace(_col(c), ZERO_AS_O, "0"), ONE_KILO, "1kg")
+
+
+# Words that say what a shop is, not which chain it is.
+SHOP_WORDS = (
+    r"\b(supermercados?|supermercadinhos?|mercadinhos?|mercados?|mercadao|hipermercados?|super|atacadista|atacado|"
+    r"loja|filial|unidade|express|ltda|eireli|sa|e|do|da|de|dos|das)\b"
+)
+# Complements of an address.
+COMPLEMENT = r"(?i)\b(loja[\s-]*[\w\d]*|s\s*/\s*n|km\s*\d+|bloco\s*[\w\d]*|sala\s*[\w\d]*)\b"
 
 
 def chain_key(c: Column | str) -> Column:
-    """What identifies a chain in a shop's name: no bracketed part, suffix after " - ", apostrophes or general words."""
-    text = F.regexp_replace(clean(c), r"\([^)]*\)", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"\s-\s.*$", ""), r"['’]", "")
-    text = F.regexp_replace(text, r"\b(?:supermercados?|hipermercado|mercado|atacadista|atacado|loja|filial|rede)\b", " ")
-    return F.trim(F.regexp_replace(text, r"[^a-z0-9]+", " "))
+    """What identifies a chain in a shop's name: no bracketed part, branch after " - ", apostrophes or general words."""
+    text = F.lower(strip_accents(F.translate(_col(c), "–—", "--")))
+    text = F.regexp_replace(F.regexp_replace(text, r"[^\x00-\x7F]", ""), r"\([^)]*\)", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?s)\s-\s.*$", ""), r"['`]", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9]+", " "), SHOP_WORDS, " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def address_clean(c: Column | str) -> Column:
-    """An address without complements and postcode, and single-spaced."""
-    text = F.regexp_replace(_col(c), r"(?i),?\s*(?:loja|sala|bloco|lote|quadra|km)\s*[\w/-]+", "")
-    text = F.regexp_replace(text, r",?\s*(?:CEP:?\s*)?\d{5}-?\d{3}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s*,\s*,", ","))
+    """An address without complements, single-spaced."""
+    text = F.replace(F.regexp_replace(_col(c), COMPLEMENT, " "), F.lit(" ,"), F.lit(","))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def when_label(at: Column, now: Column, zone: str = "America/Fortaleza") -> Column:
+    """A time (UTC) in words: today, yesterday or the day, and the hour, as people at ``zone`` read them."""
+    local, today = F.from_utc_timestamp(at, zone), F.to_date(F.from_utc_timestamp(now, zone))
+    hour = F.concat(F.lit(" às "), F.date_format(local, "HH:mm"))
+    day = F.to_date(local)
+    return F.when(at.isNull(), "em data não informada").when(day == today, F.concat(F.lit("hoje"), hour)).when(day == F.date_sub(today, 1), F.concat(F.lit("ontem"), hour)).otherwise(F.concat(F.lit("em "), F.date_format(local, "dd/MM"), hour))
+
+
+def query_words(query: Column, least: int = 2, most: int = 60, words_at_most: int = 6) -> Column:
+    """The folded words of a typed search, ``words_at_most`` of them; none where its length is out of bounds."""
+    text = clean(query)
+    found = F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(F.length(text).between(least, most), F.slice(found, 1, words_at_most)).otherwise(F.array().cast("array<string>"))
 
 
 def decimal_text(c: Column) -> Column:
@@ -401,14 +476,25 @@ def _q_conditions(spark, sf_dir):
 
 
 def _q_chain_key(spark, sf_dir):
-    s = stores(spark, sf_dir)
-    shown = F.concat(F.lit("Supermercado "), F.col("name"), F.when(F.col("id") % 2 == 0, " (Centro)").otherwise(" - Filial 2"))
-    return s.select("id", chain_key(shown).alias("key"))
+    s, k = stores(spark, sf_dir), F.col("id")
+    kind = F.when(k % 4 == 0, "Supermercado ").when(k % 4 == 1, "SUPER ").when(k % 4 == 2, "Mercadinho Pão d'").otherwise("")
+    tail = F.when(k % 3 == 0, " (Centro)").when(k % 3 == 1, " – Loja 2").otherwise(" Atacadista Ltda")
+    return s.select("id", chain_key(F.concat(kind, F.col("name"), tail)).alias("key"))
 
 
 def _q_address(spark, sf_dir):
-    b = branches(spark, sf_dir)
-    return b.select("id", address_clean(F.concat(F.col("address"), F.lit(", loja "), (F.col("id") % 30).cast("string"), F.lit(", 60125-"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"))).alias("address"))
+    b, k = branches(spark, sf_dir), F.col("id")
+    more = F.when(k % 4 == 0, ", S/N").when(k % 4 == 1, F.concat(F.lit(" LOJA "), (k % 30).cast("string"))).when(k % 4 == 2, ", Bloco B, sala 3").otherwise(", km 19")
+    return b.select("id", address_clean(F.concat(F.col("address"), more, F.lit(", Brasil"))).alias("address"))
+
+
+def _q_when(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", when_label(F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp")), F.lit("2024-01-15 12:00:00").cast("timestamp")).alias("label"))
+
+
+def _q_query_words(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(query_words("text"), " ").alias("words"))
 
 
 def _q_stock(spark, sf_dir):
@@ -420,7 +506,8 @@ def _q_club(spark, sf_dir):
 
 
 def _q_fix_units(spark, sf_dir):
-    return _named(spark, sf_dir).select("id", fix_units(F.translate("name", "0", "O")).alias("fixed"))
+    read = F.regexp_replace(F.regexp_replace("name", "0(?=[0-9]|g|ml)", "O"), " Kg$", " Jko")
+    return _named(spark, sf_dir).select("id", fix_units(read).alias("fixed"))
 
 
 QUERIES = {
@@ -444,6 +531,8 @@ QUERIES = {
     "fn_list_name": _q_labels(lambda d: list_name(F.col("name"), F.col("brand"), d["s.amount"], d["s.unit"], d["s.pack"])),
     "fn_condition_label": _q_conditions,
     "fn_stock_note": _q_stock,
+    "fn_when_label": _q_when,
+    "flt_query_words": _q_query_words,
     "fn_club": _q_club,
 }
 
@@ -467,10 +556,15 @@ ORACLE_SQL = {
     "fn_words": f"""SELECT page_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all({clean_sql(_HTML.format('html'))}, '[a-z0-9]{{3,}}')),
         lambda w: w NOT IN ({", ".join(f"'{w}'" for w in STOP)}))), ' ') AS words FROM pages""",
     "fn_sizeless_name": with_tables(f"""SELECT id, coalesce(nullif(trim(regexp_replace(regexp_replace(name, '{SIZE_WORD}', ' ', 'g'), '\\s+', ' ', 'g')), ''), trim(name)) AS name FROM products""", "products"),
-    "fn_receipt_size": with_tables(f"""SELECT id, CASE WHEN g <> '' AND a IS NULL THEN try_cast(g AS INT) ELSE round_even(a * CASE WHEN u IN ('kg', 'l') THEN 1000 ELSE 1 END, 0)::INT END AS amount,
-        CASE WHEN a IS NOT NULL THEN CASE WHEN u IN ('kg', 'g') THEN 'g' ELSE 'ml' END END AS unit, CASE WHEN m <> '' THEN m::INT WHEN a IS NOT NULL OR g <> '' THEN 1 END AS packs
-        FROM (SELECT id, regexp_extract(t, '(\\d+)\\s*x\\s*(\\d+(?:[.,]\\d+)?)\\s*(kg|g|ml|l)\\b', 1) AS m, try_cast(replace(regexp_extract(t, '{SIZE}', 1), ',', '.') AS DOUBLE) AS a,
-        regexp_extract(t, '{SIZE}', 2) AS u, regexp_extract(t, '[a-z](\\d{{2,4}})\\b', 1) AS g FROM (SELECT id, {clean_sql('name')} AS t FROM products))""", "products"),
+    "fn_receipt_size": with_tables(f"""SELECT id, CASE WHEN m <> '' THEN round_even(try_cast(replace(ma, ',', '.') AS DOUBLE) * CASE WHEN mu IN ('kg', 'l') THEN 1000 ELSE 1 END, 0)::INT WHEN a IS NULL THEN try_cast(nullif(g, '') AS INT) ELSE round_even(a * CASE WHEN u IN ('kg', 'l') THEN 1000 ELSE 1 END, 0)::INT END AS amount,
+        CASE WHEN m <> '' THEN CASE WHEN mu IN ('kg', 'g') THEN 'g' ELSE 'ml' END WHEN a IS NOT NULL THEN CASE WHEN u IN ('kg', 'g') THEN 'g' ELSE 'ml' END END AS unit, CASE WHEN m <> '' THEN m::INT WHEN a IS NOT NULL OR g <> '' THEN 1 END AS packs
+        FROM (SELECT id, regexp_extract(t, '{MULTI}', 1) AS m, regexp_extract(t, '{MULTI}', 2) AS ma, regexp_extract(t, '{MULTI}', 3) AS mu, try_cast(replace(regexp_extract(t, '{SIZE}', 1), ',', '.') AS DOUBLE) AS a,
+        regexp_extract(t, '{SIZE}', 2) AS u, regexp_extract(t, '[a-z](\\d{{3,4}})(?:[^\\d]|$)', 1) AS g FROM (SELECT id, {clean_sql('name')} AS t FROM products))""", "products"),
+    "fn_name_tokens": with_tables(f"""SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace({clean_sql('name')}, '{MULTI}', ' '), '{SIZE}', ' '), '([a-z])(\\d{{3,}})', '\\1 \\2', 'g'), '(\\d{{3,}})([a-z])', '\\1 \\2', 'g'), '[a-z0-9]+'),
+        lambda w: coalesce(map {{{", ".join(f"'{k}': '{v}'" for k, v in ABBREVIATIONS.items())}}}[w], w)), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '\\d+') AND w NOT IN ({", ".join(f"'{w}'" for w in FILLERS)})), '|') AS tokens FROM products""", "products"),
+    "fn_when_label": """SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'em data não informada' WHEN l::DATE = DATE '2024-01-15' THEN 'hoje' || strftime(l, ' às %H:%M') WHEN l::DATE = DATE '2024-01-14' THEN 'ontem' || strftime(l, ' às %H:%M')
+        ELSE strftime(l, 'em %d/%m às %H:%M') END AS label FROM (SELECT event_id, ts - INTERVAL 3 HOUR AS l FROM events)""",
+    "flt_query_words": f"""SELECT conv_id, turn, CASE WHEN length(t) BETWEEN 2 AND 60 THEN array_to_string(regexp_extract_all(t, '[a-z0-9]+')[:6], ' ') ELSE '' END AS words FROM (SELECT *, {clean_sql("coalesce(text, '')")} AS t FROM conversations)""",
     "fn_size_label": with_tables(f"SELECT id, {_SL} AS label FROM ({_SIZED})", "products"),
     "fn_pack_label": with_tables(f"SELECT id, {_PL} AS label FROM ({_SIZED})", "products"),
     "fn_list_name": with_tables(f"""SELECT id, concat_ws(' · ', name, CASE WHEN coalesce(brand, '') <> '' AND NOT contains(lower(name), lower(brand)) THEN brand END,
@@ -480,8 +574,8 @@ ORACLE_SQL = {
         CASE WHEN id % 6 = 0 THEN 'Pagamento: Pix' END, CASE WHEN id % 8 = 0 THEN 'Só loja' END), ''), 'Sem condição especial') AS label FROM prices""", "prices"),
     "fn_stock_note": with_tables("SELECT id, 'Estoque informado pela loja: ' || replace(format('{:,}', stock * 100), ',', '.') || ' unidades' AS note FROM prices", "prices"),
     "fn_club": with_tables("SELECT id, nullif(regexp_extract(offer, '(?i)(\\w*clube\\w*)', 1), '') AS club FROM prices", "prices"),
-    "fn_chain_key": with_tables("SELECT id, lower(name) AS key FROM stores", "stores"),
-    "fn_address_clean": with_tables("SELECT id, address FROM branches", "branches"),
+    "fn_chain_key": with_tables("SELECT id, CASE WHEN id % 4 = 2 THEN 'pao d' || lower(name) ELSE lower(name) END AS key FROM stores", "stores"),
+    "fn_address_clean": with_tables(f"""SELECT id, trim(regexp_replace(replace(regexp_replace(address || CASE id % 4 WHEN 0 THEN ', S/N' WHEN 1 THEN ' LOJA ' || (id % 30) WHEN 2 THEN ', Bloco B, sala 3' ELSE ', km 19' END || ', Brasil', '{COMPLEMENT}', ' ', 'g'), ' ,', ','), '\\s+', ' ', 'g')) AS address FROM branches""", "branches"),
     "fn_display_name": with_tables(f"""SELECT id, CASE WHEN id % 11 <> 0 THEN array_to_string(list_transform(string_split(name, ' '), lambda w: CASE WHEN regexp_matches(w, '(?i)^\\d+(?:[.,]\\d+)?(?:kg|g|mg|l|ml|un|und|cm|m)$') THEN lower(w) ELSE w END), ' ')
         ELSE array_to_string(list_transform(string_split(name, ' '), lambda w, i: CASE WHEN regexp_matches(w, '(?i)^\\d+(?:[.,]\\d+)?(?:kg|g|mg|l|ml|un|und|cm|m)$') THEN lower(w)
           WHEN i > 1 AND lower(w) IN ({", ".join(f"'{w}'" for w in SMALL)}) THEN lower(w)

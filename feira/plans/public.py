@@ -12,8 +12,6 @@ from feira.sources.domain import prices, products, runs, stores, with_tables
 
 #: Offers a chain may have in the list: all of them.
 ALL = 0
-#: The cap in the oracles' SQL, which the queries don't have: they agree only while no chain has more offers.
-CAP = 400
 #: Hours for which a price stays current: of chains that read their whole catalogue weekly, and of the others.
 WEEKLY = ("Chain 0", "Chain 1")
 TTL_WEEKLY, TTL = 28_800, 14_400
@@ -193,7 +191,7 @@ QUERIES = {
 _T = ("products", "stores", "prices", "runs")
 
 
-def public_ctes(cap: int = CAP) -> str:
+def public_ctes(cap: int = ALL) -> str:
     """DuckDB CTEs, after the domain tables: offers and shown of the published list."""
     gt = "CASE WHEN length({0}) IN (8, 12, 13, 14) AND NOT (length({0}) = 13 AND starts_with({0}, '2')) THEN lpad({0}, 14, '0') END".format("sh.gtin")
     return f"""{CANON}, {LISTED}, {ON_LIST}, {LATEST},
@@ -206,7 +204,7 @@ keyed AS (SELECT t.id, t.tokens, t.s.pack AS pack, CASE WHEN NOT (t.s.amount = 1
 grp AS (SELECT u.id, coalesce(k.rep, u.id) AS rep FROM usable u LEFT JOIN (SELECT id, min(id) OVER (PARTITION BY tokens, pack, key) AS rep FROM keyed) k USING (id)),
 merged AS (SELECT l.*, g.rep FROM latest l JOIN grp g ON g.id = l.product_id WHERE l.price > 0 QUALIFY row_number() OVER (PARTITION BY g.rep, l.retailer_id ORDER BY l.id DESC) = 1),
 capped AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY rep) > 1 AS shared, coalesce(offer, '') <> '' OR coalesce(regular_price > price, false) AS disc FROM merged)
-  QUALIFY row_number() OVER (PARTITION BY retailer_id ORDER BY disc DESC, shared DESC, rep) <= {cap}),
+  QUALIFY row_number() OVER (PARTITION BY retailer_id ORDER BY disc DESC, shared DESC, rep) <= {cap or 'count(*) OVER ()'}),
 variants AS (SELECT rep || '-' || retailer_id AS id, CASE WHEN offer = 'PinClube' AND regular_price IS NOT NULL THEN rc ELSE c END AS price_cents,
     CASE WHEN offer = 'PinClube' AND regular_price IS NULL THEN 'PinClube' END AS club, CASE WHEN offer = 'PinClube' AND regular_price IS NOT NULL THEN NULL ELSE rc END AS regular_price_cents,
     CASE WHEN offer = 'PinClube' AND regular_price IS NOT NULL THEN NULL ELSE offer END AS deal_label, * EXCLUDE (id, offer) FROM (SELECT *, round_even(price * 100, 0)::INT AS c, round_even(regular_price * 100, 0)::INT AS rc FROM capped)
@@ -228,7 +226,7 @@ shown AS (SELECT sh.*, s.amount AS amount, s.unit AS unit, s.pack AS pack_count,
      ELSE array_to_string(list_transform(string_split(lower(w), '-'), lambda x: upper(x[1]) || x[2:]), '-') END), ' ') END AS name FROM sh JOIN cat USING (id))"""
 
 
-def public_sql(query: str, *more: str, cap: int = CAP) -> str:
+def public_sql(query: str, *more: str, cap: int = ALL) -> str:
     """DuckDB SQL over the published list: tables offers and shown, and the domain tables in ``more``."""
     body = query.strip()
     body = f",\n{body[5:]}" if body.upper().startswith("WITH ") else f"\n{body}"

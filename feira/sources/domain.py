@@ -110,7 +110,7 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """list_id, product_id, quantity, checked: shopping lists from orders."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 50 == 0)
+    li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("product_id")).agg(
         F.sum("l_quantity").cast("int").alias("quantity"), F.max(F.col("l_linestatus") == "F").alias("checked")
     )
@@ -187,7 +187,7 @@ CTES = {
     -3.7319::DOUBLE + ((c_custkey * 7919) % 2000 - 1000) / 4000.0::DOUBLE AS latitude,
     -38.5267::DOUBLE + ((c_custkey * 104729) % 2000 - 1000) / 4000.0::DOUBLE AS longitude FROM customer""",
     "list_lines": """SELECT l_orderkey AS list_id, l_partkey AS product_id, sum(l_quantity)::INT AS quantity, bool_or(l_linestatus = 'F') AS checked
-    FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL""",
+    FROM lineitem GROUP BY ALL""",
     "receipt_lines": """SELECT l_orderkey AS receipt_id, l_linenumber AS line_no, l_partkey AS product_id, l_quantity AS qty, u AS unit_price, o AS discount,
     floor((l_quantity * u - o) * 100 + 0.5) / 100.0::DOUBLE + CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END AS total
     FROM (SELECT *, floor(l_extendedprice / l_quantity + 0.5) / 100.0::DOUBLE AS u, floor(l_discount * 100) / 100.0::DOUBLE AS o FROM lineitem)""",

@@ -141,7 +141,7 @@ def flyer_state(start: Column, end: Column, now: Column) -> Column:
 
 def flyers(spark, d) -> DataFrame:
     """id, chain, title, pages, valid_from, valid_until: flyers of several chains in one form, made of orders."""
-    o = table(spark, d, "orders").filter("o_orderkey % 40 = 0")
+    o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     start = F.when(k % 200 != 0, F.col("o_orderdate"))
     base = o.select(k.alias("id"), F.concat(F.lit("Chain "), (k % 7).cast("string")).alias("chain"), F.concat(F.lit("Encarte "), k.cast("string")).alias("title"), start.alias("valid_from"), F.when(k % 120 != 0, start + F.expr("interval 500 days")).alias("valid_until"), F.col("o_orderdate").alias("collected_at"))
@@ -171,7 +171,7 @@ def _now() -> Column:
 
 
 def _catalog_pages(s, d) -> DataFrame:
-    p = prices(s, d).join(products(s, d).select(F.col("id").alias("product_id"), "name", "brand", "gtin"), "product_id").filter("id % 3 = 0")
+    p = prices(s, d).join(products(s, d).select(F.col("id").alias("product_id"), "name", "brand", "gtin"), "product_id")
     seller = F.struct(F.lit("1").alias("sellerId"), F.struct(F.col("price").alias("Price"), F.coalesce("regular_price", "price").alias("ListPrice"), F.coalesce(F.col("stock") - 12, F.lit(0)).alias("AvailableQuantity")).alias("commertialOffer"))
     item = F.struct(F.col("gtin").alias("ean"), F.array().cast("array<struct<imageUrl:string>>").alias("images"), F.array(seller).alias("sellers"))
     body = F.to_json(F.struct(F.array(F.struct(F.col("name").alias("productName"), F.col("brand"), F.col("url").alias("link"), F.array(item).alias("items"))).alias("products")))
@@ -179,7 +179,7 @@ def _catalog_pages(s, d) -> DataFrame:
 
 
 def _mix_pages(s, d) -> DataFrame:
-    p = prices(s, d).filter("id % 4 = 0")
+    p = prices(s, d)
     k = F.col("id")
     dates = F.array(F.struct(F.lit("1990-01-01").alias("start_at"), F.when(k % 3 == 0, F.lit("1999-01-01")).otherwise(F.lit("2010-01-01")).alias("end_at"), (k % 8 == 0).alias("unlimited_end")))
     item = F.struct(F.col("product_id").alias("id"), F.coalesce("stock", F.lit(0)).alias("stock"), "price", F.coalesce("regular_price", "price").alias("original_price"), F.concat(F.lit("P"), F.col("product_id").cast("string")).alias("description"), (F.col("product_id") % 5 == 0).alias("sold_in_kilogram"), (F.col("price") * 2).alias("kilogram_price"), dates.alias("offers"))
@@ -187,7 +187,7 @@ def _mix_pages(s, d) -> DataFrame:
 
 
 def _api_pages(s, d) -> DataFrame:
-    p = prices(s, d).filter("id % 5 = 0")
+    p = prices(s, d)
     money = lambda c: F.regexp_replace(F.format_string("%.2f", c), r"\.", ",")
     deal = F.struct(money(F.coalesce("regular_price", "price")).alias("preco_antigo"), money(F.col("price")).alias("preco_oferta"), (F.col("product_id") % 4).cast("int").alias("quantidade_minima"), F.lit(2).alias("quantidade_pagar"))
     item = F.struct(F.col("product_id").alias("produto_id"), F.concat(F.lit("P"), F.col("product_id").cast("string")).alias("descricao"), (F.col("id") % 3 != 0).alias("disponivel"), deal.alias("oferta"))
@@ -203,7 +203,7 @@ def _crm_pages(s, d) -> DataFrame:
 
 
 def _q_cards(s, d):
-    p = prices(s, d).filter("id % 6 = 0")
+    p = prices(s, d)
     card = F.concat(F.lit('<div><a href="/produto/'), F.col("product_id").cast("string"), F.lit('/x">Produto '), F.col("product_id").cast("string"), F.lit('</a><a href="/produto/'), F.col("product_id").cast("string"), F.lit('/x"> P'), F.col("product_id").cast("string"), F.lit("</a><span>R$ "), F.format_string("%.2f", F.col("price")), F.lit("</span></div>"))
     return html_cards(p.select(F.col("id").alias("page_id"), card.alias("html"))).select("page_id", "item_id", "name", parse_money(F.col("price_text")).alias("price_cents"))
 
@@ -273,20 +273,20 @@ QUERIES = {
 }
 
 _FL = """WITH fl AS (SELECT o_orderkey AS id, 'Chain ' || (o_orderkey % 7) AS chain, 'Encarte ' || o_orderkey AS title, CASE WHEN o_orderkey % 200 <> 0 THEN o_orderdate END AS valid_from,
-  CASE WHEN o_orderkey % 120 <> 0 AND o_orderkey % 200 <> 0 THEN o_orderdate + INTERVAL 500 DAY END AS valid_until, o_orderdate AS collected_at FROM orders WHERE o_orderkey % 40 = 0),
+  CASE WHEN o_orderkey % 120 <> 0 AND o_orderkey % 200 <> 0 THEN o_orderdate + INTERVAL 500 DAY END AS valid_until, o_orderdate AS collected_at FROM orders),
  fs AS (SELECT *, CASE WHEN valid_from IS NULL THEN 'unknown' WHEN TIMESTAMP '{now}' < valid_from THEN 'future' WHEN TIMESTAMP '{now}' > valid_until THEN 'expired' ELSE 'current' END AS state FROM fl)""".replace("{now}", NOW)
 _PCT = "floor((1 - price / regular_price) * 100 + 0.5)::INT || '% OFF'"
 ORACLE_SQL = {
     "src_catalog_json": with_tables(f"""SELECT url, arg_min(id, id) * 1000 AS seq, arg_min(price, id) AS price, arg_min(coalesce(r, -1), id) AS regular_price, arg_min(offer, id) AS offer, arg_min(stock, id) AS stock FROM
-        (SELECT id, url, price, regular_price AS r, CASE WHEN regular_price > price THEN {_PCT} END AS offer, stock - 12 AS stock FROM prices WHERE id % 3 = 0 AND stock > 12 AND price > 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1) GROUP BY url""".replace("arg_min(coalesce(r, -1), id)", "nullif(arg_min(coalesce(CASE WHEN r > price THEN r END, -1), id), -1)").replace("arg_min(offer, id)", "nullif(arg_min(coalesce(offer, ''), id), '')"), "prices"),
+        (SELECT id, url, price, regular_price AS r, CASE WHEN regular_price > price THEN {_PCT} END AS offer, stock - 12 AS stock FROM prices WHERE stock > 12 AND price > 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1) GROUP BY url""".replace("arg_min(coalesce(r, -1), id)", "nullif(arg_min(coalesce(CASE WHEN r > price THEN r END, -1), id), -1)").replace("arg_min(offer, id)", "nullif(arg_min(coalesce(offer, ''), id), '')"), "prices"),
     "src_mixes_json": with_tables("""SELECT product_id AS item_id, id * 1000 AS seq, 'P' || product_id || CASE WHEN product_id % 5 = 0 THEN ' (kg)' ELSE '' END AS name, CASE WHEN product_id % 5 = 0 THEN price * 2 ELSE price END AS price,
-        CASE WHEN regular_price > price THEN regular_price END AS regular_price, stock FROM prices WHERE id % 4 = 0 AND stock > 0 AND (id % 8 = 0 OR id % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) = 1""", "prices"),
+        CASE WHEN regular_price > price THEN regular_price END AS regular_price, stock FROM prices WHERE stock > 0 AND (id % 8 = 0 OR id % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) = 1""", "prices"),
     "src_offers_api_json": with_tables("""SELECT product_id AS item_id, id * 1000 AS seq, c AS price_cents, r AS regular_cents, nullif(concat_ws(' · ', CASE WHEN r > c THEN floor((1 - c / r::DOUBLE) * 100 + 0.5)::INT || '% OFF' END, CASE WHEN product_id % 4 > 2 THEN 'Leve 3 pague 2' END), '') AS offer
-        FROM (SELECT *, CASE WHEN (o - c) * 100 >= o AND o > c THEN o WHEN o = 0 THEN o END AS r FROM (SELECT *, round_even(price * 100, 0)::INT AS c, round_even(coalesce(regular_price, price) * 100, 0)::INT AS o FROM prices WHERE id % 5 = 0 AND id % 3 <> 0)) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) = 1""", "prices"),
+        FROM (SELECT *, CASE WHEN (o - c) * 100 >= o AND o > c THEN o WHEN o = 0 THEN o END AS r FROM (SELECT *, round_even(price * 100, 0)::INT AS c, round_even(coalesce(regular_price, price) * 100, 0)::INT AS o FROM prices WHERE id % 3 <> 0)) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) = 1""", "prices"),
     "src_crm_price_json": with_tables("""SELECT id::VARCHAR AS slug, CASE WHEN cl > 0 AND cl < ev THEN cl ELSE ev END AS price, CASE WHEN cl > 0 AND cl < ev THEN ev WHEN ev < base THEN base END AS regular_price, CASE WHEN cl > 0 AND cl < ev THEN 'Clube' END AS offer
         FROM (SELECT id, coalesce(regular_price, price) AS base, CASE WHEN id % 3 = 0 THEN price - 0.25::DOUBLE END AS cl, CASE WHEN id % 2 = 0 THEN price ELSE coalesce(regular_price, price) END AS ev FROM prices WHERE id % 5 <> 0)""", "prices"),
     "src_discounted_prefix": with_tables("SELECT id, price, regular_price FROM prices WHERE regular_price > price AND price > 0", "prices"),
-    "src_html_cards": with_tables("SELECT id AS page_id, product_id::VARCHAR AS item_id, 'P' || product_id AS name, round_even(price * 100, 0)::INT AS price_cents FROM prices WHERE id % 6 = 0", "prices"),
+    "src_html_cards": with_tables("SELECT id AS page_id, product_id::VARCHAR AS item_id, 'P' || product_id AS name, round_even(price * 100, 0)::INT AS price_cents FROM prices", "prices"),
     "src_branches": with_tables("SELECT external_id, name, CASE WHEN i THEN latitude END AS latitude, CASE WHEN i THEN longitude END AS longitude FROM (SELECT *, latitude BETWEEN -4.0 AND -3.5 AND longitude BETWEEN -38.7 AND -38.4 AS i FROM branches WHERE id % 6 <> 0 AND id % 10 <> 0)", "branches"),
     "src_flyers": f"{_FL} SELECT id, lower(title) AS title, date_trunc('day', collected_at) + INTERVAL 3 HOUR AS valid_from, date_trunc('day', collected_at) + INTERVAL 27 HOUR - INTERVAL 1 SECOND AS valid_until FROM fl",
     "flt_flyer_state": f"{_FL} SELECT id, state FROM fs",

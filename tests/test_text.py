@@ -1,4 +1,4 @@
-"""Golden cases of the name functions."""
+"""Cases of the name functions."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +37,21 @@ def test_parse_size(spark, name, want):
         ("Água Sanitária", "Limpeza", "Agua Sanitaria"),
         ("Carne de Frango", "Carnes e peixes", "Frango"),
         ("Boneca", "Outros", ""),
+        ("LASANHA DE FRANGO AO MOLHO 600G", "Mercearia", "Lasanha"),
+        ("Espaguete Fino 500g", "Mercearia", "Espaguete"),
+        ("Abobrinha Verde Kg", "Hortifruti", "Abobrinha"),
+        ("Salsicha Viena", "Carnes e peixes", "Salsicha"),
+        ("Guardanapo Folha Dupla", "Limpeza", "Guardanapo"),
+        ("Sorvete de Creme 2L", "Laticínios e frios", "Sorvete"),
+        ("Pizza Mussarela 400g", "Mercearia", "Pizza"),
+        ("BISTECA SUINA CONGELADA KG", "Carnes e peixes", "Bisteca"),
+        ("Bebida Láctea Morango 250ml", "Laticínios e frios", "Bebida Lactea"),
+        ("Leite Condensado Lata 395g", "Mercearia", "Leite Condensado"),
+        ("Peito de Peru Fatiado", "Laticínios e frios", "Peito de Peru"),
+        ("Biscoito Sabor Chocolate 140g", "Padaria e biscoitos", "Biscoito"),
+        ("Peixe Bovino", "Carnes e peixes", ""),
+        ("Toalha e rodo", "Limpeza", "Rodo"),
+        ("Conjunto novo grande para milho verde", "Mercearia", "Milho"),
     ],
 )
 def test_category(spark, name, category, sub):
@@ -73,3 +88,68 @@ def test_similarity(spark):
     assert one(spark, V.word_similarity, "integ", "integral") == 0.9
     assert one(spark, V.word_similarity, "lngc", "linguica") == 0.6
     assert one(spark, V.word_similarity, "mussarella", "mussarela") == 0.85
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Açúcar da casa Jko", "Açúcar da casa 1kg"),
+        ("Arroz fino lkg", "Arroz fino 1kg"),
+        ("Feijão 1ko", "Feijão 1kg"),
+        ("Farinha I kq", "Farinha 1kg"),
+        ("sem sal 20Og", "sem sal 200g"),
+        ("Arroz 5kg", "Arroz 5kg"),
+        ("Café 0,1kg", "Café 0,1kg"),
+        ("Sabão 21kg", "Sabão 21kg"),
+        ("Bijko", "Bijko"),
+        ("Jkoy 500g", "Jkoy 500g"),
+    ],
+)
+def test_fix_units(spark, text, want):
+    assert one(spark, T.fix_units, text) == want
+
+
+@pytest.mark.parametrize(
+    ("line", "tokens", "size"),
+    [
+        ("LEITE INT DA SERRA 1L", ["leite", "int", "serra"], (1000, "ml", 1)),
+        ("Arroz Branco Tipo 1 5kg", ["arroz", "branco"], (5000, "g", 1)),
+        ("QJO PRATO", ["queijo", "prato"], (None, None, None)),
+        ("PO FORTE500LIMA", ["po", "forte", "lima"], (500, None, 1)),
+        ("VITAMINA B12 X", ["vitamina", "b12"], (None, None, None)),
+        ("REFRIG 7UP", ["refrigerante", "7up"], (None, None, None)),
+        ("REFRIG UVA 12X350ML", ["refrigerante", "uva"], (350, "ml", 12)),
+        ("QUEIJO 1,5KG", ["queijo"], (1500, "g", 1)),
+    ],
+)
+def test_receipt_lines(spark, line, tokens, size):
+    assert one(spark, T.name_tokens, line) == tokens
+    assert tuple(one(spark, T.receipt_size, line)) == size
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("Supermercado Aurora", "aurora"),
+        ("SUPER AURORÁ", "aurora"),
+        ("Aurora Supermercados - Loja Norte", "aurora"),
+        ("Aurora (Centro)", "aurora"),
+        ("Mercadinho São Jorge Ltda", "sao jorge"),
+        ("Tom's Club", "toms club"),
+        ("Atacadão", "atacadao"),
+        ("Beira Atacadista", "beira"),
+        ("Supermercado", ""),
+    ],
+)
+def test_chain_key(spark, name, want):
+    assert one(spark, T.chain_key, name) == want
+
+
+def test_addresses_times_and_queries(spark):
+    assert one(spark, T.address_clean, "Rua A, 10, S/N, LOJA 01, Centro").replace(" ", "") == "RuaA,10,,,Centro"
+    now = F.lit("2024-03-10 12:00:00").cast("timestamp")
+    label = lambda c: T.when_label(c.cast("timestamp"), now)
+    assert [one(spark, label, t) for t in ("2024-03-10 03:05:00", "2024-03-10 02:59:00", "2024-03-01 15:00:00", None)] == ["hoje às 00:05", "ontem às 23:59", "em 01/03 às 12:00", "em data não informada"]
+    assert one(spark, T.query_words, " Pão-de  QUEIJO ") == ["pao", "de", "queijo"]
+    assert one(spark, T.query_words, "a b c d e f g h") == ["a", "b", "c", "d", "e", "f"]
+    assert one(spark, T.query_words, "x") == [] and one(spark, T.query_words, "y" * 61) == []
