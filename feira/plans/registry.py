@@ -16,6 +16,9 @@ MODULES: tuple[str, ...] = (
     "feira.operators.receipts",
     "feira.sources.feeds",
     "feira.operators.lookup",
+    "feira.sources.files",
+    "feira.operators.layout",
+    "feira.operators.classify",
 )
 
 
