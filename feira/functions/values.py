@@ -308,13 +308,15 @@ def _q_word(spark, sf_dir):
 
 
 def _q_same_chain(spark, sf_dir):
+    """Distinct keys of shops, each with the least key it is one chain with: rows of classes, not pairs of stores."""
     from feira.functions.text import chain_key
+    from feira.operators.discovery import same_chain_pairs
 
-    s = stores(spark, sf_dir).withColumn("key", chain_key("name"))
-    other = s.select(F.col("id").alias("other_id"), F.col("key").alias("other_key"))
-    near = s.join(other, F.substring("key", 1, 3) == F.substring("other_key", 1, 3)).filter("id < other_id")
-    same = (F.col("key") == F.col("other_key")) | F.concat("key", F.lit(" ")).startswith(F.concat("other_key", F.lit(" "))) | F.concat("other_key", F.lit(" ")).startswith(F.concat("key", F.lit(" ")))
-    return near.filter(same | ((F.length("key") >= 5) & (sequence_ratio("key", "other_key") >= 0.88))).select("id", "other_id")
+    s = stores(spark, sf_dir)
+    kind = F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, " Norte").when(F.col("id") % 4 == 2, "x").otherwise(" Ltda")
+    named = s.select(chain_key(F.concat(F.lit("Armazem "), F.col("name"), kind)).alias("key")).distinct()
+    pairs = same_chain_pairs(named.select(F.col("key").alias("a")), named.select(F.col("key").alias("b")))
+    return pairs.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least"), F.count("*").alias("same"))
 
 
 def _q_json_path(spark, sf_dir):
@@ -412,7 +414,6 @@ ORACLE_SQL = {
     "fn_department_of": with_tables("SELECT slug, CASE WHEN depth = 0 THEN path ELSE string_split(path, '>')[2] END AS department FROM taxonomy", "taxonomy"),
     "fn_placeholder_host": with_tables("SELECT id, CASE WHEN image_url IS NULL THEN NULL ELSE contains(image_url, '//via.placeholder.com/') END AS placeholder FROM products", "products"),
     "fn_confidence_clamp": with_tables("SELECT receipt_id, line_no, product_id, CASE WHEN line_no = 3 THEN 0.75 ELSE greatest(0.0, least(1.0, total / 50 - 1)) END::DOUBLE AS confidence FROM receipt_lines", "receipt_lines"),
-    "fn_same_chain": with_tables("SELECT a.id, b.id AS other_id FROM stores a JOIN stores b ON a.name = b.name AND a.id < b.id", "stores"),
     "fn_json_path": with_tables("SELECT strftime(scraped_at, '%Y-%m') AS month, count(*) AS offers FROM prices GROUP BY 1", "prices"),
     "fn_json_tolerant": "SELECT event_id, (props ->> '$.k')::INT AS k FROM events",
 }

@@ -12,6 +12,7 @@ from feira.operators.offers import dated, matches_query
 from feira.operators.state import append_new
 from feira.plans.public import TTL, TTL_WEEKLY, WEEKLY, public_sql, public_tables
 from feira.sources.domain import NOW, branches, list_lines, prices, products, runs, stores, with_tables
+from feira.sources.files import KeyedTable, new_folder, stored
 
 CENTER = (-3.7319, -38.5267)
 
@@ -236,6 +237,14 @@ def _q_ttl(s, d):
     return canonical_stores(stores(s, d)).select("name").distinct().select("name", F.when(F.col("name").isin(*WEEKLY), TTL_WEEKLY).otherwise(TTL).alias("ttl_hours"))
 
 
+def _q_dim_table(s, d):
+    """A dimension saved from half of the products, then given the names it lacks."""
+    p = products(s, d)
+    table_ = KeyedTable(s, new_folder(s, "dim-name"), ["name"])
+    table_.save(p.filter("id % 2 = 0").select("name").distinct())
+    return table_.save(append_new(p.select("name"), table_.read(), ["name"]))
+
+
 QUERIES = {
     "jn_override": _q_override,
     "jn_index_lookup": _q_index,
@@ -245,7 +254,7 @@ QUERIES = {
     "st_ttl": _q_ttl,
     "flt_stale_url": _q_stale,
     "jn_image_fallback": _q_fallback,
-    "snk_image_manifest": _q_manifest,
+    "snk_image_manifest": stored("image-manifest", ["image"], _q_manifest),
     "jn_catalogue_merge": _q_merge,
     "pipe_catalogue_search": lambda s, d: catalogue_search(products(s, d), prices(s, d), stores(s, d), "leite", 40),
     "jn_search_prices": lambda s, d: catalogue_search(products(s, d), prices(s, d), stores(s, d), "arroz", 1000),
@@ -259,8 +268,8 @@ QUERIES = {
     "flt_branch_region": lambda s, d: branches_in_region(branches(s, d), "CE", *CENTER, 20.0).select("id"),
     "flt_score_gate": _q_gate,
     "flt_history_keys": _q_history_keys,
-    "snk_dim_upsert": lambda s, d: append_new(products(s, d).filter("brand is not null").select("brand"), products(s, d).filter("id % 2 = 0 and brand is not null").select("brand"), ["brand"]),
-    "snk_run_bookkeeping": _q_bookkeeping,
+    "snk_dim_upsert": _q_dim_table,
+    "snk_run_bookkeeping": stored("run-bookkeeping", ["site_key"], _q_bookkeeping),
     "ag_status_counts": _q_status,
     "ag_offers_per_retailer": _q_per_retailer,
     "gold_step_line": _q_step,
@@ -299,7 +308,7 @@ ORACLE_SQL = {
     "flt_branch_region": with_tables("SELECT id FROM (SELECT id, pow(sin(radians(latitude + 3.7319) / 2), 2) + cos(radians(-3.7319::DOUBLE)) * cos(radians(latitude)) * pow(sin(radians(longitude + 38.5267) / 2), 2) AS h FROM branches WHERE id % 10 <> 0) WHERE 2 * 6371.0088 * atan2(sqrt(h), sqrt(1 - h)) <= 20", "branches"),
     "flt_score_gate": with_tables("SELECT id FROM products WHERE (id % 10) / 10.0::DOUBLE >= 0.8 AND (id % 7) / 7.0::DOUBLE + 0.2 >= 0.8", "products"),
     "flt_history_keys": with_tables("SELECT md5(lower(d.name)) AS product_key, store_id, scraped_at, price, p.id FROM prices p JOIN products d ON d.id = p.product_id WHERE md5(lower(d.name)) IN (SELECT md5(lower(name)) FROM (SELECT name FROM products ORDER BY id LIMIT 30))", "products", "prices"),
-    "snk_dim_upsert": with_tables("SELECT DISTINCT brand FROM products WHERE brand IS NOT NULL AND brand NOT IN (SELECT brand FROM products WHERE id % 2 = 0 AND brand IS NOT NULL)", "products"),
+    "snk_dim_upsert": with_tables("SELECT DISTINCT name FROM products", "products"),
     "snk_run_bookkeeping": with_tables("SELECT site_key, max(created_at) AS last_run, sum(items_found)::BIGINT AS rows, arg_max(success, id) AS ok FROM runs GROUP BY 1", "runs"),
     "ag_status_counts": public_sql("SELECT category, count(*) AS products, count(gtin) AS with_gtin, count(image_url) AS with_image FROM shown GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"),
     "ag_offers_per_retailer": public_sql(f"WITH {_SITE} SELECT s.retailer_id, name, count(o.id) AS offers FROM site s LEFT JOIN offers o USING (retailer_id) GROUP BY 1, 2"),

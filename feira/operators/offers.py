@@ -12,6 +12,7 @@ from feira.functions.text import SIZE_WORD, clean, clean_sql, sizeless_name, wor
 from feira.functions.values import CENTER, EARTH_KM, discount_pct, haversine
 from feira.plans.public import public_sql, public_tables
 from feira.sources.domain import NOW, branches, list_lines, with_tables
+from feira.sources.files import new_folder
 
 #: Prices of one product that differ by this factor or more are no saving but different units of sale.
 SUSPECT = 3
@@ -146,6 +147,18 @@ def lowest_label(ranked: DataFrame) -> DataFrame:
     return own.select("id", text.alias("label"))
 
 
+def ranked_all(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with each row's place in one order of the whole table: rows are dealt by range, numbered within their range,
+    and the rows of earlier ranges are added, so no task holds more than a range."""
+    folder = new_folder(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()).write.parquet(folder)
+    dealt = df.sparkSession.read.parquet(folder)
+    before = Window.partitionBy(F.lit(0)).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("range_no").count().select("range_no", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("range_no").orderBy(*order))
+    return dealt.withColumn(name, own).join(F.broadcast(sizes), "range_no").withColumn(name, (F.col(name) + F.col("earlier")).cast("int")).drop("range_no", "earlier")
+
+
 def dated(offers: DataFrame) -> DataFrame:
     """Offers with periods, flyers and sold-out ones, by number, so that every state occurs."""
     k = F.col("product_id")
@@ -262,8 +275,8 @@ def _q_relevance(s, d):
 def _q_sorts(s, d):
     offers, shown = _offers(s, d)
     best = shown.select("id", "name").join(rank_offers(offers, _now()).groupBy(F.col("product_id").alias("id")).agg(F.min("price_cents").alias("price")), "id", "left")
-    up, down = Window.orderBy(F.col("price").asc_nulls_last(), "id"), Window.orderBy(F.col("price").desc_nulls_last(), "id")
-    return best.select("id", F.row_number().over(up).alias("by_price"), F.row_number().over(down).alias("by_price_down"))
+    ranked = ranked_all(ranked_all(best, "by_price", F.col("price").asc_nulls_last(), F.col("id")), "by_price_down", F.col("price").desc_nulls_last(), F.col("id"))
+    return ranked.select("id", "by_price", "by_price_down")
 
 
 def _q_out(s, d):

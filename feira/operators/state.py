@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from feira.functions.values import cents, product_key
 from feira.operators.listing import canonical_stores, latest_prices, listed_runs
 from feira.sources.domain import branches, prices, products, runs, stores, table, with_tables
+from feira.sources.files import KeyedTable, new_folder, stored
 
 #: Superseded prices kept of a pair, the newest.
 HISTORY = 20
@@ -224,28 +225,36 @@ def _q_nest(s, d):
     return nested.select("product_key", "store", F.array_join(F.transform("points", lambda p: p["cents"].cast("string")), ",").alias("cents"))
 
 
+def _q_catalogue_table(s, d):
+    """The catalogue saved, then merged with what is new."""
+    old, new = _catalogues(s, d)
+    table_ = KeyedTable(s, new_folder(s, "catalogue"), ["product_key"])
+    table_.save(old)
+    return table_.save(new, catalogue_upsert)
+
+
 QUERIES = {
     "st_price_upsert": _q_upsert,
-    "snk_price_upsert": _q_upsert,
+    "snk_price_upsert": stored("price-state", ["product_id", "store_id"], _q_upsert),
     "ag_cheapest_listing": _q_cheapest,
     "win_change_points": lambda s, d: change_points(prices(s, d)).select("id", "price"),
     "win_history_cap": lambda s, d: newest(change_points(prices(s, d)), ["product_id"], [F.desc("scraped_at"), F.desc("id")], HISTORY).select("product_id", "id"),
     "win_known_points": _q_known,
     "st_price_points_plan": _q_points,
-    "snk_price_points": _q_append,
-    "snk_observations": _q_append,
+    "snk_price_points": stored("price-points", ["product_id", "store_id", "scraped_at"], _q_append),
+    "snk_observations": stored("observations", ["product_id", "store_id", "scraped_at"], _q_append),
     "st_observation_dedup": lambda s, d: prices(s, d).dropDuplicates(["product_id", "store_id", "scraped_at", "price"]).select("product_id", "store_id", "scraped_at", "price"),
     "ag_catalogue_collect": lambda s, d: catalogue_collect(products(s, d), prices(s, d)),
-    "snk_catalogue_upsert": lambda s, d: catalogue_upsert(*_catalogues(s, d)),
+    "snk_catalogue_upsert": _q_catalogue_table,
     "st_backfill_only": _q_backfill,
     "st_catalogue_plan": lambda s, d: catalogue_plan(*_catalogues(s, d)),
     "win_expire_deals": _q_expire,
     "st_overlay_run": _q_overlay,
     "st_branch_sync": _q_branches,
-    "snk_snapshot_publish": _q_publish,
+    "snk_snapshot_publish": stored("snapshots", ["id"], _q_publish),
     "win_keep_newest": lambda s, d: _snapshots(s, d).orderBy(F.desc("id")).limit(5),
     "src_latest_snapshot": lambda s, d: _snapshots(s, d).orderBy(F.desc("id")).limit(1),
-    "snk_current_prices": _q_current,
+    "snk_current_prices": stored("current-prices", ["product_key", "retailer_name"], _q_current),
     "ag_listing_collect": _q_current,
     "ag_price_history_nest": _q_nest,
     "jn_known_anti": lambda s, d: products(s, d).join(_halves(s, d)[0].filter("store_id = 1").select(F.col("product_id").alias("id")), "id", "left_anti").select("id"),

@@ -19,6 +19,9 @@ MODULES: tuple[str, ...] = (
     "feira.sources.files",
     "feira.operators.layout",
     "feira.operators.classify",
+    "feira.operators.discovery",
+    "feira.operators.gold",
+    "feira.plans.refresh",
 )
 
 
