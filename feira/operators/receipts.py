@@ -27,24 +27,27 @@ def consensus(readings: DataFrame) -> DataFrame:
     return out.select(*key, (-F.col("b.low")).alias("total"), F.coalesce(F.col("other") * 2 >= F.col("b.votes"), F.lit(False)).alias("contested"))
 
 
-def match_lines(lines: DataFrame, product: DataFrame, margin: float = 0.1) -> DataFrame:
+def match_lines(lines: DataFrame, product: DataFrame, margin: float = 0.1, least: float = 0.6) -> DataFrame:
     """line_id, product_id, score of the product that explains a printed name best, if clearly.
 
-    lines (line_id, name), product (id, name). Blocked on the first three letters of words; a word weighs by how few
-    products carry it; sizes must agree where both are known. The best must beat the next by ``margin``.
+    lines (line_id, name), product (id, name). Distinct words that share their first letter are compared (no others are
+    alike); a word weighs by how few products carry it; sizes must agree where both are known. Two words must be found (one
+    where either side has only one), the score must reach ``least`` and beat the next by ``margin``.
     """
-    own = product.select(F.col("id").alias("product_id"), name_tokens("name").alias("own"), parse_size("name").alias("s"))
-    printed = lines.select("line_id", name_tokens("name").alias("printed"), parse_size("name").alias("t"))
+    own = product.select(F.col("id").alias("product_id"), F.array_distinct(name_tokens("name")).alias("own"), parse_size("name").alias("s"))
+    printed = lines.select("line_id", F.array_distinct(name_tokens("name")).alias("printed"), parse_size("name").alias("t"))
     words = own.select("product_id", F.explode("own").alias("o"))
     n = product.agg(F.count("*").alias("n"))
     weight = words.groupBy("o").agg(F.count("*").alias("k")).crossJoin(n).select("o", (F.log((F.col("n") + 1) / (F.col("k") + 1)) + 1).alias("w"))
-    vocabulary = weight.withColumn("block", F.substring("o", 1, 3))
-    typed = printed.select(F.explode("printed").alias("p")).distinct().withColumn("block", F.substring("p", 1, 3))
-    alike = typed.join(vocabulary, "block").withColumn("sim", word_similarity(F.col("p"), F.col("o"))).filter("sim > 0").select("p", "o", "w", "sim")
+    vocabulary = weight.withColumn("block", F.substring("o", 1, 1))
+    typed = printed.select(F.explode("printed").alias("p")).distinct().withColumn("block", F.substring("p", 1, 1))
+    fits = (F.length("o") >= F.length("p") - 1) & (F.length("o") <= F.greatest(F.length("p") * 2, F.when(F.col("o").startswith(F.col("p")), F.length("o")).otherwise(0)))
+    alike = typed.join(vocabulary, "block").filter(fits).withColumn("sim", word_similarity(F.col("p"), F.col("o"))).filter("sim > 0").select("p", "o", "w", "sim")
     best = printed.select("line_id", "t", F.size("printed").alias("words"), F.explode("printed").alias("p")).join(alike, "p").join(words, "o")
-    by_word = best.groupBy("line_id", "product_id", "t", "words", "p").agg(F.max(F.col("sim") * F.col("w")).alias("v"), F.max("w").alias("w"))
-    by = by_word.groupBy("line_id", "product_id", "t", "words").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.count("*").alias("hit"))
-    by = by.withColumn("score", F.round(F.col("v") / (F.col("w") + (F.col("words") - F.col("hit")) * 2), 6)).join(own.select("product_id", "s"), "product_id")
+    by_word = best.groupBy("line_id", "product_id", "t", "words", "p").agg(F.max(F.struct("sim", "w")).alias("m")).select("line_id", "product_id", "t", "words", (F.col("m.sim") * F.col("m.w")).alias("v"), F.col("m.w").alias("w"), F.col("m.sim").alias("s0"))
+    by = by_word.groupBy("line_id", "product_id", "t", "words").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.count("*").alias("hit"), F.count(F.when(F.col("s0") >= 0.6, 1)).alias("found"))
+    by = by.withColumn("score", F.round(F.col("v") / (F.col("w") + (F.col("words") - F.col("hit")) * 2), 6)).join(own.select("product_id", "s", F.size("own").alias("own_words")), "product_id")
+    by = by.filter((F.col("score") >= least) & ((F.col("found") >= 2) | ((F.col("words") == 1) & (F.col("own_words") == 1))))
     unknown = lambda c: (F.col(f"{c}.unit") == "un") & (F.col(f"{c}.amount") == 1)
     fits = unknown("t") | unknown("s") | ((F.col("t.unit") == F.col("s.unit")) & (F.col("t.amount") == F.col("s.amount")))
     order = Window.partitionBy("line_id").orderBy(F.desc("score"), "product_id")
@@ -83,7 +86,7 @@ def _readings(s, d) -> DataFrame:
 
 def _q_receipt_name(s, d):
     p = products(s, d)
-    lines = p.filter("id % 5 = 0").select(F.col("id").alias("line_id"), F.upper(F.regexp_replace("name", "(?i)(leite|queijo|carne|integral)([a-z]*)", "$1")).alias("name"))
+    lines = p.select(F.col("id").alias("line_id"), F.upper(F.regexp_replace("name", "(?i)(leite|queijo|carne|integral)([a-z]*)", "$1")).alias("name"))
     return match_lines(lines, p)
 
 
