@@ -91,16 +91,40 @@ def receipt_flags(lines: DataFrame) -> DataFrame:
     return by.select("receipt_id", "bad_math", F.array_join(F.array_except(span, "have"), ",").alias("missing"), (F.col("n") - F.size("have")).alias("repeated"))
 
 
-def offer_findings(offers: DataFrame, shown: DataFrame, live: int) -> DataFrame:
-    """level, finding: what stops or qualifies a snapshot."""
-    known = shown.select(F.col("id").alias("product_id"), F.lit(1).alias("k"))
-    a = offers.join(known, "product_id", "left").agg(F.count("*").alias("n"), F.count(F.when((F.col("price_cents") <= 0) | F.col("k").isNull(), 1)).alias("broken"))
-    rules = F.array(
-        F.struct(F.lit("error").alias("level"), F.when(F.col("n") == 0, "empty").alias("finding")),
-        F.struct(F.lit("error").alias("level"), F.when(F.col("broken") > 0, "broken offers").alias("finding")),
-        F.struct(F.lit("error").alias("level"), F.when(F.col("n") < live * 0.5, "far fewer than live").alias("finding")),
-    )
-    return a.select(F.explode(rules).alias("r")).select("r.*").filter("finding is not null")
+def offer_findings(offers: DataFrame, shown: DataFrame, live: int | None, retailers: DataFrame | None = None, with_flyers: DataFrame | None = None) -> DataFrame:
+    """level, finding, n: what stops or qualifies a snapshot before it replaces one of ``live`` offers (None: unknown).
+
+    Without offers nothing else is said. Errors: offers without a valid price or product, and under half of the live ones.
+    Warnings: each of ``retailers`` (retailer_name) without an offer, unless it has a flyer (with_flyers: retailer_name), and
+    an unknown live number.
+    """
+    known = shown.select(F.col("id").alias("product_id"), F.lit(1).alias("k")).distinct()
+    a = offers.join(known, "product_id", "left").agg(F.count("*").alias("n"), F.count(F.when(F.coalesce(F.col("price_cents") <= 0, F.lit(True)) | F.col("k").isNull(), 1)).alias("broken"))
+    rule = lambda level, when, finding, n: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(finding).alias("finding"), n.cast("long").alias("n")))
+    some = F.col("n") > 0
+    rules = [rule("error", ~some, "no offers", F.col("n")), rule("error", F.col("broken") > 0, "no valid price or product", F.col("broken"))]
+    rules.append(rule("warning", some, "live offers unknown", F.lit(0)) if live is None else rule("error", some & (F.col("n") < live * 0.5), "under half of the live offers", F.col("n")))
+    out = a.select(F.explode(F.array_compact(F.array(*rules))).alias("r")).select("r.*")
+    if retailers is not None:
+        silent = retailers.select("retailer_name").distinct().join(offers.select("retailer_name").distinct(), "retailer_name", "left_anti")
+        silent = silent if with_flyers is None else silent.join(with_flyers.select("retailer_name").distinct(), "retailer_name", "left_anti")
+        silent = silent.join(F.broadcast(a.filter(some).select(F.lit(0).cast("long").alias("n"))))  # one row, or none
+        out = out.unionByName(silent.select(F.lit("warning").alias("level"), F.concat(F.lit("no offers of "), "retailer_name").alias("finding"), "n"))
+    return out
+
+
+def html_links(pages: DataFrame, keywords: tuple[str, ...], base: str, limit: int) -> DataFrame:
+    """page_id, url, place (from 1): the first ``limit`` different links of each page (page_id, html) whose address or text
+    holds one of the keywords; relative ones are completed by ``base``. Links in other quotes or without are found too."""
+    link = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*>(.*?)</a>"
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(link), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(link), F.lit(2)).alias("text"))
+    each = pages.select("page_id", F.posexplode(both).alias("i", "x")).select("page_id", "i", F.col("x.href").alias("href"), F.lower(F.regexp_replace("x.text", "<[^>]*>", "")).alias("text"))
+    wanted = F.lit(False)
+    for k in keywords:
+        wanted = wanted | F.lower("href").contains(k) | F.col("text").contains(k)
+    url = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("href", "^/+", "")))
+    first = each.filter(wanted).groupBy("page_id", url.alias("url")).agg(F.min("i").alias("i"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("i"))).filter(F.col("place") <= limit).select("page_id", "url", "place")
 
 
 def idf_weights(df: DataFrame) -> DataFrame:
@@ -179,8 +203,13 @@ def _q_placeholder(s, d):
 
 
 def _q_findings(s, d):
+    """A list with some prices lost and some products missing, against far more live offers and a chain that sells nothing."""
     offers, shown = public_tables(s, d)
-    return offer_findings(offers, shown, 1_000_000_000)
+    k = F.col("product_id")
+    bad = offers.withColumn("price_cents", F.when(k % 97 == 0, 0).when(k % 89 != 0, F.col("price_cents")))
+    retailers = offers.select("retailer_name").distinct().unionByName(s.range(8, 11).select(F.concat(F.lit("Chain "), F.col("id").cast("string")).alias("retailer_name")))
+    flyer = s.range(9, 10).select(F.concat(F.lit("Chain "), F.col("id").cast("string")).alias("retailer_name"))
+    return offer_findings(bad, shown.filter("id % 83 <> 0"), 1_000_000_000, retailers, flyer)
 
 
 def _q_contract(s, d):
@@ -211,7 +240,7 @@ QUERIES = {
     "src_products": lambda s, d: products(s, d).orderBy("id").limit(100).select("id", "name"),
     "dq_check_snapshot": _q_findings,
     "dq_product_contract": _q_contract,
-    "src_html_links": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("i", "link")).groupBy("page_id", "link").agg(F.min("i").alias("first")).select("page_id", "link", "first"),
+    "src_html_links": lambda s, d: html_links(table(s, d, "pages"), ("a", "1"), "https://shop.example.org/", 5),
 }
 
 _STOPS = "('com', 'sem', 'para', 'por', 'dos', 'das', 'nos', 'nas', 'que', 'uma', 'uns', 'umas', 'aos', 'pelo', 'pela', 'seu', 'sua', 'mais', 'tipo')"
@@ -252,7 +281,10 @@ ORACLE_SQL = {
     "flt_dead_url": with_tables("SELECT id, image_url FROM products WHERE contains(image_url, 'via.placeholder.com')", "products"),
     "flt_missing_image": with_tables("SELECT id FROM products WHERE image_url IS NULL ORDER BY id LIMIT 50", "products"),
     "src_products": with_tables("SELECT id, name FROM products ORDER BY id LIMIT 100", "products"),
-    "dq_check_snapshot": public_sql("SELECT 'error' AS level, 'far fewer than live' AS finding FROM (SELECT count(*) AS n FROM offers) WHERE n < 500000000"),
+    "dq_check_snapshot": public_sql("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE product_id % 97 = 0 OR product_id % 89 = 0 OR product_id % 83 = 0) AS b FROM offers)
+        SELECT 'error' AS level, 'no valid price or product' AS finding, b AS n FROM n WHERE b > 0 UNION ALL SELECT 'error', 'under half of the live offers', n FROM n UNION ALL SELECT 'warning', 'no offers of Chain 8', 0 UNION ALL SELECT 'warning', 'no offers of Chain 10', 0"""),
     "dq_product_contract": public_sql("SELECT id, 'brand' AS rule FROM shown WHERE brand = ''"),
-    "src_html_links": "SELECT page_id, link, min(i) - 1 AS first FROM (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1) AS l FROM pages)) GROUP BY ALL",
+    "src_html_links": r"""WITH l AS (SELECT page_id, unnest(h) AS href, unnest(t) AS text, generate_subscripts(h, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*>(.*?)</a>', 2) AS t FROM pages)),
+        w AS (SELECT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://shop.example.org/' || ltrim(href, '/') END AS url, min(i) AS i FROM (SELECT *, lower(regexp_replace(text, '<[^>]*>', '', 'g')) AS t FROM l) WHERE contains(lower(href), 'a') OR contains(t, 'a') OR contains(href, '1') OR contains(t, '1') GROUP BY 1, 2)
+        SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS place FROM w QUALIFY place <= 5""",
 }
