@@ -53,14 +53,27 @@ def longest_prefix(df: DataFrame, code: str, table_: DataFrame, value: str) -> D
 
 def token_overlap(text: DataFrame, codes: DataFrame, top: int = TOP_CODES) -> DataFrame:
     """The best codes (8 digits) of each text (id, words) by shared words less a twentieth for each further word of the
-    code; through an inverted index, so only pairs that share a word are met."""
-    w = text.select("id", F.explode("words").alias("word"))
-    c = codes.filter(F.length("code") == 8).select("code", "description", content_words("description").alias("own"))
-    c = c.select("code", F.length("description").alias("len"), F.size("own").alias("n"), F.explode("own").alias("word"))
-    met = w.join(c, "word").groupBy("id", "code", "len", "n").agg(F.count("*").alias("shared"))
-    score = F.round(F.col("shared") - (F.col("n") - F.col("shared")) * 0.05, 4)
-    rank = Window.partitionBy("id").orderBy(F.desc("score"), "len", "code")
-    return met.withColumn("score", score).withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= top).select("id", "code", "score", F.col("n").alias("place"))
+    code; through an inverted index, so only pairs that share a word are met.
+
+    Texts of the same words are scored once, and so are codes of the same words, of which the first ``top`` by length and
+    code are all that a text can take. A set of codes is opened only while better sets leave room for it.
+    """
+    bag = F.array_join(F.array_sort("words"), " ")
+    own = text.select("id", bag.alias("bag"))
+    w = text.select(bag.alias("bag"), "words").dropDuplicates(["bag"]).select("bag", F.explode("words").alias("word"))
+    named = codes.filter(F.length("code") == 8).select("code", F.length("description").alias("len"), F.array_sort(content_words("description")).alias("own"))
+    first = Window.partitionBy("own").orderBy("len", "code")
+    members = named.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= top).select("own", "len", "code")
+    sets = members.groupBy("own").agg(F.count("*").alias("codes")).withColumn("set", F.array_join("own", " "))
+    c = sets.select("set", "codes", F.size("own").alias("n"), F.explode("own").alias("word"))
+    met = w.join(c, "word").groupBy("bag", "set", "n", "codes").agg(F.count("*").alias("shared"))
+    met = met.select("bag", "set", "codes", F.round(F.col("shared") - (F.col("n") - F.col("shared")) * 0.05, 4).alias("score"))
+    better = F.sum("codes").over(Window.partitionBy("bag").orderBy(F.desc("score"))) - F.sum("codes").over(Window.partitionBy("bag", "score"))
+    met = met.withColumn("better", better).filter(F.col("better") < top)
+    opened = met.join(members.select(F.array_join("own", " ").alias("set"), "len", "code"), "set")
+    rank = Window.partitionBy("bag").orderBy(F.desc("score"), "len", "code")
+    best = opened.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= top)
+    return own.join(best.select("bag", "code", "score", "place"), "bag").select("id", "code", "score", "place")
 
 
 def overlap_best(overlap: DataFrame) -> DataFrame:
