@@ -33,24 +33,26 @@ def match_lines(lines: DataFrame, product: DataFrame, margin: float = 0.1, least
     lines (line_id, name), product (id, name). Distinct words that share their first letter are compared (no others are
     alike); a word weighs by how few products carry it; sizes must agree where both are known. Two words must be found (one
     where either side has only one), the score must reach ``least`` and beat the next by ``margin``. Lines of the same words
-    and size are scored once, and so are products; several products of one set explain a line equally, so none is taken.
+    are scored once, and so are products; several products of one set and size explain a line equally, so none is taken.
     """
     own = product.select("id", F.array_sort(F.array_distinct(name_tokens("name"))).alias("own"), parse_size("name").alias("s"))
-    own = own.groupBy("own", "s").agg(F.min("id").alias("product_id"), F.count("*").alias("members"))
+    sizes = own.groupBy("own", "s").agg(F.min("id").alias("product_id"), F.count("*").alias("members"))
+    sets = own.groupBy("own").agg(F.min("id").alias("set_id"), F.count("*").alias("carriers")).withColumn("own_words", F.size("own"))
     printed = lines.select("line_id", F.array_sort(F.array_distinct(name_tokens("name"))).alias("printed"), parse_size("name").alias("t"))
-    typed_as = printed.select("printed", "t").distinct()
-    words = own.select("product_id", "members", F.explode("own").alias("o"))
+    words = sets.select("set_id", "own_words", "carriers", F.explode("own").alias("o"))
     n = product.agg(F.count("*").alias("n"))
-    weight = words.groupBy("o").agg(F.sum("members").alias("k")).crossJoin(n).select("o", (F.log((F.col("n") + 1) / (F.col("k") + 1)) + 1).alias("w"))
+    weight = words.groupBy("o").agg(F.sum("carriers").alias("k")).crossJoin(n).select("o", (F.log((F.col("n") + 1) / (F.col("k") + 1)) + 1).alias("w"))
     vocabulary = weight.withColumn("block", F.substring("o", 1, 1))
-    typed = typed_as.select(F.explode("printed").alias("p")).distinct().withColumn("block", F.substring("p", 1, 1))
-    fits = (F.length("o") >= F.length("p") - 1) & (F.length("o") <= F.greatest(F.length("p") * 2, F.when(F.col("o").startswith(F.col("p")), F.length("o")).otherwise(0)))
-    alike = typed.join(vocabulary, "block").filter(fits).withColumn("sim", word_similarity(F.col("p"), F.col("o"))).filter("sim > 0").select("p", "o", "w", "sim")
-    best = typed_as.select("printed", "t", F.explode("printed").alias("p")).join(alike, "p").join(words.drop("members"), "o")
-    by_word = best.groupBy("printed", "t", "product_id", "p").agg(F.max(F.struct("sim", "w")).alias("m")).select("printed", "t", "product_id", (F.col("m.sim") * F.col("m.w")).alias("v"), F.col("m.w").alias("w"), F.col("m.sim").alias("s0"))
-    by = by_word.groupBy("printed", "t", "product_id").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.count("*").alias("hit"), F.count(F.when(F.col("s0") >= 0.6, 1)).alias("found")).withColumn("words", F.size("printed"))
-    by = by.withColumn("score", F.round(F.col("v") / (F.col("w") + (F.col("words") - F.col("hit")) * 2), 6)).join(own.select("product_id", "s", "members", F.size("own").alias("own_words")), "product_id")
-    by = by.filter((F.col("score") >= least) & ((F.col("found") >= 2) | ((F.col("words") == 1) & (F.col("own_words") == 1))))
+    typed = printed.select(F.explode("printed").alias("p")).distinct()
+    near = (F.length("o") >= F.length("p") - 1) & (F.length("o") <= F.greatest(F.length("p") * 2, F.when(F.col("o").startswith(F.col("p")), F.length("o")).otherwise(0)))
+    alike = typed.withColumn("block", F.substring("p", 1, 1)).join(vocabulary, "block").filter(near).withColumn("sim", word_similarity(F.col("p"), F.col("o"))).filter("sim > 0").select("p", "o", "w", "sim")
+    met = printed.select("printed").distinct().select("printed", F.explode("printed").alias("p")).join(alike, "p").join(words.drop("carriers"), "o")
+    by_word = met.groupBy("printed", "set_id", "own_words", "p").agg(F.max(F.struct("sim", "w")).alias("m")).select("printed", "set_id", "own_words", (F.col("m.sim") * F.col("m.w")).alias("v"), F.col("m.w").alias("w"), F.col("m.sim").alias("s0"))
+    by = by_word.groupBy("printed", "set_id", "own_words").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.count("*").alias("hit"), F.count(F.when(F.col("s0") >= 0.6, 1)).alias("found")).withColumn("words", F.size("printed"))
+    by = by.withColumn("score", F.round(F.col("v") / (F.col("w") + (F.col("words") - F.col("hit")) * 2), 6))
+    by = by.filter((F.col("score") >= least) & ((F.col("found") >= 2) | ((F.col("words") == 1) & (F.col("own_words") == 1)))).select("printed", "set_id", "score")
+    offered = sizes.join(sets.select("own", "set_id"), "own").select("set_id", "s", "product_id", "members")
+    by = by.join(offered, "set_id").join(printed.select("printed", "t").distinct(), "printed")
     unknown = lambda c: (F.col(f"{c}.unit") == "un") & (F.col(f"{c}.amount") == 1)
     fits = unknown("t") | unknown("s") | ((F.col("t.unit") == F.col("s.unit")) & (F.col("t.amount") == F.col("s.amount")))
     order = Window.partitionBy("printed", "t").orderBy(F.desc("score"), "product_id")
