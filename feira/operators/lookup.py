@@ -245,6 +245,11 @@ def _q_dim_table(s, d):
     return table_.save(append_new(p.select("name"), table_.read(), ["name"]))
 
 
+def _q_offer_product(s, d):
+    offers, shown = public_tables(s, d)
+    return offers.select("id", "product_id").join(shown.select(F.col("id").alias("product_id"), "name"), "product_id").select("id", "name")
+
+
 QUERIES = {
     "jn_override": _q_override,
     "jn_index_lookup": _q_index,
@@ -261,7 +266,7 @@ QUERIES = {
     "jn_retailer_list": _q_retailers,
     "set_with_data": lambda s, d: _q_retailers(s, d).select("retailer_id"),
     "jn_retailer_locations": _q_locations,
-    "jn_offer_product": lambda s, d: public_tables(s, d)[0].select("id", "product_id").join(public_tables(s, d)[1].select(F.col("id").alias("product_id"), "name"), "product_id").select("id", "name"),
+    "jn_offer_product": _q_offer_product,
     "dq_offer_contract": lambda s, d: offer_contract(dated(public_tables(s, d)[0]), F.lit(NOW).cast("timestamp")),
     "dq_exact_match": lambda s, d: exact_matches(public_tables(s, d)[1]).select("members", "first_id"),
     "flt_valid_line": lambda s, d: valid_lines(list_lines(s, d), 3),

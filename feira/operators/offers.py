@@ -262,11 +262,22 @@ def _q_basket(s, d):
 
 
 def _q_estimates(s, d):
-    ranked, _ = _ranked(s, d)
-    chain_of = public_tables(s, d)[0].select("retailer_id", F.col("retailer_name").alias("chain")).distinct()
+    offers, _ = _offers(s, d)
+    ranked = rank_offers(offers, _now())
+    chain_of = offers.select("retailer_id", F.col("retailer_name").alias("chain")).distinct()
     return store_estimates(basket(list_lines(s, d), ranked), _near(s, d), chain_of)
 
 
+def _q_alternatives(s, d):
+    ranked, shown = _ranked(s, d)
+    return alternatives(shown, ranked, 8)
+
+
+def _q_sizes(s, d):
+    ranked, shown = _ranked(s, d)
+    return group_by_size(shown, ranked)
+
+
 def _q_relevance(s, d):
     shown = public_tables(s, d)[1]
     return shown.filter(matches_query("name", "leite integral")).select("id", relevance("name", ["leite", "integral"]).alias("rank")).orderBy("rank", "id")
@@ -299,12 +310,12 @@ QUERIES = {
     "ag_price_spread": _q_spread,
     "ag_departments": _q_departments,
     "ag_cheapest_per_product": lambda s, d: cheapest(_ranked(s, d)[0]),
-    "ag_group_by_size": lambda s, d: group_by_size(public_tables(s, d)[1], _ranked(s, d)[0]),
+    "ag_group_by_size": _q_sizes,
     "win_tie_count": lambda s, d: lowest_label(_ranked(s, d)[0]),
     "fn_lowest_label": lambda s, d: lowest_label(_ranked(s, d)[0]).filter("label is not null"),
     "fn_out_of_comparison": _q_out,
     "ord_today": _q_today,
-    "ord_alternatives": lambda s, d: alternatives(public_tables(s, d)[1], _ranked(s, d)[0], 8),
+    "ord_alternatives": _q_alternatives,
     "ord_search_rank": lambda s, d: search(public_tables(s, d)[1], "leite", 21).select("id", "name"),
     "ord_relevance": _q_relevance,
     "ord_filter_sorts": _q_sorts,

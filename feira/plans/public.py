@@ -9,6 +9,7 @@ from feira.functions.text import CATEGORIES, category_sql, clean, club_of, displ
 from feira.functions.values import canonical_key, cents, product_key
 from feira.operators.listing import CANON, LATEST, LISTED, ON_LIST, latest_prices, listed_runs
 from feira.sources.domain import prices, products, runs, stores, with_tables
+from feira.sources.files import new_folder
 
 #: Offers a chain may have in the list: all of them.
 ALL = 0
@@ -114,11 +115,18 @@ def offer_variants(merged: DataFrame, product: DataFrame) -> DataFrame:
     )
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, as several parts of the list need it."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def build_public(product: DataFrame, store: DataFrame, price: DataFrame, run: DataFrame, cap: int = ALL) -> tuple[DataFrame, DataFrame]:
     """(offers, products) of the published list."""
-    latest = latest_prices(price, store, listed_runs(run)).filter("price > 0")
+    latest = saved(latest_prices(price, store, listed_runs(run)).filter("price > 0"), "latest")
     usable = product.join(latest.select(F.col("product_id").alias("id")), "id", "left_semi")
-    groups = match_products(usable)
+    groups = saved(match_products(usable), "groups")
     merged = most_useful(merged_prices(latest.join(usable.select(F.col("id").alias("product_id")), "product_id", "left_semi"), groups), cap)
     shown = enriched(usable, groups).join(merged.select("rep").distinct(), "rep", "left_semi")
     return offer_variants(merged, product), shown.withColumnRenamed("rep", "id")
