@@ -22,6 +22,7 @@ MODULES: tuple[str, ...] = (
     "feira.operators.discovery",
     "feira.operators.gold",
     "feira.plans.refresh",
+    "feira.streaming.prices",
 )
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feira.operators.state import HISTORY
+from feira.sources.domain import price_stream, with_tables
+from feira.sources.files import new_folder
 
 OUTPUT = "product_id long, store_id long, price_cents int, observed_at timestamp, changes int"
 STATE = "cents int, seen timestamp, history array<int>"
@@ -71,3 +73,36 @@ def ingest(folder: str):
         append_new(rows, there, key).write.mode("append").parquet(folder)
 
     return sink
+
+
+def _drained(stream: DataFrame, mode: str, sink) -> None:
+    """All that the source holds now, through ``sink``; the stream's progress is kept in the shared folder."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", new_folder(stream.sparkSession, "stream"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _q_windows(spark, d) -> DataFrame:
+    folder = new_folder(spark, "windows")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number:08d}")  # every batch holds all windows so far
+
+    own = price_stream(spark, d).withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
+    _drained(windowed_changes(own), "complete", sink)
+    batches = spark.read.option("basePath", folder).parquet(f"{folder}/*").withColumn("batch", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    last = batches.agg(F.max("batch").alias("batch"))  # one row
+    return batches.join(F.broadcast(last), "batch").select(F.col("window.start").alias("window_start"), "store_id", "rows", "low")
+
+
+def _q_ingest(spark, d) -> DataFrame:
+    folder = new_folder(spark, "observations")
+    _drained(price_stream(spark, d), "append", ingest(folder))
+    return spark.read.parquet(folder)
+
+
+QUERIES = {"stream_price_windows": _q_windows, "stream_observations": _q_ingest}
+
+ORACLE_SQL = {
+    "stream_price_windows": with_tables("SELECT time_bucket(INTERVAL 30 DAY, scraped_at::TIMESTAMP, TIMESTAMP '1970-01-01') AS window_start, store_id, count(*) AS rows, min(price) AS low FROM prices GROUP BY 1, 2", "prices"),
+    "stream_observations": with_tables("SELECT DISTINCT product_id, store_id, scraped_at, price FROM prices", "prices"),
+}
