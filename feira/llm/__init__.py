@@ -8,7 +8,10 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and, where SQL can express the operator, ORACLE_SQL.
-MODULES: tuple[str, ...] = ("quality", "sharding", "ngram_join", "license_scan", "pii", "substring_dedup", "toxicity", "token_store", "decontaminate", "mixing")
+MODULES: tuple[str, ...] = (
+    "quality", "sharding", "ngram_join", "license_scan", "pii", "substring_dedup", "toxicity", "token_store", "decontaminate", "mixing",
+    "whitening", "spelling", "word_table",
+)
 
 
 def queries() -> dict:
