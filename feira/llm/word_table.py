@@ -1,20 +1,20 @@
 """Operator 13: BPE encoding and decoding through tables of distinct words and of pieces.
 
 Encoding: texts are split into words in Spark and gathered in packets of whole documents. A packet holds a code for each
-word, in order, and its distinct words once. Each distinct word of all packets is encoded once by the tokenizer; its ids
-join the packets' words and go back to the places of their codes.
+word, in order, and its distinct words once. The words of all packets are dealt by word, each distinct one is encoded once
+by the tokenizer, and its ids join the packets again, where they go to the places of their codes.
 
-Decoding: an id's bytes are those of its piece. The distinct runs of ids (words when encoded here, single ids when the
-ids are given) are spelled by a join of their ids with the table of pieces, and join back by position in the same way.
+Decoding: the ids of a packet's words (or the distinct ids of a packet when ids are given) join the table of pieces by id,
+and the pieces go to the places of the codes in the same way.
 
-Words are parted only where a byte-level pattern always parts: between a character that is no white space of any kind and
-an ASCII white space after it. So a word's ids don't depend on its neighbours and the tokenizer's own pattern does the
-rest within it. Tokenizers of another kind (a normaliser, no byte level, added tokens that take white space with them) are
-given each text as one word.
+Words are parted where a byte-level pattern always parts: between a character that is no white space of any kind and an
+ASCII white space after it, and between a letter and an ASCII mark (no apostrophe) after it, but never within an added token. So a
+word's ids don't depend on its neighbours and the tokenizer's own pattern does the rest within it. Tokenizers of another
+kind (a normaliser, no byte level, added tokens that take white space with them) are given each text as one word.
 
-Scale: codes are 2 or 4 bytes a word and compressed; a word moves once a packet however often it stands in it; the table of
-pieces is as long as the tokenizer's vocabulary (refused above MAX_PIECES), so it is broadcast. Groups are packets, which
-are as large as PACKET_BYTES or one document.
+Scale: codes are 2 or 4 bytes a word, compressed, and stored once, bucketed by packet, so they don't move again; a word
+moves once a packet however often it stands in it; the table of pieces is as long as the tokenizer's vocabulary (refused
+above MAX_PIECES), so it is broadcast. Groups are packets, which are as large as PACKET_BYTES or one document.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; null ids likewise; texts and words of any length
 are encoded whole; repeated rows and null doc_ids keep their rows; ids without a piece add nothing; bytes that are no UTF-8 become
@@ -26,15 +26,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm.common import small_batches, table, written
+from feira.llm.common import shared_folder, small_batches, table
 
 #: Bytes of text of a packet.
-PACKET_BYTES = 12 << 20
+PACKET_BYTES = 32 << 20
 #: Pieces of a vocabulary that may be broadcast.
 MAX_PIECES = 4_000_000
 
@@ -70,20 +71,39 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _CONTROL = _BLANK.copy()
 _CONTROL[28:32] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+#: Second bytes of the letters U+00C0 to U+00FF, all but the two signs among them.
+_LATIN = np.zeros(256, bool)
+_LATIN[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
 
 
 def word_starts(x: np.ndarray) -> np.ndarray:
     """Places of UTF-8 bytes ``x`` at which a word begins: an ASCII white space after a character that is no white space
-    of Unicode (a few other separators aren't parted from what follows either, which changes nothing)."""
+    of Unicode (a few other separators aren't parted from what follows either, which changes nothing), and an ASCII mark
+    after a letter (of Latin-1; after others it isn't parted)."""
     back = np.concatenate([np.zeros(3, np.uint8), x])
     a, b, c = back[:-3], back[1:-2], back[2:-1]  # the third, second and first byte before each place
     space = _CONTROL[c] | ((b == 0xC2) & ((c == 0x85) | (c == 0xA0)))
     space |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | ((b == 0x81) & (c >= 0x9F) & (c <= 0xA4)))
     space |= ((a == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
-    return np.flatnonzero(_BLANK[x] & ~space)
+    letter = _LETTER[c] | ((b == 0xC3) & _LATIN[c])
+    return np.flatnonzero((_BLANK[x] & ~space) | (_MARK[x] & letter))
 
 
-def _split(column, apart: bool):
+def _whole(cuts: np.ndarray, text: bytes, tokens: list[bytes]) -> np.ndarray:
+    """``cuts`` without those within an occurrence of one of ``tokens``."""
+    for token in tokens:
+        at = text.find(token)
+        while at >= 0:
+            cuts = np.delete(cuts, np.s_[np.searchsorted(cuts, at, "right") : np.searchsorted(cuts, at + len(token))])
+            at = text.find(token, at + 1)
+    return cuts
+
+
+def _split(column, apart: bool, tokens: list[bytes]):
     """Words of an Arrow column of texts as one binary array, and the words up to each text's end."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -92,8 +112,12 @@ def _split(column, apart: bool):
     ends = np.cumsum(pc.binary_length(raw).to_numpy())
     begins = np.append(0, ends[:-1])
     buffer = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), raw), pa.scalar(b"", pa.large_binary()))[0].as_buffer()
-    filled = begins[ends > begins]
-    cuts = np.union1d(filled, word_starts(np.frombuffer(buffer, np.uint8))) if apart and len(filled) else filled
+    cuts = begins[ends > begins]
+    if apart and len(cuts):
+        x = np.frombuffer(buffer, np.uint8)
+        step = 1 << 22  # a part at a time, with the three bytes before it
+        found = np.concatenate([word_starts(x[max(0, k - 3) : k + step]) + max(0, k - 3) for k in range(0, len(x), step)])
+        cuts = np.union1d(cuts, _whole(np.unique(found), buffer.to_pybytes() if tokens else b"", tokens))
     offsets = np.append(cuts, ends[-1] if len(ends) else 0).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), buffer])
     return words, np.searchsorted(cuts, ends)
@@ -137,8 +161,8 @@ def _joined(batches, most: int):
 
 
 def _packets(rows: DataFrame, split, name: str) -> DataFrame:
-    """A written table of packets of ``rows`` (doc_id and one more column). split(column): an Arrow array of all entries
-    in order, and the entries up to the end of each row."""
+    """Packets of ``rows`` (doc_id and one more column), written in the shared folder and bucketed by packet. split(column): an
+    Arrow array of all entries in order, and the entries up to the end of each row."""
 
     def gather(batches):
         import pyarrow as pa
@@ -165,14 +189,24 @@ def _packets(rows: DataFrame, split, name: str) -> DataFrame:
             )
             number += 1
 
-    return written(rows.mapInArrow(gather, PACKET), name)
+    spark = rows.sparkSession
+    made = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.mapInArrow(gather, PACKET).write.bucketBy(buckets, "packet").option("path", f"{shared_folder(spark)}/{made}").option("compression", "zstd")
+    found.saveAsTable(made)
+    return spark.table(made)
+
+
+def _entries(packets: DataFrame) -> DataFrame:
+    own = packets.select(F.col("packet").alias("packet"), "entries")  # a column of its own, as the entries meet their packets again
+    return own.select("packet", F.posexplode("entries").alias("code", "entry"))
 
 
 def split_words(docs: DataFrame, path: str) -> DataFrame:
     """Packets of the words of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
-    apart = in_words(path)
-    return _packets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda column: _split(column, apart), "bpe-words")
+    apart, added = in_words(path), [t["content"].encode() for t in _open(path)[1].get("added_tokens", ()) if t["content"]]
+    return _packets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda column: _split(column, apart, added), "bpe_words")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -198,68 +232,45 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(spelled(p))) for p, i in vocabulary.items()], "id int, piece binary")
 
 
-def _numbered(distinct: DataFrame, name: str) -> DataFrame:
-    """``distinct`` with a number ``run`` for each row, as a written table."""
-    return written(distinct.select(F.monotonically_increasing_id().alias("run"), "*"), name)
-
-
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """run, entry, ids: each distinct word encoded once; ids as little-endian u4."""
+def encode_entries(entries: DataFrame, path: str) -> DataFrame:
+    """packet, code, ids array<int> of packets' words (packet, code, entry): dealt by word, each distinct one encoded once."""
 
     def encode(batches):
         import pyarrow as pa
 
-        tokenizer = _open(path)[0]
-        for batch in _joined(batches, 1 << 20):
-            own = batch.column("entry")
-            found = tokenizer.encode_batch_fast([w.decode() for w in own.to_pylist()], add_special_tokens=False)
-            yield pa.RecordBatch.from_pydict({"entry": own, "ids": pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())})
-
-    return _numbered(words.select("entry").distinct().mapInArrow(encode, "entry binary, ids binary"), "bpe-ids")
-
+        tokenizer, last = _open(path)[0], {}
+        for batch in _joined(batches, 4 << 20):
+            coded = batch.column("entry").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            new = [w for w in words if w not in last]
+            known = last | dict(zip(new, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+            last = {words[-1]: known[words[-1]]} if words else {}  # rows are sorted: only the last word may go on
+            ids = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column("packet"), batch.column("code"), ids], ["packet", "code", "ids"])
 
-def spell(runs: DataFrame, path: str) -> DataFrame:
-    """run, spelled: the bytes of each run of ids (run, ids as little-endian u4), by a join of its ids with the pieces."""
+    return entries.repartition("entry").sortWithinPartitions("entry").mapInArrow(encode, "packet long, code int, ids array<int>")
 
-    def open_runs(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            held = [np.frombuffer(r, "<u4").astype(np.int32) for r in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"run": batch.column("run"), "list": pa.array(held, pa.list_(pa.int32()))})
-
-    listed = runs.select("run", "ids").mapInArrow(open_runs, "run long, list array<int>")
-    each = listed.select("run", F.posexplode("list").alias("place", "id"))
-    met = each.join(F.broadcast(pieces(runs.sparkSession, path)), "id")
-    parts = met.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("place", F.hex("piece").alias("piece")))).alias("parts"))
-    return parts.select("run", F.unhex(F.array_join(F.col("parts.piece"), "")).alias("spelled"))
 
+def _grouped(column, codes: np.ndarray, n: int) -> list[bytes]:
+    """The bytes of an Arrow binary column, in order, for each of ``n`` codes; codes rise."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble) -> DataFrame:
-    """Rows of documents from packets and the values of their entries.
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    ends = np.append(0, np.cumsum(pc.binary_length(column).to_numpy()))
+    whole = b"".join(column.to_pylist())
+    at = ends[np.searchsorted(codes, np.arange(n + 1))].tolist()
+    return [whole[x:y] for x, y in zip(at, at[1:], strict=False)]
 
-    values: entry and one or more value columns. assemble(values of a packet in order of code, codes, doc_ids, ends): an
-    Arrow batch of ``schema``.
-    """
-    names = [c for c in values.columns if c != "entry"]
-    entries = packets.select("packet", F.posexplode("entries").alias("code", "entry"))
-    met = entries.join(values, "entry", "left")
-    back = met.groupBy("packet").agg(F.collect_list(F.struct("code", *names)).alias("values"))
-    whole = packets.select("packet", "doc_ids", "ends", "codes", "wide").join(back, "packet", "left").drop("packet")
 
-    def build(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                held = batch.column("values")[k].values
-                held = held if held is not None else pa.array([], batch.schema.field("values").type.value_type)
-                order = np.argsort(held.field("code").to_numpy(), kind="stable")
-                tables = [[b"" if v is None else v for v in held.field(n).take(pa.array(order)).to_pylist()] for n in names]
-                codes = _unpacked(batch.column("codes")[k].as_py(), batch.column("wide")[k].as_py())
-                yield assemble(tables, codes, batch.column("doc_ids")[k].values, batch.column("ends")[k].values.to_numpy())
+def _in_order(rows, *by: str):
+    """An Arrow table's rows by the given columns, and the first of these."""
+    import pyarrow as pa
 
-    return whole.mapInArrow(build, schema)
+    rows = rows.combine_chunks()
+    order = np.lexsort([rows.column(c).to_numpy() for c in reversed(by)])
+    rows = rows.take(pa.array(order))
+    return rows, rows.column(by[0]).to_numpy()
 
 
 def _laid_out(values: list[bytes], codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -271,20 +282,45 @@ def _laid_out(values: list[bytes], codes: np.ndarray, ends: np.ndarray) -> list[
     return out
 
 
+def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble) -> DataFrame:
+    """Rows of documents from packets and the values of their entries (packet, code, ...): both meet by packet.
+
+    assemble(values, codes of the packet's words, doc_ids, ends): the columns of ``schema`` but doc_id, by name.
+    """
+
+    def build(own, values):
+        import pyarrow as pa
+
+        parts = []
+        for row in own.to_batches():
+            for k in range(row.num_rows):
+                codes = _unpacked(row.column("codes")[k].as_py(), row.column("wide")[k].as_py())
+                parts.append(pa.table({"doc_id": row.column("doc_ids")[k].values, **assemble(values, codes, row.column("ends")[k].values.to_numpy())}))
+        return pa.concat_tables(parts)
+
+    whole = packets.select("packet", "doc_ids", "ends", "codes", "wide")
+    return whole.groupBy("packet").cogroup(values.groupBy("packet")).applyInArrow(build, schema)
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, ids array<int> of each row of ``docs`` (doc_id, text), as the tokenizer encodes the whole text without
     special tokens. tokenizer: path of a file for the tokenizers library."""
     path = tokenizer or tokenizer_path()
     packets = split_words(docs, path)
-    known = encode_words(packets.select(F.explode("entries").alias("entry")), path)
 
-    def rows(tables, codes, doc_ids, ends):
+    def rows(values, codes, ends):
         import pyarrow as pa
 
-        ids = [np.frombuffer(r, "<u4").astype(np.int32) for r in _laid_out(tables[0], codes, ends)]
-        return pa.RecordBatch.from_pydict({"doc_id": doc_ids, "ids": pa.array(ids, pa.list_(pa.int32()))})
+        values, _ = _in_order(values, "code")
+        known = [np.asarray(x.values).astype("<i4").tobytes() for x in values.column("ids").combine_chunks()]
+        return {"ids": pa.array([np.frombuffer(r, "<i4") for r in _laid_out(known, codes, ends)], pa.list_(pa.int32()))}
+
+    return _by_position(packets, encode_entries(_entries(packets), path), "doc_id long, ids array<int>", rows)
 
-    return _by_position(packets, known.drop("run"), "doc_id long, ids array<int>", rows)
+
+def _with_pieces(ids: DataFrame, path: str) -> DataFrame:
+    """Rows with an ``id`` and the bytes of its piece."""
+    return ids.join(F.broadcast(pieces(ids.sparkSession, path)), "id", "left")
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -296,49 +332,47 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        flat = pc.list_flatten(column).cast(pa.int32())
+        column = pc.fill_null(column, [])
+        flat, offsets = column.flatten(), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy()))
         keep = pc.is_valid(flat).to_numpy(zero_copy_only=False)
-        sizes = pc.list_value_length(column).fill_null(0).to_numpy()
-        kept = np.add.reduceat(np.append(keep, False).astype(np.int64), np.minimum(np.cumsum(sizes) - sizes, len(keep))) * (sizes > 0) if len(sizes) else sizes
-        raw = flat.filter(pa.array(keep)).to_numpy().astype("<i4").tobytes()
+        raw = flat.filter(pa.array(keep)).to_numpy().astype(">i4").tobytes()
         entries = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4), int(keep.sum()), [None, pa.py_buffer(raw)])
-        return entries.cast(pa.binary()), np.cumsum(kept)
-
-    packets = _packets(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), single_ids, "bpe-given")
-    ids = _numbered(packets.select(F.explode("entries").alias("entry")).distinct(), "bpe-ids").withColumn("ids", F.col("entry"))
-    spelled = ids.join(spell(ids, path), "run").select("entry", "spelled")
+        return entries.cast(pa.binary()), np.append(0, np.cumsum(keep))[offsets[1:]]
 
-    def rows(tables, codes, doc_ids, ends):
-        import pyarrow as pa
+    packets = _packets(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), single_ids, "bpe_given")
+    given = _entries(packets).select("packet", "code", F.conv(F.hex("entry"), 16, 10).cast("long").alias("id"))
 
-        return pa.RecordBatch.from_pydict({"doc_id": doc_ids, "text": [r.decode(errors="replace") for r in _laid_out(tables[0], codes, ends)]})
+    def rows(values, codes, ends):
+        values, place = _in_order(values, "code")
+        return {"text": [r.decode(errors="replace") for r in _laid_out(_grouped(values.column("piece").combine_chunks(), place, len(place)), codes, ends)]}
 
-    return _by_position(packets, spelled, "doc_id long, text string", rows)
+    return _by_position(packets, _with_pieces(given, path).select("packet", "code", "piece"), "doc_id long, text string", rows)
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian u4) and decoded_sha256 (of the text decoded from them):
-    both ways over one set of packets, whose runs of ids are spelled by the pieces."""
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian u4) and decoded_sha256 (of the text that the pieces of the ids
+    spell): both ways over one set of packets."""
     path = tokenizer or tokenizer_path()
     packets = split_words(docs, path)
-    known = encode_words(packets.select(F.explode("entries").alias("entry")), path)
-    known = written(known.join(spell(known, path), "run", "left").select("entry", "ids", "spelled"), "bpe-spelled")
+    known = encode_entries(_entries(packets), path).repartition("packet")
+    each = _with_pieces(known.select("packet", "code", F.posexplode("ids").alias("place", "id")), path)
 
-    def rows(tables, codes, doc_ids, ends):
+    def rows(values, codes, ends):
         import pyarrow as pa
 
-        ids, spelled = (_laid_out(t, codes, ends) for t in tables)
-        return pa.RecordBatch.from_pydict(
-            {
-                "doc_id": doc_ids,
-                "n_tokens": pa.array([len(r) // 4 for r in ids], pa.int64()),
-                "ids_sha256": [hashlib.sha256(r).hexdigest() for r in ids],
-                "decoded_sha256": [hashlib.sha256(r.decode(errors="replace").encode()).hexdigest() for r in spelled],
-            }
-        )
-
-    return _by_position(packets, known, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+        values, place = _in_order(values, "code", "place")
+        n = int(codes.max()) + 1 if len(codes) else 0
+        raw = values.column("id").to_numpy().astype("<u4").tobytes()
+        at = (4 * np.searchsorted(place, np.arange(n + 1))).tolist()
+        ids = _laid_out([raw[x:y] for x, y in zip(at, at[1:], strict=False)], codes, ends)
+        spelled = _laid_out(_grouped(values.column("piece").combine_chunks(), place, n), codes, ends)
+        return {
+            "n_tokens": pa.array([len(r) // 4 for r in ids], pa.int64()),
+            "ids_sha256": [hashlib.sha256(r).hexdigest() for r in ids],
+            "decoded_sha256": [hashlib.sha256(r.decode(errors="replace").encode()).hexdigest() for r in spelled],
+        }
+
+    return _by_position(packets, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
 
 
 def op13_word_table(spark, sf_dir):
