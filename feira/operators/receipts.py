@@ -1,4 +1,4 @@
-"""Receipts: consensus of several readings, matching lines to products, verdicts, and what a basket costs elsewhere."""
+"""Receipts: consensus of several readings, matching lines to products, and verdicts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feira.functions.text import name_tokens, parse_size
 from feira.functions.values import word_similarity
-from feira.operators.offers import _ranked, cheapest
+from feira.operators.offers import _ranked
 from feira.plans.public import public_sql
 from feira.sources.domain import products, receipt_lines, with_tables
 
@@ -71,18 +71,6 @@ def verdicts(lines: DataFrame, ranked: DataFrame) -> DataFrame:
     return own.select("receipt_id", "line_no", "product_id", "paid", verdict.alias("verdict"), over.alias("overpaid"))
 
 
-def receipt_baskets(lines: DataFrame, ranked: DataFrame) -> DataFrame:
-    """receipt_id, retailer_id, covered, total (cents) of a receipt's products at each retailer that has any."""
-    best = ranked.groupBy("product_id", "retailer_id").agg(F.min("price_cents").alias("price_cents"))
-    return lines.join(best, "product_id").groupBy("receipt_id", "retailer_id").agg(F.count("*").alias("covered"), F.sum(F.col("price_cents") * F.col("qty").cast("long")).alias("total"))
-
-
-def best_split(lines: DataFrame, ranked: DataFrame) -> DataFrame:
-    """receipt_id, retailers, total when every product is bought where it is cheapest."""
-    low = cheapest(ranked).select("product_id", "retailer_id", "price_cents")
-    return lines.join(low, "product_id").groupBy("receipt_id").agg(F.countDistinct("retailer_id").alias("retailers"), F.sum(F.col("price_cents") * F.col("qty").cast("long")).alias("total"))
-
-
 def _readings(s, d) -> DataFrame:
     base = receipt_lines(s, d).groupBy("receipt_id", "line_no").agg(F.max("total").alias("total"))
     k = F.col("receipt_id") * 7 + F.col("line_no")
@@ -109,8 +97,6 @@ QUERIES = {
     "ag_receipt_consensus": lambda s, d: consensus(_readings(s, d)),
     "jn_receipt_name": _q_receipt_name,
     "ag_receipt_report": _q_report,
-    "ag_receipt_basket": lambda s, d: receipt_baskets(_sample(s, d), _ranked(s, d)[0]),
-    "ag_receipt_split": lambda s, d: best_split(_sample(s, d), _ranked(s, d)[0]),
 }
 
 
@@ -130,6 +116,4 @@ ORACLE_SQL = {
           (SELECT receipt_id, line_no, max(votes) AS other FROM v JOIN w USING (receipt_id, line_no) WHERE abs(value + b[2]) > 0.02 + 1e-9 GROUP BY 1, 2) USING (receipt_id, line_no)""", "receipt_lines"),
     "ag_receipt_report": _sql("""SELECT receipt_id, count(*) AS lines, count(*) FILTER (WHERE paid > high + 1) AS above, count(*) FILTER (WHERE low IS NULL) AS unpriced, sum(greatest(0, paid - coalesce(low, paid)))::BIGINT AS overpaid
         FROM (SELECT *, floor(unit_price * 100 + 0.5)::INT AS paid FROM receipt_lines) LEFT JOIN (SELECT product_id, min(price_cents) AS low, max(price_cents) AS high FROM rk GROUP BY 1) USING (product_id) GROUP BY 1""", "receipt_lines"),
-    "ag_receipt_basket": _sql("SELECT receipt_id, retailer_id, count(*) AS covered, sum(p * qty::BIGINT)::BIGINT AS total FROM receipt_lines JOIN (SELECT product_id, retailer_id, min(price_cents) AS p FROM rk GROUP BY ALL) USING (product_id) GROUP BY ALL", "receipt_lines"),
-    "ag_receipt_split": _sql("SELECT receipt_id, count(DISTINCT retailer_id) AS retailers, sum(p * qty::BIGINT)::BIGINT AS total FROM receipt_lines JOIN (SELECT product_id, arg_min(retailer_id, (price_cents, id)) AS retailer_id, min(price_cents) AS p FROM rk GROUP BY 1) USING (product_id) GROUP BY 1", "receipt_lines"),
 }

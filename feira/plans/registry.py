@@ -14,6 +14,7 @@ MODULES: tuple[str, ...] = (
     "feira.operators.state",
     "feira.operators.warehouse",
     "feira.operators.receipts",
+    "feira.operators.baskets",
     "feira.sources.feeds",
     "feira.operators.lookup",
     "feira.sources.files",
