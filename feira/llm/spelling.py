@@ -6,7 +6,8 @@ deleted or replaced symbol. The neighbourhoods join the reduced vocabulary and p
 
 Forms are 64-bit polynomial hashes, so a neighbour is made from the hashes of what stands before and after it, for all
 words of a length at once. Each neighbour is made once (an edit within a run of one symbol counts at one of its places),
-so a pair meets once. Words of more than LONG letters travel by number and are fetched for the pairs that meet.
+so a pair meets once. Neighbours that are no form of
+the vocabulary are left out before they move, by a filter of bounded size. Words of more than LONG letters travel by number and are fetched for the pairs that meet.
 
 Counting is done within a task before anything moves. A word has at most a few hundred near words per letter, so no group
 grows with the corpus; crowded reduced forms are join keys, which adaptive execution may split.
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm.common import small_batches, table, texts, written
+from feira.llm.common import mix64, small_batches, table, texts, written
 
 #: Symbols of the reduced alphabet: more of them make longer neighbourhoods and fewer words of one form.
 SYMBOLS = 8
@@ -36,6 +37,8 @@ LEAST_LENGTH, LEAST_COUNT = 5, 3
 SLIP = 97
 #: Letters beyond which a word is fetched by its number.
 LONG = 64
+#: Slots of the filter of known forms: for each word, and at most (16 MB of bits).
+SLOTS_A_WORD, MAX_SLOTS = 16, 1 << 27
 #: Words a task counts before it passes them on; values of neighbourhoods made at once.
 HELD, MADE = 400_000, 1 << 20
 
@@ -146,55 +149,84 @@ def _by_length(words: list[str]):
             yield mine, np.frombuffer(raw, "<u4").reshape(len(mine), n)
 
 
-def _named(batch, places: np.ndarray, long: bool):
-    """The words at ``places`` of a batch and nulls; for long ones nulls and their numbers."""
-    import pyarrow as pa
-
-    at, n = pa.array(places), len(places)
-    return (pa.nulls(n, pa.string()), batch.column("id").take(at)) if long else (batch.column("word").take(at), pa.nulls(n, pa.int64()))
-
-
-def form_rows(words: DataFrame) -> DataFrame:
-    """form, near, near_id, near_n: the reduced form of each word. near is null and near_id set where it is long."""
+def form_rows(words: DataFrame, long: bool) -> DataFrame:
+    """form, near (its number if ``long``), near_n: the reduced form of each word."""
 
     def make(batches):
         import pyarrow as pa
 
         for batch in batches:
+            own = batch.column("id" if long else "word")
             for places, points in _by_length(batch.column("word").to_pylist()):
-                form = pa.array(form_hashes(reduced(points)).view(np.int64))
-                word, number = _named(batch, places, points.shape[1] > LONG)
-                yield pa.RecordBatch.from_pydict({"form": form, "near": word, "near_id": number, "near_n": batch.column("n").take(pa.array(places))})
+                at = pa.array(places)
+                yield pa.RecordBatch.from_pydict({"form": pa.array(form_hashes(reduced(points)).view(np.int64)), "near": own.take(at), "near_n": batch.column("n").take(at)})
 
-    return words.mapInArrow(make, "form long, near string, near_id long, near_n long")
+    return words.mapInArrow(make, f"form long, near {'long' if long else 'string'}, near_n long")
 
 
-def neighbour_rows(words: DataFrame) -> DataFrame:
-    """form, word, id: the whole neighbourhood of each word's reduced form. word is null and id set where it is long."""
+def neighbour_rows(words: DataFrame, known: np.ndarray, long: bool) -> DataFrame:
+    """form, word (its number if ``long``): the whole neighbourhood of each word's reduced form, but for forms that no word
+    of the vocabulary has (``known``: a bit for each slot of forms)."""
+    held = words.sparkSession.sparkContext.broadcast(known)
 
     def make(batches):
         import pyarrow as pa
 
+        bits = held.value
         for batch in batches:
+            own = batch.column("id" if long else "word")
             for places, points in _by_length(batch.column("word").to_pylist()):
                 for rows, hashes in neighbourhoods(reduced(points)):
-                    word, number = _named(batch, places[rows], points.shape[1] > LONG)
-                    yield pa.RecordBatch.from_pydict({"form": pa.array(hashes.view(np.int64)), "word": word, "id": number})
+                    slot = _slot(hashes, len(bits) * 8)
+                    hit = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    yield pa.RecordBatch.from_pydict({"form": pa.array(hashes[hit].view(np.int64)), "word": own.take(pa.array(places[rows[hit]]))})
+
+    return words.mapInArrow(make, f"form long, word {'long' if long else 'string'}")
+
+
+def _slot(forms: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of each form among a power of two."""
+    return mix64(forms) & np.uint64(bits - 1)
+
 
-    return words.mapInArrow(make, "form long, word string, id long")
+def known_slots(words: DataFrame) -> np.ndarray:
+    """A bit for each slot that a word's reduced form falls into: about SLOTS_A_WORD slots a word and MAX_SLOTS at most, so
+    what is broadcast is bounded; beyond, it only filters less."""
+    n = words.count()
+    bits = 1 << 15
+    while bits < min(MAX_SLOTS, n * SLOTS_A_WORD):
+        bits *= 2
+
+    def slots(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, points in _by_length(batch.column("word").to_pylist()):
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(_slot(form_hashes(reduced(points)), bits).view(np.int64))})
+
+    found = words.select("word").mapInArrow(slots, "slot long")
+    parts = found.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)[:4096]
+    return out
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, near, near_n: each word and each word one edit from it, both ways round."""
-    met = neighbour_rows(words).join(form_rows(words), "form")
+    known = known_slots(words)
+
+    def met(some: DataFrame, long: bool) -> DataFrame:
+        return neighbour_rows(some, known, long).join(form_rows(some, long), "form")
+
     one_edit = F.levenshtein("word", "near", 1) == 1
-    short = met.filter(one_edit)
-    # pairs of which one is long: meet once by numbers, then fetch what isn't there
-    by_id = words.filter(F.length("word") > LONG).select(F.col("id"), F.col("word").alias("whole"))
-    long = met.filter(F.col("id").isNotNull() | F.col("near_id").isNotNull()).drop("form").distinct()
-    long = long.join(by_id, "id", "left").withColumn("word", F.coalesce("word", "whole")).drop("whole")
-    long = long.join(by_id.withColumnRenamed("id", "near_id"), "near_id", "left").withColumn("near", F.coalesce("near", "whole")).filter(one_edit)
-    return short.select("word", "near", "near_n").unionByName(long.select("word", "near", "near_n"))
+    short = met(words.filter(F.length("word") <= LONG), False).filter(one_edit).select("word", "near", "near_n")
+    # pairs of which one is long: meet by numbers, once, then fetch the words
+    by_id = words.filter(F.length("word") >= LONG)
+    named = by_id.select("id", F.col("word").alias("text"))
+    long = met(by_id, True).select("word", "near", "near_n").distinct()
+    long = long.join(named.toDF("word", "a"), "word").join(named.toDF("near", "b"), "near").select(F.col("a").alias("word"), F.col("b").alias("near"), "near_n")
+    return short.unionByName(long.filter((F.length("word") > LONG) | (F.length("near") > LONG)).filter(one_edit))
 
 
 def roots(forms: DataFrame) -> DataFrame:
