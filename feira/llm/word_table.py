@@ -26,7 +26,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 from feira.llm.common import shared_folder, small_batches, table
 
 #: Bytes of text of a packet.
-PACKET_BYTES = 32 << 20
+PACKET_BYTES = 24 << 20
+#: Words of packets that are dealt to one task.
+DEALT_WORDS = 1_000_000
 #: Pieces of a vocabulary that may be broadcast.
 MAX_PIECES = 4_000_000
 
@@ -93,13 +97,12 @@ def word_starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero((_BLANK[x] & ~space) | (_MARK[x] & letter))
 
 
-def _whole(cuts: np.ndarray, text: bytes, tokens: list[bytes]) -> np.ndarray:
+def _whole(cuts: np.ndarray, text, tokens: list[bytes]) -> np.ndarray:
     """``cuts`` without those within an occurrence of one of ``tokens``."""
     for token in tokens:
-        at = text.find(token)
-        while at >= 0:
+        for found in re.finditer(b"(?=" + re.escape(token) + b")", text):
+            at = found.start()
             cuts = np.delete(cuts, np.s_[np.searchsorted(cuts, at, "right") : np.searchsorted(cuts, at + len(token))])
-            at = text.find(token, at + 1)
     return cuts
 
 
@@ -115,9 +118,12 @@ def _split(column, apart: bool, tokens: list[bytes]):
     cuts = begins[ends > begins]
     if apart and len(cuts):
         x = np.frombuffer(buffer, np.uint8)
-        step = 1 << 22  # a part at a time, with the three bytes before it
-        found = np.concatenate([word_starts(x[max(0, k - 3) : k + step]) + max(0, k - 3) for k in range(0, len(x), step)])
-        cuts = np.union1d(cuts, _whole(np.unique(found), buffer.to_pybytes() if tokens else b"", tokens))
+        step, found = 1 << 21, []  # a part at a time, with the three bytes before it
+        for k in range(0, len(x), step):
+            back = min(k, 3)
+            part = word_starts(x[k - back : k + step])
+            found.append((part[part >= back] + (k - back)).astype(np.int64))
+        cuts = np.unique(np.concatenate([cuts, _whole(np.concatenate(found), buffer, tokens)]))
     offsets = np.append(cuts, ends[-1] if len(ends) else 0).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), buffer])
     return words, np.searchsorted(cuts, ends)
@@ -198,8 +204,7 @@ def _packets(rows: DataFrame, split, name: str) -> DataFrame:
 
 
 def _entries(packets: DataFrame) -> DataFrame:
-    own = packets.select(F.col("packet").alias("packet"), "entries")  # a column of its own, as the entries meet their packets again
-    return own.select("packet", F.posexplode("entries").alias("code", "entry"))
+    return packets.select(F.col("packet").alias("packet"), "entries")  # a column of its own, as the entries meet their packets again
 
 
 def split_words(docs: DataFrame, path: str) -> DataFrame:
@@ -233,22 +238,51 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_entries(entries: DataFrame, path: str) -> DataFrame:
-    """packet, code, ids array<int> of packets' words (packet, code, entry): dealt by word, each distinct one encoded once."""
+    """packet, codes array<int>, ids array<int>: the ids of packets' words (packet, entries), each with its word's code.
+
+    Words are dealt by their hash, in one row for all words of a packet that go to one task, so a task has all
+    occurrences of its words and encodes each distinct one once.
+    """
+    spark = entries.sparkSession
+    words = entries.agg(F.sum(F.size("entries"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // DEALT_WORDS))
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for packet, own in zip(batch.column("packet").to_pylist(), batch.column("entries"), strict=True):
+                own = own.values
+                part = np.fromiter(map(zlib.crc32, own.to_pylist()), np.int64, len(own)) % parts
+                order = np.argsort(part, kind="stable")
+                at = np.flatnonzero(np.diff(part[order], prepend=-1))
+                offsets = pa.array(np.append(at, len(order)), pa.int32())
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array(part[order][at], pa.int32()),
+                        "packet": pa.array(np.full(len(at), packet), pa.int64()),
+                        "codes": pa.ListArray.from_arrays(offsets, pa.array(order, pa.int32())),
+                        "words": pa.ListArray.from_arrays(offsets, own.take(pa.array(order))),
+                    }
+                )
 
     def encode(batches):
         import pyarrow as pa
 
-        tokenizer, last = _open(path)[0], {}
-        for batch in _joined(batches, 4 << 20):
-            coded = batch.column("entry").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            new = [w for w in words if w not in last]
-            known = last | dict(zip(new, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
-            last = {words[-1]: known[words[-1]]} if words else {}  # rows are sorted: only the last word may go on
-            ids = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("packet"), batch.column("code"), ids], ["packet", "code", "ids"])
+        tokenizer, known = _open(path)[0], {}
+        for batch in batches:
+            own = batch.column("words").flatten().dictionary_encode()
+            words = own.dictionary.to_pylist()
+            new = [w for w in words if w not in known]
+            known.update(zip(new, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+            ids = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(own.indices)
+            sizes = np.diff(np.asarray(ids.offsets))
+            offsets = pa.array(np.asarray(ids.offsets)[np.asarray(batch.column("words").offsets) - batch.column("words").offsets[0].as_py()], pa.int32())
+            codes = np.repeat(batch.column("codes").flatten().to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("packet"), pa.ListArray.from_arrays(offsets, pa.array(codes, pa.int32())), pa.ListArray.from_arrays(offsets, ids.flatten())], ["packet", "codes", "ids"])
 
-    return entries.repartition("entry").sortWithinPartitions("entry").mapInArrow(encode, "packet long, code int, ids array<int>")
+    dealt = entries.mapInArrow(deal, "part int, packet long, codes array<int>, words array<binary>").repartitionById(parts, "part")
+    return dealt.select("packet", "codes", "words").mapInArrow(encode, "packet long, codes array<int>, ids array<int>")
 
 
 def _grouped(column, codes: np.ndarray, n: int) -> list[bytes]:
@@ -273,6 +307,13 @@ def _in_order(rows, *by: str):
     return rows, rows.column(by[0]).to_numpy()
 
 
+def _ids_by_code(values, place: np.ndarray, codes: np.ndarray) -> list[bytes]:
+    """The ids (little-endian u4) of each code of a packet, from rows in order of code and place."""
+    raw = values.column("id").to_numpy().astype("<u4").tobytes()
+    at = (4 * np.searchsorted(place, np.arange(int(codes.max()) + 2 if len(codes) else 1))).tolist()
+    return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+
+
 def _laid_out(values: list[bytes], codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """For each row the values of its codes one after another."""
     out, at = [], 0
@@ -311,11 +352,15 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def rows(values, codes, ends):
         import pyarrow as pa
 
-        values, _ = _in_order(values, "code")
-        known = [np.asarray(x.values).astype("<i4").tobytes() for x in values.column("ids").combine_chunks()]
-        return {"ids": pa.array([np.frombuffer(r, "<i4") for r in _laid_out(known, codes, ends)], pa.list_(pa.int32()))}
+        ids = _laid_out(_ids_by_code(*_in_order(values, "code", "place"), codes), codes, ends)
+        return {"ids": pa.array([np.frombuffer(r, "<i4") for r in ids], pa.list_(pa.int32()))}
+
+    return _by_position(packets, _each_id(encode_entries(_entries(packets), path)), "doc_id long, ids array<int>", rows)
+
 
-    return _by_position(packets, encode_entries(_entries(packets), path), "doc_id long, ids array<int>", rows)
+def _each_id(known: DataFrame) -> DataFrame:
+    """packet, code, place, id: a row for each id of ``encode_entries``, at its packet."""
+    return known.repartition("packet").select("packet", F.posexplode(F.arrays_zip("codes", "ids")).alias("place", "x")).select("packet", F.col("x.codes").alias("code"), "place", F.col("x.ids").alias("id"))
 
 
 def _with_pieces(ids: DataFrame, path: str) -> DataFrame:
@@ -340,7 +385,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
         return entries.cast(pa.binary()), np.append(0, np.cumsum(keep))[offsets[1:]]
 
     packets = _packets(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), single_ids, "bpe_given")
-    given = _entries(packets).select("packet", "code", F.conv(F.hex("entry"), 16, 10).cast("long").alias("id"))
+    given = _entries(packets).select("packet", F.posexplode("entries").alias("code", "entry")).select("packet", "code", F.conv(F.hex("entry"), 16, 10).cast("long").alias("id"))
 
     def rows(values, codes, ends):
         values, place = _in_order(values, "code")
@@ -354,18 +399,14 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spell): both ways over one set of packets."""
     path = tokenizer or tokenizer_path()
     packets = split_words(docs, path)
-    known = encode_entries(_entries(packets), path).repartition("packet")
-    each = _with_pieces(known.select("packet", "code", F.posexplode("ids").alias("place", "id")), path)
+    each = _with_pieces(_each_id(encode_entries(_entries(packets), path)), path)
 
     def rows(values, codes, ends):
         import pyarrow as pa
 
         values, place = _in_order(values, "code", "place")
-        n = int(codes.max()) + 1 if len(codes) else 0
-        raw = values.column("id").to_numpy().astype("<u4").tobytes()
-        at = (4 * np.searchsorted(place, np.arange(n + 1))).tolist()
-        ids = _laid_out([raw[x:y] for x, y in zip(at, at[1:], strict=False)], codes, ends)
-        spelled = _laid_out(_grouped(values.column("piece").combine_chunks(), place, n), codes, ends)
+        ids = _laid_out(_ids_by_code(values, place, codes), codes, ends)
+        spelled = _laid_out(_grouped(values.column("piece").combine_chunks(), place, int(codes.max()) + 1 if len(codes) else 0), codes, ends)
         return {
             "n_tokens": pa.array([len(r) // 4 for r in ids], pa.int64()),
             "ids_sha256": [hashlib.sha256(r).hexdigest() for r in ids],
