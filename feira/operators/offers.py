@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feira.functions.text import SIZE_WORD, clean, clean_sql, sizeless_name, words
 from feira.functions.values import CENTER, EARTH_KM, discount_pct, haversine
-from feira.plans.public import public_sql, public_tables
+from feira.plans.public import public_sql, public_tables, saved
 from feira.sources.domain import NOW, branches, list_lines, with_tables
 from feira.sources.files import new_folder
 
@@ -69,11 +69,14 @@ def relevance(text: Column | str, typed: list[str]) -> Column:
 
 
 def search(shown: DataFrame, query: str, limit: int) -> DataFrame:
-    """The best ``limit`` matches: first word first, shorter names, then A to Z."""
+    """The best ``limit`` matches: first word first, shorter names, then A to Z; ``place``, and ``truncated``: whether there are more."""
     first = query.split()[0]
     hit = shown.filter(matches_query("name", query))
     starts = F.when(F.get(words("name"), F.lit(0)).startswith(first), 0).otherwise(1)
-    return hit.orderBy(starts, F.length("name"), "name", "id").limit(limit)
+    order = (starts, F.length("name"), F.col("name"), F.col("id"))
+    best = hit.orderBy(*order).limit(limit + 1)  # one more than shown tells that there are more
+    best = best.withColumns({"place": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)), "found": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    return best.filter(F.col("place") <= limit).withColumn("truncated", F.col("found") > limit).drop("found")
 
 
 def filter_products(shown: DataFrame, offers: DataFrame, now: Column, networks: list[int], min_discount: int, low: int | None, high: int | None) -> DataFrame:
@@ -107,8 +110,7 @@ def alternatives(shown: DataFrame, priced: DataFrame, n: int) -> DataFrame:
     """For each product up to ``n`` others of its kind (subcategory, else category, never Outros), priced ones first,
     then by id."""
     kind = F.when(F.col("subcategory") != "", F.concat(F.lit("s:"), F.col("subcategory"))).when(F.col("category") != "Outros", F.concat(F.lit("c:"), F.col("category")))
-    own = shown.withColumn("kind", kind).join(priced.select(F.col("product_id").alias("id"), F.lit(1).alias("has")).distinct(), "id", "left")
-    own = own.select("id", "kind", F.coalesce("has", F.lit(0)).alias("has"))
+    own = _with_price(shown.withColumn("kind", kind), priced).select("id", "kind", "has")
     # only the first n + 1 of a kind can be among anyone's first n, so no kind is joined with itself
     ranked = own.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("has"), "id"))).filter(F.col("kind").isNotNull() & (F.col("n") <= n + 1))
     other = ranked.select("kind", F.col("id").alias("other_id"), "n")
@@ -116,11 +118,72 @@ def alternatives(shown: DataFrame, priced: DataFrame, n: int) -> DataFrame:
     return met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("n"))).filter(F.col("place") <= n).select("id", "other_id", "place")
 
 
+def _with_price(shown: DataFrame, priced: DataFrame) -> DataFrame:
+    """``shown`` with ``has``: 1 for products with a current price, else 0."""
+    own = shown.join(priced.select(F.col("product_id").alias("id"), F.lit(1).alias("has")).distinct(), "id", "left")
+    return own.withColumn("has", F.coalesce("has", F.lit(0)))
+
+
+#: Ranges of a size scale for a factor of e.
+SIZE_RANGES = 16
+
+
+def nearest_sizes(actives: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """id, other_id, place: for each active (id, kind, unit, amount) the first ``n`` other members (id, kind, has, unit,
+    amount) of its kind: with a price first, then of its unit, then of the closest size (ratio), then by id.
+
+    Sizes are numbered in order within each (kind, has, unit), range by range; a size finds its place among them and looks up the
+    n numbers on either side. Members of one size count by their first n + 1 ids, and actives of one size ask once, so a
+    kind is never joined with itself and no task holds more than a range of sizes.
+    """
+    group = ["kind", "has", "unit"]
+    first = members.withColumn("at", F.row_number().over(Window.partitionBy(*group, "amount").orderBy("id"))).filter(F.col("at") <= n + 1)
+    sizes = first.groupBy(*group, "amount").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    asked = actives.select("kind", F.col("amount").alias("own")).distinct()
+    asked = asked.join(members.select(*group).distinct(), "kind")
+    both = sizes.select(*group, "amount", "ids", F.lit(1).alias("is")).unionByName(asked.select(*group, F.col("own").alias("amount"), F.lit(None).cast("array<long>").alias("ids"), F.lit(0).alias("is")))
+    both = both.withColumn("span", F.floor(F.ln("amount") * SIZE_RANGES))
+    spans = both.groupBy(*group, "span").agg(F.sum("is").alias("k"))
+    spans = spans.select(*group, "span", (F.sum("k").over(Window.partitionBy(*group).orderBy("span")) - F.col("k")).alias("before"))  # a few hundred ranges a group
+    within = F.sum("is").over(Window.partitionBy(*group, "span").orderBy("amount", F.desc("is")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("within", within).join(spans, [*group, "span"]).withColumn("number", F.col("within") + F.col("before"))
+    known = placed.filter("is = 1").select(*group, "number", F.col("amount").alias("size"), "ids")
+    sought = placed.filter("is = 0").select(*group, F.col("amount").alias("own"), F.explode(F.expr(f"sequence(greatest(1, number - {n}), number + {n})")).alias("number"))
+    apart = F.round(F.abs(F.ln(F.col("size") / F.col("own"))), 9)
+    met = sought.join(known, [*group, "number"]).select(*group, "own", apart.alias("apart"), F.explode("ids").alias("other_id"))
+    near = Window.partitionBy(*group, "own").orderBy("apart", "other_id")
+    met = met.withColumn("at", F.row_number().over(near)).filter(F.col("at") <= n + 1)  # of each unit, with and without a price
+    listed = actives.select("id", "kind", F.col("unit").alias("own_unit"), F.col("amount").alias("own")).join(met, ["kind", "own"]).filter("id <> other_id")
+    order = Window.partitionBy("id").orderBy(F.desc("has"), F.desc(F.col("unit") == F.col("own_unit")), "apart", "other_id")
+    return listed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select("id", "other_id", "place")
+
+
+def alternatives_by_code(shown: DataFrame, priced: DataFrame, n: int) -> DataFrame:
+    """id, other_id, place: up to ``n`` others of a product's fiscal code (``ncm``) and subcategory, or of the code alone where
+    nothing else has both, by ``nearest_sizes``; products without a code have the list of ``alternatives``."""
+    own = _with_price(shown, priced).withColumn("both", F.concat_ws("|", "ncm", F.coalesce("subcategory", F.lit(""))))
+    coded = own.filter("ncm is not null")
+    counts = coded.groupBy("both").agg(F.count("*").alias("same"))
+    coded = coded.join(counts, "both").withColumn("kind", F.when(F.col("same") > 1, F.concat(F.lit("b:"), "both")).otherwise(F.concat(F.lit("n:"), "ncm")))
+    size = F.col("amount").cast("double")
+    of = lambda prefix, c: coded.select("id", F.concat(F.lit(prefix), c).alias("kind"), "has", "unit", size.alias("amount"))
+    wide = coded.filter("same = 1").select("kind").distinct()
+    members = of("b:", "both").unionByName(of("n:", "ncm").join(wide, "kind", "left_semi"))
+    by_code = nearest_sizes(coded.select("id", "kind", "unit", size.alias("amount")), members, n)
+    plain = alternatives(shown, priced, n).join(own.filter("ncm is null").select("id"), "id", "left_semi")
+    return by_code.unionByName(plain)
+
+
 def basket(lines: DataFrame, ranked: DataFrame) -> DataFrame:
-    """What each list costs at each retailer that has any of it: covered, total, complete."""
-    best = ranked.groupBy("product_id", "retailer_id").agg(F.min("price_cents").alias("price_cents"))
+    """What each list costs at each retailer that has any of it: covered, total, complete.
+
+    A line takes the cheapest offer whose ``limit_per_customer`` (null: none) isn't below its quantity.
+    """
+    best = ranked.groupBy("product_id", "retailer_id", "limit_per_customer").agg(F.min("price_cents").alias("price_cents"))
     size = lines.groupBy("list_id").agg(F.count("*").alias("lines"))
-    got = lines.join(best, "product_id").groupBy("list_id", "retailer_id").agg(F.count("*").alias("covered"), F.sum(F.col("price_cents") * F.col("quantity")).alias("total"))
+    fits = F.coalesce(F.col("quantity") <= F.col("limit_per_customer"), F.lit(True))
+    line = lines.join(best, "product_id").filter(fits).groupBy("list_id", "product_id", "quantity", "retailer_id").agg(F.min("price_cents").alias("price_cents"))
+    got = line.groupBy("list_id", "retailer_id").agg(F.count("*").alias("covered"), F.sum(F.col("price_cents") * F.col("quantity")).alias("total"))
     return got.join(size, "list_id").select("list_id", "retailer_id", "covered", "total", (F.col("covered") == F.col("lines")).alias("complete"))
 
 
@@ -160,7 +223,7 @@ def ranked_all(df: DataFrame, name: str, *order: Column) -> DataFrame:
 
 
 def dated(offers: DataFrame) -> DataFrame:
-    """Offers with periods, flyers and sold-out ones, by number, so that every state occurs."""
+    """Offers with periods, flyers, sold-out ones and limits per customer, by number, so that every state occurs."""
     k = F.col("product_id")
     return offers.withColumns(
         {
@@ -168,6 +231,7 @@ def dated(offers: DataFrame) -> DataFrame:
             "valid_until": F.when(k % 7 == 0, F.col("observed_at") + F.expr("interval 300 days")).cast("timestamp"),
             "channel": F.when(k % 5 == 0, "flyer").otherwise("catalog"),
             "availability": F.when(k % 13 == 0, "unavailable").otherwise(F.col("availability")),
+            "limit_per_customer": F.when((k + F.col("retailer_id")) % 3 == 0, 20),
         }
     )
 
@@ -250,11 +314,52 @@ def _q_departments(s, d):
     return public_tables(s, d)[1].groupBy("category").agg(F.count("*").alias("products")).orderBy(F.desc("products"), "category")
 
 
-def _q_today(s, d):
+def priced_products(shown: DataFrame, ranked: DataFrame, near: DataFrame) -> DataFrame:
+    """id, name, price, discount and km of each product: its lowest price, its largest discount, and how far the nearest
+    branch of the chain with that price is (near: chain, km). Null without a price, or without a known branch."""
+    pct = discount_pct(F.col("price_cents"), F.col("regular_price_cents"))
+    best = ranked.groupBy(F.col("product_id").alias("id")).agg(F.min(F.struct("price_cents", F.col("id").alias("offer"), "retailer_name")).alias("o"), F.max(pct).alias("discount"))
+    known = shown.select("id", "name").join(best, "id", "left").select("id", "name", F.col("o.price_cents").alias("price"), F.coalesce("discount", F.lit(0)).alias("discount"), F.col("o.retailer_name").alias("chain"))
+    return known.join(near.select("chain", "km"), "chain", "left").drop("chain")
+
+
+def sorted_products(known: DataFrame, query: str) -> DataFrame:
+    """id and its place in each order of a list of products (``priced_products``): by_name, by_price, by_price_down, by_discount,
+    by_discount_near and by_relevance to ``query``. Products without a price or distance come last, ties by id."""
+    typed = words(F.lit(query))
+    first = known.sparkSession.range(1).select(typed.alias("w")).first().w
+    price, down, near = F.col("price").asc_nulls_last(), F.col("price").desc_nulls_last(), F.col("km").asc_nulls_last()
+    orders = {
+        "by_name": (clean("name"),),
+        "by_price": (price,),
+        "by_price_down": (down,),
+        "by_discount": (F.desc("discount"), price),
+        "by_discount_near": (F.desc("discount"), near),
+        "by_relevance": (F.col("rank"), F.length("name"), F.col("name")) if first else (F.desc("discount"), near),
+    }
+    ranked = known.withColumn("rank", relevance("name", first) if first else F.lit(0))
+    for name, order in orders.items():
+        ranked = ranked_all(ranked, name, *order, F.col("id"))
+    return ranked.select("id", *orders)
+
+
+def todays_list(known: DataFrame, deals: DataFrame) -> DataFrame:
+    """product_id, discount, km, deal, place: the best deal first, then priced products by discount and nearness."""
+    best = deals.orderBy(F.desc("saving"), "name", "product_id").limit(1).select(F.col("product_id").alias("id"), F.lit(True).alias("deal"))
+    own = known.filter("price is not null").join(F.broadcast(best), "id", "left").withColumn("deal", F.coalesce("deal", F.lit(False)))  # one row
+    placed = ranked_all(own, "place", F.desc("deal"), F.desc("discount"), F.col("km").asc_nulls_last(), F.col("id"))
+    return placed.select(F.col("id").alias("product_id"), "discount", F.round("km", 6).alias("km"), "deal", "place")
+
+
+def _priced(s, d):
     ranked, shown = _ranked(s, d)
-    deals = daily_deals(ranked, shown).select("product_id", "saving")
-    best = ranked.groupBy("product_id").agg(F.max(discount_pct(F.col("price_cents"), F.col("regular_price_cents"))).alias("discount"))
-    return best.join(deals, "product_id", "left").select("product_id", F.coalesce("saving", F.lit(0)).alias("saving"), "discount").orderBy(F.desc("saving"), F.desc("discount"), "product_id")
+    ranked = saved(ranked, "ranked")
+    return priced_products(shown, ranked, _near(s, d)), ranked, shown
+
+
+def _q_today(s, d):
+    known, ranked, shown = _priced(s, d)
+    return todays_list(known, daily_deals(ranked, shown))
 
 
 def _q_basket(s, d):
@@ -269,6 +374,12 @@ def _q_estimates(s, d):
 
 
 def _q_alternatives(s, d):
+    ranked, shown = _ranked(s, d)
+    code = F.when(F.col("id") % 7 != 0, F.lpad((F.col("id") * 7919 % 40).cast("string"), 8, "2"))
+    return alternatives_by_code(saved(shown.withColumn("ncm", code), "shown"), saved(ranked.select("product_id").distinct(), "priced"), 8)
+
+
+def _q_kind(s, d):
     ranked, shown = _ranked(s, d)
     return alternatives(shown, ranked, 8)
 
@@ -284,10 +395,7 @@ def _q_relevance(s, d):
 
 
 def _q_sorts(s, d):
-    offers, shown = _offers(s, d)
-    best = shown.select("id", "name").join(rank_offers(offers, _now()).groupBy(F.col("product_id").alias("id")).agg(F.min("price_cents").alias("price")), "id", "left")
-    ranked = ranked_all(ranked_all(best, "by_price", F.col("price").asc_nulls_last(), F.col("id")), "by_price_down", F.col("price").desc_nulls_last(), F.col("id"))
-    return ranked.select("id", "by_price", "by_price_down")
+    return sorted_products(_priced(s, d)[0], "leite integral")
 
 
 def _q_out(s, d):
@@ -316,7 +424,8 @@ QUERIES = {
     "fn_out_of_comparison": _q_out,
     "ord_today": _q_today,
     "ord_alternatives": _q_alternatives,
-    "ord_search_rank": lambda s, d: search(public_tables(s, d)[1], "leite", 21).select("id", "name"),
+    "ord_alternatives_kind": _q_kind,
+    "ord_search_rank": lambda s, d: search(public_tables(s, d)[1], "leite", 21).select("id", "name", "place", "truncated"),
     "ord_relevance": _q_relevance,
     "ord_filter_sorts": _q_sorts,
     "ag_basket_store": _q_basket,
@@ -324,7 +433,7 @@ QUERIES = {
 }
 
 _DATED = """WITH dated AS (SELECT * REPLACE (CASE WHEN product_id % 5 = 0 THEN 'flyer' ELSE 'catalog' END AS channel, CASE WHEN product_id % 13 = 0 THEN 'unavailable' ELSE availability END AS availability),
-  CASE WHEN product_id % 11 = 0 THEN observed_at + INTERVAL 2500 DAY END AS valid_from, CASE WHEN product_id % 7 = 0 THEN observed_at + INTERVAL 300 DAY END AS valid_until FROM offers),
+  CASE WHEN product_id % 11 = 0 THEN observed_at + INTERVAL 2500 DAY END AS valid_from, CASE WHEN product_id % 7 = 0 THEN observed_at + INTERVAL 300 DAY END AS valid_until, CASE WHEN (product_id + retailer_id) % 3 = 0 THEN 20 END AS limit_per_customer FROM offers),
 st AS (SELECT *, CASE WHEN valid_from > TIMESTAMP '{now}' THEN 'future' WHEN valid_until < TIMESTAMP '{now}' THEN 'expired'
   WHEN channel <> 'flyer' AND (epoch(TIMESTAMP '{now}') - epoch(observed_at)) / 3600.0 > ttl_hours THEN 'stale' WHEN availability = 'unavailable' THEN 'unavailable' ELSE 'current' END AS state FROM dated),
 rk AS (SELECT *, CASE WHEN regular_price_cents > price_cents THEN floor((1 - price_cents / regular_price_cents::DOUBLE) * 100 + 0.5)::INT ELSE 0 END AS pct FROM st WHERE price_cents IS NOT NULL AND state = 'current' AND club IS NULL),
@@ -337,8 +446,13 @@ _LINE = clean_sql(f"coalesce(nullif(trim(regexp_replace(regexp_replace(name, '{S
 _HAV = f"2 * {EARTH_KM} * atan2(sqrt(h), sqrt(greatest(0.0, 1 - h)))"
 _NEAR = f"""near AS (SELECT chain, arg_min(id, (km, id)) AS branch_id, min(km) AS km FROM (SELECT *, {_HAV} AS km FROM (SELECT *, pow(sin(radians(latitude - {CENTER[0]}) / 2), 2) +
   cos(radians({CENTER[0]}::DOUBLE)) * cos(radians(latitude)) * pow(sin(radians(longitude - {CENTER[1]}) / 2), 2) AS h FROM branches)) GROUP BY chain)"""
-_BASKET = """, bst AS (SELECT product_id, retailer_id, min(price_cents) AS price_cents FROM rk GROUP BY ALL),
- bsk AS (SELECT list_id, retailer_id, count(*) AS covered, sum(price_cents * quantity)::BIGINT AS total, count(*) = any_value(n) AS complete FROM (SELECT *, count(*) OVER (PARTITION BY list_id) AS n FROM list_lines) JOIN bst USING (product_id) GROUP BY ALL)"""
+_BASKET = """, bst AS (SELECT list_id, product_id, retailer_id, quantity, any_value(n) AS n, min(price_cents) AS price_cents FROM (SELECT *, count(*) OVER (PARTITION BY list_id) AS n FROM list_lines) JOIN rk USING (product_id)
+    WHERE limit_per_customer IS NULL OR quantity <= limit_per_customer GROUP BY list_id, product_id, retailer_id, quantity),
+ bsk AS (SELECT list_id, retailer_id, count(*) AS covered, sum(price_cents * quantity)::BIGINT AS total, count(*) = any_value(n) AS complete FROM bst GROUP BY list_id, retailer_id)"""
+
+
+_PRICED = f""", {_NEAR}, pp AS (SELECT s.id, s.name, price, coalesce(discount, 0) AS discount, km FROM shown s LEFT JOIN (SELECT product_id, min(price_cents) AS price, max(pct) AS discount, arg_min(retailer_name, (price_cents, id)) AS chain FROM rk GROUP BY 1) b ON b.product_id = s.id LEFT JOIN near USING (chain))"""
+_KD = ", kd AS (SELECT id, CASE WHEN subcategory <> '' THEN 's:' || subcategory WHEN category <> 'Outros' THEN 'c:' || category END AS kind FROM shown)"
 
 
 def _sql(query: str, *more: str, extra: str = "") -> str:
@@ -364,13 +478,23 @@ ORACLE_SQL = {
     "win_tie_count": _sql("SELECT id, CASE WHEN price_cents > low THEN NULL WHEN n = 1 THEN 'single' WHEN tied > 1 THEN 'tie' ELSE 'lowest' END AS label FROM (SELECT *, count(*) OVER (PARTITION BY product_id) AS n, min(price_cents) OVER (PARTITION BY product_id) AS low, count(*) OVER (PARTITION BY product_id, price_cents) AS tied FROM rk)"),
     "fn_lowest_label": _sql("SELECT id, CASE WHEN n = 1 THEN 'single' WHEN tied > 1 THEN 'tie' ELSE 'lowest' END AS label FROM (SELECT *, count(*) OVER (PARTITION BY product_id) AS n, min(price_cents) OVER (PARTITION BY product_id) AS low, count(*) OVER (PARTITION BY product_id, price_cents) AS tied FROM rk) WHERE price_cents = low"),
     "fn_out_of_comparison": _sql("SELECT id, CASE WHEN state <> 'current' THEN state END AS reason FROM st"),
-    "ord_today": _sql("SELECT product_id, coalesce(any_value(saving), 0) AS saving, max(pct) AS discount FROM rk LEFT JOIN deals USING (product_id) GROUP BY 1"),
-    "ord_alternatives": _sql("""SELECT a.id, b.id AS other_id, row_number() OVER (PARTITION BY a.id ORDER BY (b.id IN (SELECT product_id FROM rk)) DESC, b.id) AS place FROM kd a JOIN kd b ON a.kind = b.kind AND a.id <> b.id
-        QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (b.id IN (SELECT product_id FROM rk)) DESC, b.id) <= 8""", extra=", kd AS (SELECT id, CASE WHEN subcategory <> '' THEN 's:' || subcategory WHEN category <> 'Outros' THEN 'c:' || category END AS kind FROM shown)"),
-    "ord_search_rank": public_sql(f"SELECT id, name FROM shown WHERE len(list_filter({_W}, lambda w: starts_with(w, 'leite'))) > 0 ORDER BY starts_with({_W}[1], 'leite') DESC, length(name), name, id LIMIT 21"),
+    "ord_today": _sql("""SELECT id AS product_id, discount, round(km, 6) AS km, coalesce(id = (SELECT product_id FROM deals ORDER BY saving DESC, name, product_id LIMIT 1), false) AS deal,
+        row_number() OVER (ORDER BY coalesce(id = (SELECT product_id FROM deals ORDER BY saving DESC, name, product_id LIMIT 1), false) DESC, discount DESC, km ASC NULLS LAST, id) AS place FROM pp WHERE price IS NOT NULL""", "branches", extra=_PRICED),
+    "ord_alternatives_kind": _sql("""SELECT a.id, b.id AS other_id, row_number() OVER (PARTITION BY a.id ORDER BY (b.id IN (SELECT product_id FROM rk)) DESC, b.id) AS place FROM kd a JOIN kd b ON a.kind = b.kind AND a.id <> b.id
+        QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (b.id IN (SELECT product_id FROM rk)) DESC, b.id) <= 8""", extra=_KD),
+    "ord_alternatives": _sql("""SELECT a.id, b.id AS other_id, row_number() OVER (PARTITION BY a.id ORDER BY b.has DESC, b.unit = a.unit DESC, round(abs(ln(b.amount / a.amount::DOUBLE)), 9), b.id) AS place
+          FROM cd a JOIN cd b ON a.id <> b.id AND a.ncm = b.ncm AND (b.sub = a.sub OR a.same = 1)
+          QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.has DESC, b.unit = a.unit DESC, round(abs(ln(b.amount / a.amount::DOUBLE)), 9), b.id) <= 8
+        UNION ALL SELECT a.id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY (b.id IN (SELECT product_id FROM rk)) DESC, b.id) FROM kd a JOIN kd b ON a.kind = b.kind AND a.id <> b.id WHERE a.id % 7 = 0
+          QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (b.id IN (SELECT product_id FROM rk)) DESC, b.id) <= 8""", extra=_KD + """,
+        cd AS (SELECT *, count(*) OVER (PARTITION BY ncm, sub) AS same FROM (SELECT id, lpad((id * 7919 % 40)::VARCHAR, 8, '2') AS ncm, coalesce(subcategory, '') AS sub, unit, amount, (id IN (SELECT product_id FROM rk))::INT AS has FROM shown WHERE id % 7 <> 0))"""),
+    "ord_search_rank": public_sql(f"SELECT id, name, row_number() OVER (ORDER BY starts_with({_W}[1], 'leite') DESC, length(name), name, id) AS place, count(*) OVER () > 21 AS truncated FROM shown WHERE len(list_filter({_W}, lambda w: starts_with(w, 'leite'))) > 0 QUALIFY place <= 21"),
     "ord_relevance": public_sql(f"""SELECT id, CASE WHEN starts_with(w[1], 'leite') AND starts_with(w[2], 'integral') THEN 0 WHEN len(list_filter(range(2, len(w)), lambda i: starts_with(w[i], 'leite') AND starts_with(w[i + 1], 'integral'))) > 0 THEN 1
         WHEN starts_with(w[1], 'leite') THEN 2 ELSE 3 END AS rank FROM (SELECT id, {_W} AS w FROM shown) WHERE len(list_filter(w, lambda x: starts_with(x, 'leite'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'integral'))) > 0"""),
-    "ord_filter_sorts": _sql("SELECT id, row_number() OVER (ORDER BY p ASC NULLS LAST, id) AS by_price, row_number() OVER (ORDER BY p DESC NULLS LAST, id) AS by_price_down FROM (SELECT s.id, min(price_cents) AS p FROM shown s LEFT JOIN rk ON product_id = s.id GROUP BY 1)"),
+    "ord_filter_sorts": _sql(f"""SELECT id, row_number() OVER (ORDER BY {clean_sql("name")}, id) AS by_name, row_number() OVER (ORDER BY price ASC NULLS LAST, id) AS by_price, row_number() OVER (ORDER BY price DESC NULLS LAST, id) AS by_price_down,
+        row_number() OVER (ORDER BY discount DESC, price ASC NULLS LAST, id) AS by_discount, row_number() OVER (ORDER BY discount DESC, km ASC NULLS LAST, id) AS by_discount_near, row_number() OVER (ORDER BY rank, length(name), name, id) AS by_relevance
+        FROM (SELECT *, CASE WHEN starts_with(w[1], 'leite') AND starts_with(w[2], 'integral') THEN 0 WHEN len(list_filter(range(2, len(w)), lambda i: starts_with(w[i], 'leite') AND starts_with(w[i + 1], 'integral'))) > 0 THEN 1
+        WHEN starts_with(w[1], 'leite') THEN 2 ELSE 3 END AS rank FROM (SELECT *, {_W} AS w FROM pp))""", "branches", extra=_PRICED),
     "ag_basket_store": _sql("SELECT * FROM bsk", "list_lines", extra=_BASKET),
     "ag_store_estimates": _sql("""SELECT list_id, retailer_id, covered, total, complete, round(km, 6) AS km, (min(CASE WHEN complete THEN (total, retailer_id) END) OVER (PARTITION BY list_id))[2] = retailer_id AS cheapest,
         (min(CASE WHEN km IS NOT NULL THEN (km, retailer_id) END) OVER (PARTITION BY list_id))[2] = retailer_id AS nearest FROM bsk JOIN (SELECT DISTINCT retailer_id, retailer_name FROM offers) USING (retailer_id) LEFT JOIN near ON chain = retailer_name""", "list_lines", "branches", extra=_BASKET + ", " + _NEAR),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,10 @@ def refresh(product: DataFrame, store: DataFrame, price: DataFrame, run: DataFra
     failed = last_errors(run, listed).filter("problem is not null").count()
     report = [("evaluate", "ok" if not failed else "warnings", failed)]
     offers, shown = build_public(product, store, price, run)
-    offers.write.parquet(f"{folder}/built/offers")
-    shown.write.parquet(f"{folder}/built/products")
-    offers, shown = spark.read.parquet(f"{folder}/built/offers"), spark.read.parquet(f"{folder}/built/products")
+    built = f"{folder}/built/{uuid.uuid4().hex}"  # of this release: one before may still be read
+    offers.write.parquet(f"{built}/offers")
+    shown.write.parquet(f"{built}/products")
+    offers, shown = spark.read.parquet(f"{built}/offers"), spark.read.parquet(f"{built}/products")
     n = offers.count()
     report.append(("build", "ok", n))
     errors = offer_findings(offers, shown, live).filter("level = 'error'").count()
