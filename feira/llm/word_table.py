@@ -29,6 +29,7 @@ import os
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from feira.llm.common import shared_folder, small_batches, table
 
 #: Bytes of text of a packet.
-PACKET_BYTES = 24 << 20
+PACKET_BYTES = 16 << 20
 #: Words of packets that are dealt to one task.
 DEALT_WORDS = 1_000_000
 #: Pieces of a vocabulary that may be broadcast.
@@ -145,6 +146,32 @@ def _unpacked(packed: bytes, wide: bool) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view("<u4" if wide else "<u2").ravel()
 
 
+def _bundle(words) -> bytes:
+    """An Arrow binary array as one compressed piece."""
+    import pyarrow as pa
+
+    sizes, data = _parts(words)
+    lengths = _packed(np.diff(sizes), True)
+    raw = np.frombuffer(data, np.uint8)[sizes[0] : sizes[-1]].tobytes()
+    return len(lengths).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + lengths + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unbundled(bundle: bytes):
+    import pyarrow as pa
+
+    head, size = int.from_bytes(bundle[:8], "little"), int.from_bytes(bundle[8:16], "little")
+    offsets = np.append(0, np.cumsum(_unpacked(bundle[16 : 16 + head], True), dtype=np.int64)).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(pa.decompress(bundle[16 + head :], size, "zstd", asbytes=True))])
+
+
+def _parts(column):
+    """Offsets and bytes of an Arrow binary array without nulls."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    return np.frombuffer(column.buffers()[1], "<i8", len(column) + 1, 8 * column.offset), column.buffers()[2] or b""
+
+
 def _joined(batches, most: int):
     """Batches parted and put together to about ``most`` bytes, whole rows each."""
     import pyarrow as pa
@@ -262,7 +289,7 @@ def encode_entries(entries: DataFrame, path: str) -> DataFrame:
                         "part": pa.array(part[order][at], pa.int32()),
                         "packet": pa.array(np.full(len(at), packet), pa.int64()),
                         "codes": pa.ListArray.from_arrays(offsets, pa.array(order, pa.int32())),
-                        "words": pa.ListArray.from_arrays(offsets, own.take(pa.array(order))),
+                        "words": [_bundle(own.take(pa.array(x))) for x in np.split(order, at[1:])],
                     }
                 )
 
@@ -271,17 +298,19 @@ def encode_entries(entries: DataFrame, path: str) -> DataFrame:
 
         tokenizer, known = _open(path)[0], {}
         for batch in batches:
-            own = batch.column("words").flatten().dictionary_encode()
+            lists = [_unbundled(x) for x in batch.column("words").to_pylist()]
+            own = pa.concat_arrays(lists).dictionary_encode()
             words = own.dictionary.to_pylist()
             new = [w for w in words if w not in known]
             known.update(zip(new, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
             ids = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(own.indices)
-            sizes = np.diff(np.asarray(ids.offsets))
-            offsets = pa.array(np.asarray(ids.offsets)[np.asarray(batch.column("words").offsets) - batch.column("words").offsets[0].as_py()], pa.int32())
+            ends = np.asarray(ids.offsets)
+            sizes = np.diff(ends)
+            offsets = pa.array(ends[np.append(0, np.cumsum([len(x) for x in lists]))], pa.int32())
             codes = np.repeat(batch.column("codes").flatten().to_numpy(), sizes)
             yield pa.RecordBatch.from_arrays([batch.column("packet"), pa.ListArray.from_arrays(offsets, pa.array(codes, pa.int32())), pa.ListArray.from_arrays(offsets, ids.flatten())], ["packet", "codes", "ids"])
 
-    dealt = entries.mapInArrow(deal, "part int, packet long, codes array<int>, words array<binary>").repartitionById(parts, "part")
+    dealt = entries.mapInArrow(deal, "part int, packet long, codes array<int>, words binary").repartitionById(parts, "part")
     return dealt.select("packet", "codes", "words").mapInArrow(encode, "packet long, codes array<int>, ids array<int>")
 
 
@@ -290,11 +319,10 @@ def _grouped(column, codes: np.ndarray, n: int) -> list[bytes]:
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    ends = np.append(0, np.cumsum(pc.binary_length(column).to_numpy()))
-    whole = b"".join(column.to_pylist())
+    ends, data = _parts(pc.fill_null(column.cast(pa.large_binary()), b""))
+    whole = memoryview(data)
     at = ends[np.searchsorted(codes, np.arange(n + 1))].tolist()
-    return [whole[x:y] for x, y in zip(at, at[1:], strict=False)]
+    return [bytes(whole[x:y]) for x, y in zip(at, at[1:], strict=False)]
 
 
 def _in_order(rows, *by: str):
@@ -314,13 +342,12 @@ def _ids_by_code(values, place: np.ndarray, codes: np.ndarray) -> list[bytes]:
     return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
 
 
-def _laid_out(values: list[bytes], codes: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """For each row the values of its codes one after another."""
-    out, at = [], 0
+def _laid_out(values: list[bytes], codes: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+    """For each row, one at a time, the values of its codes one after another."""
+    at = 0
     for end in ends.tolist():
-        out.append(b"".join([values[c] for c in codes[at:end].tolist()]))
+        yield b"".join([values[c] for c in codes[at:end].tolist()])
         at = end
-    return out
 
 
 def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble) -> DataFrame:
@@ -405,13 +432,10 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         import pyarrow as pa
 
         values, place = _in_order(values, "code", "place")
-        ids = _laid_out(_ids_by_code(values, place, codes), codes, ends)
-        spelled = _laid_out(_grouped(values.column("piece").combine_chunks(), place, int(codes.max()) + 1 if len(codes) else 0), codes, ends)
-        return {
-            "n_tokens": pa.array([len(r) // 4 for r in ids], pa.int64()),
-            "ids_sha256": [hashlib.sha256(r).hexdigest() for r in ids],
-            "decoded_sha256": [hashlib.sha256(r.decode(errors="replace").encode()).hexdigest() for r in spelled],
-        }
+        n = int(codes.max()) + 1 if len(codes) else 0
+        ids = [(len(r) // 4, hashlib.sha256(r).hexdigest()) for r in _laid_out(_ids_by_code(values, place, codes), codes, ends)]
+        spelled = [hashlib.sha256(r.decode(errors="replace").encode()).hexdigest() for r in _laid_out(_grouped(values.column("piece").combine_chunks(), place, n), codes, ends)]
+        return {"n_tokens": pa.array([x for x, _ in ids], pa.int64()), "ids_sha256": pa.array([x for _, x in ids], pa.string()), "decoded_sha256": pa.array(spelled, pa.string())}
 
     return _by_position(packets, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
 
