@@ -1,31 +1,15 @@
-"""Receipts: consensus of several readings, matching lines to products, and verdicts."""
+"""Receipts: matching lines to products, and verdicts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feira.functions.text import name_tokens, parse_size
 from feira.functions.values import word_similarity
 from feira.operators.offers import _ranked
 from feira.plans.public import public_sql
-from feira.sources.domain import products, receipt_lines, with_tables
-
-#: Amounts that differ by no more than this are one value.
-TOLERANCE = 0.02
-
-
-def consensus(readings: DataFrame) -> DataFrame:
-    """receipt_id, line_no, total, contested: of several readings (reading, weight, total) the value with most weight
-    within TOLERANCE; ties go to the smaller. Contested when another value has half the weight or more."""
-    key = ["receipt_id", "line_no"]
-    a = readings.select(*key, F.col("total").alias("value")).distinct()
-    near = a.join(readings, key).groupBy(*key, "value").agg(F.round(F.sum(F.when(F.abs(F.col("total") - F.col("value")) <= TOLERANCE + 1e-9, F.col("weight")).otherwise(0.0)), 6).alias("votes"))
-    best = near.groupBy(*key).agg(F.max(F.struct("votes", (-F.col("value")).alias("low"))).alias("b"))
-    far = near.join(best, key).filter(F.abs(F.col("value") + F.col("b.low")) > TOLERANCE + 1e-9).groupBy(*key).agg(F.max("votes").alias("other"))
-    out = best.join(far, key, "left")
-    return out.select(*key, (-F.col("b.low")).alias("total"), F.coalesce(F.col("other") * 2 >= F.col("b.votes"), F.lit(False)).alias("contested"))
-
+from feira.sources.domain import products, receipt_lines
 
 def match_lines(lines: DataFrame, product: DataFrame, margin: float = 0.1, least: float = 0.6) -> DataFrame:
     """line_id, product_id, score of the product that explains a printed name best, if clearly.
@@ -71,13 +55,6 @@ def verdicts(lines: DataFrame, ranked: DataFrame) -> DataFrame:
     return own.select("receipt_id", "line_no", "product_id", "paid", verdict.alias("verdict"), over.alias("overpaid"))
 
 
-def _readings(s, d) -> DataFrame:
-    base = receipt_lines(s, d).groupBy("receipt_id", "line_no").agg(F.max("total").alias("total"))
-    k = F.col("receipt_id") * 7 + F.col("line_no")
-    three: Column = F.explode(F.array(*[F.struct(F.lit(i).alias("reading"), F.lit(w).alias("weight"), F.round(F.col("total") + F.when(k % m == 0, d_).otherwise(0.0), 2).alias("total")) for i, w, m, d_ in ((1, 1.0, 5, 3.0), (2, 0.8, 7, 3.0), (3, 0.7, 3, 0.01))]))
-    return base.withColumn("r", three).select("receipt_id", "line_no", "r.*")
-
-
 def _q_receipt_name(s, d):
     p = products(s, d)
     lines = p.select(F.col("id").alias("line_id"), F.upper(F.regexp_replace("name", "(?i)(leite|queijo|carne|integral)([a-z]*)", "$1")).alias("name"))
@@ -94,7 +71,6 @@ def _q_report(s, d):
 
 
 QUERIES = {
-    "ag_receipt_consensus": lambda s, d: consensus(_readings(s, d)),
     "jn_receipt_name": _q_receipt_name,
     "ag_receipt_report": _q_report,
 }
@@ -107,13 +83,6 @@ def _sql(query: str, *more: str) -> str:
 
 
 ORACLE_SQL = {
-    "ag_receipt_consensus": with_tables("""WITH b AS (SELECT receipt_id, line_no, max(total) AS t, receipt_id * 7 + line_no AS k FROM receipt_lines GROUP BY ALL),
-        r AS (SELECT receipt_id, line_no, 1.0::DOUBLE AS weight, round(t + CASE WHEN k % 5 = 0 THEN 3 ELSE 0 END, 2) AS total FROM b UNION ALL SELECT receipt_id, line_no, 0.8, round(t + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END, 2) FROM b
-          UNION ALL SELECT receipt_id, line_no, 0.7, round(t + CASE WHEN k % 3 = 0 THEN 0.01::DOUBLE ELSE 0 END, 2) FROM b),
-        v AS (SELECT a.receipt_id, a.line_no, a.total AS value, round(sum(CASE WHEN abs(r.total - a.total) <= 0.02 + 1e-9 THEN weight ELSE 0 END), 6) AS votes FROM (SELECT DISTINCT receipt_id, line_no, total FROM r) a JOIN r USING (receipt_id, line_no) GROUP BY ALL),
-        w AS (SELECT receipt_id, line_no, max((votes, -value)) AS b FROM v GROUP BY ALL)
-        SELECT receipt_id, line_no, -b[2] AS total, coalesce(other * 2 >= b[1], false) AS contested FROM w LEFT JOIN
-          (SELECT receipt_id, line_no, max(votes) AS other FROM v JOIN w USING (receipt_id, line_no) WHERE abs(value + b[2]) > 0.02 + 1e-9 GROUP BY 1, 2) USING (receipt_id, line_no)""", "receipt_lines"),
     "ag_receipt_report": _sql("""SELECT receipt_id, count(*) AS lines, count(*) FILTER (WHERE paid > high + 1) AS above, count(*) FILTER (WHERE low IS NULL) AS unpriced, sum(greatest(0, paid - coalesce(low, paid)))::BIGINT AS overpaid
         FROM (SELECT *, floor(unit_price * 100 + 0.5)::INT AS paid FROM receipt_lines) LEFT JOIN (SELECT product_id, min(price_cents) AS low, max(price_cents) AS high FROM rk GROUP BY 1) USING (product_id) GROUP BY 1""", "receipt_lines"),
 }

@@ -15,6 +15,7 @@ MODULES: tuple[str, ...] = (
     "feira.operators.warehouse",
     "feira.operators.receipts",
     "feira.operators.baskets",
+    "feira.operators.consensus",
     "feira.sources.feeds",
     "feira.operators.lookup",
     "feira.sources.files",
