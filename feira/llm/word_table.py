@@ -280,6 +280,8 @@ def encode_entries(entries: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for packet, own in zip(batch.column("packet").to_pylist(), batch.column("entries"), strict=True):
                 own = own.values
+                if not len(own):
+                    continue
                 part = np.fromiter(map(zlib.crc32, own.to_pylist()), np.int64, len(own)) % parts
                 order = np.argsort(part, kind="stable")
                 at = np.flatnonzero(np.diff(part[order], prepend=-1))
