@@ -41,6 +41,8 @@ from feira.llm.common import shared_folder, small_batches, table
 PACKET_BYTES = 16 << 20
 #: Words of packets that are dealt to one task.
 DEALT_WORDS = 1_000_000
+#: Words given to the tokenizer at once.
+ENCODED_AT_ONCE = 4096
 #: Pieces of a vocabulary that may be broadcast.
 MAX_PIECES = 4_000_000
 
@@ -221,6 +223,8 @@ def _packets(rows: DataFrame, split, name: str) -> DataFrame:
                 }
             )
             number += 1
+            del entries, coded, codes, distinct
+            pa.default_memory_pool().release_unused()
 
     spark = rows.sparkSession
     made = f"{name}_{uuid.uuid4().hex}"
@@ -304,7 +308,9 @@ def encode_entries(entries: DataFrame, path: str) -> DataFrame:
             own = pa.concat_arrays(lists).dictionary_encode()
             words = own.dictionary.to_pylist()
             new = [w for w in words if w not in known]
-            known.update(zip(new, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+            for k in range(0, len(new), ENCODED_AT_ONCE):
+                some = new[k : k + ENCODED_AT_ONCE]
+                known.update(zip(some, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
             ids = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(own.indices)
             ends = np.asarray(ids.offsets)
             sizes = np.diff(ends)
@@ -331,7 +337,7 @@ def _in_order(rows, *by: str):
     """An Arrow table's rows by the given columns, and the first of these."""
     import pyarrow as pa
 
-    rows = rows.combine_chunks()
+    rows = rows.drop_columns(["packet"]).combine_chunks()
     order = np.lexsort([rows.column(c).to_numpy() for c in reversed(by)])
     rows = rows.take(pa.array(order))
     return rows, rows.column(by[0]).to_numpy()
@@ -366,6 +372,7 @@ def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble) -
             for k in range(row.num_rows):
                 codes = _unpacked(row.column("codes")[k].as_py(), row.column("wide")[k].as_py())
                 parts.append(pa.table({"doc_id": row.column("doc_ids")[k].values, **assemble(values, codes, row.column("ends")[k].values.to_numpy())}))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(parts)
 
     whole = packets.select("packet", "doc_ids", "ends", "codes", "wide")
