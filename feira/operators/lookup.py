@@ -12,7 +12,7 @@ from feira.operators.offers import dated, matches_query
 from feira.operators.state import append_new
 from feira.plans.public import TTL, TTL_WEEKLY, WEEKLY, public_sql, public_tables
 from feira.sources.domain import NOW, branches, list_lines, prices, products, runs, stores, with_tables
-from feira.sources.files import KeyedTable, new_folder, stored
+from feira.sources.files import BucketTable, KeyedTable, added, new_folder, saved_in_turn
 
 CENTER = (-3.7319, -38.5267)
 
@@ -184,7 +184,10 @@ def _q_fallback(s, d):
 
 
 def _q_manifest(s, d):
-    return _q_fallback(s, d).filter("startswith(image, '/images/')").select("image").distinct().orderBy("image")
+    """Images saved from some of the products, then from others and some of the same."""
+    found = _q_fallback(s, d).filter("startswith(image, '/images/')").select("image", "id").distinct()
+    some = [found.filter(w).select("image").distinct() for w in ("id % 3 = 0", "id % 3 <> 1", "id % 2 = 0")]
+    return saved_in_turn(BucketTable(s, new_folder(s, "image-manifest"), ["image"], 4), some, added(["image"]))
 
 
 def _q_merge(s, d):
@@ -230,7 +233,11 @@ def _q_per_retailer(s, d):
 
 
 def _q_bookkeeping(s, d):
-    return runs(s, d).groupBy("site_key").agg(F.max("created_at").alias("last_run"), F.sum("items_found").alias("rows"), F.max_by("success", "id").alias("ok"))
+    """The last run of each site after the earlier runs, then after the later ones: a site is overwritten, others stay."""
+    own, middle = runs(s, d), "2024-01-15"
+    of = lambda rows: rows.groupBy("site_key").agg(F.max("created_at").alias("last_run"), F.sum("items_found").alias("rows"), F.max_by("success", "id").alias("ok"))
+    late = own.filter((F.col("created_at") >= middle) & (F.col("site_key") != "Chain 3"))
+    return saved_in_turn(KeyedTable(s, new_folder(s, "run-bookkeeping"), ["site_key"]), [of(own.filter(F.col("created_at") < middle)), of(late)])
 
 
 def _q_ttl(s, d):
@@ -259,7 +266,7 @@ QUERIES = {
     "st_ttl": _q_ttl,
     "flt_stale_url": _q_stale,
     "jn_image_fallback": _q_fallback,
-    "snk_image_manifest": stored("image-manifest", ["image"], _q_manifest),
+    "snk_image_manifest": _q_manifest,
     "jn_catalogue_merge": _q_merge,
     "pipe_catalogue_search": lambda s, d: catalogue_search(products(s, d), prices(s, d), stores(s, d), "leite", 40),
     "jn_search_prices": lambda s, d: catalogue_search(products(s, d), prices(s, d), stores(s, d), "arroz", 1000),
@@ -274,7 +281,7 @@ QUERIES = {
     "flt_score_gate": _q_gate,
     "flt_history_keys": _q_history_keys,
     "snk_dim_upsert": _q_dim_table,
-    "snk_run_bookkeeping": stored("run-bookkeeping", ["site_key"], _q_bookkeeping),
+    "snk_run_bookkeeping": _q_bookkeeping,
     "ag_status_counts": _q_status,
     "ag_offers_per_retailer": _q_per_retailer,
     "gold_step_line": _q_step,
@@ -314,7 +321,8 @@ ORACLE_SQL = {
     "flt_score_gate": with_tables("SELECT id FROM products WHERE (id % 10) / 10.0::DOUBLE >= 0.8 AND (id % 7) / 7.0::DOUBLE + 0.2 >= 0.8", "products"),
     "flt_history_keys": with_tables("SELECT md5(lower(d.name)) AS product_key, store_id, scraped_at, price, p.id FROM prices p JOIN products d ON d.id = p.product_id WHERE md5(lower(d.name)) IN (SELECT md5(lower(name)) FROM (SELECT name FROM products ORDER BY id LIMIT 30))", "products", "prices"),
     "snk_dim_upsert": with_tables("SELECT DISTINCT name FROM products", "products"),
-    "snk_run_bookkeeping": with_tables("SELECT site_key, max(created_at) AS last_run, sum(items_found)::BIGINT AS rows, arg_max(success, id) AS ok FROM runs GROUP BY 1", "runs"),
+    "snk_run_bookkeeping": with_tables("""WITH late AS (SELECT * FROM runs WHERE created_at >= TIMESTAMP '2024-01-15' AND site_key <> 'Chain 3'), own AS (SELECT * FROM late UNION ALL SELECT * FROM runs WHERE created_at < TIMESTAMP '2024-01-15' AND site_key NOT IN (SELECT site_key FROM late))
+        SELECT site_key, max(created_at) AS last_run, sum(items_found)::BIGINT AS rows, arg_max(success, id) AS ok FROM own GROUP BY 1""", "runs"),
     "ag_status_counts": public_sql("SELECT category, count(*) AS products, count(gtin) AS with_gtin, count(image_url) AS with_image FROM shown GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"),
     "ag_offers_per_retailer": public_sql(f"WITH {_SITE} SELECT s.retailer_id, name, count(o.id) AS offers FROM site s LEFT JOIN offers o USING (retailer_id) GROUP BY 1, 2"),
     "gold_step_line": with_tables("SELECT product_id || '-' || store_id AS key, TIMESTAMP '1999-06-01' AS at, arg_max(round_even(price * 100, 0)::INT, (scraped_at, price)) FILTER (WHERE scraped_at <= TIMESTAMP '1999-06-01') AS cents FROM prices GROUP BY 1", "prices"),

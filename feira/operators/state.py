@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from feira.functions.values import cents, product_key
 from feira.operators.listing import canonical_stores, latest_prices, listed_runs
 from feira.sources.domain import branches, prices, products, runs, stores, table, with_tables
-from feira.sources.files import KeyedTable, new_folder, stored
+from feira.sources.files import BucketTable, KeyedTable, added, new_folder, saved_in_turn
 
 #: Superseded prices kept of a pair, the newest.
 HISTORY = 20
@@ -198,22 +198,10 @@ def _q_branches(s, d):
     return branch_sync(b.filter("id % 2 = 0"), b.filter("id % 3 = 0 and chain <> 'Chain 1' or id % 30 = 0"))
 
 
-def _q_append(s, d):
-    old, new = _halves(s, d)
-    key = ["product_id", "store_id", "scraped_at", "price"]
-    return append_new(prices(s, d).select(*key), old.select(*key), key)
-
-
 def _snapshots(s, d):
     return table(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyyMM").cast("long").alias("id")).agg(F.md5(F.count("*").cast("string")).alias("etag"))
 
 
-def _q_publish(s, d):
-    all_ = _snapshots(s, d)
-    last = all_.agg(F.max("id").alias("m"))
-    return publish(all_.join(last, F.col("id") < F.col("m")).drop("m"), all_.join(last, F.col("id") == F.col("m")).drop("m"))
-
-
 def _q_current(s, d):
     own = latest_prices(prices(s, d), stores(s, d), listed_runs(runs(s, d)))
     named = own.join(products(s, d).select(F.col("id").alias("product_id"), product_key(F.col("name")).alias("product_key")), "product_id")
@@ -233,16 +221,52 @@ def _q_catalogue_table(s, d):
     return table_.save(new, catalogue_upsert)
 
 
+def _q_price_table(s, d):
+    """The state of the older half of the prices, then the newer half's cheapest listings."""
+    old, new = _halves(s, d)
+    table_ = BucketTable(s, new_folder(s, "price-state"), ["product_id", "store_id"])
+    table_.save(_state(old))
+    out = saved_in_turn(table_, [cheapest_listing(new)], lambda had, found: price_upsert(had, found))
+    return out.select("product_id", "store_id", "price", "seen_at", F.size("history").alias("changes"))
+
+
+def _q_added(key: list[str]):
+    """Price rows by ``key``: those before the split, then those of a year before it and after."""
+
+    def query(s, d):
+        first = prices(s, d).groupBy(*key).agg(F.min("price").alias("price")) if "price" not in key else prices(s, d).select(*key).distinct()
+        both = [first.filter(F.col("scraped_at") < _SPLIT), first.filter(F.col("scraped_at") >= "1998-01-01")]
+        return saved_in_turn(BucketTable(s, new_folder(s, "price-rows"), key), both, added(key)).select("product_id", "store_id", "scraped_at", "price")
+
+    return query
+
+
+def _q_snapshot_table(s, d):
+    """All but the last three snapshots, then those one by one; the newest five stay, an unchanged one isn't added."""
+    all_ = _snapshots(s, d)
+    last = [r.id for r in all_.orderBy(F.desc("id")).limit(3).collect()]
+    table_ = KeyedTable(s, new_folder(s, "snapshots"), ["id"])
+    table_.save(all_.filter(~F.col("id").isin(last)).orderBy(F.desc("id")).limit(5))
+    return saved_in_turn(table_, [all_.filter(F.col("id") == i) for i in sorted(last)], publish)
+
+
+def _q_current_table(s, d):
+    """The current prices of half of the products, replaced by those of all; a replacement without rows is refused."""
+    now = _q_current(s, d)
+    table_ = KeyedTable(s, new_folder(s, "current-prices"), ["product_key", "retailer_name"])
+    return saved_in_turn(table_, [now.filter("id % 2 = 0"), now], lambda had, found: found)
+
+
 QUERIES = {
     "st_price_upsert": _q_upsert,
-    "snk_price_upsert": stored("price-state", ["product_id", "store_id"], _q_upsert),
+    "snk_price_upsert": _q_price_table,
     "ag_cheapest_listing": _q_cheapest,
     "win_change_points": lambda s, d: change_points(prices(s, d)).select("id", "price"),
     "win_history_cap": lambda s, d: newest(change_points(prices(s, d)), ["product_id"], [F.desc("scraped_at"), F.desc("id")], HISTORY).select("product_id", "id"),
     "win_known_points": _q_known,
     "st_price_points_plan": _q_points,
-    "snk_price_points": stored("price-points", ["product_id", "store_id", "scraped_at"], _q_append),
-    "snk_observations": stored("observations", ["product_id", "store_id", "scraped_at"], _q_append),
+    "snk_price_points": _q_added(["product_id", "store_id", "scraped_at"]),
+    "snk_observations": _q_added(["product_id", "store_id", "scraped_at", "price"]),
     "st_observation_dedup": lambda s, d: prices(s, d).dropDuplicates(["product_id", "store_id", "scraped_at", "price"]).select("product_id", "store_id", "scraped_at", "price"),
     "ag_catalogue_collect": lambda s, d: catalogue_collect(products(s, d), prices(s, d)),
     "snk_catalogue_upsert": _q_catalogue_table,
@@ -251,10 +275,10 @@ QUERIES = {
     "win_expire_deals": _q_expire,
     "st_overlay_run": _q_overlay,
     "st_branch_sync": _q_branches,
-    "snk_snapshot_publish": stored("snapshots", ["id"], _q_publish),
+    "snk_snapshot_publish": _q_snapshot_table,
     "win_keep_newest": lambda s, d: _snapshots(s, d).orderBy(F.desc("id")).limit(5),
     "src_latest_snapshot": lambda s, d: _snapshots(s, d).orderBy(F.desc("id")).limit(1),
-    "snk_current_prices": stored("current-prices", ["product_key", "retailer_name"], _q_current),
+    "snk_current_prices": _q_current_table,
     "ag_listing_collect": _q_current,
     "ag_price_history_nest": _q_nest,
     "jn_known_anti": lambda s, d: products(s, d).join(_halves(s, d)[0].filter("store_id = 1").select(F.col("product_id").alias("id")), "id", "left_anti").select("id"),
@@ -278,7 +302,6 @@ _UPSERT = f"""WITH o AS (SELECT product_id, store_id, arg_max(price, (scraped_at
   SELECT coalesce(n.product_id, o.product_id) AS product_id, coalesce(n.store_id, o.store_id) AS store_id, coalesce(n.price, o.price) AS price, coalesce(n.seen, o.seen) AS seen_at,
   CASE WHEN coalesce(round_even(n.price * 100, 0) <> round_even(o.price * 100, 0), false) THEN 1 ELSE 0 END AS changes FROM o FULL JOIN n ON o.product_id = n.product_id AND o.store_id = n.store_id"""
 _CHANGES = "SELECT * FROM prices WINDOW w AS (PARTITION BY product_id, store_id ORDER BY scraped_at, id) QUALIFY lag(price) OVER w IS NULL OR lag(price) OVER w <> price"
-_APPEND = f"SELECT DISTINCT product_id, store_id, scraped_at, price FROM prices WHERE {_NEW}"
 _SNAP = "SELECT strftime(o_orderdate, '%Y%m')::BIGINT AS id, md5(count(*)::VARCHAR) AS etag FROM orders GROUP BY 1"
 _CURRENT = """WITH {0} SELECT md5(lower(d.name)) AS product_key, retailer_name, arg_max(l.price, l.id) AS price, max(l.id) AS id FROM latest l JOIN products d ON d.id = l.product_id GROUP BY ALL"""
 _PSPR = ("products", "stores", "prices", "runs")
@@ -302,8 +325,8 @@ ORACLE_SQL = {
         fresh AS (SELECT DISTINCT product_key, store, observed_at, cents FROM cur LEFT JOIN kn USING (product_key, store) WHERE NOT c AND (last_seen IS NULL OR observed_at > last_seen)),
         sent AS (SELECT product_key, store, arg_max(cents, (observed_at, cents)) AS sent FROM fresh GROUP BY ALL)
         SELECT * FROM fresh UNION ALL SELECT product_key, store, observed_at, cents FROM cur LEFT JOIN kn USING (product_key, store) LEFT JOIN sent USING (product_key, store) WHERE c AND coalesce(sent, last_cents) IS DISTINCT FROM cents""", *_PSPR),
-    "snk_price_points": with_tables(_APPEND, "prices"),
-    "snk_observations": with_tables(_APPEND, "prices"),
+    "snk_price_points": with_tables("SELECT product_id, store_id, scraped_at, min(price) AS price FROM prices GROUP BY 1, 2, 3", "prices"),
+    "snk_observations": with_tables("SELECT DISTINCT product_id, store_id, scraped_at, price FROM prices", "prices"),
     "st_observation_dedup": with_tables("SELECT DISTINCT product_id, store_id, scraped_at, price FROM prices", "prices"),
     "ag_catalogue_collect": with_tables(f"WITH {_collect('c', 'true', 'true')} SELECT * FROM c", *_PSPR),
     "snk_catalogue_upsert": with_tables(_UPS, *_PSPR),
@@ -316,7 +339,7 @@ ORACLE_SQL = {
     "st_branch_sync": with_tables("""WITH k AS (SELECT * FROM branches WHERE id % 2 = 0), f AS (SELECT * FROM branches WHERE (id % 3 = 0 AND chain <> 'Chain 1') OR id % 30 = 0),
         e AS (SELECT chain, count(*) AS n, (SELECT count(*) FROM f WHERE f.chain = k.chain) AS m FROM k GROUP BY chain)
         SELECT chain, external_id, name FROM f UNION ALL SELECT chain, external_id, name FROM k JOIN e USING (chain) WHERE external_id NOT IN (SELECT external_id FROM f) AND m < 0.5 * n""", "branches"),
-    "snk_snapshot_publish": f"SELECT * FROM ({_SNAP}) a WHERE id < (SELECT max(id) FROM ({_SNAP})) OR etag <> (SELECT arg_max(etag, id) FROM ({_SNAP}) WHERE id < (SELECT max(id) FROM ({_SNAP}))) ORDER BY id DESC LIMIT 5",
+    "snk_snapshot_publish": f"SELECT id, etag FROM (SELECT *, etag IS DISTINCT FROM lag(etag) OVER (ORDER BY id) AS changed, row_number() OVER (ORDER BY id DESC) AS place FROM ({_SNAP})) WHERE place > 3 OR changed ORDER BY id DESC LIMIT 5",
     "win_keep_newest": f"{_SNAP} ORDER BY id DESC LIMIT 5",
     "src_latest_snapshot": f"{_SNAP} ORDER BY id DESC LIMIT 1",
     "snk_current_prices": _current_sql(),

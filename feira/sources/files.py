@@ -63,13 +63,52 @@ class KeyedTable:
         return self.spark.read.parquet(path)
 
 
-def stored(name: str, key: list[str], query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query that saves its rows in a table of its own and returns what the table holds."""
+class BucketTable:
+    """Rows by key in ``buckets`` partitions of a folder: a save reads and rewrites only the buckets its rows fall into.
 
-    def run(spark, d):
-        return KeyedTable(spark, new_folder(spark, name), key).save(query(spark, d))
+    The buckets are replaced when the job commits, and a save whose rows are all there already leaves the same table, so
+    one that fails half way is simply done again. ``merge`` may change and add keys, not drop them. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: list[str], buckets: int = 16):
+        self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
 
-    return run
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.expr(f"cast(pmod(xxhash64({', '.join(self.key)}), {self.buckets}) as int)"))
+
+    def read(self, touched: list[int] | None = None) -> DataFrame | None:
+        """The table, or only some buckets of it; None before the first save."""
+        try:
+            found = self.spark.read.parquet(self.folder)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            return None
+        return (found if touched is None else found.filter(F.col("bucket").isin(touched))).drop("bucket")
+
+    def save(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame | None:
+        """The table after ``rows`` (one for each key) replaced those of equal key, or after ``merge(old, rows)``. Without rows nothing changes."""
+        own = self._bucketed(rows)
+        touched = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if touched:
+            old = self.read(touched)
+            if old is not None:
+                rows = merge(old, rows) if merge else old.join(rows.select(*self.key), self.key, "left_anti").unionByName(rows)
+            spread = self._bucketed(rows).repartition("bucket", F.expr(f"pmod(hash({', '.join(self.key)}), 8)"))  # a bucket may be large
+            spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+        return self.read()
+
+
+def added(key: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A merge that only adds: rows whose key is there already are left out."""
+    return lambda old, new: old.unionByName(new.join(old.select(*key), key, "left_anti"))
+
+
+def saved_in_turn(table: KeyedTable | BucketTable, batches: list[DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """What ``table`` holds after the batches, the last of them again, and one without rows."""
+    for batch in [*batches, batches[-1], batches[-1].limit(0)]:
+        table.save(batch, merge)
+    return table.read()
 
 
 def read_csv(spark: SparkSession, path: str, *columns: str) -> DataFrame:
