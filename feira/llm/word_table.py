@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from feira.llm.common import shared_folder, small_batches, table
 
 #: Bytes of text of a packet.
-PACKET_BYTES = 16 << 20
+PACKET_BYTES = 12 << 20
 #: Words of packets that are dealt to one task.
 DEALT_WORDS = 1_000_000
 #: Words given to the tokenizer at once.
@@ -115,20 +115,24 @@ def _split(column, apart: bool, tokens: list[bytes]):
     import pyarrow.compute as pc
 
     raw = column.cast(pa.large_binary()).fill_null(b"")
-    ends = np.cumsum(pc.binary_length(raw).to_numpy())
-    begins = np.append(0, ends[:-1])
+    ends = np.cumsum(pc.binary_length(raw).to_numpy()).astype(np.int32)  # a batch, and so a text, is under 2 GB
+    begins = np.append(np.int32(0), ends[:-1])
     buffer = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), raw), pa.scalar(b"", pa.large_binary()))[0].as_buffer()
+    del raw
     cuts = begins[ends > begins]
     if apart and len(cuts):
         x = np.frombuffer(buffer, np.uint8)
-        step, found = 1 << 21, []  # a part at a time, with the three bytes before it
+        step, found = 1 << 20, []  # a part at a time, with the three bytes before it
         for k in range(0, len(x), step):
             back = min(k, 3)
             part = word_starts(x[k - back : k + step])
-            found.append((part[part >= back] + (k - back)).astype(np.int64))
-        cuts = np.unique(np.concatenate([cuts, _whole(np.concatenate(found), buffer, tokens)]))
-    offsets = np.append(cuts, ends[-1] if len(ends) else 0).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), buffer])
+            found.append((part[part >= back] + (k - back)).astype(np.int32))
+        cuts = np.concatenate([cuts, _whole(np.concatenate(found), buffer, tokens)])
+        del found
+        cuts.sort()
+        cuts = cuts[np.diff(cuts, prepend=np.int32(-1)) > 0]
+    offsets = np.append(cuts, ends[-1:] if len(ends) else np.zeros(1, np.int32))
+    words = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), buffer])
     return words, np.searchsorted(cuts, ends)
 
 
@@ -136,7 +140,7 @@ def _packed(codes: np.ndarray, wide: bool) -> bytes:
     """Codes with their bytes apart, compressed."""
     import pyarrow as pa
 
-    planes = np.ascontiguousarray(codes.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(codes), 4 if wide else 2).T)
+    planes = np.ascontiguousarray(codes.astype("<u4" if wide else "<u2", copy=False).view(np.uint8).reshape(len(codes), 4 if wide else 2).T)
     return len(codes).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
@@ -148,12 +152,12 @@ def _unpacked(packed: bytes, wide: bool) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view("<u4" if wide else "<u2").ravel()
 
 
-def _bundle(words) -> bytes:
-    """An Arrow binary array as one compressed piece."""
+def _bundle(codes: np.ndarray, words) -> bytes:
+    """Rising codes and their words (an Arrow binary array) as one compressed piece."""
     import pyarrow as pa
 
     sizes, data = _parts(words)
-    lengths = _packed(np.diff(sizes), True)
+    lengths = _packed(np.concatenate([np.diff(codes, prepend=0), np.diff(sizes)]), True)
     raw = np.frombuffer(data, np.uint8)[sizes[0] : sizes[-1]].tobytes()
     return len(lengths).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + lengths + pa.compress(raw, "zstd", asbytes=True)
 
@@ -162,8 +166,10 @@ def _unbundled(bundle: bytes):
     import pyarrow as pa
 
     head, size = int.from_bytes(bundle[:8], "little"), int.from_bytes(bundle[8:16], "little")
-    offsets = np.append(0, np.cumsum(_unpacked(bundle[16 : 16 + head], True), dtype=np.int64)).astype("<i4")
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(pa.decompress(bundle[16 + head :], size, "zstd", asbytes=True))])
+    gaps, lengths = np.split(_unpacked(bundle[16 : 16 + head], True), 2)
+    offsets = np.append(0, np.cumsum(lengths, dtype=np.int64)).astype("<i4")
+    words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(pa.decompress(bundle[16 + head :], size, "zstd", asbytes=True))])
+    return np.cumsum(gaps, dtype=np.int64).astype(np.int32), words
 
 
 def _parts(column):
@@ -207,11 +213,12 @@ def _packets(rows: DataFrame, split, name: str) -> DataFrame:
         for batch in _joined(batches, PACKET_BYTES):
             entries, ends = split(batch.column(1))
             coded = entries.dictionary_encode()
+            del entries
             codes, distinct = coded.indices.to_numpy(), coded.dictionary
             often = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")  # low codes for frequent words
-            rank = np.empty(len(distinct), np.int64)
-            rank[often] = np.arange(len(distinct))
             wide = len(distinct) > 1 << 16
+            rank = np.empty(len(distinct), np.uint32 if wide else np.uint16)
+            rank[often] = np.arange(len(distinct))
             yield pa.RecordBatch.from_pydict(
                 {
                     "packet": pa.array([number], pa.int64()),
@@ -223,7 +230,7 @@ def _packets(rows: DataFrame, split, name: str) -> DataFrame:
                 }
             )
             number += 1
-            del entries, coded, codes, distinct
+            del coded, codes, distinct, rank
             pa.default_memory_pool().release_unused()
 
     spark = rows.sparkSession
@@ -269,13 +276,15 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_entries(entries: DataFrame, path: str) -> DataFrame:
-    """packet, codes array<int>, ids array<int>: the ids of packets' words (packet, entries), each with its word's code.
+    """packet, codes, sizes, ids: of packets' words (packet, entries) the codes, how many ids each has, and all their ids, as
+    array<short> (unsigned) where the vocabulary allows it.
 
     Words are dealt by their hash, in one row for all words of a packet that go to one task, so a task has all
     occurrences of its words and encodes each distinct one once.
     """
     spark = entries.sparkSession
     words = entries.agg(F.sum(F.size("entries"))).first()[0] or 0
+    kind = "short" if _open(path)[0].get_vocab_size(with_added_tokens=True) <= 1 << 16 else "int"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // DEALT_WORDS))
 
     def deal(batches):
@@ -289,13 +298,11 @@ def encode_entries(entries: DataFrame, path: str) -> DataFrame:
                 part = np.fromiter(map(zlib.crc32, own.to_pylist()), np.int64, len(own)) % parts
                 order = np.argsort(part, kind="stable")
                 at = np.flatnonzero(np.diff(part[order], prepend=-1))
-                offsets = pa.array(np.append(at, len(order)), pa.int32())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(part[order][at], pa.int32()),
                         "packet": pa.array(np.full(len(at), packet), pa.int64()),
-                        "codes": pa.ListArray.from_arrays(offsets, pa.array(order, pa.int32())),
-                        "words": [_bundle(own.take(pa.array(x))) for x in np.split(order, at[1:])],
+                        "words": [_bundle(x, own.take(pa.array(x))) for x in np.split(order, at[1:])],
                     }
                 )
 
@@ -304,22 +311,26 @@ def encode_entries(entries: DataFrame, path: str) -> DataFrame:
 
         tokenizer, known = _open(path)[0], {}
         for batch in batches:
-            lists = [_unbundled(x) for x in batch.column("words").to_pylist()]
-            own = pa.concat_arrays(lists).dictionary_encode()
+            bundles = [_unbundled(x) for x in batch.column("words").to_pylist()]
+            own = pa.concat_arrays([words for _, words in bundles]).dictionary_encode()
             words = own.dictionary.to_pylist()
             new = [w for w in words if w not in known]
             for k in range(0, len(new), ENCODED_AT_ONCE):
                 some = new[k : k + ENCODED_AT_ONCE]
                 known.update(zip(some, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
             ids = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(own.indices)
+            by_word = np.append(0, np.cumsum([len(codes) for codes, _ in bundles])).astype(np.int32)
             ends = np.asarray(ids.offsets)
-            sizes = np.diff(ends)
-            offsets = pa.array(ends[np.append(0, np.cumsum([len(x) for x in lists]))], pa.int32())
-            codes = np.repeat(batch.column("codes").flatten().to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("packet"), pa.ListArray.from_arrays(offsets, pa.array(codes, pa.int32())), pa.ListArray.from_arrays(offsets, ids.flatten())], ["packet", "codes", "ids"])
+            flat = ids.flatten().to_numpy().astype(np.uint16 if kind == "short" else np.uint32)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(by_word), pa.array(np.concatenate([codes for codes, _ in bundles]), pa.int32())),
+                pa.ListArray.from_arrays(pa.array(by_word), pa.array(np.diff(ends), pa.int32())),
+                pa.ListArray.from_arrays(pa.array(ends[by_word]), pa.array(flat.view(np.int16 if kind == "short" else np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("packet"), *lists], ["packet", "codes", "sizes", "ids"])
 
-    dealt = entries.mapInArrow(deal, "part int, packet long, codes array<int>, words binary").repartitionById(parts, "part")
-    return dealt.select("packet", "codes", "words").mapInArrow(encode, "packet long, codes array<int>, ids array<int>")
+    dealt = entries.mapInArrow(deal, "part int, packet long, words binary").repartitionById(parts, "part")
+    return dealt.select("packet", "words").mapInArrow(encode, f"packet long, codes array<int>, sizes array<int>, ids array<{kind}>")
 
 
 def _grouped(column, codes: np.ndarray, n: int) -> list[bytes]:
@@ -396,7 +407,11 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def _each_id(known: DataFrame) -> DataFrame:
     """packet, code, place, id: a row for each id of ``encode_entries``, at its packet."""
-    return known.repartition("packet").select("packet", F.posexplode(F.arrays_zip("codes", "ids")).alias("place", "x")).select("packet", F.col("x.codes").alias("code"), "place", F.col("x.ids").alias("id"))
+    short = known.schema["ids"].dataType.elementType.typeName() == "short"
+    code_of_each = F.flatten(F.transform(F.arrays_zip("codes", "sizes"), lambda x: F.array_repeat(x["codes"], x["sizes"])))
+    each = known.repartition("packet").select("packet", F.posexplode(F.arrays_zip(code_of_each.alias("code"), F.col("ids").alias("id"))).alias("place", "x"))
+    number = F.col("x.id").cast("int").bitwiseAND(F.lit(0xFFFF)) if short else F.col("x.id")
+    return each.select("packet", F.col("x.code").alias("code"), "place", number.alias("id"))
 
 
 def _with_pieces(ids: DataFrame, path: str) -> DataFrame:
