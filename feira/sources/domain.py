@@ -64,12 +64,6 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices_of(table(spark, sf_dir, "lineitem"))
 
 
-def price_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``prices`` as a stream over the table's files, one file a micro-batch."""
-    files = f"{sf_dir}/lineitem{{.parquet}}"  # a pattern, as a stream takes a lone file for a folder otherwise
-    return prices_of(spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).option("maxFilesPerTrigger", 1).parquet(files))
-
-
 def prices_of(li: DataFrame) -> DataFrame:
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5)
     regular = F.floor(cents / (1 - F.col("l_discount")) + 0.5)

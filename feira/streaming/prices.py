@@ -1,108 +1,153 @@
 """Structured Streaming forms of the keyed price state.
 
-``upsert_stream`` keeps one current price and the newest changes of each (product, store) in the state store;
-``deduplicated`` drops repeated observations inside a watermark; ``windowed_changes`` counts price rows by time window.
+``upsert_stream`` keeps the current price and the newest changes of each (product, store) in the state store;
+``deduplicated`` drops repeated observations inside a watermark; ``windowed_changes`` counts price rows by time window;
+``into`` is a sink that writes micro-batches into a bucketed table, reading only the buckets that a batch touches.
+
+The registered queries send the prices in parts, by time, some rows again and some late, and start the stream anew from its
+checkpoint for each part, so state and tables must carry over.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from feira.operators.state import HISTORY
-from feira.sources.domain import price_stream, with_tables
-from feira.sources.files import new_folder
+from feira.sources.domain import prices, with_tables
+from feira.sources.files import BucketTable, added, new_folder
 
 OUTPUT = "product_id long, store_id long, price_cents int, observed_at timestamp, changes int"
-STATE = "cents int, seen timestamp, history array<int>"
 
 
-def _advance(key, batches: Iterator, state):
-    """The newest price of a key; a change of cents puts the old one into the history, of HISTORY entries at most."""
-    import pandas as pd
+class PriceState(StatefulProcessor):
+    """The newest price of a key and, in a list of HISTORY at most, the prices it replaced. Rows that aren't newer than
+    the state (late or repeated) change nothing; of several prices at one time the lowest counts."""
 
-    cents, seen, history = state.get if state.exists else (None, None, [])
-    history = list(history or [])
-    rows = pd.concat(list(batches)).sort_values(["observed_at", "price_cents"])
-    for row in rows.itertuples():
-        if seen is not None and row.observed_at < seen:
-            continue  # late: the state is newer
-        if cents is not None and row.price_cents != cents:
-            history = [*history, int(cents)][-HISTORY:]
-        cents, seen = int(row.price_cents), row.observed_at
-    state.update((cents, seen, history))
-    yield pd.DataFrame({"product_id": [key[0]], "store_id": [key[1]], "price_cents": [cents], "observed_at": [seen], "changes": [len(history)]})
+    def init(self, handle) -> None:
+        self.current = handle.getValueState("current", "cents int, seen timestamp")
+        self.history = handle.getListState("history", "cents int, seen timestamp")
 
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import pandas as pd
 
-def upsert_stream(prices: DataFrame) -> DataFrame:
-    """A row for each key that a micro-batch touched: its current price and number of kept changes."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+        cents, seen = self.current.get() if self.current.exists() else (None, None)
+        new = pd.concat(list(rows)).groupby("observed_at", sort=True)["price_cents"].min()
+        if seen is not None:
+            new = new[new.index > pd.Timestamp(seen)]
+        kept = list(self.history.get()) if self.history.exists() else []
+        if len(new):
+            said = new.tolist() if cents is None else [cents, *new.tolist()]
+            times = list(new.index) if seen is None else [pd.Timestamp(seen), *new.index]
+            changed = [k for k in range(len(said) - 1) if said[k] != said[k + 1]]
+            # a price that stays counts from when it was last seen
+            kept = [*map(tuple, kept), *((int(said[k]), times[k].to_pydatetime()) for k in changed)][-HISTORY:]
+            cents, seen = int(said[-1]), times[-1].to_pydatetime()
+            self.current.update((cents, seen))
+            if changed:
+                self.history.put(kept)
+        yield pd.DataFrame({"product_id": [key[0]], "store_id": [key[1]], "price_cents": [cents], "observed_at": [pd.Timestamp(seen)], "changes": [len(kept)]})
 
-    own = prices.select("product_id", "store_id", F.bround(F.col("price") * 100, 0).cast("int").alias("price_cents"), F.col("scraped_at").alias("observed_at"))
-    return own.groupBy("product_id", "store_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def deduplicated(prices: DataFrame, delay: str = "10 days") -> DataFrame:
-    """Observations, each once within the watermark."""
-    return prices.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(["product_id", "store_id", "scraped_at", "price"])
+def upsert_stream(price: DataFrame) -> DataFrame:
+    """A row for each key that a micro-batch touched: its current price and number of kept changes."""
+    own = price.select("product_id", "store_id", F.bround(F.col("price") * 100, 0).cast("int").alias("price_cents"), F.col("scraped_at").cast("timestamp").alias("observed_at"))
+    return own.groupBy("product_id", "store_id").transformWithStateInPandas(PriceState(), OUTPUT, "Update", "None")
 
 
-def windowed_changes(prices: DataFrame, length: str = "30 days", delay: str = "10 days") -> DataFrame:
-    """Rows and lowest price by store and window of event time."""
-    return prices.withWatermark("scraped_at", delay).groupBy(F.window("scraped_at", length), "store_id").agg(F.count("*").alias("rows"), F.min("price").alias("low"))
+def deduplicated(price: DataFrame, delay: str = "10 days") -> DataFrame:
+    """Observations, each once within the watermark."""
+    return price.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(["product_id", "store_id", "scraped_at", "price"])
 
 
-def ingest(folder: str):
-    """A foreachBatch sink that appends only observations not in ``folder`` yet: a repeated micro-batch adds nothing."""
-    from feira.operators.state import append_new
+def windowed_changes(price: DataFrame, length: str = "30 days", delay: str = "10 days") -> DataFrame:
+    """Rows and lowest price by store and window of event time; windows that the watermark has passed leave the state."""
+    by = price.withWatermark("scraped_at", delay).groupBy(F.window("scraped_at", length), "store_id").agg(F.count("*").alias("rows"), F.min("price").alias("low"))
+    return by.select(F.col("window.start").alias("window_start"), "store_id", "rows", "low")
 
-    key = ["product_id", "store_id", "scraped_at", "price"]
+
+def into(table: BucketTable, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: rows replace those of equal key, or merge with them. A micro-batch that is done again after a
+    failure leaves the same table."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*key)
-        try:
-            there = spark.read.schema(rows.schema).parquet(folder)
-            there.take(1)
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            there = spark.createDataFrame([], rows.schema)
-        append_new(rows, there, key).write.mode("append").parquet(folder)
+        held = batch.persist()  # the buckets touched and the rows are one run of the batch
+        table.save(held, merge)
+        held.unpersist()
 
     return sink
 
 
-def _drained(stream: DataFrame, mode: str, sink) -> None:
-    """All that the source holds now, through ``sink``; the stream's progress is kept in the shared folder."""
-    writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", new_folder(stream.sparkSession, "stream"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+#: The state store that keeps state of any form.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _q_windows(spark, d) -> DataFrame:
-    folder = new_folder(spark, "windows")
+def drain(stream: DataFrame, checkpoint: str, sink, mode: str = "update") -> None:
+    """All that the source holds and hasn't been read yet, through ``sink``; where it stopped is kept in ``checkpoint``."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE[0], None)
+    conf.set(*STORE)
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(STORE[0], before) if before else conf.unset(STORE[0])
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/{number:08d}")  # every batch holds all windows so far
 
-    own = price_stream(spark, d).withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
-    _drained(windowed_changes(own), "complete", sink)
-    batches = spark.read.option("basePath", folder).parquet(f"{folder}/*").withColumn("batch", F.element_at(F.split(F.input_file_name(), "/"), -2))
-    last = batches.agg(F.max("batch").alias("batch"))  # one row
-    return batches.join(F.broadcast(last), "batch").select(F.col("window.start").alias("window_start"), "store_id", "rows", "low")
+def in_parts(parts: list[DataFrame], flow: Callable[[DataFrame], DataFrame], sink, mode: str = "update") -> None:
+    """Each part written to the folder of a stream, which then starts anew from its checkpoint and reads what is new."""
+    spark = parts[0].sparkSession
+    folder, checkpoint = new_folder(spark, "arriving"), new_folder(spark, "stream")
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        drain(flow(spark.readStream.schema(part.schema).parquet(folder)), checkpoint, sink, mode)
+
 
+CUTS = ("1995-01-01", "1997-01-01")
 
-def _q_ingest(spark, d) -> DataFrame:
-    folder = new_folder(spark, "observations")
-    _drained(price_stream(spark, d), "append", ingest(folder))
-    return spark.read.parquet(folder)
+
+def _parts(s, d) -> list[DataFrame]:
+    own = prices(s, d).select("product_id", "store_id", F.col("scraped_at").cast("timestamp").alias("scraped_at"), "price")
+    at = F.col("scraped_at")
+    return [own.filter(at < CUTS[0]), own.filter((at >= CUTS[0]) & (at < CUTS[1])), own.filter(at >= CUTS[1])]
+
+
+def _q_upsert(s, d) -> DataFrame:
+    """Parts by time; the second brings rows of the first again, the third late ones of another price."""
+    first, second, third = _parts(s, d)
+    again = first.filter("store_id % 3 = 0")
+    late = first.filter("store_id % 5 = 0").withColumn("price", F.col("price") + 1)
+    table = BucketTable(s, new_folder(s, "price-stream"), ["product_id", "store_id"])
+    in_parts([first, second.unionByName(again), third.unionByName(late)], upsert_stream, into(table))
+    return table.read()
+
+
+def _q_windows(s, d) -> DataFrame:
+    table = BucketTable(s, new_folder(s, "windows"), ["window_start", "store_id"])
+    in_parts(_parts(s, d), windowed_changes, into(table))
+    return table.read()
+
+
+def _q_ingest(s, d) -> DataFrame:
+    """Parts by time, and the second once more as a whole."""
+    first, second, third = _parts(s, d)
+    key = ["product_id", "store_id", "scraped_at", "price"]
+    table = BucketTable(s, new_folder(s, "observations"), key)
+    in_parts([first, second, third, second], lambda rows: rows, lambda batch, number: into(table, added(key))(batch.dropDuplicates(key), number), "append")
+    return table.read()
 
 
-QUERIES = {"stream_price_windows": _q_windows, "stream_observations": _q_ingest}
+QUERIES = {"stream_price_upsert": _q_upsert, "stream_price_windows": _q_windows, "stream_observations": _q_ingest}
 
 ORACLE_SQL = {
+    "stream_price_upsert": with_tables(f"""WITH t AS (SELECT product_id, store_id, scraped_at, round_even(min(price) * 100, 0)::INT AS cents FROM prices GROUP BY 1, 2, 3),
+        c AS (SELECT *, lag(cents) OVER (PARTITION BY product_id, store_id ORDER BY scraped_at) <> cents AS changed FROM t)
+        SELECT product_id, store_id, arg_max(cents, scraped_at) AS price_cents, max(scraped_at)::TIMESTAMP AS observed_at, least({HISTORY}, count(*) FILTER (WHERE changed))::INT AS changes FROM c GROUP BY 1, 2""", "prices"),
     "stream_price_windows": with_tables("SELECT time_bucket(INTERVAL 30 DAY, scraped_at::TIMESTAMP, TIMESTAMP '1970-01-01') AS window_start, store_id, count(*) AS rows, min(price) AS low FROM prices GROUP BY 1, 2", "prices"),
-    "stream_observations": with_tables("SELECT DISTINCT product_id, store_id, scraped_at, price FROM prices", "prices"),
-}
+    "stream_observations": with_tables("SELECT DISTINCT product_id, store_id, scraped_at::TIMESTAMP AS scraped_at, price FROM prices", "prices"),
+}

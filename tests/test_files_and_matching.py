@@ -137,14 +137,23 @@ def test_star_dimensions(spark):
 
 def test_a_release_can_be_done_again_and_is_stopped_by_errors(spark, tmp_path):
     from feira.plans.refresh import best_effort, refresh
+    from feira.sources.files import KeyedTable
     from feira.sources.domain import prices, products, runs, stores
 
     d = "/root/testdata/sf0.001"
     tables = products(spark, d), stores(spark, d), prices(spark, d), runs(spark, d)
-    first = refresh(*tables, f"file://{tmp_path}/a")
+    folder = f"file://{tmp_path}/a"
+    first = refresh(*tables, folder)
     assert [s for _, s, _ in first[3:]] == ["ok"] * 4
-    again = {step: status for step, status, _ in refresh(*tables, f"file://{tmp_path}/b", live=10**9)}
+    held = {name: KeyedTable(spark, f"{folder}/{name}", []).read().drop("version") for name in ("snapshots", "points", "catalogue", "current")}
+    before = {name: set(map(str, df.collect())) for name, df in held.items()}
+    second = refresh(*tables, folder)  # into the same tables: nothing is published again, the rest is as it was
+    assert [s for _, s, _ in second[3:]] == ["unchanged", "ok", "ok", "ok"]
+    assert {name: set(map(str, KeyedTable(spark, f"{folder}/{name}", []).read().drop("version").collect())) for name in held} == before
+    again = {step: status for step, status, _ in refresh(*tables, folder, live=10**9)}
     assert again["validate"] == "blocked" and "publish" not in again
+    more = products(spark, d).filter("id % 2 = 0"), *tables[1:]
+    assert {step: status for step, status, _ in refresh(*more, folder)}["publish"] == "ok"  # a list that changed is
 
     def broken():
         raise ValueError("no table")
