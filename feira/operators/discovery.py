@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feira.functions.text import chain_key, clean
 from feira.functions.values import sequence_ratio
+from feira.operators.likeness import likeness, most_alike, plain_name
 from feira.sources.domain import branches, products, stores, with_tables
 from feira.sources.files import new_folder
 
@@ -24,6 +25,7 @@ def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, ratio) of names of ``left`` (a) and ``right`` (b) whose ratio of matching letters is ``least`` or more.
 
     Distinct names are compared once, and only those that share a run of three letters and whose lengths allow the ratio.
+    For ratios from 0.88 and names from five letters all alike share one; ``likeness`` has the join for lower ratios.
     """
     a = left.select("a").filter("a <> ''").distinct().withColumn("g", _grams(F.col("a")))
     b = right.select("b").filter("b <> ''").distinct().withColumn("g", _grams(F.col("b")))
@@ -91,12 +93,12 @@ def synced_candidates(known: DataFrame, found: DataFrame, now: Column) -> DataFr
 
 def image_matches(product: DataFrame, found: DataFrame) -> DataFrame:
     """id, image, source, confidence: of images found for products (id, name, brand; found: id, kind, name, brand, image) the
-    one of the barcode, else the most similar one from IMAGE on (names, or brands where both have one; ties: lowest image)."""
+    one of the barcode, else the most similar one from IMAGE on (likeness of names, or of brands where both have one and
+    that is higher; ties: lowest image)."""
     both = product.join(found.select("id", "kind", F.col("name").alias("their_name"), F.col("brand").alias("their_brand"), "image"), "id").filter("coalesce(image, '') <> ''")
-    fold = lambda c: clean(F.coalesce(F.col(c), F.lit("")))
-    by_name, by_brand = sequence_ratio(fold("name"), fold("their_name")), sequence_ratio(fold("brand"), fold("their_brand"))
+    both = both.withColumns({"a": plain_name("name"), "b": plain_name("their_name"), "c": plain_name("brand"), "d": plain_name("their_brand")})
     branded = (F.coalesce("brand", F.lit("")) != "") & (F.coalesce("their_brand", F.lit("")) != "")
-    scored = both.withColumns({"by_name": by_name, "by_brand": by_brand})
+    scored = both.withColumns({"by_name": likeness("a", "b"), "by_brand": likeness("c", "d")})
     score = F.when(F.col("kind") == "gtin", 1.0).when(branded, F.greatest("by_name", "by_brand")).otherwise(F.col("by_name"))
     scored = scored.withColumn("confidence", F.round(score, 6)).filter((F.col("kind") == "gtin") | (score >= IMAGE))
     best = Window.partitionBy("id").orderBy(F.desc(F.col("kind") == "gtin"), F.desc("confidence"), "image")
@@ -107,32 +109,29 @@ def looked_up(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     """num, id, how: the flagged product that a reviewed row means.
 
     rows (num, name, gtin), flagged (place, id, name, gtin; places count from 1). First the product at the row's number, if
-    the names are at all alike; then that of the barcode; then the most similar name.
+    the names are at all alike; then that of the barcode; then the most similar name from LOOKUP_BY_NAME on (ties: first place).
     """
-    own = rows.select("num", clean("name").alias("a"), F.col("gtin").alias("code"))
-    at = own.join(flagged.select(F.col("place").alias("num"), "id", clean("name").alias("b")), "num").withColumn("r", sequence_ratio("a", "b")).filter(F.col("r") >= LOOKUP_AT_PLACE)
+    own = rows.select("num", plain_name("name").alias("a"), F.col("gtin").alias("code"))
+    named = flagged.select("place", "id", plain_name("name").alias("b"))
+    at = own.join(named.withColumnRenamed("place", "num"), "num").withColumn("r", likeness("a", "b")).filter(F.col("r") >= LOOKUP_AT_PLACE)
     at = at.select("num", F.lit(1).alias("rank"), F.lit("place").alias("how"), "id")
     by_code = own.filter("code is not null").join(flagged.filter("gtin is not null").select(F.col("id"), "place", F.lpad("gtin", 14, "0").alias("g")), F.lpad("code", 14, "0") == F.col("g"))
     by_code = by_code.groupBy("num").agg(F.min_by("id", "place").alias("id")).select("num", F.lit(2).alias("rank"), F.lit("barcode").alias("how"), "id")
     open_ = own.join(at.union(by_code).select("num").distinct(), "num", "left_anti")
-    near = alike(open_, flagged.select(clean("name").alias("b")), LOOKUP_BY_NAME)
-    by_name = open_.join(near, "a").join(flagged.select("id", "place", clean("name").alias("b")), "b").groupBy("num").agg(F.max_by("id", F.struct("ratio", (-F.col("place")).alias("p"))).alias("id"))
-    by_name = by_name.select("num", F.lit(3).alias("rank"), F.lit("name").alias("how"), "id")
+    near = most_alike(open_, named, LOOKUP_BY_NAME)
+    first = named.groupBy("b").agg(F.min(F.struct("place", "id")).alias("f"))
+    by_name = open_.join(near, "a").join(first, "b").groupBy("num").agg(F.min("f").alias("f")).select("num", F.lit(3).alias("rank"), F.lit("name").alias("how"), F.col("f.id").alias("id"))
     return at.union(by_code).union(by_name).groupBy("num").agg(F.min(F.struct("rank", "how", "id")).alias("m")).select("num", "m.how", "m.id")
 
 
 def branch_evidence(flyers: DataFrame, branch: DataFrame) -> DataFrame:
-    """flyer_id, branch_id, ratio: the branch of the flyer's chain whose name its title is most like, from BRANCH on.
-
-    Blocked: title and name must share a word that tells branches of the chain apart, one that at most 20 of them have.
-    """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(clean(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    f = flyers.select("flyer_id", "chain", clean("title").alias("a"), F.explode(words("title")).alias("word"))
-    b = branch.select("branch_id", "chain", clean("name").alias("b"), F.explode(words("name")).alias("word"))
-    telling = b.groupBy("chain", "word").agg(F.count("*").alias("n")).filter("n <= 20").select("chain", "word")
-    near = f.join(b.join(telling, ["chain", "word"]), ["chain", "word"]).select("flyer_id", "branch_id", "a", "b").distinct().withColumn("ratio", sequence_ratio("a", "b")).filter(F.col("ratio") >= BRANCH)
-    best = near.groupBy("flyer_id").agg(F.max(F.struct("ratio", (-F.col("branch_id")).alias("low"))).alias("m"))
-    return best.select("flyer_id", (-F.col("m.low")).alias("branch_id"), F.round("m.ratio", 6).alias("ratio"))
+    """flyer_id, branch_id, ratio: the branch of the flyer's chain whose name its title is most like, from BRANCH on (ties:
+    lowest branch_id). Titles and names are compared once each, and only where they can be alike."""
+    f = flyers.select("flyer_id", "chain", plain_name("title").alias("a"))
+    b = branch.select("branch_id", "chain", plain_name("name").alias("b"))
+    near = most_alike(f, b, BRANCH, ["chain"]).join(b.groupBy("chain", "b").agg(F.min("branch_id").alias("branch_id")), ["chain", "b"])
+    best = near.groupBy("chain", "a").agg(F.min("branch_id").alias("branch_id"), F.first("score").alias("score"))
+    return f.join(best, ["chain", "a"]).select("flyer_id", "branch_id", F.round("score", 6).alias("ratio"))
 
 
 SHOPS = ("Supermercado Aurora", "SUPER AURORA", "Aurora - Loja 2", "Aurora Norte", "Mercado Boa Vista", "Boa Vizta", "Chain 1", "Mercadinho do Porto", "Porto", "Loja")
@@ -158,7 +157,7 @@ def _q_images(s, d):
     p, k = products(s, d).select("id", "name", "brand"), F.col("id")
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), name.alias("name"), brand.alias("brand"), image.alias("image")) for kind, name, brand, image in (
         ("gtin", F.lit("x"), F.lit(None).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("g"), k.cast("string")))),
-        ("search", F.upper("name"), F.lit(None).cast("string"), F.when(k % 4 != 0, F.concat(F.lit("s"), k.cast("string")))),
+        ("search", F.array_join(F.reverse(F.split(F.upper("name"), " ")), " "), F.lit(None).cast("string"), F.when(k % 4 != 0, F.concat(F.lit("s"), k.cast("string")))),
         ("search", F.lit("zzz"), F.col("brand"), F.concat(F.lit("t"), k.cast("string"))),
     )])
     return image_matches(p, p.select("id", F.explode(kinds).alias("f")).select("id", "f.*"))
@@ -167,8 +166,11 @@ def _q_images(s, d):
 def _q_ladder(s, d):
     p, k = products(s, d), F.col("id")
     flagged = p.select(k.alias("place"), "id", "name", "gtin")
-    rows = p.select(k.alias("num"), F.when(k % 3 == 0, F.col("name")).otherwise("zzzz").alias("name"), F.when(k % 3 == 1, F.col("gtin")).alias("gtin"))
-    return looked_up(rows, flagged)
+    reordered = F.array_join(F.reverse(F.split("name", " ")), " ")
+    name = F.when(k % 3 == 0, F.col("name")).when(k % 6 == 2, reordered).otherwise("zzzz")
+    # the numbers of rows to be found by name are those of no product
+    num = F.when(k % 6 == 2, -k).otherwise(k)
+    return looked_up(p.select(num.alias("num"), name.alias("name"), F.when(k % 3 == 1, F.col("gtin")).alias("gtin")), flagged)
 
 
 def _q_evidence(s, d):
@@ -190,7 +192,8 @@ ORACLE_SQL = {
     "jn_image_best_match": with_tables("""SELECT id, CASE WHEN id % 3 = 0 THEN 'g' || id WHEN id % 4 <> 0 THEN 's' || id ELSE 't' || id END AS image, CASE WHEN id % 3 = 0 THEN 'gtin' ELSE 'search' END AS source, 1.0::DOUBLE AS confidence
         FROM products WHERE id % 3 = 0 OR id % 4 <> 0 OR coalesce(brand, '') <> ''""", "products"),
     "jn_lookup_ladder": with_tables("""SELECT id AS num, CASE WHEN id % 3 = 0 THEN 'place' ELSE 'barcode' END AS how, CASE WHEN id % 3 = 0 THEN id ELSE (SELECT min(q.id) FROM products q WHERE q.gtin = p.gtin) END AS id
-        FROM products p WHERE id % 3 = 0 OR (id % 3 = 1 AND gtin IS NOT NULL)""", "products"),
+        FROM products p WHERE id % 3 = 0 OR (id % 3 = 1 AND gtin IS NOT NULL)
+        UNION ALL SELECT -p.id, 'name', min(q.id) FROM (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))) AS w FROM products) p JOIN (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))) AS w FROM products) q USING (w) WHERE p.id % 6 = 2 GROUP BY p.id""", "products"),
     "ag_chain_discovery": with_tables(f"""WITH p AS (SELECT id, {_PICK}[(id * 7) % 10 + 1] AS name, {_HEADS}[(id * 7) % 10 + 1] AS h, CASE WHEN id % 3 <> 0 THEN 'City ' || (id % 4) END AS city, address, (id * 7) % 10 AS k FROM branches)
         SELECT CASE h WHEN 1 THEN 'aurora' WHEN 2 THEN CASE WHEN (SELECT count(*) FROM p WHERE k = 4) >= (SELECT count(*) FROM p WHERE k = 5) THEN 'boa vista' ELSE 'boa vizta' END ELSE 'porto' END AS key,
           (SELECT q.name FROM p q WHERE q.h = p.h GROUP BY 1 ORDER BY count(*) DESC, q.name DESC LIMIT 1) AS name, count(*) AS branches, coalesce(array_to_string(list_sort(list(DISTINCT city) FILTER (WHERE city IS NOT NULL)), ', '), '') AS cities,
