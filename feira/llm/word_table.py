@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from feira.llm.common import shared_folder, small_batches, table
 
 #: Bytes of text of a packet.
-PACKET_BYTES = 16 << 20
+PACKET_BYTES = 12 << 20
 #: Words of packets that are dealt to one task.
 DEALT_WORDS = 1_000_000
 #: Words given to the tokenizer at once.
@@ -152,12 +152,12 @@ def _unpacked(packed: bytes, wide: bool) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view("<u4" if wide else "<u2").ravel()
 
 
-def _bundle(codes: np.ndarray, words) -> bytes:
-    """Rising codes and their words (an Arrow binary array) as one compressed piece."""
+def _bundle(words) -> bytes:
+    """An Arrow binary array as one compressed piece."""
     import pyarrow as pa
 
     sizes, data = _parts(words)
-    lengths = _packed(np.concatenate([np.diff(codes, prepend=0), np.diff(sizes)]), True)
+    lengths = _packed(np.diff(sizes), True)
     raw = np.frombuffer(data, np.uint8)[sizes[0] : sizes[-1]].tobytes()
     return len(lengths).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + lengths + pa.compress(raw, "zstd", asbytes=True)
 
@@ -166,10 +166,8 @@ def _unbundled(bundle: bytes):
     import pyarrow as pa
 
     head, size = int.from_bytes(bundle[:8], "little"), int.from_bytes(bundle[8:16], "little")
-    gaps, lengths = np.split(_unpacked(bundle[16 : 16 + head], True), 2)
-    offsets = np.append(0, np.cumsum(lengths, dtype=np.int64)).astype("<i4")
-    words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(pa.decompress(bundle[16 + head :], size, "zstd", asbytes=True))])
-    return np.cumsum(gaps, dtype=np.int64).astype(np.int32), words
+    offsets = np.append(0, np.cumsum(_unpacked(bundle[16 : 16 + head], True), dtype=np.int64)).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(pa.decompress(bundle[16 + head :], size, "zstd", asbytes=True))])
 
 
 def _parts(column):
@@ -275,9 +273,14 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(spelled(p))) for p, i in vocabulary.items()], "id int, piece binary")
 
 
-def encode_entries(entries: DataFrame, path: str) -> DataFrame:
-    """packet, codes, sizes, ids: of packets' words (packet, entries) the codes, how many ids each has, and all their ids, as
-    array<short> (unsigned) where the vocabulary allows it.
+def part_of(words: list[bytes], parts: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+
+
+def encode_entries(entries: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """packet, part, sizes, ids of packets' words (packet, entries): for the words of a packet in a part, in order of their codes,
+    how many ids each has, and all their ids, as array<short> (unsigned) where the vocabulary allows it. And how many parts
+    there are: a word's part is ``part_of`` it.
 
     Words are dealt by their hash, in one row for all words of a packet that go to one task, so a task has all
     occurrences of its words and encodes each distinct one once.
@@ -295,14 +298,14 @@ def encode_entries(entries: DataFrame, path: str) -> DataFrame:
                 own = own.values
                 if not len(own):
                     continue
-                part = np.fromiter(map(zlib.crc32, own.to_pylist()), np.int64, len(own)) % parts
+                part = part_of(own.to_pylist(), parts)
                 order = np.argsort(part, kind="stable")
                 at = np.flatnonzero(np.diff(part[order], prepend=-1))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(part[order][at], pa.int32()),
                         "packet": pa.array(np.full(len(at), packet), pa.int64()),
-                        "words": [_bundle(x, own.take(pa.array(x))) for x in np.split(order, at[1:])],
+                        "words": [_bundle(own.take(pa.array(x))) for x in np.split(order, at[1:])],
                     }
                 )
 
@@ -312,25 +315,24 @@ def encode_entries(entries: DataFrame, path: str) -> DataFrame:
         tokenizer, known = _open(path)[0], {}
         for batch in batches:
             bundles = [_unbundled(x) for x in batch.column("words").to_pylist()]
-            own = pa.concat_arrays([words for _, words in bundles]).dictionary_encode()
+            own = pa.concat_arrays(bundles).dictionary_encode()
             words = own.dictionary.to_pylist()
             new = [w for w in words if w not in known]
             for k in range(0, len(new), ENCODED_AT_ONCE):
                 some = new[k : k + ENCODED_AT_ONCE]
                 known.update(zip(some, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
             ids = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(own.indices)
-            by_word = np.append(0, np.cumsum([len(codes) for codes, _ in bundles])).astype(np.int32)
+            by_word = np.append(0, np.cumsum([len(x) for x in bundles])).astype(np.int32)
             ends = np.asarray(ids.offsets)
             flat = ids.flatten().to_numpy().astype(np.uint16 if kind == "short" else np.uint32)
             lists = [
-                pa.ListArray.from_arrays(pa.array(by_word), pa.array(np.concatenate([codes for codes, _ in bundles]), pa.int32())),
                 pa.ListArray.from_arrays(pa.array(by_word), pa.array(np.diff(ends), pa.int32())),
                 pa.ListArray.from_arrays(pa.array(ends[by_word]), pa.array(flat.view(np.int16 if kind == "short" else np.int32))),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("packet"), *lists], ["packet", "codes", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("packet"), batch.column("part"), *lists], ["packet", "part", "sizes", "ids"])
 
     dealt = entries.mapInArrow(deal, "part int, packet long, words binary").repartitionById(parts, "part")
-    return dealt.select("packet", "words").mapInArrow(encode, f"packet long, codes array<int>, sizes array<int>, ids array<{kind}>")
+    return dealt.mapInArrow(encode, f"packet long, part int, sizes array<int>, ids array<{kind}>"), parts
 
 
 def _grouped(column, codes: np.ndarray, n: int) -> list[bytes]:
@@ -369,8 +371,19 @@ def _laid_out(values: list[bytes], codes: np.ndarray, ends: np.ndarray) -> Itera
         at = end
 
 
-def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble) -> DataFrame:
-    """Rows of documents from packets and the values of their entries (packet, code, ...): both meet by packet.
+def _coded(values, entries, parts: int):
+    """``values`` with ``code``, for the turn of a word in its part, in place of both."""
+    import pyarrow as pa
+
+    part = part_of(entries.to_pylist(), parts)
+    order = np.argsort(part, kind="stable").astype(np.int32)
+    begins = np.searchsorted(part[order], np.arange(parts))
+    code = order[begins[values.column("part").to_numpy()] + values.column("word").to_numpy()] if len(order) else np.zeros(0, np.int32)
+    return values.drop_columns(["part", "word"]).append_column("code", pa.array(code, pa.int32()))
+
+
+def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble, parts: int = 0) -> DataFrame:
+    """Rows of documents from packets and the values of their entries (packet, code, ...; or of ``parts``): both meet by packet.
 
     assemble(values, codes of the packet's words, doc_ids, ends): the columns of ``schema`` but doc_id, by name.
     """
@@ -378,15 +391,16 @@ def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble) -
     def build(own, values):
         import pyarrow as pa
 
-        parts = []
+        made = []
         for row in own.to_batches():
             for k in range(row.num_rows):
                 codes = _unpacked(row.column("codes")[k].as_py(), row.column("wide")[k].as_py())
-                parts.append(pa.table({"doc_id": row.column("doc_ids")[k].values, **assemble(values, codes, row.column("ends")[k].values.to_numpy())}))
+                values = _coded(values, row.column("entries")[k].values, parts) if parts else values
+                made.append(pa.table({"doc_id": row.column("doc_ids")[k].values, **assemble(values, codes, row.column("ends")[k].values.to_numpy())}))
         pa.default_memory_pool().release_unused()
-        return pa.concat_tables(parts)
+        return pa.concat_tables(made)
 
-    whole = packets.select("packet", "doc_ids", "ends", "codes", "wide")
+    whole = packets.select("packet", "doc_ids", "ends", "codes", "wide", *(["entries"] if parts else []))
     return whole.groupBy("packet").cogroup(values.groupBy("packet")).applyInArrow(build, schema)
 
 
@@ -402,16 +416,17 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         ids = _laid_out(_ids_by_code(*_in_order(values, "code", "place"), codes), codes, ends)
         return {"ids": pa.array([np.frombuffer(r, "<i4") for r in ids], pa.list_(pa.int32()))}
 
-    return _by_position(packets, _each_id(encode_entries(_entries(packets), path)), "doc_id long, ids array<int>", rows)
+    known, parts = encode_entries(_entries(packets), path)
+    return _by_position(packets, _each_id(known), "doc_id long, ids array<int>", rows, parts)
 
 
 def _each_id(known: DataFrame) -> DataFrame:
-    """packet, code, place, id: a row for each id of ``encode_entries``, at its packet."""
+    """packet, part, word, place, id: a row for each id of ``encode_entries``, at its packet; ``word`` is its word's turn in the part."""
     short = known.schema["ids"].dataType.elementType.typeName() == "short"
-    code_of_each = F.flatten(F.transform(F.arrays_zip("codes", "sizes"), lambda x: F.array_repeat(x["codes"], x["sizes"])))
-    each = known.repartition("packet").select("packet", F.posexplode(F.arrays_zip(code_of_each.alias("code"), F.col("ids").alias("id"))).alias("place", "x"))
+    word_of_each = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n)))
+    each = known.repartition("packet").select("packet", "part", F.posexplode(F.arrays_zip(word_of_each.alias("word"), F.col("ids").alias("id"))).alias("place", "x"))
     number = F.col("x.id").cast("int").bitwiseAND(F.lit(0xFFFF)) if short else F.col("x.id")
-    return each.select("packet", F.col("x.code").alias("code"), "place", number.alias("id"))
+    return each.select("packet", "part", F.col("x.word").alias("word"), "place", number.alias("id"))
 
 
 def _with_pieces(ids: DataFrame, path: str) -> DataFrame:
@@ -450,7 +465,8 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     spell): both ways over one set of packets."""
     path = tokenizer or tokenizer_path()
     packets = split_words(docs, path)
-    each = _with_pieces(_each_id(encode_entries(_entries(packets), path)), path)
+    known, parts = encode_entries(_entries(packets), path)
+    each = _with_pieces(_each_id(known), path)
 
     def rows(values, codes, ends):
         import pyarrow as pa
@@ -461,7 +477,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         spelled = [hashlib.sha256(r.decode(errors="replace").encode()).hexdigest() for r in _laid_out(_grouped(values.column("piece").combine_chunks(), place, n), codes, ends)]
         return {"n_tokens": pa.array([x for x, _ in ids], pa.int64()), "ids_sha256": pa.array([x for _, x in ids], pa.string()), "decoded_sha256": pa.array(spelled, pa.string())}
 
-    return _by_position(packets, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+    return _by_position(packets, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, parts)
 
 
 def op13_word_table(spark, sf_dir):
