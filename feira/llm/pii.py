@@ -7,7 +7,11 @@ keep the gender of their form of address and the script they are written in.
 
 Names: one after a form of address (Mr, Frau, Sra, Dr, ...; up to three words, with particles such as "da" or "von" and
 parts joined by hyphen or apostrophe) makes the name known to its document. There its bare mentions are replaced too: the
-whole name, its first and its last word. A name of one word that ends or begins a longer known one is the same person.
+whole name, its first and its last word. A name of one word that ends or begins a longer known one is the same person,
+unless their forms of address tell different genders. A mention with a form of address of its own is the person it tells:
+"Mr. Lee" and "Mrs. Lee" are two, each with a surrogate. A bare mention that several people share is the one with the longer
+name, then the one whose gender is told, then a woman, then the first in order of letters. A word that stands alone
+after a form of address is taken for a family name; hyphens and apostrophes stay where they are in a name.
 
 Coreference: an entity is its canonical form (no separators, no case), and all its mentions get one surrogate, each in
 the mention's own format; a part of a name gets that part of the surrogate. Distinctness: over all documents, no two
@@ -70,9 +74,11 @@ PATTERNS = (
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])"),
     ("phone", rf"(?<![0-9+])(?:\+[0-9]{{1,3}}{_APART}{{1,4}})?\([0-9]{{2,4}}\){_APART}{{0,4}}[0-9]{{3,4}}[ .-][0-9]{{3,4}}(?![0-9])"),
     ("phone", r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])"),
-    ("phone", r"(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])".replace("([.-])", "[.-]")),
+    ("phone", r"(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
+    ("phone", r"(?<![0-9.-]|[0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?![0-9-]| [0-9])"),
     ("card", r"(?<![0-9.])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("ssn", r"(?<![0-9.-]|[0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9-]| [0-9])"),
     ("ip", r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}(?!\.?[0-9])"),
     ("ipv6", r"(?<![\p{L}\p{N}:.])(?=[0-9a-fA-F:]{0,40}[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])"),
 )
@@ -80,6 +86,8 @@ PLAIN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Kinds whose mentions keep their separators, and what their canonical form drops.
 PARTED = {"phone": "[^0-9]", "card": "[^0-9]", "ssn": "[^0-9]", "iban": "[^0-9a-z]"}
 MAX_ATTEMPTS = 64
+#: Parts of a word of a name, with the marks between them.
+_PARTS = "(?<=['’-])|(?=['’-])"
 
 
 def _sql(text: str) -> str:
@@ -106,10 +114,15 @@ def _canonical(kind: Column, entity: Column) -> Column:
     return out
 
 
+def _gender(title: str) -> str:
+    """SQL: the gender that a form of address tells; null for none."""
+    return "case " + " ".join(f"when lower({title}) in ({', '.join(_sql(x.lower()) for x in ts)}) then {_sql(g)}" for g, ts in TITLES.items()) + " end"
+
+
 def with_names(docs: DataFrame) -> DataFrame:
     """``docs`` with pii_names, the names that a document makes known: an array of struct(form, canonical, part), a row for
     each form a mention may take (part: all, first or last word); and pii_pattern, which finds every entity of the text."""
-    gender = "case " + " ".join(f"when lower(t) in ({', '.join(_sql(x.lower()) for x in ts)}) then {_sql(g)}" for g, ts in TITLES.items()) + " end"
+    gender = _gender("t")
     found = F.expr(
         f"""array_distinct(transform(arrays_zip(regexp_extract_all(text, {_sql(TITLED)}, 1), regexp_extract_all(text, {_sql(TITLED)}, 2)),
         z -> transform(array(struct(z.`0` as t, lower(regexp_replace(z.`1`, ' +', ' ')) as name)), x -> struct(x.name as name, concat({gender.replace("lower(t)", "lower(x.t)")}, '-', {_script("x.name")}) as who))[0]))"""
@@ -150,9 +163,10 @@ def _candidate() -> Column:
     secret = f"array_join(transform(split(canonical, ''), (c, i) -> substring(digest, ({_byte('63')} + i) % 128 + 1, 1)), '')"
     given = "case " + " ".join(f"when canonical like '{k}:%' then element_at(array({', '.join(map(_sql, v))}), {_byte('0')} % {len(v)} + 1)" for k, v in GIVEN.items()) + " end"
     syllable = "case " + " ".join(f"when canonical rlike '^.-{k}:' then element_at(array({', '.join(map(_sql, v))}), {_byte('1 + i')} % {len(v)} + 1)" for k, v in SYLLABLES.items()) + " end"
-    family = f"array_join(transform(sequence(0, 2 + attempt), i -> {syllable.replace('1 + i', '1 + i + 5 * j')}), '')"
+    family = f"array_join(transform(sequence(0, 2 + attempt), i -> {syllable.replace('1 + i', '1 + i + 5 * j + 11 * k')}), '')"
     small = f"w in ({', '.join(map(_sql, PARTICLES))})"
-    name = f"array_join(transform(split(regexp_replace(canonical, '^[^:]+:', ''), ' '), (w, j) -> case when {small} then w when j = 0 and (canonical like '% %' or attempt = 0) then {given} else {family} end), ' ')"
+    part = f"case when p rlike \"^['’-]$\" then p when j = 0 and canonical like '% %' then {given.replace(_byte('0'), _byte('3 * k'))} when length(p) = 1 then substring({family}, 1, 1) else {family} end"
+    name = f"array_join(transform(split(regexp_replace(canonical, '^[^:]+:', ''), ' '), (w, j) -> case when {small} then w else array_join(transform(split(w, {_sql(_PARTS)}), (p, k) -> {part}), '') end), ' ')"
     hexes = f"array_join(transform(split(canonical, ''), (c, i) -> case when c = ':' then c else substring(digest, ({_byte('63')} + i) % 128 + 1, 1) end), '')"
     number = "aggregate(split(upper(concat({0}, substring(canonical, 1, 2), '00')), ''), 0, (a, c) -> case when c rlike '[0-9]' then (a * 10 + cast(c as int)) % 97 else (a * 100 + ascii(c) - 55) % 97 end)"
     account = f"transform(array({shaped.format('substring(canonical, 5)')}), b -> concat(substring(canonical, 1, 2), lpad(cast(98 - {number.format('b')} as string), 2, '0'), b))[0]"
@@ -167,7 +181,7 @@ def _mention() -> Column:
     plain = "case part when 'first' then substring_index(surrogate, ' ', 1) when 'last' then substring_index(surrogate, ' ', -1) else surrogate end"
     shout = "entity rlike '\\\\p{Lu}' and not entity rlike '\\\\p{Ll}'"
     small = f"w in ({', '.join(map(_sql, PARTICLES))})"
-    titled = f"array_join(transform(split({plain}, ' '), w -> case when {small} then w else initcap(w) end), ' ')"
+    titled = f"array_join(transform(split({plain}, ' '), w -> case when {small} then w else array_join(transform(split(w, {_sql(_PARTS)}), p -> initcap(p)), '') end), ' ')"
     name = f"case when length(entity) > 1 and {shout} then upper({plain}) else {titled} end"
     cased = f"case when {shout} then upper(surrogate) when length(surrogate) = length(entity) then array_join(transform(split(surrogate, ''), (c, i) -> case when substring(entity, i + 1, 1) rlike '\\\\p{{Lu}}' then upper(c) else c end), '') else surrogate end"
     return F.expr(f"case when kind in ('phone', 'card', 'ssn') then {digits} when kind = 'iban' then {account} when kind = 'name' then {name} else {cased} end")
@@ -195,10 +209,15 @@ def find_entities(docs: DataFrame) -> DataFrame:
     """A row for each mention: doc_id, text_hash, line_no, place in the line (from 0), kind, entity, canonical, part."""
     lines = with_names(docs.filter(_hint(F.col("text"))).select("doc_id", "text"))
     lines = lines.select("doc_id", F.xxhash64("text").alias("text_hash"), "pii_names", "pii_pattern", F.posexplode(_lines()).alias("line_no", "line")).filter(_near(F.col("line")))
-    each = lines.select("doc_id", "text_hash", "line_no", "pii_names", F.posexplode(F.expr("regexp_extract_all(line, pii_pattern, 0)")).alias("place", "entity"))
-    each = each.withColumn("kind", _kind(F.col("entity")))
+    found = F.expr("regexp_extract_all(line, pii_pattern, 0)")
+    before = F.when(F.size("pii_names") > 0, F.split("line", F.col("pii_pattern"), -1))  # what stands before each mention
+    each = lines.select("doc_id", "text_hash", "line_no", "pii_names", before.alias("before"), F.posexplode(found).alias("place", "entity"))
+    title = F.regexp_extract(F.get("before", F.col("place")), rf"(?<!\p{{L}})({_TITLE})\.? {{1,3}}$", 1)
+    each = each.withColumn("kind", _kind(F.col("entity"))).withColumn("title", title).withColumn("told", F.expr(_gender("title"))).drop("before")
     form = F.lower(F.regexp_replace("entity", " +", " "))
-    person = F.filter("pii_names", lambda x: x["form"] == form)[0]  # the forms are in order: the best reading first
+    other = F.when(F.col("told") == "m", "f-%").when(F.col("told") == "f", "m-%").otherwise("")
+    # the forms are in order, the best reading first; a form of address rules out the other gender
+    person = F.filter("pii_names", lambda x: (x["form"] == form) & ~F.like(x["canonical"], other))[0]
     is_name = F.col("kind") == "name"
     return each.select(
         "doc_id", "text_hash", "line_no", "place", "kind", "entity", F.when(is_name, person["canonical"]).otherwise(_canonical(F.col("kind"), F.col("entity"))).alias("canonical"), F.when(is_name, person["part"]).otherwise("all").alias("part")

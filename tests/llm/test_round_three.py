@@ -242,3 +242,46 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert round_trip(none).count() == encode(none).count() == 0
     assert decode(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
+
+
+# ---- names with forms of address of their own
+
+
+def test_two_people_of_one_name_stay_two(spark):
+    from feira.llm.pii import GIVEN, replace_entities
+
+    texts = [
+        "Mr. Lee and Mrs. Lee met Lee. Mr. Lee left.",
+        "Mr. John Smith wrote. Mrs. Smith read; Mr. Smith and Smith slept.",
+        "Mrs. Ana-Maria O'Neil saw Sr. García-López",
+        "Dr. Ann Lee and Mr. Lee: Mr. Bo Lee, Mr. Al Lee",
+        "call 555 123 4567, number 123 45 6789, not 1 555 123 4567 8",
+    ]
+    got = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) and Mrs\. (\w+) met (\w+)\. Mr\. (\w+) left\.", got[0])
+    assert m and m[1] != m[2] and m[1] == m[4] and m[3] == m[2] and "Lee" not in got[0]
+    assert {m[1].lower(), m[2].lower()}.isdisjoint(GIVEN["m-latin"] + GIVEN["f-latin"])  # lone words are family names
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) wrote\. Mrs\. (\w+) read; Mr\. (\w+) and (\w+) slept\.", got[1])
+    assert m and m[1].lower() in GIVEN["m-latin"] and m[2] == m[4] == m[5] and m[3] != m[2]
+    m = re.fullmatch(r"Mrs\. (\w+)-(\w+) ([A-Z])'([A-Z]\w+) saw Sr\. ([A-Z]\w+)-([A-Z]\w+)", got[2])
+    assert m and {m[1].lower(), m[2].lower()} <= set(GIVEN["f-latin"])
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and Mr\. (\w+): Mr\. (\w+) (\w+), Mr\. (\w+) (\w+)", got[3])
+    assert m and m[4].lower() in GIVEN["m-latin"] and m[6].lower() in GIVEN["m-latin"] and (m[4], m[5]) != (m[6], m[7])
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4}, number \d{3} \d\d \d{4}, not 1 555 123 4567 8", got[4]) and "555 123 4567," not in got[4] and "123 45 6789" not in got[4]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_titled_mentions_keep_their_person(spark, seed):
+    """Random people of few names: a titled mention of a gender always gets that person's surrogate, the other gender another."""
+    from feira.llm.pii import replace_entities
+
+    rng = random.Random(seed)
+    rows = [(i, " and ".join(f"{rng.choice(['Mr', 'Mrs'])}. {rng.choice(['Lee', 'Stone', 'Ford'])}" for _ in range(6))) for i in range(60)]
+    got = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    to = {}
+    for i, text in rows:
+        old, new = (re.findall(r"(Mrs?)\. (\w+)", x) for x in (text, got[i]))
+        assert [t for t, _ in old] == [t for t, _ in new]
+        for a, b in zip(old, new, strict=True):
+            assert to.setdefault(a, b[1]) == b[1]
+    assert len(set(to.values())) == len(to) == 6
