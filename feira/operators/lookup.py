@@ -222,9 +222,20 @@ def _q_step(s, d):
     return step_line(p, p.select("key").distinct().withColumn("at", F.lit("1999-06-01").cast("timestamp")))
 
 
+def status_counts(source: DataFrame, classified: DataFrame, top: int = 15, outside: str = "Outros") -> DataFrame:
+    """what, name, n: the products of the source, those classified, outside the taxonomy and pending a review, and the ``top``
+    largest categories (ties by name)."""
+    row = lambda what, rows: rows.agg(F.lit(what).alias("what"), F.lit("").alias("name"), F.count("*").alias("n"))
+    totals = [row("source", source), row("classified", classified), row("outside", classified.filter(F.col("category") == outside)), row("pending", classified.filter(F.col("status") == "pending"))]
+    by = classified.groupBy(F.col("category").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)
+    out = by.select(F.lit("category").alias("what"), "name", "n")
+    for total in totals:
+        out = out.unionByName(total)
+    return out
+
+
 def _q_status(s, d):
-    shown = public_tables(s, d)[1]
-    return shown.groupBy("category").agg(F.count("*").alias("products"), F.count("gtin").alias("with_gtin"), F.count("image_url").alias("with_image")).orderBy(F.desc("products"), "category").limit(15)
+    return status_counts(products(s, d), public_tables(s, d)[1].withColumn("status", F.when(F.col("id") % 6 == 0, "pending").otherwise("ok")))
 
 
 def _q_per_retailer(s, d):
@@ -323,7 +334,8 @@ ORACLE_SQL = {
     "snk_dim_upsert": with_tables("SELECT DISTINCT name FROM products", "products"),
     "snk_run_bookkeeping": with_tables("""WITH late AS (SELECT * FROM runs WHERE created_at >= TIMESTAMP '2024-01-15' AND site_key <> 'Chain 3'), own AS (SELECT * FROM late UNION ALL SELECT * FROM runs WHERE created_at < TIMESTAMP '2024-01-15' AND site_key NOT IN (SELECT site_key FROM late))
         SELECT site_key, max(created_at) AS last_run, sum(items_found)::BIGINT AS rows, arg_max(success, id) AS ok FROM own GROUP BY 1""", "runs"),
-    "ag_status_counts": public_sql("SELECT category, count(*) AS products, count(gtin) AS with_gtin, count(image_url) AS with_image FROM shown GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"),
+    "ag_status_counts": public_sql("""SELECT 'source' AS what, '' AS name, count(*) AS n FROM products UNION ALL SELECT 'classified', '', count(*) FROM shown UNION ALL SELECT 'outside', '', count(*) FROM shown WHERE category = 'Outros'
+        UNION ALL SELECT 'pending', '', count(*) FROM shown WHERE id % 6 = 0 UNION ALL SELECT * FROM (SELECT 'category', category, count(*) FROM shown GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 15)"""),
     "ag_offers_per_retailer": public_sql(f"WITH {_SITE} SELECT s.retailer_id, name, count(o.id) AS offers FROM site s LEFT JOIN offers o USING (retailer_id) GROUP BY 1, 2"),
     "gold_step_line": with_tables("SELECT product_id || '-' || store_id AS key, TIMESTAMP '1999-06-01' AS at, arg_max(round_even(price * 100, 0)::INT, (scraped_at, price)) FILTER (WHERE scraped_at <= TIMESTAMP '1999-06-01') AS cents FROM prices GROUP BY 1", "prices"),
     "gold_dim_date": "SELECT strftime(d, '%Y-%m-%d') AS day, year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS dom FROM (SELECT unnest(generate_series((min(l_shipdate) - INTERVAL 3 HOUR)::DATE, (max(l_shipdate) - INTERVAL 3 HOUR)::DATE, INTERVAL 1 DAY)) AS d FROM lineitem)",

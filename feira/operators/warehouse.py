@@ -96,6 +96,32 @@ def review_queue(answers: DataFrame, least: float = 0.7) -> DataFrame:
     return answers.select("id", reason.alias("reason")).filter("reason is not null")
 
 
+def code_coverage(resolved: DataFrame) -> DataFrame:
+    """source, products, total, coded, share: products (code, source) by where their code is from ("none" without one), and of all of
+    them how many have one and their share."""
+    by = resolved.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("products"), F.count("code").alias("own"))
+    every = Window.partitionBy(F.lit(0))  # a row for each source
+    return by.select("source", "products", F.sum("products").over(every).alias("total"), F.sum("own").over(every).alias("coded"), F.round(F.sum("own").over(every) / F.sum("products").over(every), 6).alias("share"))
+
+
+def product_problems(shown: DataFrame) -> DataFrame:
+    """id, rule of each rule of a published product that it breaks: unit, amount, pack, brand, gtin."""
+    rules = {
+        "unit": ~F.coalesce(F.col("unit").isin("g", "ml", "un"), F.lit(False)),
+        "amount": ~F.coalesce(F.col("amount").between(1, 1_000_000), F.lit(False)),
+        "pack": ~F.coalesce(F.col("pack_count").between(1, 1000), F.lit(False)),
+        "brand": F.coalesce("brand", F.lit("")) == "",
+        "gtin": F.col("gtin").isNotNull() & ~F.col("gtin").rlike(r"^(\d{8}|\d{12,14})$"),
+    }
+    broken = F.array_compact(F.array(*[F.when(broken, rule) for rule, broken in rules.items()]))
+    return shown.select("id", F.explode(broken).alias("rule"))
+
+
+def missing_lines(lines: DataFrame) -> DataFrame:
+    """receipt_id, missing (printed line numbers that a receipt skips, comma-joined), of receipts that skip any."""
+    return receipt_flags(lines).filter("missing <> ''").select("receipt_id", "missing")
+
+
 def receipt_flags(lines: DataFrame) -> DataFrame:
     """receipt_id, bad_math (lines whose sum is off by over 0.03), missing (line numbers), repeated (line numbers)."""
     off = F.abs(F.col("qty") * F.col("unit_price") - F.col("discount") - F.col("total")) > 0.03
@@ -198,8 +224,7 @@ def _q_prefix(s, d):
 
 
 def _q_coverage(s, d):
-    r = _q_resolve(s, d)
-    return r.groupBy("source").agg(F.count("*").alias("products"))
+    return code_coverage(_q_resolve(s, d))
 
 
 def _q_barcode(s, d):
@@ -226,9 +251,16 @@ def _q_findings(s, d):
 
 
 def _q_contract(s, d):
-    shown = public_tables(s, d)[1]
-    rules = F.array(F.when(~F.col("unit").isin("g", "ml", "un"), "unit"), F.when(~F.col("amount").between(1, 1_000_000), "amount"), F.when(~F.col("pack_count").between(1, 1000), "pack"), F.when(F.col("brand") == "", "brand"), F.when(~F.col("gtin").rlike(r"^(\d{8}|\d{12,14})$"), "gtin"))
-    return shown.select("id", F.explode(F.array_compact(rules)).alias("rule"))
+    shown, k = public_tables(s, d)[1], F.col("id")
+    broken = shown.withColumns(
+        {
+            "unit": F.when(k % 31 == 0, "kg").otherwise(F.col("unit")),
+            "amount": F.when(k % 37 == 0, 0).when(k % 41 == 0, 2_000_000).otherwise(F.col("amount")),
+            "pack_count": F.when(k % 43 == 0, 1001).otherwise(F.col("pack_count")),
+            "gtin": F.when(k % 47 == 0, "12345").otherwise(F.col("gtin")),
+        }
+    )
+    return product_problems(broken)  # some products of each kind of fault
 
 
 QUERIES = {
@@ -245,7 +277,7 @@ QUERIES = {
     "ag_code_coverage": _q_coverage,
     "dq_review_queue": _q_review,
     "ag_receipt_flags": lambda s, d: receipt_flags(receipt_lines(s, d)),
-    "set_missing": lambda s, d: receipt_flags(receipt_lines(s, d)).filter("missing <> ''").select("receipt_id", "missing"),
+    "set_missing": lambda s, d: missing_lines(receipt_lines(s, d)),
     "ag_idf_weights": lambda s, d: idf_weights(_texts(s, d)),
     "jn_barcode_near": _q_barcode,
     "flt_dead_url": _q_placeholder,
@@ -286,7 +318,7 @@ ORACLE_SQL = {
     "jn_token_overlap": with_tables(f"{_OVER} SELECT * FROM ov", "products", "code_table"),
     "jn_overlap_best": with_tables(f"{_OVER} SELECT id, code, round(least(0.7, 0.25 + 0.1 * score), 6) AS confidence FROM ov WHERE place = 1 AND score >= 2", "products", "code_table"),
     "jn_code_resolve": with_tables(f"{_RES} SELECT * FROM r", "products"),
-    "ag_code_coverage": with_tables(f"{_RES} SELECT source, count(*) AS products FROM r GROUP BY 1", "products"),
+    "ag_code_coverage": with_tables(f"{_RES} SELECT source, count(*) AS products, (SELECT count(*) FROM r) AS total, (SELECT count(code) FROM r) AS coded, round((SELECT count(code) / count(*)::DOUBLE FROM r), 6) AS share FROM r GROUP BY 1", "products"),
     "dq_review_queue": with_tables(f"{_ANS} SELECT id, CASE WHEN resolved IS NULL THEN 'no answer' ELSE 'low confidence' END AS reason FROM rs WHERE resolved IS NULL OR confidence < 0.7", "products", "taxonomy"),
     "ag_receipt_flags": with_tables(_FLAGS, "receipt_lines"),
     "set_missing": with_tables(f"SELECT receipt_id, missing FROM ({_FLAGS}) WHERE missing <> ''", "receipt_lines"),
@@ -296,7 +328,9 @@ ORACLE_SQL = {
     "src_products": with_tables("SELECT id, name FROM products ORDER BY id LIMIT 100", "products"),
     "dq_check_snapshot": public_sql("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE product_id % 97 = 0 OR product_id % 89 = 0 OR product_id % 83 = 0) AS b FROM offers)
         SELECT 'error' AS level, 'no valid price or product' AS finding, b AS n FROM n WHERE b > 0 UNION ALL SELECT 'error', 'under half of the live offers', n FROM n UNION ALL SELECT 'warning', 'no offers of Chain 8', 0 UNION ALL SELECT 'warning', 'no offers of Chain 10', 0"""),
-    "dq_product_contract": public_sql("SELECT id, 'brand' AS rule FROM shown WHERE brand = ''"),
+    "dq_product_contract": public_sql("""WITH f AS (SELECT id, brand, CASE WHEN id % 31 = 0 THEN 'kg' ELSE unit END AS unit, CASE WHEN id % 37 = 0 THEN 0 WHEN id % 41 = 0 THEN 2000000 ELSE amount END AS amount, CASE WHEN id % 43 = 0 THEN 1001 ELSE pack_count END AS pack, CASE WHEN id % 47 = 0 THEN '12345' ELSE gtin END AS gtin FROM shown)
+        SELECT id, 'brand' AS rule FROM f WHERE brand = '' UNION ALL SELECT id, 'unit' FROM f WHERE unit NOT IN ('g', 'ml', 'un') UNION ALL SELECT id, 'amount' FROM f WHERE amount < 1 OR amount > 1000000
+        UNION ALL SELECT id, 'pack' FROM f WHERE pack < 1 OR pack > 1000 UNION ALL SELECT id, 'gtin' FROM f WHERE NOT regexp_full_match(gtin, '\\d{8}|\\d{12,14}')"""),
     "src_html_links": r"""WITH l AS (SELECT page_id, unnest(h) AS href, unnest(t) AS text, generate_subscripts(h, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*>(.*?)</a>', 2) AS t FROM pages)),
         w AS (SELECT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://shop.example.org/' || ltrim(href, '/') END AS url, min(i) AS i FROM (SELECT *, lower(regexp_replace(text, '<[^>]*>', '', 'g')) AS t FROM l) WHERE contains(lower(href), 'a') OR contains(t, 'a') OR contains(href, '1') OR contains(t, '1') GROUP BY 1, 2)
         SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS place FROM w QUALIFY place <= 5""",
