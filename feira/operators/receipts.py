@@ -9,7 +9,7 @@ from feira.functions.text import name_tokens, parse_size
 from feira.functions.values import word_similarity
 from feira.operators.offers import _ranked
 from feira.plans.public import public_sql
-from feira.sources.domain import products, receipt_lines
+from feira.sources.domain import list_lines, products, receipt_lines
 
 def match_lines(lines: DataFrame, product: DataFrame, margin: float = 0.1, least: float = 0.6) -> DataFrame:
     """line_id, product_id, score of the product that explains a printed name best, if clearly.
@@ -65,9 +65,20 @@ def _sample(s, d):
     return receipt_lines(s, d)
 
 
+def receipt_report(judged: DataFrame, wanted: DataFrame) -> DataFrame:
+    """receipt_id, lines, above, unpriced, overpaid of the judged lines (``verdicts``), and not_bought: the products of the shopping
+    list behind a receipt (wanted: receipt_id, product_id) that aren't on it, comma-joined."""
+    report = judged.groupBy("receipt_id").agg(
+        F.count("*").alias("lines"), F.count(F.when(F.col("verdict") == "above", 1)).alias("above"), F.count(F.when(F.col("verdict") == "no price", 1)).alias("unpriced"), F.sum("overpaid").alias("overpaid")
+    )
+    left = wanted.select("receipt_id", "product_id").distinct().join(judged.select("receipt_id", "product_id"), ["receipt_id", "product_id"], "left_anti")
+    left = left.groupBy("receipt_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("product_id")), lambda x: x.cast("string")), ",").alias("not_bought"))
+    return report.join(left, "receipt_id", "left").withColumn("not_bought", F.coalesce("not_bought", F.lit("")))
+
+
 def _q_report(s, d):
-    v = verdicts(_sample(s, d), _ranked(s, d)[0])
-    return v.groupBy("receipt_id").agg(F.count("*").alias("lines"), F.count(F.when(F.col("verdict") == "above", 1)).alias("above"), F.count(F.when(F.col("verdict") == "no price", 1)).alias("unpriced"), F.sum("overpaid").alias("overpaid"))
+    wanted = list_lines(s, d).select(F.col("list_id").alias("receipt_id"), F.when(F.col("product_id") % 4 == 0, F.col("product_id") + 1).otherwise(F.col("product_id")).alias("product_id"))
+    return receipt_report(verdicts(_sample(s, d), _ranked(s, d)[0]), wanted)
 
 
 QUERIES = {
@@ -83,6 +94,8 @@ def _sql(query: str, *more: str) -> str:
 
 
 ORACLE_SQL = {
-    "ag_receipt_report": _sql("""SELECT receipt_id, count(*) AS lines, count(*) FILTER (WHERE paid > high + 1) AS above, count(*) FILTER (WHERE low IS NULL) AS unpriced, sum(greatest(0, paid - coalesce(low, paid)))::BIGINT AS overpaid
-        FROM (SELECT *, floor(unit_price * 100 + 0.5)::INT AS paid FROM receipt_lines) LEFT JOIN (SELECT product_id, min(price_cents) AS low, max(price_cents) AS high FROM rk GROUP BY 1) USING (product_id) GROUP BY 1""", "receipt_lines"),
+    "ag_receipt_report": _sql("""SELECT receipt_id, count(*) AS lines, count(*) FILTER (WHERE paid > high + 1) AS above, count(*) FILTER (WHERE low IS NULL) AS unpriced, sum(greatest(0, paid - coalesce(low, paid)))::BIGINT AS overpaid, coalesce(any_value(nb), '') AS not_bought
+        FROM (SELECT *, floor(unit_price * 100 + 0.5)::INT AS paid FROM receipt_lines) LEFT JOIN (SELECT product_id, min(price_cents) AS low, max(price_cents) AS high FROM rk GROUP BY 1) USING (product_id)
+        LEFT JOIN (SELECT receipt_id, string_agg(p::VARCHAR, ',' ORDER BY p) AS nb FROM (SELECT DISTINCT list_id AS receipt_id, CASE WHEN product_id % 4 = 0 THEN product_id + 1 ELSE product_id END AS p FROM list_lines) w
+          WHERE NOT EXISTS (SELECT 1 FROM receipt_lines r WHERE r.receipt_id = w.receipt_id AND r.product_id = w.p) GROUP BY 1) USING (receipt_id) GROUP BY 1""", "receipt_lines", "list_lines"),
 }
