@@ -209,3 +209,37 @@ def test_baskets_equal_all_pairs(spark):
             if found:
                 want[n, r] = ("similar", min(found)[1], math.floor(min(found)[0] * (qty * size) + 0.5))
     assert {k: (v.kind, v.product_id, v.cost_cents) for k, v in at.items()} == want and sum(v[0] == "similar" for v in want.values()) > 20
+
+
+# ---- lines and products
+
+
+def test_words_that_are_alike_are_all_found(spark):
+    from pyspark.sql import functions as F
+
+    from feira.functions.values import word_similarity
+    from feira.operators.receipts import similar_words
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé1") for _ in range(n))
+    own = {word(rng.randrange(1, 9)) for _ in range(250)} | {"linguica", "macarrao", "frango", "integral"}
+    cut = lambda w: "".join(c for c in w if rng.random() < 0.7)
+    printed = {cut(w) for w in own} | {w[: rng.randrange(1, 9)] for w in own} | {w.replace("a", "b", 1) for w in own} | {"lngc", "mcrr", "frngo", ""}
+    p, o = spark.createDataFrame([(x,) for x in printed], "p string"), spark.createDataFrame([(x,) for x in own], "o string")
+    want = p.crossJoin(o).filter("p <> ''").withColumn("sim", word_similarity(F.col("p"), F.col("o"))).filter("sim > 0")
+    got = similar_words(p, o)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 500
+
+
+def test_ties_of_a_receipt_line(spark):
+    from feira.operators.receipts import match_lines
+
+    product = spark.createDataFrame(
+        [(1, "Cafe Pilao Torrado 500g", "Pilao", None), (2, "Torrado Cafe Pilao 500g", "Pilao", None), (3, "Cerveja Brahma Lata", "x", None), (4, "Cerveja Brahma Lata", "y", None), (5, "Suco Uva Integral", "z", None), (6, "Suco Uva Integral", "w", None)],
+        "id long, name string, brand string, gtin string",
+    )
+    ranges = spark.createDataFrame([(2, 1500, 1600), (3, 300, 350), (4, 500, 550), (5, 300, 350), (6, 340, 360)], "product_id long, low long, high long")
+    lines = [(1, "CAFE PILAO TORRADO 500G", None), (2, "CERVEJA BRAHMA LATA", None), (3, "CERVEJA BRAHMA LATA", 520), (4, "CERVEJA BRAHMA LATA", 900), (5, "SUCO UVA INTEGRAL", 345), (6, "CERVEJA BRAHMA LATA", 320)]
+    got = {r.line_id: r.product_id for r in match_lines(spark.createDataFrame(lines, "line_id long, name string, paid_cents long"), product, ranges=ranges).collect()}
+    # one pack under two names: the one with a price; two brands: the price paid, where it tells them apart
+    assert got == {1: 2, 3: 4, 6: 3}
