@@ -165,7 +165,7 @@ def _candidate() -> Column:
     syllable = "case " + " ".join(f"when canonical rlike '^.-{k}:' then element_at(array({', '.join(map(_sql, v))}), {_byte('1 + i')} % {len(v)} + 1)" for k, v in SYLLABLES.items()) + " end"
     family = f"array_join(transform(sequence(0, 2 + attempt), i -> {syllable.replace('1 + i', '1 + i + 5 * j + 11 * k')}), '')"
     small = f"w in ({', '.join(map(_sql, PARTICLES))})"
-    part = f"case when p rlike \"^['’-]$\" then p when j = 0 and canonical like '% %' then {given.replace(_byte('0'), _byte('3 * k'))} when length(p) = 1 then substring({family}, 1, 1) else {family} end"
+    part = f"case when p rlike \"^['’-]$\" then p when j = 0 and canonical like '% %' then {given.replace(_byte('0'), _byte('3 * k'))} else transform(array({family}), f -> case when length(p) = 1 then substring(f, 1, 1) else f end)[0] end"
     name = f"array_join(transform(split(regexp_replace(canonical, '^[^:]+:', ''), ' '), (w, j) -> case when {small} then w else array_join(transform(split(w, {_sql(_PARTS)}), (p, k) -> {part}), '') end), ' ')"
     hexes = f"array_join(transform(split(canonical, ''), (c, i) -> case when c = ':' then c else substring(digest, ({_byte('63')} + i) % 128 + 1, 1) end), '')"
     number = "aggregate(split(upper(concat({0}, substring(canonical, 1, 2), '00')), ''), 0, (a, c) -> case when c rlike '[0-9]' then (a * 10 + cast(c as int)) % 97 else (a * 100 + ascii(c) - 55) % 97 end)"
@@ -210,9 +210,11 @@ def find_entities(docs: DataFrame) -> DataFrame:
     lines = with_names(docs.filter(_hint(F.col("text"))).select("doc_id", "text"))
     lines = lines.select("doc_id", F.xxhash64("text").alias("text_hash"), "pii_names", "pii_pattern", F.posexplode(_lines()).alias("line_no", "line")).filter(_near(F.col("line")))
     found = F.expr("regexp_extract_all(line, pii_pattern, 0)")
-    before = F.when(F.size("pii_names") > 0, F.split("line", F.col("pii_pattern"), -1))  # what stands before each mention
-    each = lines.select("doc_id", "text_hash", "line_no", "pii_names", before.alias("before"), F.posexplode(found).alias("place", "entity"))
-    title = F.regexp_extract(F.get("before", F.col("place")), rf"(?<!\p{{L}})({_TITLE})\.? {{1,3}}$", 1)
+    # the end of what stands before each mention, where a form of address may be
+    before = F.when(F.size("pii_names") > 0, F.transform(F.split("line", F.col("pii_pattern"), -1), lambda x: F.right(x, F.lit(24)))).otherwise(F.array().cast("array<string>"))
+    each = lines.select("doc_id", "text_hash", "line_no", "pii_names", F.posexplode(F.arrays_zip(found.alias("entity"), before.alias("before"))).alias("place", "x"))
+    each = each.select("doc_id", "text_hash", "line_no", "pii_names", "place", "x.entity", "x.before").filter("entity is not null")
+    title = F.regexp_extract("before", rf"(?<!\p{{L}})({_TITLE})\.? {{1,3}}$", 1)
     each = each.withColumn("kind", _kind(F.col("entity"))).withColumn("title", title).withColumn("told", F.expr(_gender("title"))).drop("before")
     form = F.lower(F.regexp_replace("entity", " +", " "))
     other = F.when(F.col("told") == "m", "f-%").when(F.col("told") == "f", "m-%").otherwise("")
