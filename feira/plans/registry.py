@@ -17,6 +17,7 @@ MODULES: tuple[str, ...] = (
     "feira.operators.baskets",
     "feira.operators.consensus",
     "feira.sources.feeds",
+    "feira.sources.channels",
     "feira.operators.lookup",
     "feira.sources.files",
     "feira.operators.layout",

@@ -3,14 +3,12 @@ fixed schemas and column expressions, and repeated items keep their first by arr
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feira.functions.text import clean
 from feira.functions.values import deal_label, discount_pct, parse_money, parse_validity, valid_ean
-from feira.sources.domain import NOW, branches, prices, products, table, with_tables
+from feira.sources.domain import NOW, prices, products, table, with_tables
 
 
 CATALOG = "products array<struct<productName string, brand string, link string, items array<struct<ean string, images array<struct<imageUrl string>>, sellers array<struct<sellerId string, commertialOffer struct<Price double, ListPrice double, AvailableQuantity int>>>>>>>"
@@ -92,49 +90,6 @@ def crm_offers(pages: DataFrame) -> DataFrame:
     )
 
 
-class _Cards(HTMLParser):
-    """Links to /produto/<id>/ with their texts, and the first price after each."""
-
-    def __init__(self):
-        super().__init__()
-        self.cards: dict[str, list] = {}
-        self.open: str | None = None
-        self.last: str | None = None
-
-    def handle_starttag(self, tag, attrs):
-        href = dict(attrs).get("href") or ""
-        if tag == "a" and "/produto/" in href:
-            self.open = self.last = href.split("/produto/")[1].split("/")[0]
-            self.cards.setdefault(self.open, [[], None])
-
-    def handle_endtag(self, tag):
-        self.open = None if tag == "a" else self.open
-
-    def handle_data(self, data):
-        text = data.strip()
-        if self.open and text and not text.startswith("R$"):
-            self.cards[self.open][0].append(text)
-        elif self.last and text.startswith("R$") and self.cards[self.last][1] is None:
-            self.cards[self.last][1] = text
-
-
-def html_cards(pages: DataFrame) -> DataFrame:
-    """(page_id, item_id, name, price_text) of product cards: the shortest link text is the name."""
-
-    def parse(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for page, html in zip(b["page_id"], b["html"], strict=True):
-                p = _Cards()
-                p.feed(html or "")
-                rows += [(page, i, min(names, key=len), price) for i, (names, price) in p.cards.items() if names and price]
-            yield pd.DataFrame(rows, columns=["page_id", "item_id", "name", "price_text"])
-
-    return pages.select("page_id", "html").mapInPandas(parse, "page_id long, item_id string, name string, price_text string")
-
-
 def flyer_state(start: Column, end: Column, now: Column) -> Column:
     return F.when(start.isNull() | (end.isNotNull() & (start > end)), "unknown").when(now < start, "future").when(end.isNotNull() & (now > end), "expired").otherwise("current")
 
@@ -202,20 +157,6 @@ def _crm_pages(s, d) -> DataFrame:
     return p.select(k.alias("seq"), F.to_json(F.struct(F.array(item).alias("data"))).alias("payload"))
 
 
-def _q_cards(s, d):
-    p = prices(s, d)
-    card = F.concat(F.lit('<div><a href="/produto/'), F.col("product_id").cast("string"), F.lit('/x">Produto '), F.col("product_id").cast("string"), F.lit('</a><a href="/produto/'), F.col("product_id").cast("string"), F.lit('/x"> P'), F.col("product_id").cast("string"), F.lit("</a><span>R$ "), F.format_string("%.2f", F.col("price")), F.lit("</span></div>"))
-    return html_cards(p.select(F.col("id").alias("page_id"), card.alias("html"))).select("page_id", "item_id", "name", parse_money(F.col("price_text")).alias("price_cents"))
-
-
-def _q_branches(s, d):
-    b = branches(s, d)
-    payload = F.to_json(F.struct("external_id", F.concat(F.lit("LOJA "), F.col("name")).alias("name"), "address", F.struct("latitude", "longitude").alias("geo"), (F.col("id") % 6 != 0).alias("active")))
-    x = b.select("id", F.from_json(payload, "external_id string, name string, address string, geo struct<latitude:double,longitude:double>, active boolean").alias("x")).filter("x.active")
-    inside = F.col("x.geo.latitude").between(-4.0, -3.5) & F.col("x.geo.longitude").between(-38.7, -38.4)
-    return x.filter(~F.col("x.address").rlike(r"- (?!CE)[A-Z]{2}$")).select("x.external_id", F.regexp_replace("x.name", "^LOJA ", "").alias("name"), F.when(inside, F.col("x.geo.latitude")).alias("latitude"), F.when(inside, F.col("x.geo.longitude")).alias("longitude"))
-
-
 def _q_flyer_state(s, d):
     f = flyers(s, d)
     return f.select("id", flyer_state(F.col("valid_from"), F.col("valid_until"), _now()).alias("state"))
@@ -261,12 +202,9 @@ QUERIES = {
     "src_offers_api_json": lambda s, d: api_offers(_api_pages(s, d)).select("item_id", "seq", "price_cents", "regular_cents", "offer"),
     "src_crm_price_json": lambda s, d: crm_offers(_crm_pages(s, d)).select("slug", "price", "regular_price", "offer"),
     "src_discounted_prefix": lambda s, d: prices(s, d).filter("regular_price > price and price > 0").select("id", "price", "regular_price"),
-    "src_html_cards": _q_cards,
-    "src_branches": _q_branches,
-    "src_flyers": _q_validity_feed,
+    "src_flyer_validity": _q_validity_feed,
     "flt_flyer_state": _q_flyer_state,
     "ord_flyers": _q_flyers,
-    "set_union_flyers": lambda s, d: flyers(s, d).select("id", "chain").filter("chain <> 'Chain 6'").unionByName(flyers(s, d).filter("chain = 'Chain 6'").select("id", "chain")),
     "jn_flyer_retailer": _q_flyer_retailer,
     "ag_flyer_scope": _q_scope,
     "ag_flyer_lowest": _q_lowest,
@@ -286,12 +224,9 @@ ORACLE_SQL = {
     "src_crm_price_json": with_tables("""SELECT id::VARCHAR AS slug, CASE WHEN cl > 0 AND cl < ev THEN cl ELSE ev END AS price, CASE WHEN cl > 0 AND cl < ev THEN ev WHEN ev < base THEN base END AS regular_price, CASE WHEN cl > 0 AND cl < ev THEN 'Clube' END AS offer
         FROM (SELECT id, coalesce(regular_price, price) AS base, CASE WHEN id % 3 = 0 THEN price - 0.25::DOUBLE END AS cl, CASE WHEN id % 2 = 0 THEN price ELSE coalesce(regular_price, price) END AS ev FROM prices WHERE id % 5 <> 0)""", "prices"),
     "src_discounted_prefix": with_tables("SELECT id, price, regular_price FROM prices WHERE regular_price > price AND price > 0", "prices"),
-    "src_html_cards": with_tables("SELECT id AS page_id, product_id::VARCHAR AS item_id, 'P' || product_id AS name, round_even(price * 100, 0)::INT AS price_cents FROM prices", "prices"),
-    "src_branches": with_tables("SELECT external_id, name, CASE WHEN i THEN latitude END AS latitude, CASE WHEN i THEN longitude END AS longitude FROM (SELECT *, latitude BETWEEN -4.0 AND -3.5 AND longitude BETWEEN -38.7 AND -38.4 AS i FROM branches WHERE id % 6 <> 0 AND id % 10 <> 0)", "branches"),
-    "src_flyers": f"{_FL} SELECT id, lower(title) AS title, date_trunc('day', collected_at) + INTERVAL 3 HOUR AS valid_from, date_trunc('day', collected_at) + INTERVAL 27 HOUR - INTERVAL 1 SECOND AS valid_until FROM fl",
+    "src_flyer_validity": f"{_FL} SELECT id, lower(title) AS title, date_trunc('day', collected_at) + INTERVAL 3 HOUR AS valid_from, date_trunc('day', collected_at) + INTERVAL 27 HOUR - INTERVAL 1 SECOND AS valid_until FROM fl",
     "flt_flyer_state": f"{_FL} SELECT id, state FROM fs",
     "ord_flyers": f"{_FL} SELECT id, CASE WHEN state = 'expired' THEN 'archived' ELSE state END AS \"group\", coalesce(valid_from, collected_at) AS at FROM fs",
-    "set_union_flyers": f"{_FL} SELECT id, chain FROM fl",
     "jn_flyer_retailer": with_tables(_FL + " SELECT fl.id, c.retailer_id, title FROM fl JOIN (SELECT name, min(id) AS retailer_id FROM stores GROUP BY 1) c ON c.name = chain", "stores"),
     "ag_flyer_scope": with_tables(_FL + """, h AS (SELECT fl.id AS flyer_id, list_sort(list(s.id)) AS every, list_sort(list(s.id) FILTER (WHERE (fl.id // 40 + s.id) % 4 <> 0 OR fl.id % 80 = 0)) AS have FROM fl JOIN stores s ON s.name = chain GROUP BY 1),
         o AS (SELECT *, list_filter(every, lambda x: NOT list_contains(have, x)) AS gone FROM h WHERE have IS NOT NULL)
