@@ -13,6 +13,8 @@ from feira.sources.domain import code_table, products, receipt_lines, table, tax
 #: Matches of a text in the code table, and the score from which the best one counts.
 TOP_CODES = 40
 LEAST_SCORE = 2
+#: Sets of code words from which a word is common: it joins no single texts and codes.
+COMMON_WORD = 200
 
 
 def subtree_leaves(tree: DataFrame) -> DataFrame:
@@ -51,28 +53,60 @@ def longest_prefix(df: DataFrame, code: str, table_: DataFrame, value: str) -> D
     return out.withColumn(value, F.coalesce("_v8", "_v6", "_v4")).drop(*[f"_{k}{n}" for k in "pv" for n in (8, 6, 4)])
 
 
-def token_overlap(text: DataFrame, codes: DataFrame, top: int = TOP_CODES) -> DataFrame:
+def token_overlap(text: DataFrame, codes: DataFrame, top: int = TOP_CODES, common: int = COMMON_WORD) -> DataFrame:
     """The best codes (8 digits) of each text (id, words) by shared words less a twentieth for each further word of the
     code; through an inverted index, so only pairs that share a word are met.
 
     Texts of the same words are scored once, and so are codes of the same words, of which the first ``top`` by length and
     code are all that a text can take. A set of codes is opened only while better sets leave room for it.
+
+    Words that more than ``common`` sets hold join no texts with codes. What texts and codes share of them depends on their
+    common words alone, so those are scored once for all texts of the same common words, against all codes of the same common
+    words and size. The best ``top`` of that are enough: a code's other shared words only raise its score, so whatever ranks
+    behind these ``top`` and shares nothing else ranks behind them for every such text.
     """
     bag = F.array_join(F.array_sort("words"), " ")
     own = text.select("id", bag.alias("bag"))
-    w = text.select(bag.alias("bag"), "words").dropDuplicates(["bag"]).select("bag", F.explode("words").alias("word"))
     named = codes.filter(F.length("code") == 8).select("code", F.length("description").alias("len"), F.array_sort(content_words("description")).alias("own"))
-    first = Window.partitionBy("own").orderBy("len", "code")
-    members = named.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= top).select("own", "len", "code")
-    sets = members.groupBy("own").agg(F.count("*").alias("codes")).withColumn("set", F.array_join("own", " "))
-    c = sets.select("set", "codes", F.size("own").alias("n"), F.explode("own").alias("word"))
-    met = w.join(c, "word").groupBy("bag", "set", "n", "codes").agg(F.count("*").alias("shared"))
-    met = met.select("bag", "set", "codes", F.round(F.col("shared") - (F.col("n") - F.col("shared")) * 0.05, 4).alias("score"))
-    better = F.sum("codes").over(Window.partitionBy("bag").orderBy(F.desc("score"))) - F.sum("codes").over(Window.partitionBy("bag", "score"))
-    met = met.withColumn("better", better).filter(F.col("better") < top)
-    opened = met.join(members.select(F.array_join("own", " ").alias("set"), "len", "code"), "set")
-    rank = Window.partitionBy("bag").orderBy(F.desc("score"), "len", "code")
-    best = opened.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= top)
+    named = named.withColumn("set", F.array_join("own", " "))
+    c = named.select("set", "own").dropDuplicates(["set"]).select("set", F.size("own").alias("n"), F.explode("own").alias("word"))
+    frequent = c.groupBy("word").agg(F.count("*").alias("sets")).filter(F.col("sets") > common).select("word", F.lit(True).alias("often"))
+    w = text.select(bag.alias("bag"), "words").dropDuplicates(["bag"]).select("bag", F.explode("words").alias("word"))
+    w, c = (x.join(frequent, "word", "left") for x in (w, c))
+    shared_words = F.array_sort(F.collect_list(F.when(F.col("often"), F.col("word"))))
+    bags, sets = w.groupBy("bag").agg(shared_words.alias("bw")), c.groupBy("set", "n").agg(shared_words.alias("cw"))
+    score = F.round(F.col("shared") - (F.col("n") - F.col("shared")) * 0.05, 4)
+
+    def best_sets(met: DataFrame, by: str) -> DataFrame:
+        """Sets that ``top`` codes of better ones don't shut out."""
+        better = F.sum("codes").over(Window.partitionBy(by).orderBy(F.desc("score"))) - F.sum("codes").over(Window.partitionBy(by, "score"))
+        return met.withColumn("better", better).filter(F.col("better") < top)
+
+    def first_codes(df: DataFrame, *by: str) -> DataFrame:
+        """The first ``top`` codes of each set, and how many they are."""
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("len", "code"))
+        held = F.least(F.count("*").over(Window.partitionBy(*by)), F.lit(top))
+        return df.withColumns({"i": rank, "codes": held}).filter(F.col("i") <= top).drop("i")
+
+    members = first_codes(named.select("set", "len", "code"), "set")
+    rare = w.filter("often IS NULL").join(c.filter("often IS NULL").drop("often"), "word").groupBy("bag", "set", "n").agg(F.count("*").alias("rare"))
+    rare = rare.join(bags, "bag").join(sets.select("set", "cw"), "set").withColumn("shared", F.col("rare") + F.size(F.array_intersect("bw", "cw")))
+    sizes = members.groupBy("set").agg(F.first("codes").alias("codes"))
+    met = best_sets(rare.select("bag", "set", score.alias("score")).join(sizes, "set"), "bag")
+    opened = met.join(members.select("set", "len", "code"), "set").select("bag", "score", "len", "code")
+
+    grouped = first_codes(named.join(sets.filter(F.size("cw") > 0), "set").select(F.array_join("cw", " ").alias("cw"), "n", "len", "code"), "cw", "n")
+    groups = grouped.groupBy("cw", "n").agg(F.first("codes").alias("codes")).select("cw", "n", "codes", F.explode(F.split("cw", " ")).alias("word"))
+    asked = bags.filter(F.size("bw") > 0).select("bag", F.array_join("bw", " ").alias("bw"))
+    alike = asked.select("bw").distinct().select("bw", F.explode(F.split("bw", " ")).alias("word")).join(groups, "word")
+    alike = best_sets(alike.groupBy("bw", "cw", "n", "codes").agg(F.count("*").alias("shared")).select("bw", "cw", "n", "codes", score.alias("score")), "bw")
+    reached = alike.join(grouped.drop("codes"), ["cw", "n"])
+    rank = F.row_number().over(Window.partitionBy("bw").orderBy(F.desc("score"), "len", "code"))
+    reached = reached.withColumn("i", rank).filter(F.col("i") <= top).select("bw", "score", "len", "code")
+
+    both = opened.unionByName(asked.join(reached, "bw").drop("bw")).groupBy("bag", "code").agg(F.max("score").alias("score"), F.first("len").alias("len"))
+    place = F.row_number().over(Window.partitionBy("bag").orderBy(F.desc("score"), "len", "code"))
+    best = both.withColumn("place", place).filter(F.col("place") <= top)
     return own.join(best.select("bag", "code", "score", "place"), "bag").select("id", "code", "score", "place")
 
 
