@@ -279,13 +279,15 @@ def product_cards(captures: DataFrame) -> DataFrame:
     """item_id, name, price_cents, regular_cents, offer of product cards in HTML captures, each product once: its first card
     that has a name and a price, by (seq, place). The shortest link text is the name, else a picture's; the first price is the
     regular one; a lower deal price counts unless it is for buying several."""
-    cards, ids = (F.regexp_extract_all("payload", F.lit(CARD), F.lit(g)) for g in (0, 1))
-    x = _items(captures, F.arrays_zip(cards.alias("card"), ids.alias("id")))
-    links = F.filter(F.transform(F.regexp_extract_all("x.card", F.lit(CARD_LINK), F.lit(1)), html_text), lambda t: t != "")
-    by_length = F.transform(links, lambda t, i: F.struct(F.length(t).alias("n"), i.alias("i"), t.alias("t")))
-    picture = _text(F.regexp_extract("x.card", r'<img\b[^>]*\balt="([^"]*)"', 1))
-    text = html_text("x.card")
-    x = x.select("seq", "pos", F.col("x.id").alias("item_id"), F.coalesce(F.array_min(by_length)["t"], picture).alias("name"), text.alias("text"))
+
+    def read(card: Column) -> Column:
+        links = F.filter(F.transform(F.regexp_extract_all(card, F.lit(CARD_LINK), F.lit(1)), html_text), lambda t: t != "")
+        by_length = F.transform(links, lambda t, i: F.struct(F.length(t).alias("n"), i.alias("i"), t.alias("t")))
+        picture = _text(F.regexp_extract(card, r'<img\b[^>]*\balt="([^"]*)"', 1))
+        return F.struct(F.regexp_extract(card, '/produto/([^/"]+)', 1).alias("item_id"), F.coalesce(F.array_min(by_length)["t"], picture).alias("name"), html_text(card).alias("text"))
+
+    # read before the cards become rows, so that a card's text is made once
+    x = _items(captures, F.transform(F.regexp_extract_all("payload", F.lit(CARD), F.lit(0)), read)).select("seq", "pos", "x.*")
     money = lambda pattern: parse_money(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")))
     x = x.select("seq", "pos", "item_id", "name", money(PRICE).alias("regular"), money(DEAL).alias("deal"), F.nullif(F.regexp_extract("text", OFFER, 0), F.lit("")).alias("offer"))
     several = F.coalesce(F.col("offer").rlike(f"(?i)^(?:{MULTI_BUY})$"), F.lit(False))
