@@ -125,28 +125,37 @@ def _now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
+def _captures(rows: DataFrame, item: Column, before: str, after: str, again: Column | None = None) -> DataFrame:
+    """(seq, payload): the items of an order's prices on one page, in order; ``again``, where given, repeats the first at the end."""
+    page = F.floor(F.col("id") / (10 * 1_000_000 * 512)).alias("seq")
+    x = rows.select(page, F.struct("id", F.to_json(item).alias("item"), (F.to_json(again) if again is not None else F.lit(None).cast("string")).alias("again")).alias("x"))
+    x = x.groupBy("seq").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    items = F.concat(F.transform("x", lambda i: i["item"]), F.transform(F.slice("x", 1, 1), lambda i: i["again"]))  # array_join leaves out nulls
+    return x.select("seq", F.concat(F.lit(before), F.array_join(items, ", "), F.lit(after)).alias("payload"))
+
+
 def _catalog_pages(s, d) -> DataFrame:
     p = prices(s, d).join(products(s, d).select(F.col("id").alias("product_id"), "name", "brand", "gtin"), "product_id")
-    seller = F.struct(F.lit("1").alias("sellerId"), F.struct(F.col("price").alias("Price"), F.coalesce("regular_price", "price").alias("ListPrice"), F.coalesce(F.col("stock") - 12, F.lit(0)).alias("AvailableQuantity")).alias("commertialOffer"))
-    item = F.struct(F.col("gtin").alias("ean"), F.array().cast("array<struct<imageUrl:string>>").alias("images"), F.array(seller).alias("sellers"))
-    body = F.to_json(F.struct(F.array(F.struct(F.col("name").alias("productName"), F.col("brand"), F.col("url").alias("link"), F.array(item).alias("items"))).alias("products")))
-    return p.select(F.col("id").alias("seq"), body.alias("payload"))
+    seller = lambda price: F.struct(F.lit("1").alias("sellerId"), F.struct(price.alias("Price"), F.coalesce("regular_price", "price").alias("ListPrice"), F.coalesce(F.col("stock") - 12, F.lit(0)).alias("AvailableQuantity")).alias("commertialOffer"))
+    unit = lambda price: F.struct(F.col("gtin").alias("ean"), F.array().cast("array<struct<imageUrl:string>>").alias("images"), F.array(seller(price)).alias("sellers"))
+    item = lambda price: F.struct(F.col("name").alias("productName"), F.col("brand"), F.col("url").alias("link"), F.array(unit(price)).alias("items"))
+    return _captures(p, item(F.col("price")), '{"products": [', "]}", item(F.col("price") + 1))
 
 
 def _mix_pages(s, d) -> DataFrame:
     p = prices(s, d)
     k = F.col("id")
     dates = F.array(F.struct(F.lit("1990-01-01").alias("start_at"), F.when(k % 3 == 0, F.lit("1999-01-01")).otherwise(F.lit("2010-01-01")).alias("end_at"), (k % 8 == 0).alias("unlimited_end")))
-    item = F.struct(F.col("product_id").alias("id"), F.coalesce("stock", F.lit(0)).alias("stock"), "price", F.coalesce("regular_price", "price").alias("original_price"), F.concat(F.lit("P"), F.col("product_id").cast("string")).alias("description"), (F.col("product_id") % 5 == 0).alias("sold_in_kilogram"), (F.col("price") * 2).alias("kilogram_price"), dates.alias("offers"))
-    return p.select(k.alias("seq"), F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("id"), F.array(item).alias("items"))).alias("mixes"))).alias("payload"))
+    item = lambda price: F.struct(F.col("product_id").alias("id"), F.coalesce("stock", F.lit(0)).alias("stock"), price.alias("price"), F.coalesce("regular_price", "price").alias("original_price"), F.concat(F.lit("P"), F.col("product_id").cast("string")).alias("description"), (F.col("product_id") % 5 == 0).alias("sold_in_kilogram"), (price * 2).alias("kilogram_price"), dates.alias("offers"))
+    return _captures(p, item(F.col("price")), '{"mixes": [{"id": 1, "items": [', "]}]}", item(F.col("price") / 2))
 
 
 def _api_pages(s, d) -> DataFrame:
     p = prices(s, d)
     money = lambda c: F.regexp_replace(F.format_string("%.2f", c), r"\.", ",")
-    deal = F.struct(money(F.coalesce("regular_price", "price")).alias("preco_antigo"), money(F.col("price")).alias("preco_oferta"), (F.col("product_id") % 4).cast("int").alias("quantidade_minima"), F.lit(2).alias("quantidade_pagar"))
-    item = F.struct(F.col("product_id").alias("produto_id"), F.concat(F.lit("P"), F.col("product_id").cast("string")).alias("descricao"), (F.col("id") % 3 != 0).alias("disponivel"), deal.alias("oferta"))
-    return p.select(F.col("id").alias("seq"), F.to_json(F.array(item)).alias("payload"))
+    deal = lambda price: F.struct(money(F.coalesce("regular_price", "price")).alias("preco_antigo"), money(price).alias("preco_oferta"), (F.col("product_id") % 4).cast("int").alias("quantidade_minima"), F.lit(2).alias("quantidade_pagar"))
+    item = lambda price: F.struct(F.col("product_id").alias("produto_id"), F.concat(F.lit("P"), F.col("product_id").cast("string")).alias("descricao"), (F.col("id") % 3 != 0).alias("disponivel"), deal(price).alias("oferta"))
+    return _captures(p, item(F.col("price")), "[", "]", item(F.col("price") / 2))
 
 
 def _crm_pages(s, d) -> DataFrame:
@@ -154,7 +163,7 @@ def _crm_pages(s, d) -> DataFrame:
     k = F.col("id")
     config = F.struct(F.coalesce("regular_price", "price").alias("price"), F.struct(F.when(k % 2 == 0, F.col("price")).alias("promo_price")).alias("price_discount"), F.struct(F.when(k % 3 == 0, F.col("price") - 0.25).alias("price")).alias("promo_crm_massive"))
     item = F.struct(F.lit("n").alias("name"), k.cast("string").alias("slug"), config.alias("price_config"), F.struct((k % 5 != 0).alias("has_available_stock")).alias("stock"))
-    return p.select(k.alias("seq"), F.to_json(F.struct(F.array(item).alias("data"))).alias("payload"))
+    return _captures(p, item, '{"data": [', "]}")
 
 
 def _q_flyer_state(s, d):
@@ -214,13 +223,15 @@ _FL = """WITH fl AS (SELECT o_orderkey AS id, 'Chain ' || (o_orderkey % 7) AS ch
   CASE WHEN o_orderkey % 120 <> 0 AND o_orderkey % 200 <> 0 THEN o_orderdate + INTERVAL 500 DAY END AS valid_until, o_orderdate AS collected_at FROM orders),
  fs AS (SELECT *, CASE WHEN valid_from IS NULL THEN 'unknown' WHEN TIMESTAMP '{now}' < valid_from THEN 'future' WHEN TIMESTAMP '{now}' > valid_until THEN 'expired' ELSE 'current' END AS state FROM fl)""".replace("{now}", NOW)
 _PCT = "floor((1 - price / regular_price) * 100 + 0.5)::INT || '% OFF'"
+#: Prices with their place on the page of their order.
+_PLACED = "(SELECT *, (id // 5120000000) * 1000 + row_number() OVER (PARTITION BY id // 5120000000 ORDER BY id) - 1 AS seq FROM prices)"
 ORACLE_SQL = {
-    "src_catalog_json": with_tables(f"""SELECT url, arg_min(id, id) * 1000 AS seq, arg_min(price, id) AS price, arg_min(coalesce(r, -1), id) AS regular_price, arg_min(offer, id) AS offer, arg_min(stock, id) AS stock FROM
-        (SELECT id, url, price, regular_price AS r, CASE WHEN regular_price > price THEN {_PCT} END AS offer, stock - 12 AS stock FROM prices WHERE stock > 12 AND price > 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1) GROUP BY url""".replace("arg_min(coalesce(r, -1), id)", "nullif(arg_min(coalesce(CASE WHEN r > price THEN r END, -1), id), -1)").replace("arg_min(offer, id)", "nullif(arg_min(coalesce(offer, ''), id), '')"), "prices"),
-    "src_mixes_json": with_tables("""SELECT product_id AS item_id, id * 1000 AS seq, 'P' || product_id || CASE WHEN product_id % 5 = 0 THEN ' (kg)' ELSE '' END AS name, CASE WHEN product_id % 5 = 0 THEN price * 2 ELSE price END AS price,
-        CASE WHEN regular_price > price THEN regular_price END AS regular_price, stock FROM prices WHERE stock > 0 AND (id % 8 = 0 OR id % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) = 1""", "prices"),
-    "src_offers_api_json": with_tables("""SELECT product_id AS item_id, id * 1000 AS seq, c AS price_cents, r AS regular_cents, nullif(concat_ws(' · ', CASE WHEN r > c THEN floor((1 - c / r::DOUBLE) * 100 + 0.5)::INT || '% OFF' END, CASE WHEN product_id % 4 > 2 THEN 'Leve 3 pague 2' END), '') AS offer
-        FROM (SELECT *, CASE WHEN (o - c) * 100 >= o AND o > c THEN o WHEN o = 0 THEN o END AS r FROM (SELECT *, round_even(price * 100, 0)::INT AS c, round_even(coalesce(regular_price, price) * 100, 0)::INT AS o FROM prices WHERE id % 3 <> 0)) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) = 1""", "prices"),
+    "src_catalog_json": with_tables(f"""SELECT url, arg_min(seq, id) AS seq, arg_min(price, id) AS price, arg_min(coalesce(r, -1), id) AS regular_price, arg_min(offer, id) AS offer, arg_min(stock, id) AS stock FROM
+        (SELECT id, seq, url, price, regular_price AS r, CASE WHEN regular_price > price THEN {_PCT} END AS offer, stock - 12 AS stock FROM {_PLACED} WHERE stock > 12 AND price > 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1) GROUP BY url""".replace("arg_min(coalesce(r, -1), id)", "nullif(arg_min(coalesce(CASE WHEN r > price THEN r END, -1), id), -1)").replace("arg_min(offer, id)", "nullif(arg_min(coalesce(offer, ''), id), '')"), "prices"),
+    "src_mixes_json": with_tables(f"""SELECT product_id AS item_id, seq, 'P' || product_id || CASE WHEN product_id % 5 = 0 THEN ' (kg)' ELSE '' END AS name, CASE WHEN product_id % 5 = 0 THEN price * 2 ELSE price END AS price,
+        CASE WHEN regular_price > price THEN regular_price END AS regular_price, stock FROM {_PLACED} WHERE stock > 0 AND (id % 8 = 0 OR id % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) = 1""", "prices"),
+    "src_offers_api_json": with_tables(f"""SELECT product_id AS item_id, seq, c AS price_cents, r AS regular_cents, nullif(concat_ws(' · ', CASE WHEN r > c THEN floor((1 - c / r::DOUBLE) * 100 + 0.5)::INT || '% OFF' END, CASE WHEN product_id % 4 > 2 THEN 'Leve 3 pague 2' END), '') AS offer
+        FROM (SELECT *, CASE WHEN (o - c) * 100 >= o AND o > c THEN o WHEN o = 0 THEN o END AS r FROM (SELECT *, round_even(price * 100, 0)::INT AS c, round_even(coalesce(regular_price, price) * 100, 0)::INT AS o FROM {_PLACED} WHERE id % 3 <> 0)) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) = 1""", "prices"),
     "src_crm_price_json": with_tables("""SELECT id::VARCHAR AS slug, CASE WHEN cl > 0 AND cl < ev THEN cl ELSE ev END AS price, CASE WHEN cl > 0 AND cl < ev THEN ev WHEN ev < base THEN base END AS regular_price, CASE WHEN cl > 0 AND cl < ev THEN 'Clube' END AS offer
         FROM (SELECT id, coalesce(regular_price, price) AS base, CASE WHEN id % 3 = 0 THEN price - 0.25::DOUBLE END AS cl, CASE WHEN id % 2 = 0 THEN price ELSE coalesce(regular_price, price) END AS ev FROM prices WHERE id % 5 <> 0)""", "prices"),
     "src_discounted_prefix": with_tables("SELECT id, price, regular_price FROM prices WHERE regular_price > price AND price > 0", "prices"),
