@@ -171,7 +171,7 @@ def _q_narrow(s, d):
 def _q_seed(s, d):
     p = _keyed(s, d)
     mirror = p.filter("id % 2 = 0").select("key", "id", F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit(".webp")).alias("path"))
-    return seeded_images(p.filter("id % 3 = 0"), mirror, p.filter("id % 5 = 0").select("key").distinct())
+    return seeded_images(p, mirror, p.filter("id % 5 = 0").select("key").distinct())
 
 
 def _q_ingest(s, d):
@@ -224,7 +224,7 @@ ORACLE_SQL = {
         m AS (SELECT d.id, p AS n, item, round(len(list_intersect({_words_sql('name')}, own)) - (len(own) - len(list_intersect({_words_sql('name')}, own))) * 0.05::DOUBLE, 4) AS score FROM d CROSS JOIN (VALUES (6), (4)) v(p) JOIN it ON item[:p] = d.code[:p] WHERE d.id NOT IN (SELECT id FROM k)),
         b AS (SELECT id, n, arg_max(item, (score, -item::BIGINT)) AS code, count(*) AS many FROM m GROUP BY 1, 2 QUALIFY n = max(n) OVER (PARTITION BY id))
         SELECT id, code, 0.8::DOUBLE AS confidence, 'kept' AS how FROM k UNION ALL SELECT id, code, CASE WHEN many = 1 THEN 0.72 ELSE 0.48 END, CASE WHEN many = 1 THEN 'only' ELSE 'overlap' END FROM b""", "products", "code_table"),
-    "jn_seed_images": with_tables(f"WITH {_keys()} SELECT key, 'images/' || max(id) || '.webp' AS path FROM k WHERE id % 2 = 0 AND key IN (SELECT key FROM k WHERE id % 3 = 0) AND key NOT IN (SELECT key FROM k WHERE id % 5 = 0) GROUP BY key", "products"),
+    "jn_seed_images": with_tables(f"WITH {_keys()} SELECT key, 'images/' || max(id) || '.webp' AS path FROM k WHERE id % 2 = 0 AND key NOT IN (SELECT key FROM k WHERE id % 5 = 0) GROUP BY key", "products"),
     "st_snapshot_ingest": with_tables(f"""WITH {_keys()}, o AS (SELECT key, store_id, scraped_at, min(round_even(price * 100, 0)::INT) AS cents FROM prices p JOIN k ON k.id = product_id GROUP BY 1, 2, 3), a AS (SELECT key, max(id) AS id, bool_or(id % 2 = 0) AS old FROM k GROUP BY 1)
         SELECT (SELECT count(*) FROM a) AS products, (SELECT count(*) FROM a WHERE NOT old) AS new_products, (SELECT count(*) FROM a WHERE old) AS classified, (SELECT sum(id)::BIGINT FROM a) AS ids, (SELECT count(*) FROM o) AS observations, (SELECT sum(cents)::BIGINT FROM o) AS cents""", "products", "prices"),
 }

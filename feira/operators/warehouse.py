@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feira.functions.text import clean_sql, content_words
 from feira.functions.values import clamp_confidence, placeholder_host
 from feira.plans.public import public_sql, public_tables
-from feira.sources.domain import code_table, products, receipt_lines, table, taxonomy, with_tables
+from feira.sources.domain import branches, code_table, list_lines, products, receipt_lines, table, taxonomy, with_tables
 
 #: Matches of a text in the code table, and the score from which the best one counts.
 TOP_CODES = 40
@@ -156,6 +156,11 @@ def missing_lines(lines: DataFrame) -> DataFrame:
     return receipt_flags(lines).filter("missing <> ''").select("receipt_id", "missing")
 
 
+def missing(want: DataFrame, have: DataFrame, *key: str) -> DataFrame:
+    """The ``key`` columns of what is wanted and not there, each once; nulls are compared like values."""
+    return want.select(*key).subtract(have.select(*key))
+
+
 def receipt_flags(lines: DataFrame) -> DataFrame:
     """receipt_id, bad_math (lines whose sum is off by over 0.03), missing (line numbers), repeated (line numbers)."""
     off = F.abs(F.col("qty") * F.col("unit_price") - F.col("discount") - F.col("total")) > 0.03
@@ -297,6 +302,16 @@ def _q_contract(s, d):
     return product_problems(broken)  # some products of each kind of fault
 
 
+def _q_missing(s, d):
+    """Three differences: line numbers that receipts skip, branches that a later feed lacks, listed goods not on the receipt."""
+    lines = missing_lines(receipt_lines(s, d)).select(F.lit("line").alias("kind"), F.col("receipt_id").cast("string").alias("owner"), F.explode(F.split("missing", ",")).alias("item"))
+    known = branches(s, d)
+    gone = missing(known, known.filter("id % 4 <> 0"), "chain", "external_id").select(F.lit("branch").alias("kind"), F.col("chain").alias("owner"), F.col("external_id").alias("item"))
+    bought = receipt_lines(s, d).filter("(product_id + receipt_id) % 6 <> 0").select(F.col("receipt_id").alias("list_id"), "product_id")
+    left = missing(list_lines(s, d), bought, "list_id", "product_id").select(F.lit("listed").alias("kind"), F.col("list_id").cast("string").alias("owner"), F.col("product_id").cast("string").alias("item"))
+    return lines.unionByName(gone).unionByName(left)
+
+
 QUERIES = {
     "src_taxonomy_csv": lambda s, d: taxonomy(s, d),
     "tree_subtree_leaves": lambda s, d: subtree_leaves(taxonomy(s, d)),
@@ -311,7 +326,7 @@ QUERIES = {
     "ag_code_coverage": _q_coverage,
     "dq_review_queue": _q_review,
     "ag_receipt_flags": lambda s, d: receipt_flags(receipt_lines(s, d)),
-    "set_missing": lambda s, d: missing_lines(receipt_lines(s, d)),
+    "set_missing": _q_missing,
     "ag_idf_weights": lambda s, d: idf_weights(_texts(s, d)),
     "jn_barcode_near": _q_barcode,
     "flt_dead_url": _q_placeholder,
@@ -355,7 +370,9 @@ ORACLE_SQL = {
     "ag_code_coverage": with_tables(f"{_RES} SELECT source, count(*) AS products, (SELECT count(*) FROM r) AS total, (SELECT count(code) FROM r) AS coded, round((SELECT count(code) / count(*)::DOUBLE FROM r), 6) AS share FROM r GROUP BY 1", "products"),
     "dq_review_queue": with_tables(f"{_ANS} SELECT id, CASE WHEN resolved IS NULL THEN 'no answer' ELSE 'low confidence' END AS reason FROM rs WHERE resolved IS NULL OR confidence < 0.7", "products", "taxonomy"),
     "ag_receipt_flags": with_tables(_FLAGS, "receipt_lines"),
-    "set_missing": with_tables(f"SELECT receipt_id, missing FROM ({_FLAGS}) WHERE missing <> ''", "receipt_lines"),
+    "set_missing": with_tables(f"""SELECT 'line' AS kind, receipt_id::VARCHAR AS owner, unnest(string_split(missing, ',')) AS item FROM ({_FLAGS}) WHERE missing <> ''
+        UNION ALL SELECT 'branch', chain, external_id FROM (SELECT chain, external_id FROM branches EXCEPT SELECT chain, external_id FROM branches WHERE id % 4 <> 0)
+        UNION ALL SELECT 'listed', list_id::VARCHAR, product_id::VARCHAR FROM (SELECT list_id, product_id FROM list_lines EXCEPT SELECT receipt_id, product_id FROM receipt_lines WHERE (product_id + receipt_id) % 6 <> 0)""", "receipt_lines", "branches", "list_lines"),
     "ag_idf_weights": with_tables(f"SELECT word, round(ln(((SELECT count(*) FROM products) + 1) / (count(*) + 1)::DOUBLE) + 1, 6) AS weight FROM (SELECT id, unnest({_words_sql('name')}) AS word FROM products) GROUP BY 1", "products"),
     "flt_dead_url": with_tables("SELECT id, image_url FROM products WHERE contains(image_url, 'via.placeholder.com')", "products"),
     "flt_missing_image": with_tables("SELECT id FROM products WHERE image_url IS NULL ORDER BY id LIMIT 50", "products"),
