@@ -1,9 +1,9 @@
 """Operator 4: licence scan by a positional index of rare words.
 
 First, the documents that hold each licence word are counted over all documents, which gives the words' IDF. Each
-template is indexed by its highest-IDF words with their positions. All of these that a file holds are then looked up
+template is indexed by its highest-IDF words and those of its key phrases, with their positions. All of these that a file holds are then looked up
 (bounded by the templates); a template is a candidate where postings of several words agree on one relative position (within ``SLACK``), and it
-counts when its mandatory key phrases stand there and enough of its IDF-weighted words do.
+counts when a mandatory key phrase stands there and enough of its IDF-weighted words do, in its order.
 
 Base: exact places of the phrases in BASE_PHRASES; their labels always stay.
 
@@ -29,7 +29,8 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Label, notice as commonly written, mandatory key phrases (any of them suffices).
+#: Label, sentence or clause of its notice as commonly written, mandatory key phrases (any of them suffices).
+#: A notice's clauses are templates of their own, so that one with changed lines is known by those that are left.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge",)),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
@@ -43,12 +44,22 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission notice shall be included in all copies",)),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("unless required by applicable law or agreed to in writing",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", ("permission notice appear in all copies",)),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see", ("copy of the gnu general public license",)),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library if not see", ("copy of the gnu lesser general public license",)),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at", ("copy of the mpl was not distributed",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish use compile sell or distribute",)),
 )
 
 SLACK = 2
-#: Words of a template that are indexed, those of highest IDF.
+#: Words of a template that are indexed, those of highest IDF; VOTES of each key phrase go with them.
 ANCHORS = 6
-#: IDF-weighted share of a template's words that must stand around the place.
+#: IDF-weighted share of a template's words that must stand around the place, in the template's order.
 LEAST_COVER = 0.5
 #: A file's words looked up for a template must agree on a place this often, or as often as it has anchors.
 VOTES = 2
@@ -84,6 +95,19 @@ def word_idf(docs: DataFrame) -> dict[bytes, float]:
     return {w: math.log((sums.get(b"", 0) + 1) / (sums.get(w, 0) + 1)) + 1.0 for w in words}
 
 
+def in_order(notice: list[bytes], near: list[bytes], weight: dict[bytes, float]) -> float:
+    """The most weight of words of ``notice`` that stand in ``near`` in the same order."""
+    known = [w for w in near if w in weight]
+    row = [0.0] * (len(known) + 1)
+    for w in notice:
+        before = 0.0
+        for j, x in enumerate(known, 1):
+            above = row[j]
+            row[j] = before + weight[w] if x == w else max(above, row[j - 1])
+            before = above
+    return row[-1]
+
+
 class Scanner:
     def __init__(self, idf: dict[bytes, float]):
         self.idf = idf
@@ -91,7 +115,7 @@ class Scanner:
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.needed = []
         for t, (_, words, _) in enumerate(self.templates):
-            best = sorted(set(words), key=lambda w: (-idf[w], w))[:ANCHORS]
+            best = self.anchors(words, self.templates[t][2])
             self.needed.append(min(VOTES, len(best)))
             for w in best:
                 for q, x in enumerate(words):
@@ -102,6 +126,11 @@ class Scanner:
         self.base_at = [max(range(len(p)), key=lambda k, p=p: (idf.get(p[k], 0.0), k)) for p, _ in self.base]
         self.seek = frozenset(self.postings) | {p[k] for (p, _), k in zip(self.base, self.base_at, strict=True)}
 
+    def anchors(self, words: list[bytes], keys: list[list[bytes]]) -> list[bytes]:
+        """The highest-IDF words of a notice and those of each key phrase: as a phrase must stand, its words always agree."""
+        best = lambda of, n: sorted(set(of), key=lambda w: (-self.idf[w], w))[:n]
+        return list(dict.fromkeys(best(words, ANCHORS) + [w for key in keys for w in best(key, VOTES)]))
+
     def scan(self, text: bytes) -> tuple:
         """The columns of SCANNED after doc_id."""
         words = text.translate(FOLD).split()
@@ -135,7 +164,7 @@ class Scanner:
         """Best cover of template ``t`` at a place where enough words agree and a key phrase stands; 0 without one."""
         _, notice, keys = self.templates[t]
         weight = {w: self.idf[w] for w in notice}
-        total, best, starts = sum(weight.values()), 0.0, [s for s, _ in cast]
+        total, best, starts = sum(weight[w] for w in notice), 0.0, [s for s, _ in cast]
         k = 0
         while k < len(cast):
             start = starts[k]
@@ -143,7 +172,7 @@ class Scanner:
             if len({w for _, w in cast[k:end]}) >= self.needed[t]:
                 near = words[max(0, start - SLACK) : start + len(notice) + 2 * SLACK]
                 if any(key == near[i : i + len(key)] for key in keys for i in range(len(near) - len(key) + 1)):
-                    best = max(best, sum(weight[w] for w in weight.keys() & near) / total)
+                    best = max(best, in_order(notice, near, weight) / total)
                 k = end
             else:
                 k += 1

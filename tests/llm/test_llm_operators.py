@@ -388,3 +388,17 @@ def test_a_file_of_all_notices_has_all_labels(spark):
     got = {r.doc_id: r.labels for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0] == ",".join(sorted({label for label, *_ in TEMPLATES}))
     assert got[1] == "all-rights-reserved,bsd,mit"
+
+
+def test_a_licence_with_changed_lines_is_known_by_its_clauses(spark):
+    from feira.llm.license_scan import scan
+
+    texts = [
+        "Anyone may take this. The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Program.",
+        "Do as you like.\n1. Redistributions of source code must retain the above (c) notice, this list of conditions.\n",
+        "Unless required by applicable law or agreed to in writing, software is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        "kind any of conditions or warranties without basis is as an on distributed unless required by applicable law or agreed to in writing",
+        "the software portions substantial or copies all in included be shall notice permission",
+    ]
+    got = {r.doc_id: r.labels for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "mit", 1: "bsd", 2: "apache-2", 3: "", 4: ""}
