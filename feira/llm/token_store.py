@@ -37,6 +37,8 @@ STORE = "file_no int, block_no int, start_in_file long, n_docs int, n_ids long,
 
 #: Remembered pieces of text of a kind in a Python worker; beyond, it begins anew.
 CACHE = 900_000
+#: Pieces given to the tokenizer as one text.
+LEARNT_AT_ONCE = 64
 #: Bytes of text whose words are numbered together.
 TEXT_BYTES = 12 << 20
 #: Marks that are parted from the word before them (no apostrophes: those begin contractions).
@@ -92,17 +94,11 @@ def open_block(payload: bytes) -> tuple[list[int | None], np.ndarray, memoryview
     return [None if z else d for d, z in zip(ids, null, strict=True)], offsets, memoryview(payload)[at + 8 * n + 8 :], width
 
 
-def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all parts, and the size and start of each."""
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    return np.frombuffer(b"".join(parts), "<u4"), size, np.cumsum(size) - size
-
-
-def _gathered(flat: np.ndarray, size: np.ndarray, start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts ``which`` of a table one after another, and where each ends."""
-    many = size[which]
-    ends = np.cumsum(many)
-    return flat[np.repeat(start[which] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+def _gathered(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts ``which`` of ``flat``, parted at ``ends`` (from 0), one after another, and where each ends."""
+    many = (ends[1:] - ends[:-1])[which]
+    made = np.cumsum(many)
+    return flat[np.repeat(ends[which] - made + many, many) + np.arange(int(made[-1]) if len(made) else 0)], made
 
 
 class Encoder:
@@ -126,52 +122,71 @@ class Encoder:
         self.in_pieces = made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         added = [re.escape(t["content"]) for t in made.get("added_tokens", ()) if t["content"]]
         self.whole_if = "|".join([self.OTHER_SPACE, *added])
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # pieces without and with a space before them
-        self.marks: dict[str, bytes] = {}
-        self.line_feed = self.encode(["\n"])[0] if self.in_pieces else b""
+        feed = self.encode(["\n"])[0] if self.in_pieces else b""
+        self.in_pieces = len(feed) == 4
+        self.line_feed = int.from_bytes(feed, "little")
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin anew: nothing is remembered but no text at all, a space and a line feed, at places 0, 1 and 2."""
+        self.ids, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)  # of all remembered pieces, one after another
+        self.known: tuple[dict[str, int], dict[str, int]] = ({"": 0}, {"": 1})  # pieces without and with a space before them
+        self.marks = {"": 0}
+        self.remember([np.frombuffer(x, "<u4") for x in [b"", *self.encode([" ", "\n"])]])
+
+    def remember(self, pieces: list[np.ndarray]) -> None:
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in pieces])])
+        self.ids = np.concatenate([self.ids, *pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str], spaced: int) -> None:
-        """Encode ``pieces`` that aren't known: many in one text, parted by line feeds, which no piece holds."""
-        known, prefix = self.known[spaced], " " * spaced
-        feed = int.from_bytes(self.line_feed, "little")
+        """Encode ``pieces`` that aren't known: some in one text, parted by line feeds, which no piece holds."""
+        between = "\n " if spaced else "\n"
+        ids, sizes = [], []
         for k in range(0, len(pieces), 8192):
             part = pieces[k : k + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([prefix + p for p in part])], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = ids.tobytes(), [*np.flatnonzero(ids == feed).tolist(), len(ids)]
-            at = 0
-            for piece, end in zip(part, ends, strict=True):
-                known[piece] = raw[4 * at : 4 * end]
-                at = end + 1
-
-    def ids_of(self, stems: list[str], spaced: int) -> list[bytes]:
+            texts = [between[1:] + between.join(part[j : j + LEARNT_AT_ONCE]) for j in range(0, len(part), LEARNT_AT_ONCE)]
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                own = np.array(e.ids, "<u4")
+                feed = own == self.line_feed
+                sizes.append(np.diff(np.flatnonzero(feed), prepend=-1, append=len(own)) - 1)
+                ids.append(own[~feed])
+        first = len(self.ends) - 1
+        ends = np.cumsum(np.concatenate(sizes))
+        if len(ends) != len(pieces):
+            raise ValueError("pieces and their ids don't agree")
+        self.ends, self.ids = np.concatenate([self.ends, self.ends[-1] + ends]), np.concatenate([self.ids, *ids])
+        self.known[spaced].update(zip(pieces, range(first, first + len(pieces)), strict=True))
+
+    def places(self, stems: list[str], spaced: int) -> np.ndarray:
+        """Where the ids of each of the distinct ``stems`` are remembered."""
         known = self.known[spaced]
-        if len(known) > CACHE:
-            known.clear()
-        if "" not in known:
-            known[""] = self.encode([" " * spaced])[0]
-        try:
-            return [known[x] for x in stems]
-        except KeyError:
-            self.learn([x for x in stems if x not in known], spaced)
-            return [known[x] for x in stems]
-
-    def joined(self, column) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of an Arrow column without nulls, one after another, and where each text ends.
+        at = np.fromiter((known.get(x, -1) for x in stems), np.int64, len(stems))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(new))
+            self.learn([stems[k] for k in new.tolist()], spaced)
+        return at
+
+    def joined(self, column) -> tuple[memoryview, np.ndarray]:
+        """Ids (little-endian u4) of all texts of an Arrow column without nulls, one after another, and where each text ends.
 
         A letter and the marks after it are always parted, so a known word needs no new merge for another mark.
         """
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if sum(map(len, self.known)) > CACHE or len(self.ids) > 16 * CACHE:
+            self.forget()
         lines = pc.split_pattern(column, "\n")
         words = pc.split_pattern(lines.flatten(), " ")
         text_at, line_at = np.asarray(lines.offsets), np.asarray(words.offsets)
         coded = words.flatten().dictionary_encode()
         pieces, code = coded.dictionary, coded.indices.to_numpy()
         n = len(pieces)
+        del lines, words, coded
         firsts = line_at[:-1]
         begins = np.zeros(len(firsts), bool)  # of a text; other lines begin after a line feed
         begins[text_at[:-1]] = True
@@ -186,9 +201,10 @@ class Encoder:
         tails = pc.replace_substring_regex(pieces.take(pa.array(longer)), rf"^.*[^{MARKS}]", "").dictionary_encode()
         for mark in tails.dictionary.to_pylist():
             if mark not in self.marks:
-                self.marks[mark] = self.encode([mark])[0]
-        stem, tail = stems.indices.to_numpy(), np.full(n, len(tails.dictionary))
-        tail[longer] = tails.indices.to_numpy()
+                self.marks[mark] = len(self.ends) - 1
+                self.remember([np.frombuffer(self.encode([mark])[0], "<u4")])
+        stem, tail = stems.indices.to_numpy(), np.zeros(n, np.int64)
+        tail[longer] = np.array([self.marks[m] for m in tails.dictionary.to_pylist()], np.int64)[tails.indices.to_numpy()]
 
         leads = code[firsts]  # pieces at the start of a line are encoded without a space
         lead_pieces, lead = np.unique(leads, return_inverse=True)
@@ -199,27 +215,24 @@ class Encoder:
         used[code[inner]] = True
         spaced = np.flatnonzero(used)
         spaced_stems, spaced_stem = np.unique(stem[spaced], return_inverse=True)
-        parts = self.ids_of(stems.dictionary.take(spaced_stems).to_pylist(), 1) + self.ids_of(stems.dictionary.take(lead_stems).to_pylist(), 0)
-        ends_with = [*(self.marks[m] for m in tails.dictionary.to_pylist()), b""]
-        flat, size, start = _table([*parts, *ends_with, self.line_feed])
-        at_marks, at_feed = len(parts), len(parts) + len(ends_with)
-        # each piece: a stem and its marks; leads twice, without and with a line feed before them
-        rows = np.full((len(spaced) + 2 * len(lead_pieces), 3), at_feed - 1)
+        rows = np.zeros((len(spaced) + 2 * len(lead_pieces), 3), np.int64)  # each piece: a line feed, a stem and its marks
         a, b = len(spaced), len(spaced) + len(lead_pieces)
-        rows[:a, 1], rows[:a, 2] = spaced_stem, at_marks + tail[spaced]
-        for x, y in ((a, b), (b, len(rows))):
-            rows[x:y, 1], rows[x:y, 2] = len(spaced_stems) + lead_stem, at_marks + tail[lead_pieces]
-        rows[b:, 0] = at_feed
-        flat, ends = _gathered(flat, size, start, rows.ravel())
-        ends = ends[2::3]
-        size = np.diff(ends, prepend=0)
-
-        place = np.zeros(n, np.int64)
+        rows[:a, 1] = self.places(stems.dictionary.take(pa.array(spaced_stems)).to_numpy(zero_copy_only=False).tolist(), 1)[spaced_stem]
+        rows[:a, 2] = tail[spaced]
+        lead_place = self.places(stems.dictionary.take(pa.array(lead_stems)).to_numpy(zero_copy_only=False).tolist(), 0)[lead_stem]
+        for x, y in ((a, b), (b, len(rows))):  # leads twice, without and with a line feed before them
+            rows[x:y, 1], rows[x:y, 2] = lead_place, tail[lead_pieces]
+        rows[b:, 0] = 2
+        flat, ends = _gathered(self.ids, self.ends, rows.ravel())
+
+        place = np.zeros(n, np.int32)
         place[spaced] = np.arange(len(spaced))
         which = place[code]
         which[firsts] = np.where(begins, a, b) + lead
-        flat, ends = _gathered(flat, size, ends - size, which)
-        return flat, np.append(0, ends)[line_at[text_at[1:]]]
+        offsets = 4 * np.append(0, ends[2::3])
+        found = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).take(pa.array(which))
+        ends = np.frombuffer(found.buffers()[1], "<i8", len(found) + 1) // 4
+        return memoryview(found.buffers()[2] or b""), ends[line_at[text_at[1:]]]
 
     def __call__(self, column) -> list[bytes]:
         """Little-endian u4 ids of each text of an Arrow string column; null is empty."""
@@ -235,10 +248,9 @@ class Encoder:
         sizes = pc.binary_length(column).to_numpy()[rest]
         cut = np.flatnonzero(np.diff(np.cumsum(sizes) // TEXT_BYTES)) + 1 if len(rest) else []
         for mine in np.split(rest, cut) if len(rest) else ():
-            flat, ends = self.joined(column.take(pa.array(mine)))
-            raw, begin = flat.tobytes(), 0
+            (raw, ends), begin = self.joined(column.take(pa.array(mine))), 0
             for k, end in zip(mine.tolist(), ends.tolist(), strict=True):
-                out[k] = raw[4 * begin : 4 * end]
+                out[k] = bytes(raw[4 * begin : 4 * end])
                 begin = end
         return out
 
@@ -302,6 +314,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
                 held += len(ids[-1]) // 4
                 if held >= block_ids:
                     yield flush()
+            pa.default_memory_pool().release_unused()
         if ids:
             yield flush()
 

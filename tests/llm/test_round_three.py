@@ -285,3 +285,35 @@ def test_titled_mentions_keep_their_person(spark, seed):
         for a, b in zip(old, new, strict=True):
             assert to.setdefault(a, b[1]) == b[1]
     assert len(set(to.values())) == len(to) == 6
+
+
+# ---- token ids: what an encoder remembers and gives to the tokenizer
+
+
+def test_token_store_gives_the_tokenizer_short_texts_once(monkeypatch):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from tokenizers import Tokenizer
+
+    from feira.llm import token_store
+
+    plain, encoder = Tokenizer.from_file(token_store.tokenizer_path()), token_store.Encoder(token_store.tokenizer_path())
+    given = []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Watched()
+    rng = random.Random(8)
+    texts = ["", "\n", " a", "b ", *("".join(rng.choice(["qu", "é", "x1", "日", " w", "\nu", ",.", "'s", "!"]) for _ in range(rng.randrange(40))) for _ in range(3000))]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder(pa.array(texts)) == want
+    assert max(t.count("\n") for t in given) < 64  # long texts of many pieces cost more than twice as much
+    given.clear()
+    assert encoder(pa.array(texts)) == want
+    odd = pc.match_substring_regex(pa.array(given, pa.string()), encoder.whole_if).to_pylist()
+    assert all(odd)  # all others are remembered
+    monkeypatch.setattr(token_store, "CACHE", 50)
+    assert all(encoder(pa.array(texts[k : k + 200])) == want[k : k + 200] for k in range(0, len(texts), 200))  # begun anew each time
