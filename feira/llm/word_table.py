@@ -4,8 +4,8 @@ Encoding: texts are split into words in Spark and gathered in packets of whole d
 word, in order, and its distinct words once. The words of all packets are dealt by word, each distinct one is encoded once
 by the tokenizer, and its ids join the packets again, where they go to the places of their codes.
 
-Decoding: the ids of a packet's words (or the distinct ids of a packet when ids are given) join the table of pieces by id,
-and the pieces go to the places of the codes in the same way.
+Decoding: the distinct ids of a packet join the table of pieces by id, and the pieces go to the places of the ids and of the
+codes in the same way. No row is made for each id of a word, as a task's rows then outgrow its memory.
 
 Words are parted where a byte-level pattern always parts: between a character that is no white space of any kind and an
 ASCII white space after it, and between a letter and an ASCII mark (no apostrophe) after it, but never within an added token. So a
@@ -335,57 +335,57 @@ def encode_entries(entries: DataFrame, path: str) -> tuple[DataFrame, int]:
     return dealt.mapInArrow(encode, f"packet long, part int, sizes array<int>, ids array<{kind}>"), parts
 
 
-def _grouped(column, codes: np.ndarray, n: int) -> list[bytes]:
-    """The bytes of an Arrow binary column, in order, for each of ``n`` codes; codes rise."""
+def _array(sizes: np.ndarray, data):
+    """Values of the given sizes, one after another in ``data``, as an Arrow array."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    ends, data = _parts(pc.fill_null(column.cast(pa.large_binary()), b""))
-    whole = memoryview(data)
-    at = ends[np.searchsorted(codes, np.arange(n + 1))].tolist()
-    return [bytes(whole[x:y]) for x, y in zip(at, at[1:], strict=False)]
+    offsets = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _in_order(rows, *by: str):
-    """An Arrow table's rows by the given columns, and the first of these."""
+def _laid_out(values, codes: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+    """For each row, one at a time, the values of its codes one after another."""
     import pyarrow as pa
 
-    rows = rows.drop_columns(["packet"]).combine_chunks()
-    order = np.lexsort([rows.column(c).to_numpy() for c in reversed(by)])
-    rows = rows.take(pa.array(order))
-    return rows, rows.column(by[0]).to_numpy()
-
+    begin, step = 0, 1 << 18  # some rows at a time
+    while begin < len(ends):
+        first = int(ends[begin - 1]) if begin else 0
+        last = max(begin + 1, int(np.searchsorted(ends, first + step, "right")))
+        found = values.take(pa.array(codes[first : int(ends[last - 1])]))
+        at, data = _parts(found)
+        rows = [0, *at[ends[begin:last] - first].tolist()]
+        yield from map(memoryview(data).__getitem__, map(slice, rows, rows[1:]))
+        begin = last
 
-def _ids_by_code(values, place: np.ndarray, codes: np.ndarray) -> list[bytes]:
-    """The ids (little-endian u4) of each code of a packet, from rows in order of code and place."""
-    raw = values.column("id").to_numpy().astype("<u4").tobytes()
-    at = (4 * np.searchsorted(place, np.arange(int(codes.max()) + 2 if len(codes) else 1))).tolist()
-    return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
 
+def _by_code(known, entries, parts: int):
+    """The ids of a packet's words from the rows of ``encode_entries``: the words' codes in the order of the ids, how many
+    ids each word has, and all ids."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-def _laid_out(values: list[bytes], codes: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
-    """For each row, one at a time, the values of its codes one after another."""
-    at = 0
-    for end in ends.tolist():
-        yield b"".join([values[c] for c in codes[at:end].tolist()])
-        at = end
+    part = part_of(entries.to_pylist(), parts)
+    order = np.argsort(part, kind="stable").astype(np.int32)
+    rows = known.combine_chunks()
+    rows = rows.take(pa.array(np.argsort(rows.column("part").to_numpy(), kind="stable")))
+    sizes, ids = (pc.list_flatten(rows.column(c)).combine_chunks() for c in ("sizes", "ids"))
+    ids = ids.to_numpy()
+    return order, sizes.to_numpy(), ids.view(np.uint16 if ids.dtype == np.int16 else np.uint32)
 
 
-def _coded(values, entries, parts: int):
-    """``values`` with ``code``, for the turn of a word in its part, in place of both."""
+def _in_code_order(order: np.ndarray, sizes: np.ndarray, data: np.ndarray):
+    """Values of words in ``order`` of codes (sizes in items of ``data``) as an Arrow array with a value for each code."""
     import pyarrow as pa
 
-    part = part_of(entries.to_pylist(), parts)
-    order = np.argsort(part, kind="stable").astype(np.int32)
-    begins = np.searchsorted(part[order], np.arange(parts))
-    code = order[begins[values.column("part").to_numpy()] + values.column("word").to_numpy()] if len(order) else np.zeros(0, np.int32)
-    return values.drop_columns(["part", "word"]).append_column("code", pa.array(code, pa.int32()))
+    turn = np.empty(len(order), np.int32)
+    turn[order] = np.arange(len(order), dtype=np.int32)
+    return _array(sizes.astype(np.int64) * data.itemsize, data).take(pa.array(turn))
 
 
-def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble, parts: int = 0) -> DataFrame:
-    """Rows of documents from packets and the values of their entries (packet, code, ...; or of ``parts``): both meet by packet.
+def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble) -> DataFrame:
+    """Rows of documents from packets and the values of their entries (packet, ...): both meet by packet.
 
-    assemble(values, codes of the packet's words, doc_ids, ends): the columns of ``schema`` but doc_id, by name.
+    assemble(values, the packet's entries, codes of its words, ends of its documents): the columns of ``schema`` but doc_id, by name.
     """
 
     def build(own, values):
@@ -395,13 +395,11 @@ def _by_position(packets: DataFrame, values: DataFrame, schema: str, assemble, p
         for row in own.to_batches():
             for k in range(row.num_rows):
                 codes = _unpacked(row.column("codes")[k].as_py(), row.column("wide")[k].as_py())
-                values = _coded(values, row.column("entries")[k].values, parts) if parts else values
-                made.append(pa.table({"doc_id": row.column("doc_ids")[k].values, **assemble(values, codes, row.column("ends")[k].values.to_numpy())}))
+                made.append(pa.table({"doc_id": row.column("doc_ids")[k].values, **assemble(values, row.column("entries")[k].values, codes, row.column("ends")[k].values.to_numpy())}))
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(made)
 
-    whole = packets.select("packet", "doc_ids", "ends", "codes", "wide", *(["entries"] if parts else []))
-    return whole.groupBy("packet").cogroup(values.groupBy("packet")).applyInArrow(build, schema)
+    return packets.groupBy("packet").cogroup(values.groupBy("packet")).applyInArrow(build, schema)
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -410,23 +408,28 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or tokenizer_path()
     packets = split_words(docs, path)
 
-    def rows(values, codes, ends):
+    known, parts = encode_entries(_entries(packets), path)
+
+    def rows(values, entries, codes, ends):
         import pyarrow as pa
 
-        ids = _laid_out(_ids_by_code(*_in_order(values, "code", "place"), codes), codes, ends)
-        return {"ids": pa.array([np.frombuffer(r, "<i4") for r in ids], pa.list_(pa.int32()))}
+        order, sizes, ids = _by_code(values, entries, parts)
+        found = _laid_out(_in_code_order(order, sizes, ids.astype("<u4")), codes, ends)
+        return {"ids": pa.array([np.frombuffer(r, "<i4") for r in found], pa.list_(pa.int32()))}
 
-    known, parts = encode_entries(_entries(packets), path)
-    return _by_position(packets, _each_id(known), "doc_id long, ids array<int>", rows, parts)
+    return _by_position(packets, known, "doc_id long, ids array<int>", rows)
 
 
-def _each_id(known: DataFrame) -> DataFrame:
-    """packet, part, word, place, id: a row for each id of ``encode_entries``, at its packet; ``word`` is its word's turn in the part."""
+def _with_own_pieces(known: DataFrame, path: str) -> DataFrame:
+    """packet, words, id, piece: at each packet a row with the rows of ``encode_entries`` (words: part, sizes, ids), and one
+    for each distinct id of the packet with the piece that it joins."""
     short = known.schema["ids"].dataType.elementType.typeName() == "short"
-    word_of_each = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n)))
-    each = known.repartition("packet").select("packet", "part", F.posexplode(F.arrays_zip(word_of_each.alias("word"), F.col("ids").alias("id"))).alias("place", "x"))
-    number = F.col("x.id").cast("int").bitwiseAND(F.lit(0xFFFF)) if short else F.col("x.id")
-    return each.select("packet", "part", F.col("x.word").alias("word"), "place", number.alias("id"))
+    words = known.repartition("packet").groupBy("packet").agg(F.collect_list(F.struct("part", "sizes", "ids")).alias("words"))
+    kind = words.schema["words"].dataType
+    number = (lambda i: i.cast("int").bitwiseAND(F.lit(0xFFFF))) if short else (lambda i: i)
+    ids = F.transform(F.array_distinct(F.flatten("words.ids")), lambda i: F.struct(F.lit(None).cast(kind).alias("words"), number(i).alias("id")))
+    whole = F.array(F.struct(F.col("words"), F.lit(None).cast("int").alias("id")))  # within the generated rows, so that it isn't repeated beside them
+    return _with_pieces(words.select("packet", F.inline(F.concat(whole, ids))), path).select("packet", "words", "id", "piece")
 
 
 def _with_pieces(ids: DataFrame, path: str) -> DataFrame:
@@ -453,9 +456,14 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     packets = _packets(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), single_ids, "bpe_given")
     given = _entries(packets).select("packet", F.posexplode("entries").alias("code", "entry")).select("packet", "code", F.conv(F.hex("entry"), 16, 10).cast("long").alias("id"))
 
-    def rows(values, codes, ends):
-        values, place = _in_order(values, "code")
-        return {"text": [r.decode(errors="replace") for r in _laid_out(_grouped(values.column("piece").combine_chunks(), place, len(place)), codes, ends)]}
+    def rows(values, entries, codes, ends):
+        import pyarrow.compute as pc
+
+        values = values.combine_chunks()
+        piece = pc.fill_null(values.column("piece").combine_chunks().cast("large_binary"), b"")
+        at, data = _parts(piece)
+        own = _in_code_order(values.column("code").to_numpy(), np.diff(at), np.frombuffer(data, np.uint8)[at[0] : at[-1]])
+        return {"text": [str(r, "utf-8", "replace") for r in _laid_out(own, codes, ends)]}
 
     return _by_position(packets, _with_pieces(given, path).select("packet", "code", "piece"), "doc_id long, text string", rows)
 
@@ -466,18 +474,25 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or tokenizer_path()
     packets = split_words(docs, path)
     known, parts = encode_entries(_entries(packets), path)
-    each = _with_pieces(_each_id(known), path)
 
-    def rows(values, codes, ends):
+    def rows(values, entries, codes, ends):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        values, place = _in_order(values, "code", "place")
-        n = int(codes.max()) + 1 if len(codes) else 0
-        ids = [(len(r) // 4, hashlib.sha256(r).hexdigest()) for r in _laid_out(_ids_by_code(values, place, codes), codes, ends)]
-        spelled = [hashlib.sha256(r.decode(errors="replace").encode()).hexdigest() for r in _laid_out(_grouped(values.column("piece").combine_chunks(), place, n), codes, ends)]
-        return {"n_tokens": pa.array([x for x, _ in ids], pa.int64()), "ids_sha256": pa.array([x for _, x in ids], pa.string()), "decoded_sha256": pa.array(spelled, pa.string())}
-
-    return _by_position(packets, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, parts)
+        whole = values.column("id").is_null()
+        words = pc.list_flatten(values.filter(whole).column("words")).combine_chunks()
+        order, sizes, ids = _by_code(pa.Table.from_arrays(words.flatten(), ["part", "sizes", "ids"]), entries, parts)
+        own = values.filter(pc.invert(whole))
+        piece = pc.fill_null(own.column("piece").combine_chunks().cast(pa.large_binary()), b"")
+        place = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int32)
+        place[own.column("id").to_numpy()] = np.arange(len(own), dtype=np.int32)
+        at, data = _parts(piece.take(pa.array(place[ids])))  # the pieces of all ids of the words
+        spelled = np.diff(at[np.append(0, np.cumsum(sizes))])
+        numbers = [(len(r) // 4, hashlib.sha256(r).hexdigest()) for r in _laid_out(_in_code_order(order, sizes, ids.astype("<u4")), codes, ends)]
+        texts = [hashlib.sha256(str(r, "utf-8", "replace").encode()).hexdigest() for r in _laid_out(_in_code_order(order, spelled, np.frombuffer(data, np.uint8)), codes, ends)]
+        return {"n_tokens": pa.array([x for x, _ in numbers], pa.int64()), "ids_sha256": pa.array([x for _, x in numbers], pa.string()), "decoded_sha256": pa.array(texts, pa.string())}
+
+    return _by_position(packets, _with_own_pieces(known, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
 
 
 def op13_word_table(spark, sf_dir):

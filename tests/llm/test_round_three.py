@@ -287,6 +287,24 @@ def test_titled_mentions_keep_their_person(spark, seed):
     assert len(set(to.values())) == len(to) == 6
 
 
+def test_a_packet_gets_a_row_for_each_distinct_id_not_for_each_id(spark):
+    from pyspark.sql import functions as F
+
+    from feira.llm.word_table import _entries, _with_own_pieces, encode_entries, round_trip, split_words, tokenizer_path
+
+    texts = [" ".join(f"{a}{b}" for b in ("en", "ing", "ation", "e")) for a in ("th", "ou", "sh", "ch") for _ in range(50)]
+    df = spark.createDataFrame([*enumerate(texts), (9000, None)], "doc_id long, text string").coalesce(1)
+    known, _ = encode_entries(_entries(split_words(df, tokenizer_path())), tokenizer_path())
+    rows = _with_own_pieces(known, tokenizer_path()).collect()
+    ids = known.select("packet", F.explode("ids").alias("id")).collect()
+    distinct = {(r.packet, r.id & 0xFFFF) for r in ids}
+    assert len(distinct) < len(ids) and len(rows) == len(distinct) + len({r.packet for r in ids})
+    assert {(r.packet, r.id) for r in rows if r.id is not None} == distinct and sum(r.words is not None for r in rows) == len({r.packet for r in ids})
+    empty = hashlib.sha256(b"").hexdigest()
+    nothing = spark.createDataFrame([(1, None), (2, ""), (None, None)], "doc_id long, text string")
+    assert sorted(map(tuple, round_trip(nothing).collect()), key=repr) == [(1, 0, empty, empty), (2, 0, empty, empty), (None, 0, empty, empty)]
+
+
 # ---- token ids: what an encoder remembers and gives to the tokenizer
 
 
