@@ -31,9 +31,14 @@ PRICE = r"R\$\s*(\d{1,3}(?:\.\d{3})*,\d{2}|\d+[.,]\d{2})"
 DEAL = r"(?i)sai por\s*" + PRICE
 MULTI_BUY = r"\d+%\s+na\s+\d+\S*\s+unidade|leve\s+\d+\s+e\s+pague\s+\d+"
 OFFER = r"(?i)\d+%\s*OFF|" + MULTI_BUY
-#: A product's card: its link and all up to the next link to another product.
+#: A run of cards of one product: its link and all up to the next link to another product.
 CARD = r'(?s)<a\b[^>]*href="/produto/([^/"]+)[/"](?:.*?)(?=<a\b[^>]*href="/produto/(?!\1[/"])|\z)'
 CARD_LINK = r'(?s)<a\b[^>]*href="/produto/[^"]*"[^>]*>(.*?)</a>'
+#: A link after a price: another card of the same product may begin there.
+LINK_AFTER_PRICE = r'(?s)R\$.*?<a\b[^>]*href="/produto/'
+MARKUP = r"(?s)<[^>]*>|[^<]+|<"
+#: Markup that opens nothing: no closing tag belongs to it.
+VOID = r"(?is)^<(?:[!?]|(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b|.*/>$)"
 
 FLYER = ("flyer_id", "name", "description", "cover_url", "pdf_url", "pages", "posted_at", "valid_until")
 BRANCH = ("external_id", "name", "address", "latitude", "longitude")
@@ -275,6 +280,26 @@ def heading_branches(captures: DataFrame, brand: str) -> DataFrame:
 # --- product cards -------------------------------------------------------------------------------------------------
 
 
+def _parted(run: Column) -> Column:
+    """The cards of a run of links to one product: a card ends where the first element around its link closes that holds a
+    price, and the next one begins at the next link. Elements that are never closed keep their cards together."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"), F.lit("").alias("text"), F.array().cast("array<string>").alias("cards"))
+
+    def step(s: Column, t: Column) -> Column:
+        closing, opening = t.startswith("</"), t.startswith("<") & (F.length(t) > 1) & ~t.rlike(VOID)
+        depth = s["depth"] + F.when(closing, -1).when(opening, 1).otherwise(0)
+        text, out = F.concat(s["text"], t), closing & (depth < s["least"])
+        state = lambda d, least, tx, cards: F.struct(d.alias("depth"), least.alias("least"), tx.alias("text"), cards.alias("cards"))
+        return (
+            F.when((s["text"] == "") & ~t.rlike('(?s)^<a\\b[^>]*href="/produto/'), s)
+            .when(out & html_text(text).rlike(PRICE), state(F.lit(0), F.lit(0), F.lit(""), F.concat(s["cards"], F.array(text))))
+            .otherwise(state(depth, F.when(out, depth).otherwise(s["least"]), text, s["cards"]))
+        )
+
+    last = lambda s: F.when(s["text"] == "", s["cards"]).otherwise(F.concat(s["cards"], F.array(s["text"])))
+    return F.reduce(F.regexp_extract_all(run, F.lit(MARKUP), F.lit(0)), start, step, last)
+
+
 def product_cards(captures: DataFrame) -> DataFrame:
     """item_id, name, price_cents, regular_cents, offer of product cards in HTML captures, each product once: its first card
     that has a name and a price, by (seq, place). The shortest link text is the name, else a picture's; the first price is the
@@ -287,7 +312,9 @@ def product_cards(captures: DataFrame) -> DataFrame:
         return F.struct(F.regexp_extract(card, '/produto/([^/"]+)', 1).alias("item_id"), F.coalesce(F.array_min(by_length)["t"], picture).alias("name"), html_text(card).alias("text"))
 
     # read before the cards become rows, so that a card's text is made once
-    x = _items(captures, F.transform(F.regexp_extract_all("payload", F.lit(CARD), F.lit(0)), read)).select("seq", "pos", "x.*")
+    runs = F.regexp_extract_all("payload", F.lit(CARD), F.lit(0))
+    cards = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(LINK_AFTER_PRICE), _parted(r)).otherwise(F.array(r))))
+    x = _items(captures, F.transform(cards, read)).select("seq", "pos", "x.*")
     money = lambda pattern: parse_money(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")))
     x = x.select("seq", "pos", "item_id", "name", money(PRICE).alias("regular"), money(DEAL).alias("deal"), F.nullif(F.regexp_extract("text", OFFER, 0), F.lit("")).alias("offer"))
     several = F.coalesce(F.col("offer").rlike(f"(?i)^(?:{MULTI_BUY})$"), F.lit(False))

@@ -187,6 +187,19 @@ def test_product_cards(spark):
     }
 
 
+def test_cards_of_one_product_side_by_side(spark):
+    def card(i, name, tail):
+        return f'<div class="c"><p><a href="/produto/{i}/s"><img src="x"></a><br></p><a href="/produto/{i}/s">{name}</a><div><span>{tail}</span></div><a href="/produto/{i}/s">{name} R$ 99,99</a></div>'
+
+    page = card(11230, "P11230", "R$ 5,00") + "\n" + card(11230, "Outro", "R$ 0,01 20% OFF sai por R$ 0,005") + card(2, "Leite", "R$ 3,00")
+    one = '<section><div><a href="/produto/7/s">Nome longo</a></div><div><a href="/produto/7/s">Nome</a></div>R$ 4,00</section><section><a href="/produto/7/s">N</a>R$ 1,00</section>'
+    nameless = '<div><a href="/produto/8/s"></a>R$ 1,00</div><div><a href="/produto/8/s">Oito</a>R$ 8,00</div>'
+    got = by(ch.product_cards(captures(spark, page, one + nameless)), "item_id")
+    assert {k: (r.name, r.price_cents, r.regular_cents, r.offer) for k, r in got.items()} == {
+        "11230": ("P11230", 500, None, None), "2": ("Leite", 300, None, None), "7": ("Nome", 400, None, None), "8": ("Oito", 800, None, None),
+    }
+
+
 def test_feeds_of_empty_tables(spark):
     none = captures(spark, None).limit(0)
     assert ch.union_flyers({"a": ch.sided_flyers(none), "b": ch.cms_flyers(none, "h")}).count() == 0
