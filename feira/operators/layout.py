@@ -168,6 +168,14 @@ def price_blocks(prices: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.filter(F.length(F.regexp_replace(clean("name"), "[^a-z]", "")) >= 3)
 
 
+def _first_lines(s, d) -> DataFrame:
+    """The lines 1 to 5 of orders, of those with the same number the one that stands first in the table's files."""
+    at = F.struct("_metadata.file_path", "_metadata.row_index")
+    row = F.struct("l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    li = table(s, d, "lineitem").filter("l_linenumber <= 5").select("l_orderkey", "l_linenumber", row.alias("row"), at.alias("at"))
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("row", "at").alias("row")).select("l_orderkey", "l_linenumber", "row.*")
+
+
 def _boxes(s, d) -> DataFrame:
     """Boxes of flyers made of order lines: a row of the page for each line, with a badge, two prices and a name."""
     li = table(s, d, "lineitem").filter("l_linenumber <= 5").dropDuplicates(["l_orderkey", "l_linenumber"])
@@ -185,7 +193,7 @@ def _boxes(s, d) -> DataFrame:
 
 def _words_of_pages(s, d) -> tuple[DataFrame, DataFrame]:
     """Words and name blocks of pages made of order lines; every sixth price is for members."""
-    li = table(s, d, "lineitem").filter("l_linenumber <= 5").dropDuplicates(["l_orderkey", "l_linenumber"])
+    li = _first_lines(s, d)
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("int") % 90_000 + 105
     row = li.select(F.col("l_orderkey").alias("flyer_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("k"), cents.alias("cents"), F.col("l_partkey").alias("part"))
     word = lambda i, text, size, x, y, w: F.struct((F.col("k").cast("long") * 10 + i).alias("word"), text.alias("text"), F.lit(size).cast("double").alias("size"), F.lit(x).cast("double").alias("x0"), F.lit(x + w).cast("double").alias("x1"), (F.col("k") * 150.0 + y).alias("top"), (F.col("k") * 150.0 + y + size).alias("bottom"))
