@@ -10,7 +10,7 @@ def lines(spark, rows, path):
     spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(path)
 
 
-@pytest.mark.parametrize("name,row", [("jn_price_block", ("name", "Produto 9"))])
+@pytest.mark.parametrize("name,row", [("jn_badge_prices", ("pct", 13)), ("jn_box_names", ("name", "Produto 9 200g")), ("jn_price_block", ("name", "Produto 9"))])
 def test_first_of_lines_with_one_number(spark, tmp_path, name, row):
     import os
 
