@@ -1,7 +1,8 @@
 """Flyer pages as boxes of text: which prices belong together, and which name is printed for a price.
 
 Boxes and words come from any reader of images or PDF files. Pages are independent, so all joins are by page; within one,
-positions are compared, and a page holds as many boxes as print fits on it.
+positions are compared, and a page holds as many boxes as print fits on it. Joins are told to merge sorted rows: Spark takes
+boxes that were exploded from a small column for no larger than it, and would gather them all in the driver to broadcast them.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ def badge_pairs(boxes: DataFrame) -> DataFrame:
     """
     price = boxes.filter(F.col("conf") >= MIN_CONF).withColumn("cents", box_price(F.col("text"))).filter("cents is not null")
     badge = boxes.filter((F.col("conf") >= BADGE_MIN_CONF) & F.trim("text").rlike(BADGE)).withColumn("pct", F.regexp_extract(F.trim("text"), BADGE, 1).cast("int"))
-    near = badge.select(*PAGE, F.col("box").alias("badge"), "pct", "x0", "y0", "y1", "width", "height").alias("b").join(price.select(*PAGE, F.col("box").alias("p"), "cents", F.col("x0").alias("px"), F.col("y0").alias("py")), PAGE)
+    near = badge.select(*PAGE, F.col("box").alias("badge"), "pct", "x0", "y0", "y1", "width", "height").alias("b").join(price.select(*PAGE, F.col("box").alias("p"), "cents", F.col("x0").alias("px"), F.col("y0").alias("py")).hint("merge"), PAGE)
     near = near.filter(F.col("px").between(F.col("x0") - CELL_LEFT * F.col("width"), F.col("x0") + CELL_WIDTH * F.col("width")) & F.col("py").between(F.col("y1"), F.col("y1") + CELL_HEIGHT * F.col("height")))
     a = near.select(*PAGE, "badge", "pct", "y0", "x0", F.col("p").alias("regular"), F.col("cents").alias("regular_cents"))
     b = near.select(*PAGE, "badge", F.col("p").alias("price"), F.col("cents").alias("price_cents"))
     off = F.abs((1 - F.col("price_cents") / F.col("regular_cents")) * 100 - F.col("pct"))
-    pairs = a.join(b, [*PAGE, "badge"]).filter((F.col("regular") != F.col("price")) & (F.col("regular_cents") > F.col("price_cents")) & (off < PCT_TOLERANCE))
+    pairs = a.join(b.hint("merge"), [*PAGE, "badge"]).filter((F.col("regular") != F.col("price")) & (F.col("regular_cents") > F.col("price_cents")) & (off < PCT_TOLERANCE))
 
     mine = pairs.groupBy(*PAGE, "badge", "pct", "y0", "x0").agg(F.array_sort(F.collect_list(F.struct("regular", "price", "regular_cents", "price_cents"))).alias("pairs"))
     by = mine.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "badge", "pct", "pairs"))).alias("badges"))
@@ -69,10 +70,10 @@ def bubble_names(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
     at = boxes.select(*PAGE, "box", "x0", "y0", "y1", "width", "height")
     de = at.select(*PAGE, F.col("box").alias("regular"), F.col("x0").alias("dx"), F.col("y0").alias("dy"), "width", "height")
     por = at.select(*PAGE, F.col("box").alias("price"), F.col("y1").alias("py"))
-    bubble = pairs.join(de, [*PAGE, "regular"]).join(por, [*PAGE, "price"])
+    bubble = pairs.join(de.hint("merge"), [*PAGE, "regular"]).join(por.hint("merge"), [*PAGE, "price"])
     text = boxes.filter((F.col("conf") >= NAME_MIN_CONF) & F.col("text").rlike(r"\p{L}") & ~F.col("text").rlike(LABEL)).select(*PAGE, "box", "text", "x0", "y0", "x1", "y1")
     mx, my = NAME_MARGIN_X * F.col("width"), NAME_MARGIN_Y * F.col("height")
-    near = bubble.join(text, PAGE).filter(
+    near = bubble.join(text.hint("merge"), PAGE).filter(
         (F.col("x1") <= F.col("dx") + mx) & (F.col("x0") >= F.col("dx") - NAME_WIDTH * F.col("width")) & (F.col("y0") >= F.col("dy") - my) & (F.col("y1") <= F.col("py") + my)
     )
     near = near.withColumn("centre", (F.col("y0") + F.col("y1")) / 2)
@@ -110,7 +111,7 @@ def page_prices(words: DataFrame) -> DataFrame:
     1.8 times its size; smaller figures right after it, level with its top, are the cents. A price under "CPF" is for members only.
     """
     w = words.select(*PAGE, "word", "text", "size", "x0", "x1", "top", "bottom", "scale")
-    right = lambda p: w.select(*PAGE, *[F.col(c).alias(f"{p}_{c}") for c in ("word", "text", "size", "x0", "x1", "top", "bottom")])
+    right = lambda p: w.select(*PAGE, *[F.col(c).alias(f"{p}_{c}") for c in ("word", "text", "size", "x0", "x1", "top", "bottom")]).hint("merge")
     number = f"{INTEGER}|{WHOLE_PRICE}"
     sign = w.filter("text = 'R$'").join(right("i"), PAGE).filter(F.col("i_text").rlike(number) & (F.col("i_size") >= 1.8 * F.col("size")))
     sign = sign.filter(F.col("i_x0").between(F.col("x1") - 3 * F.col("scale"), F.col("x1") + 5 * F.col("scale")) & (F.col("i_top") - 2 * F.col("scale") <= F.col("top")) & (F.col("top") <= F.col("i_bottom")))
@@ -121,7 +122,7 @@ def page_prices(words: DataFrame) -> DataFrame:
     )
     cents = _nearest(cents, "word", F.col("c_x0"), F.col("c_word")).select(*PAGE, "word", "c_text", "c_x0", "c_x1", "c_top", "c_bottom")
     whole = F.col("i_text").rlike(r"[.,]")
-    both = sign.join(cents, [*PAGE, "word"], "left").filter(whole | F.col("c_text").isNotNull())
+    both = sign.join(cents.hint("merge"), [*PAGE, "word"], "left").filter(whole | F.col("c_text").isNotNull())
     value = F.when(whole, F.regexp_replace("i_text", r"[.,]", "").cast("int")).otherwise(F.col("i_text").cast("int") * 100 + F.col("c_text").cast("int"))
     part = lambda c: F.when(~whole, F.col(f"c_{c}"))
     priced = both.select(*PAGE, F.col("word").alias("price_id"), value.cast("int").alias("cents"), "scale", F.col("i_size").alias("figure"), F.least("x0", "i_x0", part("x0")).alias("x0"), F.greatest("x1", "i_x1", part("x1")).alias("x1"), F.least("top", "i_top", part("top")).alias("top"), F.greatest("bottom", "i_bottom", part("bottom")).alias("bottom")).filter("cents > 0")
@@ -130,8 +131,8 @@ def page_prices(words: DataFrame) -> DataFrame:
     suffix = F.when(said.isin(*[k for k, v in UNITS.items() if v]), " (kg)").otherwise("")
     unit = _nearest(unit, "price_id", F.abs(F.col("u_top") - F.col("bottom")), F.col("u_word")).select(*PAGE, "price_id", suffix.alias("suffix"), "u_x0", "u_x1", "u_top", "u_bottom")
     middle = (F.col("m_x0") + F.col("m_x1")) / 2
-    member = priced.join(right("m").filter("upper(m_text) = 'CPF'"), PAGE).filter(middle.between(F.col("x0") - 25 * F.col("scale"), F.col("x1") + 25 * F.col("scale")) & (F.col("top") - F.col("m_bottom")).between(-2 * F.col("scale"), 0.5 * F.col("figure")))
-    out = priced.join(unit, [*PAGE, "price_id"], "left").join(member.select(*PAGE, "price_id").distinct(), [*PAGE, "price_id"], "left_anti")
+    member = priced.join(right("m").filter("upper(m_text) = 'CPF'").hint("merge"), PAGE).filter(middle.between(F.col("x0") - 25 * F.col("scale"), F.col("x1") + 25 * F.col("scale")) & (F.col("top") - F.col("m_bottom")).between(-2 * F.col("scale"), 0.5 * F.col("figure")))
+    out = priced.join(unit.hint("merge"), [*PAGE, "price_id"], "left").join(member.select(*PAGE, "price_id").distinct().hint("merge"), [*PAGE, "price_id"], "left_anti")
     return out.select(*PAGE, "price_id", "cents", F.coalesce("suffix", F.lit("")).alias("suffix"), "scale", F.least("x0", "u_x0").alias("x0"), F.greatest("x1", "u_x1").alias("x1"), F.least("top", "u_top").alias("top"), F.greatest("bottom", "u_bottom").alias("bottom"))
 
 
@@ -148,7 +149,7 @@ def price_blocks(prices: DataFrame, blocks: DataFrame) -> DataFrame:
     blocks (flyer_id, page, block, name, x0, x1, top, bottom).
     """
     b = blocks.select(*PAGE, "block", "name", *[F.col(c).alias(f"b_{c}") for c in ("x0", "x1", "top", "bottom")])
-    both = prices.join(b, PAGE)
+    both = prices.join(b.hint("merge"), PAGE)
     aside = F.greatest(F.lit(0.0), F.col("b_x0") - F.col("x1"), F.col("x0") - F.col("b_x1"))
     above = F.col("top") - F.col("b_bottom")
     over = (above >= -6 * F.col("scale")) & (aside <= 0.6 * (F.col("x1") - F.col("x0")) + 8 * F.col("scale"))

@@ -5,6 +5,10 @@ import pytest
 from feira.plans import registry
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def lines(spark, rows, path):
     columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
     spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(path)
@@ -21,3 +25,8 @@ def test_first_of_lines_with_one_number(spark, tmp_path, name, row):
     lines(spark, [(1, 3, 1, 1, 1.0, 1000.0, 0.08)] + [(k, 7, 1, 6, 1.0, 1.0 + k, 0.0) for k in range(2, 3000)], f"{tmp_path}/lineitem.parquet")
     got = registry.queries()[name](spark, str(tmp_path)).collect()
     assert [r[row[0]] for r in got] == [row[1]]
+
+
+@pytest.mark.parametrize("name", ["jn_badge_prices", "jn_box_names", "jn_price_block"])
+def test_boxes_are_never_broadcast(spark, name):
+    assert "Broadcast" not in plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001"))
