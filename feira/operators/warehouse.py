@@ -215,22 +215,27 @@ def idf_weights(df: DataFrame) -> DataFrame:
 def barcode_near(reads: DataFrame, known: DataFrame) -> DataFrame:
     """id, gtin: the one known barcode that equals the read or is a digit inserted, dropped, changed or swapped away.
 
-    reads (id, key), known (gtin); keys have 11 digits or more. The read's neighbourhood is expanded and joined by equality.
+    reads (id, key), known (gtin); keys have 11 digits or more. Codes that are so near share what is left of them without one
+    digit, or one is what is left of the other: distinct keys and codes are joined by these, and the pairs verified.
     """
-    digit = [str(x) for x in range(10)]
-    key, n = F.col("key"), F.length("key")
+    digits = r"^[0-9]*$"
+    key, gtin, n = F.col("key"), F.col("gtin"), F.length("key")
     at = F.sequence(F.lit(0), n)
-    left, right = (lambda i: F.substr(key, F.lit(1), i)), (lambda i, k: F.substr(key, i + k, F.lit(40)))
-    every = lambda f: F.flatten(F.transform(at, lambda i: F.array(*[f(i, F.lit(x)) for x in digit])))
-    near = F.concat(
-        F.array(key),
-        every(lambda i, x: F.concat(left(i), x, right(i, 1))),
-        every(lambda i, x: F.concat(left(i), x, right(i, 2))),
-        F.transform(at, lambda i: F.concat(left(i), right(i, 2))),
-        F.transform(at, lambda i: F.concat(left(i), F.substr(key, i + 2, F.lit(1)), F.substr(key, i + 1, F.lit(1)), right(i, 3))),
-    )
-    hits = reads.filter(n >= 11).select("id", F.explode(F.array_distinct(near)).alias("gtin")).join(known, "gtin")
-    return hits.groupBy("id").agg(F.min("gtin").alias("gtin"), F.count("*").alias("n")).filter("n = 1").select("id", "gtin")
+    left, right, new = (lambda i: F.substr(key, F.lit(1), i)), (lambda i, k: F.substr(key, i + k)), (lambda i: F.substr(gtin, i + 1, F.lit(1)))
+    put = lambda k: F.exists(at, lambda i: (gtin == F.concat(left(i), new(i), right(i, k))) & new(i).rlike("^[0-9]$"))
+    swapped = F.exists(at, lambda i: gtin == F.concat(left(i), F.substr(key, i + 2, F.lit(1)), F.substr(key, i + 1, F.lit(1)), right(i, 3)))
+    edits = F.levenshtein(key, gtin)
+    near = F.when(edits == 0, True).when((edits == 1) & (gtin.rlike(digits) | (F.length(gtin) < n)), True).when(edits == 1, put(1) | put(2)).when((edits == 2) & (F.length(gtin) == n), swapped).otherwise(False)
+
+    def rests(df: DataFrame, c: str) -> DataFrame:
+        whole = F.col(c)
+        less = F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1))), lambda i: F.concat(F.substr(whole, F.lit(1), i - 1), F.substr(whole, i + 1)))
+        return df.select(c).filter(whole.isNotNull()).distinct().select(c, F.explode(F.array_distinct(F.concat(F.array(whole), less))).alias("rest"))
+
+    # rows that were exploded are more than Spark's estimate of them, so they are merged, never broadcast
+    both = rests(reads.filter(n >= 11), "key").join(rests(known, "gtin").hint("merge"), "rest").filter(near)
+    of = both.select("key", "gtin").distinct().groupBy("key").agg(F.min("gtin").alias("gtin"), F.count("*").alias("n"))
+    return reads.join(of.hint("merge"), "key").groupBy("id").agg(F.min("gtin").alias("gtin"), F.sum("n").alias("n")).filter("n = 1").select("id", "gtin")
 
 
 def _answers(s, d):

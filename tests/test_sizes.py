@@ -46,3 +46,36 @@ def test_scopes_are_made_for_coverages_not_flyers(spark, tmp_path):
         gone = [x for x in every if (f // 40 + x) % 4 == 0 and f % 80]
         want[f] = "all except " + ",".join(map(str, gone)) if gone else "all"
     assert got == want
+
+
+def test_near_barcodes_against_all_edits(spark):
+    import random
+
+    from feira.operators.warehouse import barcode_near
+
+    rng = random.Random(4)
+    known = sorted({"".join(rng.choice("0123") for _ in range(rng.choice([11, 12]))) for _ in range(60)} | {"7891234567895", "789123456789A", "1111111111111"})
+
+    def edited(c):
+        i = rng.randrange(len(c) - 1)
+        return rng.choice([c, c[:i] + c[i + 1 :], c[:i] + rng.choice("012A") + c[i:], c[:i] + rng.choice("012A") + c[i + 1 :], c[:i] + c[i + 1] + c[i] + c[i + 2 :], c[::-1]])
+
+    reads = [(i, edited(edited(rng.choice(known)) if i % 3 == 0 else rng.choice(known))) for i in range(300)]
+    reads += [(0, "7891234567895"), (400, None), (401, "7891234567"), (402, "7891234567890"), (403, "78912345678950"), (404, "78912345678A5"), (405, "111111111111"), (406, "7891234567985")]
+
+    def near(c):
+        out = {c}
+        for i in range(len(c) + 1):
+            out |= {c[:i] + x + c[i + k :] for x in "0123456789" for k in (0, 1)} | {c[:i] + c[i + 1 :], c[:i] + c[i + 1 : i + 2] + c[i : i + 1] + c[i + 2 :]}
+        return out
+
+    hits = {}
+    for i, c in reads:
+        if c is not None and len(c) >= 11:
+            hits.setdefault(i, []).extend(sorted(near(c) & set(known)))
+    got = barcode_near(spark.createDataFrame(reads, "id long, key string"), spark.createDataFrame([(k,) for k in known], "gtin string"))
+    assert {r.id: r.gtin for r in got.collect()} == {i: h[0] for i, h in hits.items() if len(h) == 1}
+
+
+def test_near_barcodes_are_never_broadcast(spark):
+    assert "Broadcast" not in plan_of(registry.queries()["jn_barcode_near"](spark, "/root/testdata/sf0.1"))
