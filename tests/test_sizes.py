@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from feira.plans import registry
+from feira.plans import public, registry
 
 
 def plan_of(df) -> str:
@@ -79,3 +79,8 @@ def test_near_barcodes_against_all_edits(spark):
 
 def test_near_barcodes_are_never_broadcast(spark):
     assert "Broadcast" not in plan_of(registry.queries()["jn_barcode_near"](spark, "/root/testdata/sf0.1"))
+
+
+def test_ids_of_products_are_never_broadcast(spark):
+    assert "Broadcast" not in plan_of(registry.queries()["flt_priced_products"](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in plan_of(public.match_products(public.products(spark, "/root/testdata/sf0.001")))
