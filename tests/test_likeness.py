@@ -71,3 +71,20 @@ def test_evidence_has_no_limit_of_branches(spark):
     flyers = spark.createDataFrame([(1, "A", "LOJA CENTRO 7"), (2, "B", "Loja Centro"), (3, "A", "Natal"), (4, "A", None)], "flyer_id int, chain string, title string")
     got = {r.flyer_id: (r.branch_id, r.ratio) for r in branch_evidence(flyers, branch).collect()}
     assert got == {1: (7, 1.0), 2: (100, round(22 / 24, 6))}
+
+
+def test_numbered_names_meet_few_others(spark, monkeypatch):
+    """Names that share all letters but some digits: a pair of all with all before; blocks of a few names give the same."""
+    from feira.operators import likeness
+
+    monkeypatch.setattr(likeness, "BLOCK", 70)
+    monkeypatch.setattr(likeness, "STRIP", 16)
+    left, right = [f"customer {i:09d}" for i in range(0, 400, 2)] + ["zz", "loja"], [f"customer {i:09d} x" for i in range(399)] + ["zzz", "loj a"]
+    a, b = (spark.createDataFrame([(x, "k") for x in side], f"{c} string, g string") for side, c in ((left, "a"), (right, "b")))
+    pairs = likeness._better_pairs(a, b, 0.62, ["g"])
+    assert pairs.columns == ["g", "a", "b"] and len(left) - 1 <= pairs.count() < 10 * len(left)
+    want = {}
+    for x in left:
+        best = max(score(x, y) for y in right)
+        want |= {(x, y): best for y in right if score(x, y) == best >= 0.62}
+    assert {(r.a, r.b): r.score for r in likeness.most_alike(a, b, 0.62, ["g"]).collect()} == want
