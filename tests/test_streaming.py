@@ -42,6 +42,31 @@ def test_upsert_keeps_changes_and_ignores_late_rows(spark, tmp_path):
     assert got[3] == got[2] | {(3, 3000, day(29), 20)}
 
 
+def test_upsert_against_a_plain_loop_and_calls_for_products_together(spark, tmp_path):
+    """Keys share a state; a call for each key took longest."""
+    import random
+
+    from feira.operators.state import HISTORY
+    from feira.streaming import prices as streaming
+
+    rng, held, state = random.Random(3), table(spark, tmp_path, "product_id", "store_id"), {}
+    for turn in range(3):
+        rows = [(rng.randrange(0, 200, 7), rng.randrange(3), rng.randrange(1, 4) / 4, day(rng.randrange(turn * 20, turn * 20 + 40))) for _ in range(900)]
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+        drain(streaming.upsert_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")), f"{tmp_path}/c", into(held))
+        new = {}
+        for p, s, price, at in rows:
+            new[p, s, at] = min(new.get((p, s, at), 1000), round(price * 100))
+        for p, s, at in sorted(new, key=lambda k: k[2]):
+            cents, seen, changes = state.get((p, s), (None, None, 0))
+            if seen is None or at > seen:
+                state[p, s] = (new[p, s, at], at, min(HISTORY, changes + (cents is not None and cents != new[p, s, at])))
+        assert {(r.product_id, r.store_id): (r.price_cents, r.observed_at, r.changes) for r in held.read().collect()} == state
+    assert max(x[2] for x in state.values()) == HISTORY
+    src = streaming.upsert_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+    assert "[products" in src._jdf.queryExecution().analyzed().toString()
+
+
 def test_dedup_and_a_batch_sent_twice(spark, tmp_path):
     rows = [(1, 1, 2.0, day(1)), (1, 1, 2.0, day(1)), (1, 2, 2.0, day(1))]
     src = stream(spark, tmp_path, rows, rows)
