@@ -84,3 +84,31 @@ def test_near_barcodes_are_never_broadcast(spark):
 def test_ids_of_products_are_never_broadcast(spark):
     assert "Broadcast" not in plan_of(registry.queries()["flt_priced_products"](spark, "/root/testdata/sf0.001"))
     assert "Broadcast" not in plan_of(public.match_products(public.products(spark, "/root/testdata/sf0.001")))
+
+
+def test_shuffles_of_a_written_table_are_dropped(spark, tmp_path, monkeypatch):
+    """All shuffles of an operator lay on disk together until the driver happened to collect its garbage."""
+    import time
+
+    from feira.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = held.size()
+    out = common.written(spark.range(1000).repartition(7, "id").groupBy("id").count(), "x")
+    for _ in range(100):  # beside Spark's other work
+        if held.size() <= before:
+            break
+        time.sleep(0.1)
+    assert held.size() <= before and out.count() == 1000 and spark.conf.get(common.DROP_SHUFFLE) == "false"
+
+
+def test_postings_are_never_written_whole(spark, monkeypatch):
+    from feira.llm import common, ngram_join
+
+    names = []
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: (names.append(name), common.written(df, name))[1])
+    words = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(words + [w + " more" for w in words[:9]])), "doc_id long, text string")
+    ids = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert ids == {i: i - 30 if i >= 30 else i for i in range(39)} and "join-index" not in names
